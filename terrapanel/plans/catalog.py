@@ -15,6 +15,19 @@ from terrapanel.sources.tables import readings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Output formatting for cross-engine comparison: engines disagree on exact
+# half-way cases of round() (decimal vs binary half-up) and on the sign of
+# zero; a 1e-9 nudge before rounding to 4 places gives one answer in both.
+ROUND_NUDGE = 1e-9
+
+
+def r4(c, name: str | None = None):
+    from pyspark.sql import functions as F
+
+    col = F.col(c) if isinstance(c, str) else c
+    out = F.round(col + F.lit(ROUND_NUDGE), 4)
+    return out.alias(name or (c if isinstance(c, str) else "value"))
+
 
 def register(name: str):
     def deco(fn):
@@ -26,3 +39,93 @@ def register(name: str):
 @register("rank_latest_smoothed")
 def q_rank_latest_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_smoothed_rank(readings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- Q1–Q3
+from pyspark.sql import functions as F  # noqa: E402
+
+from terrapanel.operators.clean import basic_checks, duplicate_groups, null_counts_long  # noqa: E402
+from terrapanel.operators.lookup import season_calendar  # noqa: E402
+from terrapanel.operators.windows import panel_lookback  # noqa: E402
+from terrapanel.plans.features import clean_merge, ml_ready, season_summary, tag_seasons  # noqa: E402
+from terrapanel.sources.tables import events_panel  # noqa: E402
+
+# Season calendar for the driver binding (states = region names).  A query
+# parameter, passed in as data like any calendar; EUROPE lacks NOV on
+# purpose so that the Unknown branch is exercised.
+BINDING_CALENDAR = {
+    "AFRICA": {"Winter": ["DEC", "JAN", "FEB"], "Summer": ["MAR", "APR", "MAY"],
+               "Monsoon": ["JUN", "JUL", "AUG", "SEP"], "Post-monsoon": ["OCT", "NOV"]},
+    "AMERICA": {"Winter": ["JAN", "FEB"], "Summer": ["MAR", "APR", "MAY"],
+                "Monsoon": ["JUN", "JUL", "AUG", "SEP"], "Post-monsoon": ["OCT", "NOV", "DEC"]},
+    "ASIA": {"Winter": ["DEC", "JAN", "FEB"], "Summer": ["MAR", "APR"],
+             "Monsoon": ["MAY", "JUN", "JUL", "AUG", "SEP", "OCT"], "Post-monsoon": ["NOV"]},
+    "EUROPE": {"Winter": ["DEC", "JAN"], "Summer": ["FEB", "MAR", "APR"],
+               "Monsoon": ["MAY", "JUN", "JUL", "AUG", "SEP"], "Post-monsoon": ["OCT"]},
+    "MIDDLE EAST": {"Winter": ["NOV", "DEC", "JAN", "FEB"], "Summer": ["MAR", "APR", "MAY"],
+                    "Monsoon": ["JUN", "JUL", "AUG", "SEP"], "Post-monsoon": ["OCT"]},
+}
+NULL_BELOW = 0.1   # readings under this level are treated as missing sensor values
+
+
+def readings_with_gaps(spark, sf_dir):
+    """readings with missing values (level < NULL_BELOW) — the null fixture."""
+    r = readings(spark, sf_dir)
+    return r.withColumn("moisture", F.when(F.col("moisture") >= NULL_BELOW, F.col("moisture")))
+
+
+def tagged_readings(spark, sf_dir):
+    return tag_seasons(readings(spark, sf_dir), season_calendar(spark, BINDING_CALENDAR))
+
+
+@register("clean_merge_readings")
+def q_clean_merge(spark, sf_dir):
+    r = readings_with_gaps(spark, sf_dir)
+    merged = clean_merge([r, r], null_policy="any")      # a file and its byte-identical copy
+    return merged.select("state", "district", F.col("reading_date").cast("string").alias("reading_date"),
+                         "Year", "Month_num", "Day", r4("moisture"), "row_id")
+
+
+@register("data_checks")
+def q_data_checks(spark, sf_dir):
+    r = readings_with_gaps(spark, sf_dir)
+    return basic_checks(r.unionByName(r))
+
+
+@register("null_counts")
+def q_null_counts(spark, sf_dir):
+    return null_counts_long(readings_with_gaps(spark, sf_dir))
+
+
+@register("duplicate_members")
+def q_duplicate_members(spark, sf_dir):
+    """Members of duplicated groups over (state, district, reading date)."""
+    r = readings(spark, sf_dir).select("state", "district", "reading_date")
+    d = duplicate_groups(r)
+    return d.groupBy("state", "district").agg(F.count(F.lit(1)).cast("long").alias("dup_rows"))
+
+
+@register("season_counts")
+def q_season_counts(spark, sf_dir):
+    return season_summary(tagged_readings(spark, sf_dir))
+
+
+FEATURE_OUT = ["lag_1", "lag_7", "rolling_3", "rolling_6", "state_freq", "month_sin",
+               "month_cos", "target_log1p"]
+
+
+@register("features_panel")
+def q_features_panel(spark, sf_dir):
+    f = ml_ready(tagged_readings(spark, sf_dir))
+    return f.select("state", "district", "row_id", "Month_num", "Month_name", "Season",
+                    "Season_up", "Season_num", "district_id", "moisture_class",
+                    *[r4(c) for c in FEATURE_OUT])
+
+
+@register("events_lookback")
+def q_events_lookback(spark, sf_dir):
+    ev = events_panel(spark, sf_dir)
+    out = panel_lookback(ev, "moisture", exclude_current=True)
+    return out.select(F.col("state").alias("event_type"), F.col("district").alias("user_id"),
+                      F.col("row_id").alias("event_id"),
+                      *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6"]])

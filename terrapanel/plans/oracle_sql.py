@@ -29,10 +29,15 @@ def with_readings(body: str, *ctes: str) -> str:
 
 SQL: dict[str, str] = {}
 
+
+def R4(expr: str) -> str:
+    """Same output rounding as the Spark side (1e-9 nudge, 4 places)."""
+    return f"round(({expr}) + 1e-9, 4)"
+
 SQL["rank_latest_smoothed"] = with_readings(
     """
 SELECT state, district, CAST(max_year AS BIGINT) AS max_year,
-       round(lag_1, 4) AS latest_lag_1, round(rolling_3, 4) AS latest_rolling_3,
+       round((lag_1) + 1e-9, 4) AS latest_lag_1, round((rolling_3) + 1e-9, 4) AS latest_rolling_3,
        CAST(row_number() OVER (PARTITION BY state ORDER BY rolling_3 DESC NULLS LAST, district)
             AS BIGINT) AS district_rank
 FROM (
@@ -49,3 +54,111 @@ FROM (
   SELECT *, lag(moisture, 1) OVER ({PANEL_WINDOW}) AS lag_1,
          avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3
   FROM readings)""")
+
+
+def _calendar_cte() -> str:
+    from terrapanel.plans.catalog import BINDING_CALENDAR
+
+    rows = [f"('{s}', '{m}', '{season}')" for s, seasons in BINDING_CALENDAR.items()
+            for season, months in seasons.items() for m in months]
+    return "cal(cal_state, cal_month, cal_season) AS (VALUES " + ", ".join(rows) + ")"
+
+
+GAPS = """gaps AS (
+  SELECT state, district, reading_date, Year, Month_num, Day,
+         CASE WHEN moisture >= 0.1 THEN moisture END AS moisture, row_id
+  FROM readings)"""
+
+MONTHS_LIST = "['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC']"
+
+TAGGED = f"""tagged AS (
+  SELECT r.*, t.Month, coalesce(cal.cal_season, 'Unknown') AS Season
+  FROM readings r
+  CROSS JOIN LATERAL (SELECT {MONTHS_LIST}[r.Month_num] AS Month) t
+  LEFT JOIN cal ON upper(trim(r.state)) = cal.cal_state AND t.Month = cal.cal_month)"""
+
+SQL["clean_merge_readings"] = with_readings(
+    """
+SELECT DISTINCT state, district, CAST(reading_date AS VARCHAR) AS reading_date, Year, Month_num, Day,
+       round((moisture) + 1e-9, 4) AS moisture, row_id
+FROM (SELECT * FROM gaps UNION ALL SELECT * FROM gaps) u
+WHERE state IS NOT NULL AND district IS NOT NULL AND reading_date IS NOT NULL AND Year IS NOT NULL
+  AND Month_num IS NOT NULL AND Day IS NOT NULL AND moisture IS NOT NULL AND row_id IS NOT NULL""",
+    GAPS)
+
+SQL["data_checks"] = with_readings(
+    """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(8 AS BIGINT) AS n_columns,
+       CAST(sum(CASE WHEN moisture IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_nulls,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM gaps)) AS BIGINT) AS n_duplicates
+FROM (SELECT * FROM gaps UNION ALL SELECT * FROM gaps) u""",
+    GAPS)
+
+SQL["null_counts"] = with_readings(
+    """
+SELECT column_name, CAST(null_count AS BIGINT) AS null_count FROM (
+  SELECT 'state' AS column_name, count(*) - count(state) AS null_count FROM gaps
+  UNION ALL SELECT 'district', count(*) - count(district) FROM gaps
+  UNION ALL SELECT 'reading_date', count(*) - count(reading_date) FROM gaps
+  UNION ALL SELECT 'Year', count(*) - count(Year) FROM gaps
+  UNION ALL SELECT 'Month_num', count(*) - count(Month_num) FROM gaps
+  UNION ALL SELECT 'Day', count(*) - count(Day) FROM gaps
+  UNION ALL SELECT 'moisture', count(*) - count(moisture) FROM gaps
+  UNION ALL SELECT 'row_id', count(*) - count(row_id) FROM gaps) x""",
+    GAPS)
+
+SQL["duplicate_members"] = with_readings(
+    """
+SELECT r.state, r.district, CAST(count(*) AS BIGINT) AS dup_rows
+FROM readings r
+JOIN (SELECT state, district, reading_date FROM readings
+      GROUP BY state, district, reading_date HAVING count(*) > 1) d
+  ON r.state IS NOT DISTINCT FROM d.state AND r.district IS NOT DISTINCT FROM d.district
+ AND r.reading_date IS NOT DISTINCT FROM d.reading_date
+GROUP BY r.state, r.district""")
+
+SQL["season_counts"] = with_readings(
+    "SELECT Season, CAST(count(*) AS BIGINT) AS n_rows FROM tagged GROUP BY Season",
+    _calendar_cte(), TAGGED)
+
+FEATURES_CTE = f"""feat AS (
+  SELECT *,
+    lag(moisture, 1) OVER ({PANEL_WINDOW}) AS lag_1,
+    lag(moisture, 7) OVER ({PANEL_WINDOW}) AS lag_7,
+    avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3,
+    avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rolling_6,
+    count(*) OVER (PARTITION BY state) * 1.0 / count(*) OVER () AS state_freq,
+    CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_id,
+    ln(1 + greatest(moisture, 0)) AS target_log1p,
+    row_number() OVER (ORDER BY moisture, state, district, Year, Month_num, Day, row_id) AS rk,
+    count(moisture) OVER () AS n_present,
+    sin(2 * pi() * Month_num / 12.0) AS month_sin,
+    cos(2 * pi() * Month_num / 12.0) AS month_cos,
+    Month AS Month_name,
+    trim(replace(upper(Season), '_', ' ')) AS Season_up,
+    CAST(CASE trim(replace(upper(Season), '_', ' '))
+      WHEN 'WINTER' THEN 1 WHEN 'SUMMER' THEN 2 WHEN 'MONSOON' THEN 3
+      WHEN 'POST MONSOON' THEN 4 WHEN 'POST-MONSOON' THEN 4 WHEN 'POSTMONSOON' THEN 4 END AS INTEGER)
+      AS Season_num
+  FROM tagged)"""
+
+SQL["features_panel"] = with_readings(
+    """
+SELECT state, district, row_id, Month_num, Month_name, Season, Season_up, Season_num, district_id,
+       CASE WHEN 3 * (rk - 1) < n_present - 1 THEN 'Low'
+            WHEN 3 * (rk - 1) < 2 * (n_present - 1) THEN 'Medium' ELSE 'High' END AS moisture_class,
+       round((lag_1) + 1e-9, 4) AS lag_1, round((lag_7) + 1e-9, 4) AS lag_7, round((rolling_3) + 1e-9, 4) AS rolling_3,
+       round((rolling_6) + 1e-9, 4) AS rolling_6, round((state_freq) + 1e-9, 4) AS state_freq,
+       round((month_sin) + 1e-9, 4) AS month_sin, round((month_cos) + 1e-9, 4) AS month_cos,
+       round((target_log1p) + 1e-9, 4) AS target_log1p
+FROM feat""",
+    _calendar_cte(), TAGGED, FEATURES_CTE)
+
+EVENTS_WINDOW = ("PARTITION BY event_type, user_id ORDER BY year(ts), month(ts), day(ts), event_id")
+SQL["events_lookback"] = f"""
+SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, event_id,
+  round((lag(value, 1) OVER ({EVENTS_WINDOW})) + 1e-9, 4) AS lag_1,
+  round((lag(value, 7) OVER ({EVENTS_WINDOW})) + 1e-9, 4) AS lag_7,
+  round((avg(value) OVER ({EVENTS_WINDOW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) + 1e-9, 4) AS rolling_3,
+  round((avg(value) OVER ({EVENTS_WINDOW} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) + 1e-9, 4) AS rolling_6
+FROM events"""

@@ -21,6 +21,6 @@ def latest_smoothed_rank(readings: DataFrame, value: str = "moisture") -> DataFr
     ranked = rank_within(latest, ["state"], "rolling_3", ["district"], out="district_rank")
     return ranked.select(
         "state", "district", F.col("max_year").cast("long").alias("max_year"),
-        F.round("lag_1", 4).alias("latest_lag_1"),
-        F.round("rolling_3", 4).alias("latest_rolling_3"),
+        F.round(F.col("lag_1") + F.lit(1e-9), 4).alias("latest_lag_1"),
+        F.round(F.col("rolling_3") + F.lit(1e-9), 4).alias("latest_rolling_3"),
         F.col("district_rank").cast("long").alias("district_rank"))

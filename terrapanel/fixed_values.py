@@ -118,6 +118,9 @@ STRESS_TEXT = {
 MANUAL_LOW_THRESHOLD = 5.0
 MANUAL_HIGH_THRESHOLD = 10.0
 STRESS_FALLBACK_RATIO = 0.7
+STRESS_MODERATE_DROP = 0.30
+AUTO_LOW_PCT = 25
+AUTO_HIGH_PCT = 75
 UNCERTAINTY_FLOOR = 0.1
 UNCERTAINTY_RATIO = 0.3
 VOLATILITY_MEAN_FLOOR = 0.1

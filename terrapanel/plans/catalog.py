@@ -129,3 +129,151 @@ def q_events_lookback(spark, sf_dir):
     return out.select(F.col("state").alias("event_type"), F.col("district").alias("user_id"),
                       F.col("row_id").alias("event_id"),
                       *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6"]])
+
+
+# ---------------------------------------------------------------- Q4 profile
+from terrapanel.operators.profile import (box_stats, correlation_long, describe, histogram,  # noqa: E402
+                                          mean_by, monthly_resample, sample_complete_rows)
+
+
+@register("eda_describe")
+def q_eda_describe(spark, sf_dir):
+    d = describe(readings(spark, sf_dir), "moisture")
+    return d.select("count", *[r4(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max", "skew"]])
+
+
+@register("eda_histogram")
+def q_eda_histogram(spark, sf_dir):
+    h = histogram(readings(spark, sf_dir), "moisture", bins=60)
+    return h.select("bin", "n", r4("bin_lo"), r4("bin_hi"))
+
+
+@register("eda_histogram_log1p")
+def q_eda_histogram_log1p(spark, sf_dir):
+    h = histogram(readings(spark, sf_dir), "moisture", bins=60, log1p=True)
+    return h.select("bin", "n", r4("bin_lo"), r4("bin_hi"))
+
+
+@register("eda_month_year_mean")
+def q_eda_month_year_mean(spark, sf_dir):
+    return mean_by(readings(spark, sf_dir), ["Month_num", "Year"], "moisture").select(
+        "Month_num", "Year", r4("mean_value"))
+
+
+@register("eda_state_mean")
+def q_eda_state_mean(spark, sf_dir):
+    return mean_by(readings(spark, sf_dir), ["state"], "moisture").orderBy("mean_value").select(
+        "state", r4("mean_value"))
+
+
+@register("eda_month_mean")
+def q_eda_month_mean(spark, sf_dir):
+    return mean_by(readings(spark, sf_dir), ["Month_num"], "moisture").select("Month_num", r4("mean_value"))
+
+
+LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("eda_correlation")
+def q_eda_correlation(spark, sf_dir):
+    from terrapanel.sources.tables import table
+    c = correlation_long(table(spark, sf_dir, "lineitem"), LINEITEM_NUMERIC)
+    return c.select("col_a", "col_b", r4("corr"))
+
+
+@register("eda_monthly_resample")
+def q_eda_monthly_resample(spark, sf_dir):
+    m = monthly_resample(readings(spark, sf_dir), ["district"], "reading_date", "moisture")
+    return m.select("district", F.col("month_start").cast("string").alias("month_start"), r4("mean_value"))
+
+
+@register("eda_season_box")
+def q_eda_season_box(spark, sf_dir):
+    b = box_stats(tagged_readings(spark, sf_dir), "Season", "moisture")
+    return b.select("Season", F.col("n").cast("long").alias("n"),
+                    *[r4(c) for c in ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]])
+
+
+@register("eda_sample_rows")
+def q_eda_sample_rows(spark, sf_dir):
+    """T5 (rows-only check): 2000 hash-chosen complete rows."""
+    return sample_complete_rows(readings(spark, sf_dir), ["Year", "Month_num", "Day", "moisture"],
+                                n=2000, seed=42, id_col="row_id")
+
+
+# ---------------------------------------------------------------- Q6–Q10 serving
+from terrapanel.operators.lookup import varieties_dimension  # noqa: E402
+from terrapanel.plans import serve as S  # noqa: E402
+
+BINDING_YEARS = list(range(1995, 2002))
+TRAIN_YEAR, TEST_YEAR = 1999, 2000          # year split of the driver binding
+MODELS = ["Seasonal", "Persistence"]
+
+
+def serving_inputs(spark, sf_dir):
+    r = readings(spark, sf_dir)
+    feats = ml_ready(r, with_class=False)
+    priors = S.district_priors(feats)
+    predictors = [S.seasonal_mean_predictor(r, "Seasonal"),
+                  S.column_predictor("Persistence", F.col("rolling_3"))]
+    return r, priors, predictors
+
+
+def scored_grid(spark, sf_dir):
+    r, priors, predictors = serving_inputs(spark, sf_dir)
+    return r, S.predict_all(S.scoring_grid(priors), predictors)
+
+
+@register("serve_priors")
+def q_serve_priors(spark, sf_dir):
+    _, priors, _ = serving_inputs(spark, sf_dir)
+    return priors.select("state", "district", F.col("max_year").cast("long").alias("max_year"),
+                         *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6", "state_freq"]],
+                         F.col("district_id").cast("long").alias("district_id"))
+
+
+@register("serve_ranking")
+def q_serve_ranking(spark, sf_dir):
+    _, scored = scored_grid(spark, sf_dir)
+    ranked = S.district_ranking(scored, MODELS)
+    return ranked.select("state", "district", "Month_num", *[r4(c) for c in MODELS + ["Ensemble", "pred_moisture"]],
+                         F.col("rank").cast("long").alias("rank"))
+
+
+@register("serve_projection")
+def q_serve_projection(spark, sf_dir):
+    _, priors, predictors = serving_inputs(spark, sf_dir)
+    pr = S.projection(priors, predictors, horizon=3)
+    return pr.select("state", "district", "start_month", "step", "Month_num", "month",
+                     *[r4(c) for c in MODELS + ["Ensemble"]])
+
+
+@register("serve_profile")
+def q_serve_profile(spark, sf_dir):
+    return S.month_profile(readings(spark, sf_dir)).select(
+        "state", "district", "Month_num", "Month", r4("mean_moisture"))
+
+
+@register("serve_heatmap")
+def q_serve_heatmap(spark, sf_dir):
+    h = S.heatmap(readings(spark, sf_dir), BINDING_YEARS)
+    return h.select("state", "district", "Month_num", *[r4(str(y)) for y in BINDING_YEARS])
+
+
+@register("serve_year_plots")
+def q_serve_year_plots(spark, sf_dir):
+    y = S.year_plot_data(readings(spark, sf_dir), [TRAIN_YEAR, TEST_YEAR])
+    return y.select("state", "district", "Year", "Month_num", r4("mean_moisture"),
+                    F.col("n_rows").cast("long").alias("n_rows"))
+
+
+@register("serve_farmer_summary")
+def q_serve_farmer_summary(spark, sf_dir):
+    r, scored = scored_grid(spark, sf_dir)
+    scored = scored.withColumn("primary", S.primary_value(MODELS))
+    fs = S.farmer_summary(scored, r, varieties_dimension(spark), "primary")
+    return fs.select("state", "district", "Month_num",
+                     *[r4(c) for c in ["primary", "hist_mean", "hist_std", "p10", "p25", "p50", "p75", "p90",
+                                       "low_thresh", "high_thresh", "above_below_pct", "volatility"]],
+                     "category", "stress", "moisture_group", "crop_suggestion", "crop_explanation",
+                     "irrigation_advice", "uncertainty", "volatility_label", "summary")

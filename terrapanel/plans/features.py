@@ -60,7 +60,7 @@ def month_season_features(df: DataFrame) -> DataFrame:
 
 
 def ml_ready(df: DataFrame, target: str = "moisture", exclude_current: bool = False,
-             max_group_rows: int | None = None) -> DataFrame:
+             max_group_rows: int | None = None, with_class: bool = True) -> DataFrame:
     """Q3: the feature table.
 
     dedupe → month/season features → per-district lags and trailing means
@@ -75,5 +75,7 @@ def ml_ready(df: DataFrame, target: str = "moisture", exclude_current: bool = Fa
     feats = frequency_encode(feats, "state", "state_freq")
     feats = category_code(feats, "district", "district_id")
     feats = feats.withColumn("target_log1p", log1p_clipped(target))
+    if not with_class:
+        return feats
     return tercile_class(feats, target, tiebreak=PANEL_KEYS + PANEL_ORDER, out="moisture_class",
                          labels=FV.TERCILE_LABELS)

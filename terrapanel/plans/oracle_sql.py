@@ -162,3 +162,264 @@ SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, event_id,
   round((avg(value) OVER ({EVENTS_WINDOW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) + 1e-9, 4) AS rolling_3,
   round((avg(value) OVER ({EVENTS_WINDOW} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) + 1e-9, 4) AS rolling_6
 FROM events"""
+
+
+SQL["eda_describe"] = with_readings(f"""
+SELECT CAST(count(moisture) AS BIGINT) AS count, {R4('avg(moisture)')} AS mean,
+       {R4('stddev_samp(moisture)')} AS std, {R4('min(moisture)')} AS min,
+       {R4('quantile_cont(moisture, 0.25)')} AS p25, {R4('quantile_cont(moisture, 0.5)')} AS p50,
+       {R4('quantile_cont(moisture, 0.75)')} AS p75, {R4('max(moisture)')} AS max,
+       {R4('skewness(moisture)')} AS skew
+FROM readings""")
+
+
+def _hist_sql(expr: str) -> str:
+    return with_readings(f"""
+SELECT bin, CAST(count(*) AS BIGINT) AS n,
+       {R4('mn + (bin - 1) * (mx - mn) / 60')} AS bin_lo, {R4('mn + bin * (mx - mn) / 60')} AS bin_hi
+FROM (
+  SELECT CASE WHEN mx - mn > 0 THEN least(CAST(floor((x - mn) * 60 / (mx - mn)) AS INTEGER) + 1, 60)
+              ELSE 1 END AS bin, mn, mx
+  FROM (SELECT x, min(x) OVER () AS mn, max(x) OVER () AS mx
+        FROM (SELECT {expr} AS x FROM readings) v WHERE x IS NOT NULL) s) b
+GROUP BY bin, mn, mx""")
+
+
+SQL["eda_histogram"] = _hist_sql("moisture")
+SQL["eda_histogram_log1p"] = _hist_sql("ln(1 + greatest(moisture, 0))")
+
+SQL["eda_month_year_mean"] = with_readings(f"""
+SELECT Month_num, Year, {R4('avg(moisture)')} AS mean_value FROM readings
+WHERE Month_num IS NOT NULL AND Year IS NOT NULL GROUP BY Month_num, Year""")
+
+SQL["eda_state_mean"] = with_readings(f"""
+SELECT state, {R4('avg(moisture)')} AS mean_value FROM readings WHERE state IS NOT NULL GROUP BY state""")
+
+SQL["eda_month_mean"] = with_readings(f"""
+SELECT Month_num, {R4('avg(moisture)')} AS mean_value FROM readings
+WHERE Month_num IS NOT NULL GROUP BY Month_num""")
+
+_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_corr_parts = []
+for _i, _a in enumerate(_LI):
+    for _j, _b in enumerate(_LI):
+        val = "1.0" if _a == _b else f"corr({_a}, {_b})"
+        src = "" if _a == _b else " FROM lineitem"
+        _corr_parts.append(f"SELECT '{_a}' AS col_a, '{_b}' AS col_b, {R4(val)} AS corr{src}")
+SQL["eda_correlation"] = "\nUNION ALL\n".join(_corr_parts)
+
+SQL["eda_monthly_resample"] = with_readings(f"""
+SELECT s.district, CAST(s.month_start AS VARCHAR) AS month_start, {R4('a.mean_value')} AS mean_value
+FROM (SELECT district, CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS month_start
+      FROM (SELECT district, date_trunc('month', reading_date) AS m FROM readings
+            WHERE district IS NOT NULL AND reading_date IS NOT NULL) x GROUP BY district) s
+LEFT JOIN (SELECT district, CAST(date_trunc('month', reading_date) AS DATE) AS month_start,
+                  avg(moisture) AS mean_value
+           FROM readings WHERE district IS NOT NULL AND reading_date IS NOT NULL
+           GROUP BY 1, 2) a
+  ON s.district = a.district AND s.month_start = a.month_start""")
+
+SQL["eda_season_box"] = with_readings(f"""
+SELECT q.Season, CAST(q.n AS BIGINT) AS n, {R4('q1')} AS q1, {R4('median')} AS median, {R4('q3')} AS q3,
+       {R4('q3 - q1')} AS iqr,
+       {R4('min(CASE WHEN t.moisture >= q1 - 1.5 * (q3 - q1) THEN t.moisture END)')} AS whisker_lo,
+       {R4('max(CASE WHEN t.moisture <= q3 + 1.5 * (q3 - q1) THEN t.moisture END)')} AS whisker_hi
+FROM (SELECT Season, count(moisture) AS n, quantile_cont(moisture, 0.25) AS q1,
+             quantile_cont(moisture, 0.5) AS median, quantile_cont(moisture, 0.75) AS q3
+      FROM tagged WHERE moisture IS NOT NULL GROUP BY Season) q
+JOIN tagged t ON t.Season = q.Season AND t.moisture IS NOT NULL
+GROUP BY q.Season, q.n, q.q1, q.median, q.q3""", _calendar_cte(), TAGGED)
+
+
+# ---------------------------------------------------------------- serving (Q6–Q10)
+FEAT2 = f"""feat2 AS (
+  SELECT *,
+    lag(moisture, 1) OVER ({PANEL_WINDOW}) AS lag_1,
+    lag(moisture, 7) OVER ({PANEL_WINDOW}) AS lag_7,
+    avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_3,
+    avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rolling_6,
+    count(*) OVER (PARTITION BY state) * 1.0 / count(*) OVER () AS state_freq,
+    CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_id
+  FROM readings)"""
+
+
+def _latest(c: str) -> str:
+    return (f"(SELECT x.{c} FROM feat2 x WHERE x.state = m.state AND x.district = m.district "
+            f"AND x.Year = m.max_year AND x.{c} IS NOT NULL "
+            f"ORDER BY x.Month_num DESC, x.Day DESC, x.row_id DESC LIMIT 1) AS {c}")
+
+
+PRI = ("pri AS (SELECT m.state, m.district, m.max_year, "
+       + ", ".join(_latest(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6", "state_freq", "district_id"])
+       + " FROM (SELECT state, district, max(Year) AS max_year FROM feat2 WHERE Year IS NOT NULL "
+         "GROUP BY state, district) m)")
+SEASONAL = """seasonal AS (
+  SELECT state, district, Month_num, avg(moisture) AS Seasonal FROM readings
+  WHERE state IS NOT NULL AND district IS NOT NULL AND Month_num IS NOT NULL
+  GROUP BY state, district, Month_num)"""
+SCORED = """scored AS (
+  SELECT g.state, g.district, g.Month_num, s.Seasonal, g.Persistence,
+         CASE WHEN s.Seasonal IS NOT NULL THEN (s.Seasonal + g.Persistence) / 2 END AS Ensemble,
+         CASE WHEN s.Seasonal IS NOT NULL THEN (s.Seasonal + g.Persistence) / 2 ELSE g.Persistence END
+           AS pred_moisture
+  FROM (SELECT p.state, p.district, mo.Month_num, coalesce(p.rolling_3, 0.0) AS Persistence
+        FROM pri p CROSS JOIN (SELECT unnest(range(1, 13)) AS Month_num) mo) g
+  LEFT JOIN seasonal s ON s.state = g.state AND s.district = g.district AND s.Month_num = g.Month_num)"""
+
+SQL["serve_priors"] = with_readings(f"""
+SELECT state, district, CAST(max_year AS BIGINT) AS max_year, {R4('lag_1')} AS lag_1, {R4('lag_7')} AS lag_7,
+       {R4('rolling_3')} AS rolling_3, {R4('rolling_6')} AS rolling_6, {R4('state_freq')} AS state_freq,
+       CAST(district_id AS BIGINT) AS district_id
+FROM pri""", FEAT2, PRI)
+
+SQL["serve_ranking"] = with_readings(f"""
+SELECT state, district, Month_num, {R4('Seasonal')} AS Seasonal, {R4('Persistence')} AS Persistence,
+       {R4('Ensemble')} AS Ensemble, {R4('pred_moisture')} AS pred_moisture,
+       CAST(row_number() OVER (PARTITION BY state, Month_num ORDER BY pred_moisture DESC NULLS LAST, district)
+            AS BIGINT) AS rank
+FROM scored""", FEAT2, PRI, SEASONAL, SCORED)
+
+MONTH_TITLES = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
+
+SQL["serve_projection"] = with_readings(f"""
+SELECT g.state, g.district, g.start_month, g.step, g.Month_num, {MONTH_TITLES}[g.Month_num] AS month,
+       {R4('s.Seasonal')} AS Seasonal, {R4('g.Persistence')} AS Persistence,
+       {R4('CASE WHEN s.Seasonal IS NOT NULL THEN (s.Seasonal + g.Persistence) / 2 END')} AS Ensemble
+FROM (SELECT p.state, p.district, sm.start_month, st.step,
+             CAST(((sm.start_month - 1 + st.step) % 12) + 1 AS INTEGER) AS Month_num,
+             coalesce(p.rolling_3, 0.0) AS Persistence
+      FROM pri p CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS start_month) sm
+      CROSS JOIN (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS step) st) g
+LEFT JOIN seasonal s ON s.state = g.state AND s.district = g.district AND s.Month_num = g.Month_num""",
+    FEAT2, PRI, SEASONAL)
+
+SQL["serve_profile"] = with_readings(f"""
+SELECT state, district, Month_num, {MONTH_TITLES}[Month_num] AS Month, {R4('avg(moisture)')} AS mean_moisture
+FROM readings WHERE state IS NOT NULL AND district IS NOT NULL AND Month_num IS NOT NULL
+GROUP BY state, district, Month_num""")
+
+_YEARS = list(range(1995, 2002))
+SQL["serve_heatmap"] = with_readings(
+    "SELECT d.state, d.district, mo.Month_num, "
+    + ", ".join(f"{R4(f'p.y{y}')} AS \"{y}\"" for y in _YEARS)
+    + """
+FROM (SELECT DISTINCT state, district FROM readings
+      WHERE state IS NOT NULL AND district IS NOT NULL AND Month_num IS NOT NULL AND Year IS NOT NULL) d
+CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS Month_num) mo
+LEFT JOIN (SELECT state, district, Month_num, """
+    + ", ".join(f"avg(CASE WHEN Year = {y} THEN moisture END) AS y{y}" for y in _YEARS)
+    + """ FROM readings WHERE state IS NOT NULL AND district IS NOT NULL AND Month_num IS NOT NULL
+      AND Year IS NOT NULL GROUP BY state, district, Month_num) p
+  ON p.state = d.state AND p.district = d.district AND p.Month_num = mo.Month_num""")
+
+SQL["serve_year_plots"] = with_readings(f"""
+SELECT state, district, Year, Month_num, {R4('avg(moisture)')} AS mean_moisture,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM readings WHERE Year IN (1999, 2000) AND state IS NOT NULL AND district IS NOT NULL
+  AND Month_num IS NOT NULL
+GROUP BY state, district, Year, Month_num""")
+
+
+def _varieties_cte() -> str:
+    from terrapanel.fixed_values import STATE_VARIETIES
+
+    rows = []
+    for k, v in STATE_VARIETIES.items():
+        if k == "DEFAULT":
+            continue
+        items = ", ".join("'" + x.replace("'", "''") + "'" for x in v)
+        rows.append(f"('{k}', [{items}])")
+    return "var(var_state, varieties) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def _advice_sql() -> str:
+    from terrapanel import fixed_values as FV
+
+    default = "[" + ", ".join("'" + x + "'" for x in FV.STATE_VARIETIES["DEFAULT"]) + "]"
+    lab = "CASE WHEN grp IS NULL THEN 'Unknown'"
+    txt = "CASE WHEN grp IS NULL THEN 'Prediction not available.'"
+    for name, (label, tmpl) in FV.CROP_ADVICE.items():
+        lab += f" WHEN grp = '{name}' THEN '{label}'"
+        if "{v}" in tmpl:
+            before, after = tmpl.split("{v}")
+            txt += f" WHEN grp = '{name}' THEN '{before}' || array_to_string(vv[1:2], ', ') || '{after}'"
+        else:
+            txt += f" WHEN grp = '{name}' THEN '{tmpl}'"
+    lab += " END"
+    txt += " END"
+    cuts = "CASE WHEN pr IS NULL THEN NULL" + "".join(
+        f" WHEN pr < {c} THEN '{n}'" for c, n in FV.MOISTURE_GROUP_CUTS) + f" ELSE '{FV.MOISTURE_GROUP_TOP}' END"
+    return f"""
+base AS (
+  SELECT sc.state, sc.district, sc.Month_num, sc.pred_moisture AS pr, ms.hist_mean, ms.hist_std,
+         mp.p10, mp.p25, mp.p50, mp.p75, mp.p90,
+         CASE WHEN dp.auto_low IS NOT NULL AND dp.auto_high IS NOT NULL THEN dp.auto_low ELSE 5.0 END AS low_thresh,
+         CASE WHEN dp.auto_low IS NOT NULL AND dp.auto_high IS NOT NULL THEN dp.auto_high ELSE 10.0 END AS high_thresh,
+         coalesce(var.varieties, {default}) AS vv
+  FROM scored sc
+  LEFT JOIN (SELECT state, district, Month_num, avg(moisture) AS hist_mean, stddev_pop(moisture) AS hist_std
+             FROM readings WHERE state IS NOT NULL AND district IS NOT NULL AND Month_num IS NOT NULL
+             GROUP BY 1, 2, 3) ms
+    ON ms.state = sc.state AND ms.district = sc.district AND ms.Month_num = sc.Month_num
+  LEFT JOIN (SELECT state, district, Month_num, quantile_cont(moisture, 0.10) AS p10,
+                    quantile_cont(moisture, 0.25) AS p25, quantile_cont(moisture, 0.50) AS p50,
+                    quantile_cont(moisture, 0.75) AS p75, quantile_cont(moisture, 0.90) AS p90
+             FROM readings WHERE moisture IS NOT NULL AND state IS NOT NULL AND district IS NOT NULL
+               AND Month_num IS NOT NULL GROUP BY 1, 2, 3) mp
+    ON mp.state = sc.state AND mp.district = sc.district AND mp.Month_num = sc.Month_num
+  LEFT JOIN (SELECT state, district, quantile_cont(moisture, 0.25) AS auto_low,
+                    quantile_cont(moisture, 0.75) AS auto_high
+             FROM readings WHERE moisture IS NOT NULL AND state IS NOT NULL AND district IS NOT NULL
+             GROUP BY 1, 2) dp
+    ON dp.state = sc.state AND dp.district = sc.district
+  LEFT JOIN var ON upper(trim(sc.state)) = var.var_state),
+adv AS (
+  SELECT *,
+    CASE WHEN pr IS NULL THEN NULL
+         WHEN pr < (CASE WHEN p25 IS NOT NULL AND p75 IS NOT NULL THEN p25 ELSE low_thresh END) THEN 'LOW'
+         WHEN pr > (CASE WHEN p25 IS NOT NULL AND p75 IS NOT NULL THEN p75 ELSE high_thresh END) THEN 'HIGH'
+         ELSE 'MEDIUM' END AS category,
+    CASE WHEN hist_mean IS NOT NULL AND hist_mean <> 0 THEN (pr - hist_mean) / hist_mean * 100.0 END
+      AS above_below_pct,
+    CASE WHEN p10 IS NOT NULL THEN
+           CASE WHEN pr < p10 THEN 'Severe' WHEN pr < p25 THEN 'Moderate' ELSE 'None' END
+         WHEN hist_mean IS NOT NULL THEN
+           CASE WHEN pr < 0.7 * hist_mean THEN 'Severe'
+                WHEN hist_mean <> 0 AND (hist_mean - pr) / hist_mean > 0.30 THEN 'Moderate'
+                ELSE 'None' END
+         ELSE 'None' END AS stress,
+    {cuts} AS grp,
+    CASE WHEN hist_std IS NOT NULL AND hist_mean IS NOT NULL
+              AND hist_std > greatest(0.1, 0.3 * greatest(1.0, abs(hist_mean)))
+         THEN ' (high uncertainty)' ELSE '' END AS uncertainty,
+    CASE WHEN hist_std IS NULL THEN NULL
+         WHEN hist_mean IS NULL OR hist_mean = 0 THEN 0.0
+         ELSE hist_std / greatest(hist_mean, 0.1) END AS volatility
+  FROM base),
+adv2 AS (
+  SELECT *, {lab} AS crop_suggestion, {txt} AS crop_explanation,
+    CASE stress WHEN 'Severe' THEN 'Irrigate urgently' WHEN 'Moderate' THEN 'Consider irrigation soon'
+         ELSE 'No immediate irrigation required' END AS irrigation_advice,
+    CASE WHEN volatility IS NULL THEN NULL WHEN volatility > 0.5 THEN 'High'
+         WHEN volatility > 0.3 THEN 'Moderate' ELSE 'Low' END AS volatility_label
+  FROM adv)"""
+
+
+SQL["serve_farmer_summary"] = with_readings(f"""
+SELECT state, district, Month_num, {R4('pr')} AS "primary", {R4('hist_mean')} AS hist_mean,
+       {R4('hist_std')} AS hist_std, {R4('p10')} AS p10, {R4('p25')} AS p25, {R4('p50')} AS p50,
+       {R4('p75')} AS p75, {R4('p90')} AS p90, {R4('low_thresh')} AS low_thresh,
+       {R4('high_thresh')} AS high_thresh, {R4('above_below_pct')} AS above_below_pct,
+       {R4('volatility')} AS volatility, category, stress, grp AS moisture_group, crop_suggestion,
+       crop_explanation, irrigation_advice, uncertainty, volatility_label,
+       CASE WHEN pr IS NULL THEN 'Prediction not available' ELSE concat_ws(' • ',
+         'Predicted moisture: ' || printf('%.2f', round(pr + 1e-9, 2)),
+         'Category: ' || category,
+         CASE WHEN above_below_pct IS NOT NULL THEN
+           CAST(CAST(round(abs(above_below_pct) + 1e-9, 0) AS BIGINT) AS VARCHAR) || '% '
+           || CASE WHEN above_below_pct > 0 THEN 'above' ELSE 'below' END || ' normal' END,
+         CASE stress WHEN 'Severe' THEN '⚠️ Severe water stress likely'
+                     WHEN 'Moderate' THEN '⚠️ Moderate water stress likely'
+                     ELSE 'No severe water stress predicted' END,
+         crop_suggestion || ': ' || crop_explanation || uncertainty) END AS summary
+FROM adv2""", FEAT2, PRI, SEASONAL, SCORED, _varieties_cte(), _advice_sql())

@@ -277,3 +277,182 @@ def q_serve_farmer_summary(spark, sf_dir):
                                        "low_thresh", "high_thresh", "above_below_pct", "volatility"]],
                      "category", "stress", "moisture_group", "crop_suggestion", "crop_explanation",
                      "irrigation_advice", "uncertainty", "volatility_label", "summary")
+
+
+# ---------------------------------------------------------------- evaluation
+import uuid  # noqa: E402
+
+from terrapanel.functions.advice import confidence_flag, moisture_group  # noqa: E402
+from terrapanel.functions.scores import argmax_class, softmax, top_k_classes  # noqa: E402
+from terrapanel.operators import evaluate as EV  # noqa: E402
+from terrapanel.session import checkpoint_dir  # noqa: E402
+from terrapanel.sources.metrics import compare_models, scan_metrics, write_metrics  # noqa: E402
+from terrapanel.sources.tables import table  # noqa: E402
+
+FORECASTS = ["Persistence", "Mean3", "Mean6"]
+
+
+def forecasts(spark, sf_dir):
+    """Closed-form forecasters of each reading from the readings before it:
+    previous value, mean of the previous 3 and of the previous 6 rows."""
+    r = readings(spark, sf_dir)
+    f = panel_lookback(r, "moisture", lags=(1,), means=(3, 6), exclude_current=True,
+                       lag_names=["Persistence"], mean_names=["Mean3", "Mean6"])
+    long = f.select("state", "district", "Year", "Month_num", "row_id", "moisture", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in FORECASTS])).alias("mp"))
+    return f, long.select("*", "mp.*").drop("mp")
+
+
+@register("eval_regression")
+def q_eval_regression(spark, sf_dir):
+    _, long = forecasts(spark, sf_dir)
+    m = EV.regression_metrics(long.where(F.col("Year") == TEST_YEAR), "moisture", "pred", ["model"])
+    return m.select("model", "n", r4("MAE"), r4("RMSE"), r4("R2"))
+
+
+@register("eval_metrics_roundtrip")
+def q_eval_metrics_roundtrip(spark, sf_dir):
+    """S7 → S8 → E6: metrics per (year, model) written as one JSON document per
+    year, read back, flattened, deduplicated and sorted by RMSE."""
+    _, long = forecasts(spark, sf_dir)
+    m = EV.regression_metrics(long, "moisture", "pred", ["Year", "model"])
+    m = m.withColumn("source", F.concat(F.lit("regression_results_"), F.col("Year").cast("string"), F.lit(".json")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    write_metrics(m, path, "source")
+    back = compare_models(scan_metrics(spark, path, source_col="source"))
+    return back.select("source_file", "model", r4("MAE"), r4("RMSE"), r4("R2"))
+
+
+def voted_groups(spark, sf_dir):
+    """Three rule classifiers of the moisture group and their majority vote."""
+    r = readings(spark, sf_dir)
+    f, _ = forecasts(spark, sf_dir)
+    seasonal = S.seasonal_mean_predictor(r, "Seasonal")
+    g = seasonal.apply(f)
+    return (g.withColumn("truth", moisture_group("moisture"))
+             .withColumn("by_last", moisture_group("Persistence"))
+             .withColumn("by_mean3", moisture_group("Mean3"))
+             .withColumn("by_season", moisture_group("Seasonal"))
+             .withColumn("vote", EV.majority_vote(["by_last", "by_mean3", "by_season"])))
+
+
+@register("eval_vote_report")
+def q_eval_vote_report(spark, sf_dir):
+    rep = EV.classification_report(voted_groups(spark, sf_dir), "truth", "vote")
+    return rep.select("label", r4("precision"), r4("recall"), r4("f1"), "support")
+
+
+@register("eval_vote_confusion")
+def q_eval_vote_confusion(spark, sf_dir):
+    return EV.confusion_matrix(voted_groups(spark, sf_dir), "truth", "vote")
+
+
+@register("eval_vote_class_accuracy")
+def q_eval_vote_class_accuracy(spark, sf_dir):
+    cm = EV.confusion_matrix(voted_groups(spark, sf_dir), "truth", "vote")
+    return EV.per_class_accuracy(cm).select("truth", "n", r4("class_accuracy"))
+
+
+@register("eval_labels_by_lang")
+def q_eval_labels_by_lang(spark, sf_dir):
+    """J9 + E3: predictions (toxic) aligned with truth (quality) by document id,
+    accuracy per language."""
+    lab = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    j = lab.join(docs, "doc_id", "inner")
+    return EV.accuracy(j, "quality", "toxic", ["lang"]).select("lang", "n", r4("accuracy_pct"))
+
+
+@register("eval_labels_report")
+def q_eval_labels_report(spark, sf_dir):
+    rep = EV.classification_report(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return rep.select("label", r4("precision"), r4("recall"), r4("f1"), "support")
+
+
+# ---------------------------------------------------------------- Q12 score vectors
+HEADS = {"head_a": 1, "head_b": 11, "head_c": 21}   # 10 class scores from each slice
+
+
+def scored_heads(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    out = e.select("vec_id", "label", *[
+        softmax(F.slice("embedding", start, 10)).alias(h) for h, start in HEADS.items()])
+    for h in HEADS:
+        out = out.withColumn(f"{h}_best", argmax_class(h))
+    return out
+
+
+@register("scores_topk")
+def q_scores_topk(spark, sf_dir):
+    s = scored_heads(spark, sf_dir)
+    top = top_k_classes("head_a", 3)
+    return s.select(
+        "vec_id", F.col("label").cast("string").alias("truth"),
+        F.col("head_a_best.label").alias("pred_label"),
+        r4(F.col("head_a_best.confidence_pct"), "confidence_pct"),
+        confidence_flag("head_a_best.confidence_pct", 50.0).alias("confidence_flag"),
+        F.concat_ws(",", F.transform(top, lambda x: x["label"])).alias("top3"),
+        EV.topk_hit(F.transform(top, lambda x: x["label"]), F.col("label").cast("string")).alias("top3_hit"))
+
+
+@register("scores_model_summary")
+def q_scores_model_summary(spark, sf_dir):
+    """E3 + E8 + M12: per head accuracy and cross-entropy loss, plus the
+    majority vote of the three heads."""
+    s = scored_heads(spark, sf_dir)
+    truth = F.col("label").cast("string")
+    parts = []
+    for h in HEADS:
+        p_true = F.element_at(F.col(h), F.col("label") + 1)
+        parts.append(s.select(F.lit(h).alias("model"),
+                              (F.col(f"{h}_best.label") == truth).cast("double").alias("hit"),
+                              (-F.log(p_true)).alias("loss")))
+    votes = s.select("label", *[F.col(f"{h}_best.label").alias(f"v_{h}") for h in HEADS])
+    voted = votes.select(F.lit("vote").alias("model"),
+                         (EV.majority_vote([f"v_{h}" for h in HEADS]) == truth).cast("double").alias("hit"),
+                         F.lit(None).cast("double").alias("loss"))
+    allm = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(voted)
+    agg = allm.groupBy("model").agg(F.avg("hit").alias("acc"), F.avg("loss").alias("loss"))
+    return agg.select("model", F.round(F.col("acc") + F.lit(1e-9), 3).alias("test_accuracy"),
+                      r4("loss", "test_loss"))
+
+
+# ---------------------------------------------------------------- Q11 collection audit and splits
+from terrapanel.operators import sampling as SP  # noqa: E402
+
+SPLIT_ORDER = [F.pmod(F.col("doc_id") * 7919, F.lit(10007)), F.col("doc_id")]
+
+
+def listing(spark, sf_dir):
+    """The item listing: id, class label (language), size."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), "n_chars")
+
+
+@register("images_class_counts")
+def q_images_class_counts(spark, sf_dir):
+    c = SP.class_counts(listing(spark, sf_dir), "label")
+    return c.select("label", "count", F.col("class_weight"), r4("imbalance_ratio"))
+
+
+@register("images_split_counts")
+def q_images_split_counts(spark, sf_dir):
+    sp = SP.split_70_10_20(listing(spark, sf_dir), "label", SPLIT_ORDER)
+    return SP.split_counts(sp, "label")
+
+
+@register("images_split_excluding")
+def q_images_split_excluding(spark, sf_dir):
+    sp = SP.split_70_10_20(SP.exclude_class(listing(spark, sf_dir), "label", "de"), "label", SPLIT_ORDER)
+    return SP.split_counts(sp, "label")
+
+
+@register("images_stratified_split")
+def q_images_stratified_split(spark, sf_dir):
+    sp = SP.stratified_split(listing(spark, sf_dir), "label", SPLIT_ORDER, 0.8)
+    return sp.select("doc_id", "label", "split")
+
+
+@register("images_sample_per_class")
+def q_images_sample_per_class(spark, sf_dir):
+    s = SP.sample_per_class(listing(spark, sf_dir), "label", SPLIT_ORDER, 5)
+    return s.select("doc_id", "label")

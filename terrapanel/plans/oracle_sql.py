@@ -423,3 +423,171 @@ SELECT state, district, Month_num, {R4('pr')} AS "primary", {R4('hist_mean')} AS
                      ELSE 'No severe water stress predicted' END,
          crop_suggestion || ': ' || crop_explanation || uncertainty) END AS summary
 FROM adv2""", FEAT2, PRI, SEASONAL, SCORED, _varieties_cte(), _advice_sql())
+
+
+# ---------------------------------------------------------------- evaluation
+FC = f"""fc AS (
+  SELECT *,
+    lag(moisture, 1) OVER ({PANEL_WINDOW}) AS Persistence,
+    avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS Mean3,
+    avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS Mean6
+  FROM readings)"""
+FL = """fl AS (
+  SELECT Year, moisture, 'Persistence' AS model, Persistence AS pred FROM fc
+  UNION ALL SELECT Year, moisture, 'Mean3', Mean3 FROM fc
+  UNION ALL SELECT Year, moisture, 'Mean6', Mean6 FROM fc)"""
+
+
+def _reg_metrics(where: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, CAST(count(*) AS BIGINT) AS n,
+  {R4('avg(abs(pred - moisture))')} AS MAE,
+  {R4('sqrt(avg((pred - moisture) * (pred - moisture)))')} AS RMSE,
+  {R4('CASE WHEN var_pop(moisture) * count(*) > 0 THEN 1 - sum((pred - moisture) * (pred - moisture)) / (var_pop(moisture) * count(*)) END')} AS R2
+FROM fl WHERE pred IS NOT NULL AND moisture IS NOT NULL {where}
+GROUP BY {keys}"""
+
+
+SQL["eval_regression"] = with_readings(_reg_metrics("AND Year = 2000", "model"), FC, FL)
+SQL["eval_metrics_roundtrip"] = with_readings(
+    "SELECT 'regression_results_' || CAST(Year AS VARCHAR) || '.json' AS source_file, model, MAE, RMSE, R2 FROM ("
+    + _reg_metrics("", "Year, model") + ") m", FC, FL)
+
+
+def _grp(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 4.0 THEN 'very_low' WHEN {x} < 8.0 THEN 'low_moderate' "
+            f"WHEN {x} < 12.0 THEN 'moderate_high' ELSE 'high' END")
+
+
+VOTED = f"""vg AS (
+  SELECT fc.row_id, {_grp('fc.moisture')} AS truth, {_grp('fc.Persistence')} AS by_last,
+         {_grp('fc.Mean3')} AS by_mean3, {_grp('s.Seasonal')} AS by_season
+  FROM fc LEFT JOIN seasonal s ON s.state = fc.state AND s.district = fc.district AND s.Month_num = fc.Month_num),
+votes AS (SELECT row_id, v FROM (SELECT row_id, unnest([by_last, by_mean3, by_season]) AS v FROM vg) x
+          WHERE v IS NOT NULL),
+vsel AS (SELECT row_id, v AS vote FROM (
+           SELECT row_id, v, row_number() OVER (PARTITION BY row_id ORDER BY c DESC, v) AS rn
+           FROM (SELECT row_id, v, count(*) AS c FROM votes GROUP BY row_id, v) vc) r WHERE rn = 1),
+labeled AS (SELECT vg.truth AS y, vsel.vote AS p FROM vg LEFT JOIN vsel ON vsel.row_id = vg.row_id)"""
+
+
+def _report(src: str) -> str:
+    return f"""
+cc AS (SELECT CAST(y AS VARCHAR) AS y, CAST(p AS VARCHAR) AS p, count(*) AS n FROM {src} WHERE y IS NOT NULL GROUP BY 1, 2),
+classes AS (SELECT y AS c FROM cc UNION SELECT p FROM cc WHERE p IS NOT NULL),
+per AS (
+  SELECT c,
+    CAST(coalesce((SELECT sum(n) FROM cc WHERE cc.y = classes.c), 0) AS DOUBLE) AS support,
+    CAST(coalesce((SELECT sum(n) FROM cc WHERE cc.p = classes.c), 0) AS DOUBLE) AS predicted,
+    CAST(coalesce((SELECT sum(n) FROM cc WHERE cc.y = classes.c AND cc.p = classes.c), 0) AS DOUBLE) AS tp
+  FROM classes),
+per2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+                   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM per),
+per3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM per2)"""
+
+
+REPORT_SELECT = f"""
+SELECT c AS label, {R4('prec')} AS precision, {R4('rec')} AS recall, {R4('f1')} AS f1,
+       CAST(support AS BIGINT) AS support FROM per3
+UNION ALL SELECT 'accuracy', NULL, NULL, {R4('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM per3
+UNION ALL SELECT 'macro avg', {R4('avg(prec)')}, {R4('avg(rec)')}, {R4('avg(f1)')}, CAST(sum(support) AS BIGINT) FROM per3
+UNION ALL SELECT 'weighted avg', {R4('sum(prec * support) / sum(support)')}, {R4('sum(rec * support) / sum(support)')},
+       {R4('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM per3"""
+
+SQL["eval_vote_report"] = with_readings(REPORT_SELECT, FC, SEASONAL, VOTED, _report("labeled"))
+
+CONF = """cm AS (
+  SELECT a.c AS truth, b.c AS predicted, CAST(coalesce(cc.n, 0) AS BIGINT) AS count
+  FROM classes a CROSS JOIN classes b
+  LEFT JOIN cc ON cc.y = a.c AND cc.p = b.c)"""
+SQL["eval_vote_confusion"] = with_readings("SELECT truth, predicted, count FROM cm",
+                                           FC, SEASONAL, VOTED, _report("labeled"), CONF)
+SQL["eval_vote_class_accuracy"] = with_readings(f"""
+SELECT truth, CAST(sum(count) AS BIGINT) AS n,
+  {R4('coalesce(sum(CASE WHEN truth = predicted THEN count ELSE 0 END) * 1.0 / nullif(sum(count), 0), 0.0)')} AS class_accuracy
+FROM cm GROUP BY truth""", FC, SEASONAL, VOTED, _report("labeled"), CONF)
+
+SQL["eval_labels_by_lang"] = f"""
+SELECT d.lang, CAST(count(*) AS BIGINT) AS n,
+  {R4('avg(CASE WHEN l.quality = l.toxic THEN 1.0 ELSE 0.0 END) * 100')} AS accuracy_pct
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+WHERE l.quality IS NOT NULL GROUP BY d.lang"""
+
+SQL["eval_labels_report"] = "WITH " + _report("(SELECT quality AS y, toxic AS p FROM labels) lb").strip() \
+    + "\n" + REPORT_SELECT
+
+
+# ---------------------------------------------------------------- score vectors
+def _head(h: str, start: int) -> str:
+    return f"""u_{h} AS (SELECT vec_id, label, CAST(unnest(embedding[{start}:{start + 9}]) AS DOUBLE) AS x,
+                 unnest(range(0, 10)) AS idx FROM embeddings),
+p_{h} AS (SELECT vec_id, label, idx, exp(x - max(x) OVER (PARTITION BY vec_id)) AS ex FROM u_{h}),
+q_{h} AS (SELECT vec_id, label, idx, ex / sum(ex) OVER (PARTITION BY vec_id) AS prob FROM p_{h}),
+r_{h} AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, idx) AS rk FROM q_{h}),
+b_{h} AS (SELECT vec_id, label, CAST(max(CASE WHEN rk = 1 THEN idx END) AS VARCHAR) AS pred,
+                 max(CASE WHEN rk = 1 THEN prob END) AS best,
+                 max(CASE WHEN idx = label THEN prob END) AS p_true,
+                 string_agg(CASE WHEN rk <= 3 THEN CAST(idx AS VARCHAR) END, ',' ORDER BY rk) AS top3,
+                 bool_or(rk <= 3 AND idx = label) AS hit3
+          FROM r_{h} GROUP BY vec_id, label)"""
+
+
+SQL["scores_topk"] = "WITH " + _head("head_a", 1) + f"""
+SELECT vec_id, CAST(label AS VARCHAR) AS truth, pred AS pred_label, {R4('best * 100')} AS confidence_pct,
+  CASE WHEN best * 100 < 50.0 THEN 'below threshold' ELSE 'meets threshold' END AS confidence_flag,
+  top3, hit3 AS top3_hit
+FROM b_head_a"""
+
+SQL["scores_model_summary"] = "WITH " + ",\n".join(
+    _head(h, s) for h, s in [("head_a", 1), ("head_b", 11), ("head_c", 21)]) + f""",
+allv AS (SELECT a.vec_id, CAST(a.label AS VARCHAR) AS truth, a.pred AS va, b.pred AS vb, c.pred AS vc
+         FROM b_head_a a JOIN b_head_b b ON a.vec_id = b.vec_id JOIN b_head_c c ON a.vec_id = c.vec_id),
+vv AS (SELECT vec_id, truth, v FROM (SELECT vec_id, truth, unnest([va, vb, vc]) AS v FROM allv) x),
+vsel AS (SELECT vec_id, truth, v FROM (
+          SELECT vec_id, truth, v, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, v) AS rn
+          FROM (SELECT vec_id, truth, v, count(*) AS c FROM vv GROUP BY vec_id, truth, v) g) r WHERE rn = 1)
+SELECT model, round(acc + 1e-9, 3) AS test_accuracy, {R4('loss')} AS test_loss FROM (
+  SELECT 'head_a' AS model, avg(CASE WHEN pred = CAST(label AS VARCHAR) THEN 1.0 ELSE 0.0 END) AS acc,
+         avg(-ln(p_true)) AS loss FROM b_head_a
+  UNION ALL SELECT 'head_b', avg(CASE WHEN pred = CAST(label AS VARCHAR) THEN 1.0 ELSE 0.0 END), avg(-ln(p_true)) FROM b_head_b
+  UNION ALL SELECT 'head_c', avg(CASE WHEN pred = CAST(label AS VARCHAR) THEN 1.0 ELSE 0.0 END), avg(-ln(p_true)) FROM b_head_c
+  UNION ALL SELECT 'vote', avg(CASE WHEN v = truth THEN 1.0 ELSE 0.0 END), CAST(NULL AS DOUBLE) FROM vsel) t"""
+
+
+# ---------------------------------------------------------------- collection audit
+SQL["images_class_counts"] = f"""
+SELECT label, count, CAST(1.0 AS DOUBLE) / (CAST(count AS DOUBLE) + CAST(1e-6 AS DOUBLE)) AS class_weight,
+       {R4('CAST(max(count) OVER () AS DOUBLE) / min(count) OVER ()')} AS imbalance_ratio
+FROM (SELECT lang AS label, CAST(count(*) AS BIGINT) AS count FROM documents GROUP BY lang) c"""
+
+SPLIT_POS = "row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7919) % 10007, doc_id)"
+
+
+def _split_counts(where: str) -> str:
+    return f"""
+WITH s AS (
+  SELECT lang AS label, pos, n,
+    CASE WHEN pos <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+         WHEN pos <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.1 AS DOUBLE)) THEN 'val'
+         ELSE 'test' END AS split
+  FROM (SELECT lang, {SPLIT_POS} AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents {where}) x)
+SELECT label, CAST(count(*) AS BIGINT) AS Total,
+       CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS Train,
+       CAST(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS BIGINT) AS Val,
+       CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS Test
+FROM s GROUP BY label
+UNION ALL
+SELECT 'ALL', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT),
+       CAST(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS BIGINT),
+       CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) FROM s"""
+
+
+SQL["images_split_counts"] = _split_counts("")
+SQL["images_split_excluding"] = _split_counts("WHERE lang IS NULL OR lang <> 'de'")
+SQL["images_stratified_split"] = f"""
+SELECT doc_id, lang AS label,
+  CASE WHEN {SPLIT_POS} <= floor(count(*) OVER (PARTITION BY lang) * CAST(0.8 AS DOUBLE)) THEN 'train'
+       ELSE 'test' END AS split
+FROM documents"""
+SQL["images_sample_per_class"] = f"""
+SELECT doc_id, label FROM (SELECT doc_id, lang AS label, {SPLIT_POS} AS pos FROM documents) x WHERE pos <= 5"""

@@ -19,15 +19,41 @@ from pyspark.sql import types as T
 from terrapanel import fixed_values as FV
 
 
+_SIZE_CHECKS: dict = {}
+
+
+def _source_key(df: DataFrame) -> str | None:
+    """Stable identity of a plan that only scans files (None otherwise)."""
+    try:
+        files = df.inputFiles()
+    except Exception:
+        return None
+    if not files:
+        return None
+    return df._jdf.queryExecution().analyzed().toString() + "|" + ",".join(sorted(files))
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1).
+
+    The answer for a file-backed plan is remembered for the session, so a
+    dimension used by many queries is checked once."""
+    key = _source_key(df)
+    if key is not None and (key, max_rows) in _SIZE_CHECKS:
+        return _SIZE_CHECKS[(key, max_rows)]
+    small = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _SIZE_CHECKS[(key, max_rows)] = small
+    return small
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_rows: int = 100_000) -> DataFrame:
-    """Join a dimension; broadcast it only when its size is proven small."""
-    side = F.broadcast(dim) if is_small(dim, max_rows) else dim
+                   max_rows: int = 100_000, known_rows: int | None = None) -> DataFrame:
+    """Join a dimension; broadcast it only when its size is proven small
+    (``known_rows`` for dimensions built from literal data, else a bounded
+    count)."""
+    small = known_rows <= max_rows if known_rows is not None else is_small(dim, max_rows)
+    side = F.broadcast(dim) if small else dim
     return fact.join(side, on, how)
 
 
@@ -40,13 +66,17 @@ def season_calendar(spark: SparkSession, calendar: dict | None = None) -> DataFr
             for state, seasons in calendar.items() if state is not None
             for season, months in seasons.items() for m in months]
     schema = "cal_state string, cal_month string, cal_season string"
-    return spark.createDataFrame(rows, schema).dropDuplicates(["cal_state", "cal_month"])
+    dim = spark.createDataFrame(rows, schema).dropDuplicates(["cal_state", "cal_month"])
+    dim._known_rows = len(rows)
+    return dim
 
 
 def varieties_dimension(spark: SparkSession, varieties: dict | None = None) -> DataFrame:
     varieties = FV.STATE_VARIETIES if varieties is None else varieties
     rows = [(k, list(v)) for k, v in varieties.items() if k != "DEFAULT"]
-    return spark.createDataFrame(rows, "var_state string, varieties array<string>")
+    dim = spark.createDataFrame(rows, "var_state string, varieties array<string>")
+    dim._known_rows = len(rows)
+    return dim
 
 
 # ---------------------------------------------------------------- lookups
@@ -57,7 +87,8 @@ def season_lookup(df: DataFrame, calendar: DataFrame, state_col: str = "state",
     keyed = (df.withColumn("_j1_state", F.upper(F.trim(F.col(state_col))))
                .withColumn("_j1_month", F.upper(F.trim(F.col(month_col)))))
     cond = [F.col("_j1_state") == F.col("cal_state"), F.col("_j1_month") == F.col("cal_month")]
-    joined = join_dimension(keyed, calendar, cond, "left", max_rows=100_000)
+    joined = join_dimension(keyed, calendar, cond, "left", max_rows=100_000,
+                            known_rows=getattr(calendar, "_known_rows", None))
     return (joined.withColumn(out, F.coalesce(F.col("cal_season"), F.lit(FV.UNKNOWN_SEASON)))
                   .drop("_j1_state", "_j1_month", "cal_state", "cal_month", "cal_season"))
 
@@ -74,16 +105,21 @@ def frequency_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(freq, F.col(col) == F.col("_fe_key"), "left").drop("_fe_key")
 
 
-def category_code(df: DataFrame, col: str, out: str) -> DataFrame:
+def category_code(df: DataFrame, col: str, out: str, max_distinct: int = 100_000) -> DataFrame:
     """Index of the value in the sorted distinct list; null -> -1.
 
-    The distinct values are ranked with the skew-free global rank (no
-    single-partition window), then joined back.
+    The distinct values are ranked in one ordered window when their count is
+    proven to be at most ``max_distinct``; otherwise with the range-partitioned
+    global rank (no single-partition window).  Codes are joined back.
     """
     from terrapanel.operators.windows import global_rank
 
     distinct = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_cc_key")).distinct()
-    ranked = global_rank(distinct, ["_cc_key"], out="_cc_rank")
+    if is_small(distinct, max_distinct):
+        # proven small: one ordered window over the distinct values
+        ranked = distinct.withColumn("_cc_rank", F.row_number().over(Window.orderBy("_cc_key")))
+    else:
+        ranked = global_rank(distinct, ["_cc_key"], out="_cc_rank")
     codes = ranked.select("_cc_key", (F.col("_cc_rank") - 1).cast("int").alias(out))
     return (df.join(codes, F.col(col) == F.col("_cc_key"), "left")
               .withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
@@ -106,7 +142,8 @@ def varieties_lookup(df: DataFrame, varieties_dim: DataFrame, state_col: str = "
         dim_key = F.regexp_replace(dim_key, r"\s+", "")
     keyed = df.withColumn("_j4_key", key)
     dim = varieties_dim.select(dim_key.alias("_j4_dim"), F.col("varieties").alias("_j4_v"))
-    joined = join_dimension(keyed, dim, F.col("_j4_key") == F.col("_j4_dim"), "left", 100_000)
+    joined = join_dimension(keyed, dim, F.col("_j4_key") == F.col("_j4_dim"), "left", 100_000,
+                            known_rows=getattr(varieties_dim, "_known_rows", None))
     default_arr = F.array(*[F.lit(v) for v in default])
     return (joined.withColumn(out, F.coalesce(F.col("_j4_v"), default_arr))
                   .drop("_j4_key", "_j4_dim", "_j4_v"))

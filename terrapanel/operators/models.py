@@ -57,20 +57,28 @@ def fit_preprocessing(train: DataFrame, features: Sequence[str]) -> DataFrame:
                 .withColumn("all_null", F.filter("_nulls", lambda x: x.isNotNull())).drop("_nulls")
 
 
-def apply_preprocessing(df: DataFrame, features: Sequence[str], prep: DataFrame,
-                        scale: bool = True) -> DataFrame:
+def apply_preprocessing(df: DataFrame, features: Sequence[str], prep,
+                        scale: bool = True, prefix: str | None = None) -> DataFrame:
     """Impute with train medians, then (x - mean) / std (std 0 -> 1).
-    ``prep`` is one row: attached by scalar subqueries, not by a join."""
-    out = df
-    cols = [c for c in prep.columns if c != "all_null"]
-    row = prep.select(F.struct(*[F.col(c) for c in cols])).scalar()            # one subquery
+
+    ``prep`` is the fitted one-row statistics table (3 numbers per feature);
+    like any fitted model's parameters it is read once and applied as
+    literals, which keeps the scoring plan independent of the training plan."""
+    if isinstance(prep, DataFrame):
+        prep = prep.first()
+    row = prep.asDict() if hasattr(prep, "asDict") else dict(prep)
+    cols = []
     for f in features:
-        x = F.coalesce(F.col(f).cast("double"), row[f"med_{f}"])
+        x = F.coalesce(F.col(f).cast("double"), F.lit(row[f"med_{f}"]).cast("double"))
         if scale:
             mean, std = row[f"mean_{f}"], row[f"std_{f}"]
-            x = (x - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)
-        out = out.withColumn(f, x)
-    return out
+            std = 1.0 if (std is None or std == 0) else std
+            x = (x - F.lit(mean).cast("double")) / F.lit(std)
+        cols.append(x.alias(f"{prefix}{f}" if prefix else f))
+    if prefix:
+        return df.select("*", *cols)
+    others = [F.col(c) for c in df.columns if c not in set(features)]
+    return df.select(*others, *cols)
 
 
 def regressors(seed: int = 42, trees: int = 200, rounds: int = 200, max_depth_rf: int = 15) -> dict:
@@ -78,11 +86,12 @@ def regressors(seed: int = 42, trees: int = 200, rounds: int = 200, max_depth_rf
     return {
         "Linear": LinearRegression(solver="normal", labelCol="label", featuresCol="features"),
         "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=max_depth_rf,
+                                              maxMemoryInMB=1024, cacheNodeIds=True,
                                               labelCol="label", featuresCol="features"),
         "GBT_A": GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=seed,
-                              labelCol="label", featuresCol="features"),
+                              cacheNodeIds=True, labelCol="label", featuresCol="features"),
         "GBT_B": GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
-                              featureSubsetStrategy="sqrt", seed=seed,
+                              featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True,
                               labelCol="label", featuresCol="features"),
     }
 
@@ -91,8 +100,11 @@ def fit_regressors(train: DataFrame, features: Sequence[str], target: str,
                    models: dict | None = None) -> dict:
     """Fit each estimator on (features, target) rows with a present target (P5)."""
     data = assemble(train.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double")),
-                    features).select("features", "label")
-    return {name: est.fit(data) for name, est in (models or regressors()).items()}
+                    features).select("features", "label").persist()
+    try:
+        return {name: est.fit(data) for name, est in (models or regressors()).items()}
+    finally:
+        data.unpersist()
 
 
 def predict(models: dict, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -112,8 +124,8 @@ def moisture_classifier(features: Sequence[str], label: str = "moisture_class",
     idx = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc",
                         handleInvalid="skip")
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth,
-                                labelCol="label", featuresCol="features")
+    rf = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=1024,
+                                cacheNodeIds=True, labelCol="label", featuresCol="features")
     return Pipeline(stages=[idx, asm, rf])
 
 

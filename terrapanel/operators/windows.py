@@ -42,7 +42,8 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
                    exclude_current: bool = False,
                    lag_names: Sequence[str] | None = None,
                    mean_names: Sequence[str] | None = None,
-                   max_group_rows: int | None = None) -> DataFrame:
+                   max_group_rows: int | None = None,
+                   dedupe: bool = False) -> DataFrame:
     """``lag_k`` and ``rolling_w`` (min 1 non-null value) per panel.
 
     * lags count rows, not days (gaps are not filled);
@@ -55,6 +56,9 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
     (default: conf ``terrapanel.window.maxGroupRows`` = 2,000,000) a plain
     ``partitionBy(keys)`` window is used — one shuffle, one sort.  Beyond that
     bound the chunked plan with halo rows splits hot panels across tasks.
+
+    ``dedupe=True`` drops exact duplicate rows first, clustered on the same
+    keys as the window, so dedupe and window share one shuffle.
     """
     keys, order, chunk = list(keys), list(order), list(chunk)
     if order[:len(chunk)] != chunk:
@@ -76,6 +80,9 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
         max_group_rows = int(df.sparkSession.conf.get("terrapanel.window.maxGroupRows", "2000000"))
     biggest = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if biggest is None or biggest <= max_group_rows:
+        if dedupe:
+            data = data.repartition(*keys).dropDuplicates()
+            nullkey = nullkey.dropDuplicates()
         w = Window.partitionBy(*keys).orderBy(*[_asc_nl(c) for c in order])
         v = F.col(value).cast("double")
         feats = [F.lag(v, k).over(w).alias(n) for k, n in zip(lags, lag_names)]
@@ -91,6 +98,9 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
     for c, name in zip(chunk, cks):
         data = data.withColumn(name, F.coalesce(F.col(c).cast("long"), F.lit(_BIG).cast("long")))
     part = keys + cks
+    if dedupe:
+        data = data.repartition(*part).dropDuplicates()
+        nullkey = nullkey.dropDuplicates()
 
     # 1) chunk sizes and offsets (tiny tables; partial aggregation map-side)
     sizes = data.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -169,24 +179,42 @@ def global_rank(df: DataFrame, order: Sequence, out: str = "rank",
                   .drop("_mid", "_pid", "_pos", "_off"))
 
 
+def order_key(cols: Sequence[str]) -> Column:
+    """A single orderable struct for an ascending, nulls-last total order."""
+    return F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"k{i}")
+                      for i, c in enumerate(cols)])
+
+
+def kth_keys(df: DataFrame, key: Column, ks: Sequence[Column]) -> list[Column]:
+    """The k-th smallest ``key`` for each k (scalar subqueries; null when k is
+    outside 1..n).  Only the narrow key column is ranked and checkpointed."""
+    ranked = global_rank(df.select(key.alias("_key")), ["_key"], out="_r")
+    return [ranked.where(F.col("_r") == k).select("_key").scalar() for k in ks]
+
+
 def tercile_class(df: DataFrame, value: str, tiebreak: Sequence[str], out: str = "moisture_class",
                   labels: Sequence[str] = ("Low", "Medium", "High")) -> DataFrame:
-    """Quantile cut of the 'first' rank of ``value`` into three labels.
-
-    With n non-null values and rank r: Low iff 3(r-1) < n-1, Medium iff
-    3(r-1) < 2(n-1), else High (quantile edges of the ranks, as computed in
-    floating point).  Null values get a null class.
+    """Quantile cut of the 'first' rank of ``value`` into three labels.
+
+    With n non-null values and rank r: Low iff 3(r-1) < n-1, i.e. r <= k1 =
+    ceil((n-1)/3); Medium iff r <= k2 = ceil(2(n-1)/3); else High (the
+    quantile edges of the ranks, as computed in floating point).  Only the
+    k1-th and k2-th keys of the order (value, tie-break…) are needed: they
+    are found on the narrow key column, and every row is classified by
+    comparing its own key with them — no join back to the wide table.
+    Null values get a null class.
     """
+    key = order_key([value, *tiebreak])
     present = df.where(F.col(value).isNotNull())
-    absent = df.where(F.col(value).isNull())
-    ranked = global_rank(present, [value, *tiebreak], out="_r")
     n = present.select(F.count(F.lit(1))).scalar()
-    r = F.col("_r")
-    cls = (F.when(F.lit(3) * (r - 1) < (n - 1), F.lit(labels[0]))
-            .when(F.lit(3) * (r - 1) < F.lit(2) * (n - 1), F.lit(labels[1]))
+    k1 = F.ceil((n - 1) / F.lit(3.0))
+    k2 = F.ceil((n - 1) * F.lit(2.0) / F.lit(3.0))
+    t1, t2 = kth_keys(present, key, [k1, k2])
+    cls = (F.when(F.col(value).isNull(), F.lit(None).cast("string"))
+            .when((k1 >= 1) & (key <= t1), F.lit(labels[0]))
+            .when((k2 >= 1) & (key <= t2), F.lit(labels[1]))
             .otherwise(F.lit(labels[2])))
-    left = ranked.withColumn(out, cls).drop("_r")
-    return left.unionByName(absent.withColumn(out, F.lit(None).cast("string")))
+    return df.withColumn(out, cls)
 
 
 def rank_within(df: DataFrame, group: Sequence[str], score: str, tiebreak: Sequence[str],

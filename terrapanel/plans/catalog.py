@@ -44,6 +44,8 @@ def q_rank_latest_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- Q1–Q3
 from pyspark.sql import functions as F  # noqa: E402
 
+from terrapanel import fixed_values as FV  # noqa: E402
+
 from terrapanel.operators.clean import basic_checks, duplicate_groups, null_counts_long  # noqa: E402
 from terrapanel.operators.lookup import season_calendar  # noqa: E402
 from terrapanel.operators.windows import panel_lookback  # noqa: E402
@@ -420,7 +422,9 @@ def q_scores_model_summary(spark, sf_dir):
 # ---------------------------------------------------------------- Q11 collection audit and splits
 from terrapanel.operators import sampling as SP  # noqa: E402
 
-SPLIT_ORDER = [F.pmod(F.col("doc_id") * 7919, F.lit(10007)), F.col("doc_id")]
+def split_order():
+    """SQL-expressible deterministic order of the items inside a class."""
+    return [F.pmod(F.col("doc_id") * 7919, F.lit(10007)), F.col("doc_id")]
 
 
 def listing(spark, sf_dir):
@@ -436,23 +440,85 @@ def q_images_class_counts(spark, sf_dir):
 
 @register("images_split_counts")
 def q_images_split_counts(spark, sf_dir):
-    sp = SP.split_70_10_20(listing(spark, sf_dir), "label", SPLIT_ORDER)
+    sp = SP.split_70_10_20(listing(spark, sf_dir), "label", split_order())
     return SP.split_counts(sp, "label")
 
 
 @register("images_split_excluding")
 def q_images_split_excluding(spark, sf_dir):
-    sp = SP.split_70_10_20(SP.exclude_class(listing(spark, sf_dir), "label", "de"), "label", SPLIT_ORDER)
+    sp = SP.split_70_10_20(SP.exclude_class(listing(spark, sf_dir), "label", "de"), "label", split_order())
     return SP.split_counts(sp, "label")
 
 
 @register("images_stratified_split")
 def q_images_stratified_split(spark, sf_dir):
-    sp = SP.stratified_split(listing(spark, sf_dir), "label", SPLIT_ORDER, 0.8)
+    sp = SP.stratified_split(listing(spark, sf_dir), "label", split_order(), 0.8)
     return sp.select("doc_id", "label", "split")
 
 
 @register("images_sample_per_class")
 def q_images_sample_per_class(spark, sf_dir):
-    s = SP.sample_per_class(listing(spark, sf_dir), "label", SPLIT_ORDER, 5)
+    s = SP.sample_per_class(listing(spark, sf_dir), "label", split_order(), 5)
     return s.select("doc_id", "label")
+
+
+# ---------------------------------------------------------------- Q5 models
+from terrapanel.operators.models import fit_preprocessing  # noqa: E402
+from terrapanel.plans import modeling as MD  # noqa: E402
+
+
+def feature_table(spark, sf_dir):
+    return ml_ready(tagged_readings(spark, sf_dir))
+
+
+@register("model_prep_stats")
+def q_model_prep_stats(spark, sf_dir):
+    """M1/M2: exact train-year medians, and mean / population std of the
+    imputed features (the scaler's statistics)."""
+    train = feature_table(spark, sf_dir).where(F.col("Year") == TRAIN_YEAR)
+    prep = fit_preprocessing(train, FV.FEATURES)
+    long = prep.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"med_{f}").alias("median"),
+                 F.col(f"mean_{f}").alias("mean"), F.col(f"std_{f}").alias("std")) for f in FV.FEATURES]))
+        .alias("s")).select("s.*")
+    return long.select("feature", r4("median"), r4("mean"), r4("std"))
+
+
+def _model_query(name):
+    def q(spark, sf_dir):
+        """M4–M7 + E1 for one regressor at the reference configuration
+        (rows-only check: a fitted model)."""
+        feats = feature_table(spark, sf_dir)
+        models, _, scored = MD.train_and_score(feats, TRAIN_YEAR, TEST_YEAR, key=f"{sf_dir}:features",
+                                               only=[name])
+        rep = MD.regression_report(scored, list(models))
+        return rep.select("model", "n", r4("RMSE"), r4("MAE"), r4("R2"))
+    return q
+
+
+for _qname, _model in [("model_linear", "Linear"), ("model_random_forest", "RandomForest"),
+                       ("model_gbt_a", "GBT_A"), ("model_gbt_b", "GBT_B")]:
+    register(_qname)(_model_query(_model))
+
+
+@register("model_classifier_report")
+def q_model_classifier_report(spark, sf_dir):
+    """M8 + E2 (rows-only check: fitted model)."""
+    rep = MD.classifier_report(feature_table(spark, sf_dir), TRAIN_YEAR, TEST_YEAR)
+    return rep.select("label", r4("precision"), r4("recall"), r4("f1"), "support")
+
+
+@register("model_ranking")
+def q_model_ranking(spark, sf_dir):
+    """Q6 with fitted boosted-tree models as the predictors (M9/M10/W7;
+    rows-only check)."""
+    feats = feature_table(spark, sf_dir)
+    models, prep, _ = MD.train_and_score(feats, TRAIN_YEAR, TEST_YEAR, key=f"{sf_dir}:features",
+                                         only=["GBT_A", "GBT_B"])
+    priors = S.district_priors(feats)
+    grid = S.scoring_grid(priors)
+    preds = [S.ml_predictor(name, models[name], FV.FEATURES, prep) for name in ("GBT_A", "GBT_B")]
+    scored = S.predict_all(grid, preds)
+    ranked = S.district_ranking(scored, ["GBT_A", "GBT_B"])
+    return ranked.select("state", "district", "Month_num", r4("GBT_A"), r4("GBT_B"), r4("Ensemble"),
+                         F.col("rank").cast("long").alias("rank"))

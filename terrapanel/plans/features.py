@@ -13,6 +13,7 @@ from terrapanel.functions.calendar import (log1p_clipped, month_abbr_upper, mont
 from terrapanel.operators.clean import apply_null_policy, dedupe, union_by_name
 from terrapanel.operators.lookup import category_code, frequency_encode, season_lookup
 from terrapanel.operators.windows import panel_lookback, tercile_class
+from terrapanel.session import materialize
 
 PANEL_KEYS = ["state", "district"]
 PANEL_ORDER = ["Year", "Month_num", "Day", "row_id"]
@@ -68,14 +69,18 @@ def ml_ready(df: DataFrame, target: str = "moisture", exclude_current: bool = Fa
     → state frequency (J2) → district code (J3, name only, L6) → log1p target
     (F7) → tercile moisture class (W5/W6, ties broken by panel order, L12).
     """
-    base = dedupe(month_season_features(df))
+    base = month_season_features(df)
     feats = panel_lookback(base, target, keys=PANEL_KEYS, order=PANEL_ORDER,
                            lags=(1, 7), means=(3, 6), exclude_current=exclude_current,
-                           max_group_rows=max_group_rows)
+                           max_group_rows=max_group_rows, dedupe=True)
+    # Stage boundary (the reference's persisted feature table): the encodings
+    # below run several small global jobs over these rows; reading them from
+    # a reliable checkpoint keeps each job from recomputing scan, joins and
+    # window, and survives executor loss.
+    feats = materialize(feats)
+    if with_class:
+        feats = tercile_class(feats, target, tiebreak=PANEL_KEYS + PANEL_ORDER, out="moisture_class",
+                              labels=FV.TERCILE_LABELS)
     feats = frequency_encode(feats, "state", "state_freq")
     feats = category_code(feats, "district", "district_id")
-    feats = feats.withColumn("target_log1p", log1p_clipped(target))
-    if not with_class:
-        return feats
-    return tercile_class(feats, target, tiebreak=PANEL_KEYS + PANEL_ORDER, out="moisture_class",
-                         labels=FV.TERCILE_LABELS)
+    return feats.withColumn("target_log1p", log1p_clipped(target))

@@ -591,3 +591,19 @@ SELECT doc_id, lang AS label,
 FROM documents"""
 SQL["images_sample_per_class"] = f"""
 SELECT doc_id, label FROM (SELECT doc_id, lang AS label, {SPLIT_POS} AS pos FROM documents) x WHERE pos <= 5"""
+
+
+# ---------------------------------------------------------------- model preparation statistics
+def _prep_stats() -> str:
+    from terrapanel.fixed_values import FEATURES
+
+    parts = []
+    for f in FEATURES:
+        parts.append(f"""SELECT '{f}' AS feature, {R4('m')} AS median,
+  {R4(f'avg(coalesce(CAST({f} AS DOUBLE), m))')} AS mean, {R4(f'stddev_pop(coalesce(CAST({f} AS DOUBLE), m))')} AS std
+FROM tr, (SELECT coalesce(quantile_cont(CAST({f} AS DOUBLE), 0.5), 0.0) AS m FROM tr) q GROUP BY m""")
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["model_prep_stats"] = with_readings(_prep_stats(), _calendar_cte(), TAGGED, FEATURES_CTE,
+                                        "tr AS (SELECT * FROM feat WHERE Year = 1999)")

@@ -66,10 +66,17 @@ def ml_predictor(name: str, model, features: Sequence[str], prep: DataFrame | No
     imputer/scaler statistics from ``models.fit_preprocessing``."""
     from terrapanel.operators.models import apply_preprocessing, assemble
 
+    stats = prep.first() if isinstance(prep, DataFrame) else prep
+
     def run(df: DataFrame) -> DataFrame:
-        x = apply_preprocessing(df, features, prep) if prep is not None else df
-        scored = model.transform(assemble(x, features, out="_features"))
-        return scored.withColumnRenamed(model.getOrDefault("predictionCol"), name).drop("_features")
+        zcols = [f"_z_{c}" for c in features]
+        if stats is not None:
+            x = apply_preprocessing(df, features, stats, prefix="_z_")
+        else:
+            x = df.select("*", *[F.col(c).cast("double").alias(z) for c, z in zip(features, zcols)])
+        fcol = model.getOrDefault("featuresCol")
+        scored = model.copy().setPredictionCol(name).transform(assemble(x, zcols, out=fcol))
+        return scored.drop(fcol, *zcols)
     return Predictor(name, run)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
 }
 
 
@@ -61,11 +64,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage with a table written once to the shared checkpoint folder.
 
     Used where a later step must see *exactly* the same rows twice (e.g. ids
-    assigned by position) and where recomputation after an executor loss must
-    not change them.
+    assigned by position), where several global jobs would otherwise each
+    recompute the upstream plan, and where recomputation after an executor
+    loss must not change results.  A Parquet table (rather than an RDD
+    checkpoint, which computes its input twice) is written in one job and
+    read back with column pruning and filter pushdown.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -122,3 +122,9 @@ def basic_checks(df: DataFrame) -> DataFrame:
         F.col("n_rows").cast("long"), F.lit(len(cols)).cast("long").alias("n_columns"),
         F.col("n_nulls").cast("long"),
         (F.col("n_rows") - n_distinct).cast("long").alias("n_duplicates"))
+
+
+def select_numeric(df: DataFrame) -> DataFrame:
+    """Numeric columns only (schema metadata, no data pass)."""
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+    return df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, numeric)])

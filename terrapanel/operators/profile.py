@@ -75,6 +75,10 @@ def monthly_resample(df: DataFrame, keys: Sequence[str], date_col: str, value: s
     keys = list(keys)
     m = df.dropna(subset=keys + [date_col]).withColumn(
         "month_start", F.trunc(F.col(date_col), "month"))
+    if not keys:                       # one global series
+        m = m.withColumn("_series", F.lit(0))
+        agg = m.groupBy("_series", "month_start").agg(F.avg(value).alias(out))
+        return month_spine_fill(agg, ["_series"], "month_start", [out], full_year=False).drop("_series")
     agg = m.groupBy(*keys, "month_start").agg(F.avg(value).alias(out))
     return month_spine_fill(agg, keys, "month_start", [out], full_year=False)
 

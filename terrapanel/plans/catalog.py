@@ -522,3 +522,44 @@ def q_model_ranking(spark, sf_dir):
     ranked = S.district_ranking(scored, ["GBT_A", "GBT_B"])
     return ranked.select("state", "district", "Month_num", r4("GBT_A"), r4("GBT_B"), r4("Ensemble"),
                          F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- more P/T/U operators
+from terrapanel.operators.clean import distinct_sorted, region_filter, select_numeric  # noqa: E402
+from terrapanel.plans.features import unknown_season_sample  # noqa: E402
+
+
+@register("unknown_season_sample")
+def q_unknown_season_sample(spark, sf_dir):
+    """P12 + T4: the first 10 rows (panel order) whose season is Unknown."""
+    s = unknown_season_sample(tagged_readings(spark, sf_dir), 10)
+    return s.select("state", "district", "row_id", "Month", "Season")
+
+
+@register("distinct_states")
+def q_distinct_states(spark, sf_dir):
+    """U4: sorted distinct states, and districts per state."""
+    r = readings(spark, sf_dir)
+    states = distinct_sorted(r, "state")
+    per = r.groupBy("state").agg(F.count_distinct("district").cast("long").alias("n_districts"))
+    return states.join(per, "state", "inner")
+
+
+@register("region_month_stats")
+def q_region_month_stats(spark, sf_dir):
+    """P7 (+A14): exact state/district match, else substring match on both
+    names — here 'asia' / 'nation' has no exact match, so every ASIA district
+    whose name contains NATION is kept."""
+    sel = region_filter(readings(spark, sf_dir), "asia", "nation")
+    stats = sel.groupBy("state", "Month_num").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.avg("moisture").alias("hist_mean"),
+        F.stddev_pop("moisture").alias("hist_std"))
+    return stats.select("state", "Month_num", "n", r4("hist_mean"), r4("hist_std"))
+
+
+@register("numeric_correlation")
+def q_numeric_correlation(spark, sf_dir):
+    """P9 + A10 over every numeric column of the reading panel."""
+    r = readings(spark, sf_dir)
+    c = correlation_long(r, select_numeric(r).columns)
+    return c.select("col_a", "col_b", r4("corr"))

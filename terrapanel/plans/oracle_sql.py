@@ -607,3 +607,29 @@ FROM tr, (SELECT coalesce(quantile_cont(CAST({f} AS DOUBLE), 0.5), 0.0) AS m FRO
 
 SQL["model_prep_stats"] = with_readings(_prep_stats(), _calendar_cte(), TAGGED, FEATURES_CTE,
                                         "tr AS (SELECT * FROM feat WHERE Year = 1999)")
+
+
+SQL["unknown_season_sample"] = with_readings("""
+SELECT state, district, row_id, Month, Season FROM tagged WHERE Season = 'Unknown'
+ORDER BY state NULLS LAST, district NULLS LAST, Year NULLS LAST, Month_num NULLS LAST, Day NULLS LAST,
+         row_id NULLS LAST
+LIMIT 10""", _calendar_cte(), TAGGED)
+
+SQL["distinct_states"] = with_readings("""
+SELECT state, CAST(count(DISTINCT district) AS BIGINT) AS n_districts FROM readings
+WHERE state IS NOT NULL GROUP BY state""")
+
+SQL["region_month_stats"] = with_readings(f"""
+SELECT state, Month_num, CAST(count(*) AS BIGINT) AS n, {R4('avg(moisture)')} AS hist_mean,
+       {R4('stddev_pop(moisture)')} AS hist_std
+FROM readings
+WHERE (upper(state) = 'ASIA' AND upper(district) = 'NATION')
+   OR ((SELECT count(*) FROM readings WHERE upper(state) = 'ASIA' AND upper(district) = 'NATION') = 0
+       AND contains(upper(state), 'ASIA') AND contains(upper(district), 'NATION'))
+GROUP BY state, Month_num""")
+
+_NUM = ["Year", "Month_num", "Day", "moisture", "row_id"]
+SQL["numeric_correlation"] = with_readings("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+    + (R4("1.0") + " AS corr" if a == b else R4(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))") + " AS corr FROM readings")
+    for a in _NUM for b in _NUM))

@@ -59,24 +59,52 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
 
 # ---------------------------------------------------------------- dimensions
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(x) for x in v) + ")"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_table(spark: SparkSession, rows, columns: list[str], types: list[str]) -> DataFrame:
+    """A small dimension from literal rows as an inline VALUES table: a
+    stable plan (equal rows give equal plans), no driver-side RDD, and a
+    known size (``_known_rows``)."""
+    if not rows:
+        schema = ", ".join(f"{c} {t}" for c, t in zip(columns, types))
+        df = spark.createDataFrame([], schema)
+    else:
+        values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+        df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+        df = df.select(*[F.col(c).cast(t).alias(c) for c, t in zip(columns, types)])
+    df._known_rows = len(rows)
+    return df
+
+
 def season_calendar(spark: SparkSession, calendar: dict | None = None) -> DataFrame:
     """Flatten ``state -> season -> months`` into rows (state, month, season)."""
     calendar = FV.STATE_SEASON_CALENDAR if calendar is None else calendar
     rows = [(state.upper().strip(), m.upper().strip(), season)
             for state, seasons in calendar.items() if state is not None
             for season, months in seasons.items() for m in months]
-    schema = "cal_state string, cal_month string, cal_season string"
-    dim = spark.createDataFrame(rows, schema).dropDuplicates(["cal_state", "cal_month"])
-    dim._known_rows = len(rows)
-    return dim
+    seen, unique = set(), []
+    for r in rows:                       # first season listing a month wins
+        if (r[0], r[1]) not in seen:
+            seen.add((r[0], r[1]))
+            unique.append(r)
+    return literal_table(spark, unique, ["cal_state", "cal_month", "cal_season"],
+                         ["string", "string", "string"])
 
 
 def varieties_dimension(spark: SparkSession, varieties: dict | None = None) -> DataFrame:
     varieties = FV.STATE_VARIETIES if varieties is None else varieties
     rows = [(k, list(v)) for k, v in varieties.items() if k != "DEFAULT"]
-    dim = spark.createDataFrame(rows, "var_state string, varieties array<string>")
-    dim._known_rows = len(rows)
-    return dim
+    return literal_table(spark, rows, ["var_state", "varieties"], ["string", "array<string>"])
 
 
 # ---------------------------------------------------------------- lookups

@@ -214,7 +214,7 @@ MODELS = ["Seasonal", "Persistence"]
 
 def serving_inputs(spark, sf_dir):
     r = readings(spark, sf_dir)
-    feats = ml_ready(r, with_class=False)
+    feats = ml_ready(tagged_readings(spark, sf_dir))       # the Q3 feature table
     priors = S.district_priors(feats)
     predictors = [S.seasonal_mean_predictor(r, "Seasonal"),
                   S.column_predictor("Persistence", F.col("rolling_3"))]

@@ -13,7 +13,7 @@ from terrapanel.functions.calendar import (log1p_clipped, month_abbr_upper, mont
 from terrapanel.operators.clean import apply_null_policy, dedupe, union_by_name
 from terrapanel.operators.lookup import category_code, frequency_encode, season_lookup
 from terrapanel.operators.windows import panel_lookback, tercile_class
-from terrapanel.session import materialize
+from terrapanel.session import materialize, reuse_stage
 
 PANEL_KEYS = ["state", "district"]
 PANEL_ORDER = ["Year", "Month_num", "Day", "row_id"]
@@ -62,6 +62,15 @@ def month_season_features(df: DataFrame) -> DataFrame:
 
 def ml_ready(df: DataFrame, target: str = "moisture", exclude_current: bool = False,
              max_group_rows: int | None = None, with_class: bool = True) -> DataFrame:
+    """Q3 feature table; built once per session for a given input (see
+    ``session.reuse_stage``)."""
+    params = (target, exclude_current, max_group_rows, with_class)
+    return reuse_stage("ml_ready", df, params,
+                       lambda: _ml_ready(df, target, exclude_current, max_group_rows, with_class))
+
+
+def _ml_ready(df: DataFrame, target: str, exclude_current: bool,
+              max_group_rows: int | None, with_class: bool) -> DataFrame:
     """Q3: the feature table.
 
     dedupe → month/season features → per-district lags and trailing means

@@ -77,3 +77,20 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_STAGES: dict = {}
+
+
+def reuse_stage(name: str, source: DataFrame, params: tuple, build):
+    """Build a derived stage once per session and return the same result for
+    a semantically equal input (``semanticHash`` + ``sameSemantics``), the
+    way a pipeline persists a stage table once and later steps read it.
+    Inputs are Parquet scans of fixed files, so equal plans mean equal data."""
+    key = (name, source.semanticHash(), params)
+    hit = _STAGES.get(key)
+    if hit is not None and hit[0].sameSemantics(source):
+        return hit[1]
+    out = build()
+    _STAGES[key] = (source, out)
+    return out

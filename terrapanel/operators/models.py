@@ -32,6 +32,20 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 
 
 def fit_preprocessing(train: DataFrame, features: Sequence[str]) -> DataFrame:
+    """M1+M2 statistics as one row (fitted once per session for a given
+    training set; the fitted row is kept as a one-row literal table)."""
+    from terrapanel.operators.lookup import literal_table
+    from terrapanel.session import reuse_stage
+
+    def build():
+        stats = _fit_preprocessing(train, features)
+        row = stats.first()
+        types = [f.dataType.simpleString() for f in stats.schema.fields]
+        return literal_table(train.sparkSession, [tuple(row)], stats.columns, types)
+    return reuse_stage("fit_preprocessing", train, tuple(features), build)
+
+
+def _fit_preprocessing(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """M1+M2 statistics as one row: ``med_<f>``, ``mean_<f>``, ``std_<f>``.
 
     Medians are exact (rank based over the long form feature/value table, one

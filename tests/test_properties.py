@@ -89,3 +89,18 @@ def test_ensemble_between_min_and_max(spark):
     out = predict_all(df, [column_predictor("A", F.col("a")), column_predictor("B", F.col("b"))]).collect()
     assert out[0].Ensemble == 2.0
     assert out[1].Ensemble is None and out[2].Ensemble is None
+
+
+def test_chunked_equals_plain_on_driver_tables(spark):
+    from terrapanel.sources.tables import readings
+    from conftest import SF_SMALL
+
+    r = readings(spark, SF_SMALL)
+    cols = ["lag_1", "lag_7", "rolling_3", "rolling_6"]
+    a = {x.row_id: tuple(x[c] for c in cols) for x in panel_lookback(r, "moisture", dedupe=True).collect()}
+    b = {x.row_id: tuple(x[c] for c in cols)
+         for x in panel_lookback(r, "moisture", dedupe=True, max_group_rows=0).collect()}
+    assert a.keys() == b.keys() and len(a) > 1000
+    for k in a:
+        for u, v in zip(a[k], b[k]):
+            assert (u is None and v is None) or u == pytest.approx(v)

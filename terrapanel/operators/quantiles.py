@@ -32,8 +32,15 @@ def _pname(p: float) -> str:
 
 def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Sequence[float],
                       names: Sequence[str] | None = None, approx: bool = False,
-                      accuracy: int = 10000, tiebreak: str | None = None) -> DataFrame:
-    """One row per group with one column per probability (and ``n``)."""
+                      accuracy: int = 10000, tiebreak: str | None = None,
+                      max_group_rows: int | None = None) -> DataFrame:
+    """One row per group with one column per probability (and ``n``).
+
+    Plan choice (exact either way): one partial aggregation measures the
+    largest group.  When every group has at most ``max_group_rows`` values
+    (default conf ``terrapanel.quantile.maxGroupRows`` = 1,000,000), Spark's
+    exact ``percentile`` aggregate is used — its per-group buffer is then
+    bounded.  Beyond that, the rank-based plan below."""
     group = list(group)
     names = list(names or [_pname(p) for p in ps])
     keep = F.col(value).isNotNull()
@@ -46,6 +53,14 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Seque
         agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
         return agg.select(*group, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
+    if max_group_rows is None:
+        max_group_rows = int(df.sparkSession.conf.get("terrapanel.quantile.maxGroupRows", "1000000"))
+    biggest = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if biggest is None or biggest <= max_group_rows:
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps]))
+        agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
+        return agg.select(*group, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
     if tiebreak is None:
         present = present.withColumn("_t", F.monotonically_increasing_id())
     ranked = global_rank(present, [*group, "_v", "_t"], out="_gr")
@@ -72,7 +87,8 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Seque
 
 
 def quantiles(df: DataFrame, value: str, ps: Sequence[float], names: Sequence[str] | None = None,
-              approx: bool = False) -> DataFrame:
+              approx: bool = False, max_group_rows: int | None = None) -> DataFrame:
     """Global (ungrouped) form: one row."""
     keyed = df.withColumn("_all", F.lit(0))
-    return grouped_quantiles(keyed, ["_all"], value, ps, names, approx).drop("_all")
+    return grouped_quantiles(keyed, ["_all"], value, ps, names, approx,
+                             max_group_rows=max_group_rows).drop("_all")

@@ -201,7 +201,11 @@ def kth_keys(df: DataFrame, key: Column, ks: Sequence[Column],
         ranked = narrow.withColumn("_r", F.row_number().over(Window.orderBy("_key")))
     else:
         ranked = global_rank(narrow, ["_key"], out="_r")
-    return [ranked.where(F.col("_r") == k).select("_key").scalar() for k in ks]
+    # one subquery (one sort) returns every requested key
+    both = ranked.where(F.col("_r").isin(*ks)).agg(F.struct(*[
+        F.max(F.when(F.col("_r") == k, F.col("_key"))).alias(f"t{i}") for i, k in enumerate(ks)]))
+    row = both.scalar()
+    return [row[f"t{i}"] for i in range(len(ks))]
 
 
 def tercile_class(df: DataFrame, value: str, tiebreak: Sequence[str], out: str = "moisture_class",

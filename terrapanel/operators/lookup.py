@@ -26,11 +26,11 @@ def _source_key(df: DataFrame) -> str | None:
     """Stable identity of a plan that only scans files (None otherwise)."""
     try:
         files = df.inputFiles()
+        if not files:
+            return None
+        return f"{df.semanticHash()}|" + ",".join(sorted(files))
     except Exception:
         return None
-    if not files:
-        return None
-    return df._jdf.queryExecution().analyzed().toString() + "|" + ",".join(sorted(files))
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:

@@ -44,6 +44,9 @@ def get_session(master: str | None = None, app_name: str = "terrapanel",
     return spark
 
 
+_LOCAL_SCRATCH: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
@@ -51,16 +54,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     SparkContext) wins; only when neither exists – local tests – a fresh
     scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:            # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="terrapanel-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        configured = _LOCAL_SCRATCH.get("dir") or tempfile.mkdtemp(prefix="terrapanel-ckpt-")
+        _LOCAL_SCRATCH["dir"] = configured
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -87,7 +96,10 @@ def reuse_stage(name: str, source: DataFrame, params: tuple, build):
     a semantically equal input (``semanticHash`` + ``sameSemantics``), the
     way a pipeline persists a stage table once and later steps read it.
     Inputs are Parquet scans of fixed files, so equal plans mean equal data."""
-    key = (name, source.semanticHash(), params)
+    try:
+        key = (name, source.semanticHash(), params)
+    except Exception:            # no plan identity available: just build
+        return build()
     hit = _STAGES.get(key)
     if hit is not None and hit[0].sameSemantics(source):
         return hit[1]

@@ -263,7 +263,7 @@ SCORED = """scored AS (
          CASE WHEN s.Seasonal IS NOT NULL THEN (s.Seasonal + g.Persistence) / 2 ELSE g.Persistence END
            AS pred_moisture
   FROM (SELECT p.state, p.district, mo.Month_num, coalesce(p.rolling_3, 0.0) AS Persistence
-        FROM pri p CROSS JOIN (SELECT unnest(range(1, 13)) AS Month_num) mo) g
+        FROM pri p CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS Month_num) mo) g
   LEFT JOIN seasonal s ON s.state = g.state AND s.district = g.district AND s.Month_num = g.Month_num)"""
 
 SQL["serve_priors"] = with_readings(f"""

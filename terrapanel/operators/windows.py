@@ -72,9 +72,9 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
     key_ok = F.lit(True)
     for k in keys:
         key_ok = key_ok & F.col(k).isNotNull()
-    base = df.withColumn("_key_ok", key_ok)
-    nullkey = base.where(~F.col("_key_ok"))
-    data = base.where(F.col("_key_ok"))
+    # every row flows through one window; features of null-key rows are
+    # masked at the end (no separate branch, so the input is read once)
+    data = df.withColumn("_key_ok", key_ok)
 
     if max_group_rows is None:
         max_group_rows = int(df.sparkSession.conf.get("terrapanel.window.maxGroupRows", "2000000"))
@@ -82,25 +82,27 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
     if biggest is None or biggest <= max_group_rows:
         if dedupe:
             data = data.repartition(*keys).dropDuplicates()
-            nullkey = nullkey.dropDuplicates()
         w = Window.partitionBy(*keys).orderBy(*[_asc_nl(c) for c in order])
         v = F.col(value).cast("double")
-        feats = [F.lag(v, k).over(w).alias(n) for k, n in zip(lags, lag_names)]
-        feats += [F.avg(v).over(w.rowsBetween(-b, -a)).alias(n)
+        ok = F.col("_key_ok")
+        feats = [F.when(ok, F.lag(v, k).over(w)).alias(n) for k, n in zip(lags, lag_names)]
+        feats += [F.when(ok, F.avg(v).over(w.rowsBetween(-b, -a))).alias(n)
                   for (wdw, (a, b)), n in zip(frames.items(), mean_names)]
-        out_cols = lag_names + mean_names
-        plain = data.select(*df.columns, *feats)
-        nulls = nullkey.select(*df.columns, *[F.lit(None).cast("double").alias(c) for c in out_cols])
-        return plain.unionByName(nulls)
+        return data.select(*df.columns, *feats)
 
-    # non-null chunk ids keep every later join a plain equi-join
+    # non-null surrogate keys keep every later join a plain equi-join; the
+    # null flag keeps null-key rows apart from real keys equal to the sentinel
+    kks = [f"_kk{i}" for i in range(len(keys))]
+    for k, name in zip(keys, kks):
+        data = data.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit("")))
     cks = [f"_ck{i}" for i in range(len(chunk))]
     for c, name in zip(chunk, cks):
         data = data.withColumn(name, F.coalesce(F.col(c).cast("long"), F.lit(_BIG).cast("long")))
+    orig_keys = keys
+    keys = ["_key_ok", *kks]
     part = keys + cks
     if dedupe:
         data = data.repartition(*part).dropDuplicates()
-        nullkey = nullkey.dropDuplicates()
 
     # 1) chunk sizes and offsets (tiny tables; partial aggregation map-side)
     sizes = data.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -151,9 +153,8 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
         out_cols.append(name)
 
     keep = [c for c in df.columns]
-    res = res.select(*keep, *out_cols)
-    nulls = nullkey.select(*keep, *[F.lit(None).cast("double").alias(c) for c in out_cols])
-    return res.unionByName(nulls)
+    ok = F.col("_key_ok")
+    return res.select(*keep, *[F.when(ok, F.col(c)).alias(c) for c in out_cols])
 
 
 def global_rank(df: DataFrame, order: Sequence, out: str = "rank",

@@ -72,7 +72,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: tuple | list | None = None) -> DataFrame:
     """Cut lineage with a table written once to the shared checkpoint folder.
 
     Used where a later step must see *exactly* the same rows twice (e.g. ids
@@ -84,7 +84,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -30,8 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical reading panel bound to the order stream.
+def readings(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+    """Canonical reading panel bound to the order stream, written once per
+    session as the Year-partitioned merged readings table (the pipeline's
+    first persisted stage) and read back from there: later aggregations
+    scan one pruned Parquet table instead of re-running the star join, and
+    Year filters prune partitions.  ``persist=False`` returns the lazy join."""
+    from terrapanel.session import materialize, reuse_stage
+
+    bound = bind_readings(spark, sf_dir)
+    if not persist:
+        return bound
+    return reuse_stage("readings", bound, (), lambda: materialize(bound, partition_by=["Year"]))
+
+
+def bind_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy star join behind ``readings``.
 
     nation and region are fixed-size dimensions: they are broadcast behind a
     row-count check.  The customer side is joined by key; AQE turns it into a

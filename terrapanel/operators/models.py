@@ -100,7 +100,7 @@ def regressors(seed: int = 42, trees: int = 200, rounds: int = 200, max_depth_rf
     return {
         "Linear": LinearRegression(solver="normal", labelCol="label", featuresCol="features"),
         "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=max_depth_rf,
-                                              maxMemoryInMB=1024, cacheNodeIds=True,
+                                              maxMemoryInMB=512, cacheNodeIds=True,
                                               labelCol="label", featuresCol="features"),
         "GBT_A": GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=seed,
                               cacheNodeIds=True, labelCol="label", featuresCol="features"),
@@ -138,7 +138,7 @@ def moisture_classifier(features: Sequence[str], label: str = "moisture_class",
     idx = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc",
                         handleInvalid="skip")
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=1024,
+    rf = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=512,
                                 cacheNodeIds=True, labelCol="label", featuresCol="features")
     return Pipeline(stages=[idx, asm, rf])
 

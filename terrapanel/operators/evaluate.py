@@ -12,6 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.session import materialize
+
 
 def regression_metrics(df: DataFrame, y: str, pred: str, group: Sequence[str] = ()) -> DataFrame:
     """MAE, RMSE, R² (over rows where both values exist), per group."""
@@ -42,7 +44,9 @@ def classification_report(df: DataFrame, y: str, pred: str,
 
     Classes are the union of truth and prediction values unless ``labels``
     is given (L26)."""
-    cc = confusion_counts(df, y, pred).where(F.col("p").isNotNull() | F.col("y").isNotNull())
+    # the confusion counts (classes² rows) feed five small aggregations:
+    # written once so the scored input is evaluated once
+    cc = materialize(confusion_counts(df, y, pred).where(F.col("p").isNotNull() | F.col("y").isNotNull()))
     if labels is None:
         classes = cc.select(F.col("y").alias("c")).union(cc.select(F.col("p").alias("c"))) \
                     .where(F.col("c").isNotNull()).distinct()
@@ -87,7 +91,7 @@ def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
     """Dense (truth, prediction, count) including zero cells; classes =
     union of both columns.  The dense grid is generated from the (small)
     class array, not joined."""
-    allc = confusion_counts(df, y, pred)
+    allc = materialize(confusion_counts(df, y, pred))     # classes² rows, evaluated once
     cc = allc.where(F.col("p").isNotNull())
     classes = (allc.select(F.col("y").alias("c")).union(cc.select(F.col("p").alias("c")))
                    .agg(F.array_sort(F.collect_set("c")).alias("cs")))

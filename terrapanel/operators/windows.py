@@ -4,8 +4,8 @@
 (``state, district`` ordered by ``Year, Month_num, Day, row_id``).  A plain
 ``Window.partitionBy(state, district)`` sends a whole district to one task; if
 one district held a third of the data, one task would sort a third of it.  Here
-the panel is cut into **chunks** (a prefix of the ordering, by default one
-calendar month of one district).  Each chunk is one window partition, and the
+the panel is cut into **chunks** (the coarsest prefix of the ordering —
+year, month or day of one district — whose largest chunk fits the bound).  Each chunk is one window partition, and the
 few rows a chunk needs from before its start (at most ``K`` = the longest
 look-back) come from a small *halo* table, built by an equi-join on the row's
 position inside its district.  The fact data is shuffled once; chunk counts,
@@ -37,7 +37,7 @@ def _asc_nl(c: str) -> Column:
 
 def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "district"),
                    order: Sequence[str] = ("Year", "Month_num", "Day", "row_id"),
-                   chunk: Sequence[str] = ("Year", "Month_num"),
+                   chunk: Sequence[str] | None = None,
                    lags: Sequence[int] = (1, 7), means: Sequence[int] = (3, 6),
                    exclude_current: bool = False,
                    lag_names: Sequence[str] | None = None,
@@ -60,8 +60,8 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
     ``dedupe=True`` drops exact duplicate rows first, clustered on the same
     keys as the window, so dedupe and window share one shuffle.
     """
-    keys, order, chunk = list(keys), list(order), list(chunk)
-    if order[:len(chunk)] != chunk:
+    keys, order = list(keys), list(order)
+    if chunk is not None and order[:len(chunk)] != list(chunk):
         raise ValueError("chunk columns must be a prefix of the order columns")
     lag_names = list(lag_names or [f"lag_{k}" for k in lags])
     mean_names = list(mean_names or [f"rolling_{w}" for w in means])
@@ -90,6 +90,10 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
                   for (wdw, (a, b)), n in zip(frames.items(), mean_names)]
         return data.select(*df.columns, *feats)
 
+    if chunk is None:
+        chunk = choose_chunk(data, keys, order, max_group_rows)
+    chunk = list(chunk)
+
     # non-null surrogate keys keep every later join a plain equi-join; the
     # null flag keeps null-key rows apart from real keys equal to the sentinel
     kks = [f"_kk{i}" for i in range(len(keys))]
@@ -157,6 +161,23 @@ def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "d
     return res.select(*keep, *[F.when(ok, F.col(c)).alias(c) for c in out_cols])
 
 
+def choose_chunk(data: DataFrame, keys: Sequence[str], order: Sequence[str],
+                 max_rows: int) -> list[str]:
+    """The coarsest prefix of the order (Year → Year, Month → Year, Month,
+    Day …) whose largest chunk holds at most ``max_rows`` rows; the finest
+    prefix when none does.  Coarse chunks keep the halo (K rows per chunk)
+    negligible; finer ones split a hot month.  One partial aggregation at the
+    finest level, rolled up on the (small) count table."""
+    finest = list(order[:-1]) or list(order[:1])
+    counts = data.groupBy(*keys, *finest).agg(F.count(F.lit(1)).alias("_n"))
+    for i in range(1, len(finest) + 1):
+        prefix = finest[:i]
+        biggest = counts.groupBy(*keys, *prefix).agg(F.sum("_n").alias("_c")).agg(F.max("_c")).first()[0]
+        if biggest is None or biggest <= max_rows:
+            return prefix
+    return finest
+
+
 def global_rank(df: DataFrame, order: Sequence, out: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """Ordinal rank 1..n over a total order (ties must be broken by the

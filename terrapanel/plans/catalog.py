@@ -563,3 +563,14 @@ def q_numeric_correlation(spark, sf_dir):
     r = readings(spark, sf_dir)
     c = correlation_long(r, select_numeric(r).columns)
     return c.select("col_a", "col_b", r4("corr"))
+
+
+@register("panel_lookback_split")
+def q_panel_lookback_split(spark, sf_dir):
+    """W1–W4 through the hot-panel plan (forced: every panel treated as over
+    the size bound, so chunks + halo rows are used); must equal the plain
+    window's result."""
+    r = readings(spark, sf_dir)
+    out = panel_lookback(r, "moisture", max_group_rows=0)
+    return out.select("state", "district", "row_id",
+                      *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6"]])

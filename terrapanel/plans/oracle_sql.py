@@ -633,3 +633,12 @@ SQL["numeric_correlation"] = with_readings("\nUNION ALL\n".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
     + (R4("1.0") + " AS corr" if a == b else R4(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))") + " AS corr FROM readings")
     for a in _NUM for b in _NUM))
+
+
+SQL["panel_lookback_split"] = with_readings(f"""
+SELECT state, district, row_id,
+  {R4(f'lag(moisture, 1) OVER ({PANEL_WINDOW})')} AS lag_1,
+  {R4(f'lag(moisture, 7) OVER ({PANEL_WINDOW})')} AS lag_7,
+  {R4(f'avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_3,
+  {R4(f'avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)')} AS rolling_6
+FROM readings""")

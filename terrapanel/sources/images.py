@@ -40,7 +40,7 @@ def score_images(images: DataFrame, load_model: Callable[[], object],
                  content_col: str = "content") -> DataFrame:
     """(image_id, label, model, scores array<double>) per image."""
     keep = list(keep)
-    key = f"{model_name}:{id(load_model)}"
+    key = model_name          # stable across tasks: one load per Python worker
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _MODEL_CACHE.get(key)

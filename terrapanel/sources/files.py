@@ -97,6 +97,30 @@ def scan_readings(spark: SparkSession, paths: str | Sequence[str], layout: str =
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def scan_readings_any_encoding(spark: SparkSession, paths: str | Sequence[str], layout: str = "raw",
+                               fallback: str = "ISO-8859-1", glob: str = "*.csv",
+                               recursive: bool = True) -> DataFrame:
+    """UTF-8 first; files whose text does not decode (the replacement
+    character appears in a string column) are read again with ``fallback``.
+
+    One scan finds the offending files (an aggregation by source file, a
+    table with one row per bad file); only those files are re-read."""
+    first = scan_readings(spark, paths, layout=layout, glob=glob, recursive=recursive)
+    text_cols = [f.name for f in LAYOUTS[layout].fields]
+    bad_row = F.lit(False)
+    for c in text_cols:
+        bad_row = bad_row | F.coalesce(F.col(c).contains("\ufffd"), F.lit(False))
+    from urllib.parse import unquote
+
+    bad_files = [unquote(r.source_file) for r in
+                 first.where(bad_row).select("source_file").distinct().collect()]
+    if not bad_files:
+        return first
+    good = first.where(~F.col("source_file").isin(bad_files))
+    again = scan_readings(spark, bad_files, layout=layout, encoding=fallback, glob=glob, recursive=False)
+    return good.unionByName(again)
+
+
 def scan_csv_by_name(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
     """S3 entry for files of unknown layout: header names kept, all strings,
     then resolved to the canonical names with ``standardize``."""
@@ -163,9 +187,14 @@ def with_row_id(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = ("Year",),
-                mode: str = "overwrite", fmt: str = "parquet") -> None:
-    """Partitioned Parquet sink.  ``mode='ignore'`` is write-if-absent;
-    overwrite is dynamic per partition when configured so."""
+                mode: str = "overwrite", fmt: str = "parquet",
+                sort_within: Sequence[str] | None = None) -> None:
+    """S5/S6 (+T1): partitioned Parquet sink.  ``mode='ignore'`` is
+    write-if-absent; overwrite is dynamic per partition when configured so.
+    ``sort_within`` orders rows inside each file (e.g. the panel order
+    state, district, Year, Month_num, Day) without a global sort."""
+    if sort_within:
+        df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)

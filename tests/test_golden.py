@@ -81,3 +81,28 @@ def test_streaming_ingest_is_incremental(spark, tmpdir_path):
     assert spark.read.parquet(target).count() == first
     batch = standardize(scan_readings(spark, src, layout="raw")).count()
     assert first == batch
+
+
+def test_latin1_fallback_per_file(spark, tmpdir_path):
+    from terrapanel.sources.files import scan_readings_any_encoding
+
+    os.makedirs(os.path.join(tmpdir_path, "y"))
+    with open(os.path.join(tmpdir_path, "y", "a.csv"), "w", encoding="utf-8") as fh:
+        fh.write(RAW_HEADER + "\n2020/01/31,GOA,SOUTH GOA,0,1.0,0,2.0\n")
+    with open(os.path.join(tmpdir_path, "y", "b 2.csv"), "wb") as fh:
+        fh.write((RAW_HEADER + "\n2020/01/31,GOA,SÃO TOMÉ,1,1.0,0,2.0\n").encode("latin-1"))
+    df = standardize(scan_readings_any_encoding(spark, tmpdir_path, layout="raw"))
+    got = sorted(r.district for r in df.collect())
+    assert got == ["SOUTH GOA", "SÃO TOMÉ"]
+
+
+def test_sorted_partitioned_write(spark, tmpdir_path):
+    from terrapanel.sources.files import write_table
+
+    r = readings(spark, SF_SMALL, persist=False)
+    path = os.path.join(tmpdir_path, "sorted")
+    write_table(r, path, partition_by=["Year"], sort_within=["state", "district", "Month_num", "Day", "row_id"])
+    back = spark.read.parquet(path)
+    assert back.count() == r.count()
+    assert sorted(x.Year for x in back.select("Year").distinct().collect()) == \
+        sorted(x.Year for x in r.select("Year").distinct().collect())

@@ -112,12 +112,13 @@ def scan_readings_any_encoding(spark: SparkSession, paths: str | Sequence[str],
         bad_row = bad_row | F.coalesce(F.col(c).contains("\ufffd"), F.lit(False))
     from urllib.parse import unquote
 
-    bad_files = [unquote(r.source_file) for r in
+    bad_files = [r.source_file for r in
                  first.where(bad_row).select("source_file").distinct().collect()]
     if not bad_files:
         return first
     good = first.where(~F.col("source_file").isin(bad_files))
-    again = scan_readings(spark, bad_files, layout=layout, encoding=fallback, glob=glob, recursive=False)
+    again = scan_readings(spark, [unquote(f) for f in bad_files], layout=layout, encoding=fallback,
+                          glob=glob, recursive=False)
     return good.unionByName(again)
 
 

@@ -79,3 +79,26 @@ def test_oracle_match_small(spark, name):
     assert sorted(sdf.columns) == sorted(cols)
     assert len(srows) == len(drows)
     assert srows == drows
+
+
+def test_profile_and_sinks(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from terrapanel.operators.clean import region_filter
+    from terrapanel.plans.eda import eda_profile, save_group_summaries
+    from terrapanel.plans.features import tag_seasons
+    from terrapanel.operators.lookup import season_calendar
+    from terrapanel.sources.files import export_csv, load_table
+    from terrapanel.sources.tables import readings
+
+    r = readings(spark, SF_SMALL)
+    prof = eda_profile(tag_seasons(r, season_calendar(spark)))
+    assert {"checks", "describe", "histogram", "correlation", "season_box", "monthly_resample"} <= set(prof)
+    assert prof["checks"].first().n_rows == r.count()
+    save_group_summaries(r, tmpdir_path)
+    assert spark.read.option("header", True).csv(f"{tmpdir_path}/state_mean_summary").count() == 5
+    export_csv(prof["state_mean"], f"{tmpdir_path}/export", order_by=["mean_value"])
+    assert len([f for f in os.listdir(f"{tmpdir_path}/export") if f.endswith(".csv")]) == 1
+    assert load_table(spark, f"{tmpdir_path}/nothing-here") is None
+    exact = region_filter(r, "asia", r.select("district").where(F.col("state") == "ASIA").first()[0].lower())
+    assert exact.select("district").distinct().count() == 1

@@ -33,21 +33,28 @@ def _pname(p: float) -> str:
 def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Sequence[float],
                       names: Sequence[str] | None = None, approx: bool = False,
                       accuracy: int = 10000, tiebreak: str | None = None,
-                      max_group_rows: int | None = None) -> DataFrame:
+                      max_group_rows: int | None = None,
+                      extra_aggs: Sequence | None = None) -> DataFrame:
     """One row per group with one column per probability (and ``n``).
 
     Plan choice (exact either way): one partial aggregation measures the
     largest group.  When every group has at most ``max_group_rows`` values
     (default conf ``terrapanel.quantile.maxGroupRows`` = 1,000,000), Spark's
     exact ``percentile`` aggregate is used — its per-group buffer is then
-    bounded.  Beyond that, the rank-based plan below."""
+    bounded.  Beyond that, the rank-based plan below.
+
+    ``extra_aggs`` (aggregate Columns over the same groups, e.g. mean and std)
+    ride along in the same aggregation when groups are bounded, and are
+    joined by group otherwise."""
     group = list(group)
     names = list(names or [_pname(p) for p in ps])
     keep = F.col(value).isNotNull()
     for g in group:
         keep = keep & F.col(g).isNotNull()      # null group keys are dropped (pandas groupby)
+    extra_aggs = list(extra_aggs or [])
     present = df.where(keep).select(*group, F.col(value).cast("double").alias("_v"),
-                                                         *( [F.col(tiebreak).alias("_t")] if tiebreak else []))
+                                    *([F.col(tiebreak).alias("_t")] if tiebreak else []))
+    # extra aggregates see the value column as "_v" (the only value column kept)
     if approx:
         q = F.percentile_approx("_v", list(ps), accuracy)
         agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
@@ -58,8 +65,10 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Seque
     biggest = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if biggest is None or biggest <= max_group_rows:
         q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps]))
-        agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
-        return agg.select(*group, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"), *extra_aggs)
+        extra_names = [c for c in agg.columns if c not in set(group) | {"n", "_q"}]
+        return agg.select(*group, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
+                          *extra_names)
 
     if tiebreak is None:
         present = present.withColumn("_t", F.monotonically_increasing_id())
@@ -83,6 +92,8 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Seque
                      .withColumn("q", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")))
     wide = filled.groupBy(*group, "n").agg(
         *[F.max(F.when(F.col("qi") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+    if extra_aggs:
+        wide = wide.join(present.groupBy(*group).agg(*extra_aggs), group, "left")
     return wide
 
 

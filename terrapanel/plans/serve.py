@@ -176,14 +176,16 @@ def farmer_summary(scored: DataFrame, readings: DataFrame, varieties_dim: DataFr
                    manual_high: float = FV.MANUAL_HIGH_THRESHOLD,
                    approx: bool = False) -> DataFrame:
     """Q9: the whole farmer summary for every scored (state, district, month)."""
-    month_stats = month_mean_std(readings, KEYS + ["Month_num"], value)
-    month_pcts = grouped_quantiles(readings, KEYS + ["Month_num"], value,
-                                   [0.10, 0.25, 0.50, 0.75, 0.90],
-                                   ["p10", "p25", "p50", "p75", "p90"], approx=approx).drop("n")
+    # month mean / population std ride in the same grouped pass as the month
+    # percentiles (all over the present values of the district-month)
+    month_stats = grouped_quantiles(readings, KEYS + ["Month_num"], value,
+                                    [0.10, 0.25, 0.50, 0.75, 0.90],
+                                    ["p10", "p25", "p50", "p75", "p90"], approx=approx,
+                                    extra_aggs=[F.avg("_v").alias("hist_mean"),
+                                                F.stddev_pop("_v").alias("hist_std")]).drop("n")
     district_pcts = grouped_quantiles(readings, KEYS, value, [low_pct / 100.0, high_pct / 100.0],
                                       ["auto_low", "auto_high"], approx=approx).drop("n")
-    s = (scored.join(month_stats.drop("n"), KEYS + ["Month_num"], "left")
-               .join(month_pcts, KEYS + ["Month_num"], "left")
+    s = (scored.join(month_stats, KEYS + ["Month_num"], "left")
                .join(district_pcts, KEYS, "left"))
     s = varieties_lookup(s, varieties_dim, "state", out="varieties")
     low_thr, high_thr = A.thresholds("auto_low", "auto_high", automatic, manual_low, manual_high)

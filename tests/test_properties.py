@@ -91,7 +91,8 @@ def test_ensemble_between_min_and_max(spark):
     assert out[1].Ensemble is None and out[2].Ensemble is None
 
 
-def test_chunked_equals_plain_on_driver_tables(spark):
+@pytest.mark.parametrize("chunk", [None, ("Year",), ("Year", "Month_num")])
+def test_chunked_equals_plain_on_driver_tables(spark, chunk):
     from terrapanel.sources.tables import readings
     from conftest import SF_SMALL
 
@@ -99,7 +100,7 @@ def test_chunked_equals_plain_on_driver_tables(spark):
     cols = ["lag_1", "lag_7", "rolling_3", "rolling_6"]
     a = {x.row_id: tuple(x[c] for c in cols) for x in panel_lookback(r, "moisture", dedupe=True).collect()}
     b = {x.row_id: tuple(x[c] for c in cols)
-         for x in panel_lookback(r, "moisture", dedupe=True, max_group_rows=0).collect()}
+         for x in panel_lookback(r, "moisture", dedupe=True, max_group_rows=0, chunk=chunk).collect()}
     assert a.keys() == b.keys() and len(a) > 1000
     for k in a:
         for u, v in zip(a[k], b[k]):

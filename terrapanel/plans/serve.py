@@ -26,7 +26,7 @@ from terrapanel.functions import advice as A
 from terrapanel.functions.calendar import month_abbr_title, month_cos, month_sin, season_from_month
 from terrapanel.operators.latest import latest_non_null
 from terrapanel.operators.lookup import month_offsets_grid, varieties_lookup
-from terrapanel.operators.profile import month_mean_std, pivot_month_year
+from terrapanel.operators.profile import pivot_month_year
 from terrapanel.operators.quantiles import grouped_quantiles
 from terrapanel.operators.windows import rank_within
 

@@ -127,8 +127,9 @@ def frequency_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     Map-side partial counts, a tiny aggregated table, joined back by key.
     """
     nonnull = df.where(F.col(col).isNotNull())
-    total = nonnull.select(F.count(F.lit(1))).scalar()      # scalar subquery
     counts = nonnull.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    # total from the (small) count table: the same aggregation feeds both
+    total = counts.select(F.sum("_n")).scalar()
     freq = counts.select(F.col(col).alias("_fe_key"), (F.col("_n") / total).alias(out))
     return df.join(freq, F.col(col) == F.col("_fe_key"), "left").drop("_fe_key")
 

@@ -54,3 +54,20 @@ def test_year_split_prunes_partitions(spark, tmpdir_path):
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Year" in plan and "(Year#" in plan
     assert part.count() == r.where(F.col("Year") == 1999).count()
+
+
+def test_no_registered_query_plans_a_cross_join(spark):
+    """No Cartesian product or nested-loop join in any registered query (the
+    tree-model fits are skipped for time; their scoring plans are joins by key)."""
+    import __spark_entry__ as E
+
+    skip = {"model_random_forest", "model_gbt_a", "model_gbt_b", "model_classifier_report", "model_ranking"}
+    bad = []
+    for name, fn in E.queries().items():
+        if name in skip:
+            continue
+        df = fn(spark, SF_SMALL)
+        df.write.format("noop").mode("overwrite").save()
+        plan = _plan(df)
+        bad += [(name, k) for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan]
+    assert bad == []

@@ -36,7 +36,8 @@ def describe(df: DataFrame, value: str, approx: bool = False) -> DataFrame:
                      F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
                      F.max(value).alias("max"), adjusted_skewness(value).alias("skew"))
     q = quantiles(df, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], approx=approx).drop("n")
-    p25, p50, p75 = (q.select(c).scalar() for c in ["p25", "p50", "p75"])   # scalar subqueries
+    row = q.select(F.struct("p25", "p50", "p75")).scalar()          # one scalar subquery
+    p25, p50, p75 = row["p25"], row["p50"], row["p75"]
     return moments.select("count", "mean", "std", "min", p25.alias("p25"), p50.alias("p50"),
                           p75.alias("p75"), "max", "skew")
 

@@ -131,3 +131,19 @@ def test_tercile_paths_agree(spark, bound):
     got = [r.moisture_class for r in
            tercile_class(df, "moisture", ["row_id"], max_sort_rows=bound).orderBy("row_id").collect()]
     assert got == exp
+
+
+def test_choose_chunk_picks_coarsest_fitting_prefix(spark):
+    from terrapanel.operators.windows import choose_chunk
+    from terrapanel.sources.tables import readings
+    from conftest import SF_SMALL
+
+    r = readings(spark, SF_SMALL)
+    keys, order = ["state", "district"], ["Year", "Month_num", "Day", "row_id"]
+    biggest_year = r.groupBy(*keys, "Year").count().agg(F.max("count")).first()[0]
+    biggest_month = r.groupBy(*keys, "Year", "Month_num").count().agg(F.max("count")).first()[0]
+    assert choose_chunk(r, keys, order, biggest_year) == ["Year"]
+    assert choose_chunk(r, keys, order, biggest_year - 1) == ["Year", "Month_num"]
+    if biggest_month > 1:
+        assert choose_chunk(r, keys, order, biggest_month - 1) == ["Year", "Month_num", "Day"]
+    assert choose_chunk(r, keys, order, 0) == ["Year", "Month_num", "Day"]

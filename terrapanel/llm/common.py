@@ -93,8 +93,8 @@ def blocks_of(array: np.ndarray, name: int = 0):
 BLOCK_SCHEMA = "tab int, block int, counts binary"
 
 
-def sum_blocks(rows: DataFrame, dtype: str, parts: int = 32) -> DataFrame:
-    """Add the counter blocks of all partitions: rows of one block meet in one
+def sum_blocks(rows: DataFrame, dtype: str, parts: int = 32, add_up=np.add) -> DataFrame:
+    """Add (or otherwise combine) the counter blocks of all partitions: rows of one block meet in one
     task, which adds them as they stream by (memory: the task's blocks)."""
 
     def add(batches):
@@ -103,7 +103,7 @@ def sum_blocks(rows: DataFrame, dtype: str, parts: int = 32) -> DataFrame:
             for tab, block, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 counts = np.frombuffer(raw, dtype)
                 if (tab, block) in total:
-                    total[tab, block] += counts
+                    add_up(total[tab, block], counts, out=total[tab, block])
                 else:
                     total[tab, block] = counts.copy()
         for (tab, block), counts in total.items():

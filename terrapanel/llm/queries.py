@@ -3,10 +3,11 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from terrapanel.llm import ngram_jaccard
+from terrapanel.llm import ngram_jaccard, suffix_dedup
 
 QUERIES = {
     "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 SQL = {

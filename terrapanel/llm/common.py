@@ -5,6 +5,7 @@ components of an edge table."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -123,6 +124,43 @@ def gather_blocks(summed: DataFrame, tables: int, size: int, dtype: str) -> np.n
     return out
 
 
+DOC_BITS = 24             # bitmap of hashed keys: 2 MB, at any size
+
+
+def key_bitmap(keys: DataFrame, column: str):
+    """Broadcast bitmap of fixed size: which hashes (long, not null) may occur in ``column``."""
+
+    def scan(batches):
+        bits = np.zeros(1 << DOC_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << DOC_BITS) - 1)] = True
+        found = list(blocks_of(np.packbits(bits)))
+        yield pa.RecordBatch.from_pydict({
+            "tab": pa.array([r[0] for r in found], pa.int32()), "block": pa.array([r[1] for r in found], pa.int32()),
+            "counts": pa.array([r[2] for r in found], pa.binary())})
+
+    summed = sum_blocks(keys.select(column).where(F.col(column).isNotNull()).mapInArrow(scan, BLOCK_SCHEMA), "uint8", 8, np.bitwise_or)
+    return keys.sparkSession.sparkContext.broadcast(gather_blocks(summed, 1, 1 << (DOC_BITS - 3), "uint8")[0])
+
+
+def may_occur(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & np.uint64((1 << DOC_BITS) - 1)
+    return (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def flagged(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``hit``: false where the hash in ``column`` (long) is
+    surely not among that of ``keys``, by a bitmap of fixed size; spares most
+    rows the shuffle of a join that follows."""
+    shared = key_bitmap(keys, column)
+
+    @F.pandas_udf("boolean")
+    def hit(key: pd.Series) -> pd.Series:
+        return pd.Series(may_occur(shared.value, key.to_numpy(np.int64).view(np.uint64)))
+
+    return rows.withColumn("hit", hit(column))
+
+
 # -------------------------------------------------------------- components
 
 def components(edges: DataFrame) -> DataFrame:

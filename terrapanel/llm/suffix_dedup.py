@@ -41,12 +41,11 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import BLOCK_SCHEMA, blocks_of, gather_blocks, mix, sum_blocks, with_bytes
+from terrapanel.llm.common import flagged, mix, with_bytes
 from terrapanel.session import materialize
 
 LENGTH = 400              # a repeated string of this many bytes is removed
@@ -55,7 +54,6 @@ SEGMENT = 1 << 16         # positions hashed at once
 HOT_CONTEXTS = 50_000     # contexts of one gram that one task may sort
 RANGE_SUFFIXES = 20_000   # suffixes merged by one task, about
 RUN_SUFFIXES = 50_000     # suffixes of a run
-DOC_BITS = 24             # size of the bitmap of documents that have spans: 2 MB
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -391,7 +389,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
             continue
         per_doc = mixed.where((F.col("contexts") <= HOT_CONTEXTS) == F.lit(few)).groupBy("doc_id", "doc_hash").agg(
             F.collect_list("c").alias("contexts"))       # at most one entry for each byte of the document
-        taken = (_only(docs, per_doc).alias("d").join(per_doc.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.doc_hash = p.doc_hash"))
+        taken = (flagged(docs, per_doc, "doc_hash").where("hit").alias("d").join(per_doc.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.doc_hash = p.doc_hash"))
                  .select("d.doc_id", "d.doc_hash", "d.text_bytes", "p.contexts").dropDuplicates(["doc_id", "doc_hash"]))
         parts.append(_merged_spans(_runs(taken, math.ceil(n / RANGE_SUFFIXES), length, reach), length, gram) if few
                      else _hot_spans(taken, length, reach))
@@ -401,36 +399,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     return spans.groupBy("doc_id", "doc_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def _flagged(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` with ``hit``: false where the document is surely not among
-    ``keys``, by a bitmap of fixed size; spares most documents a shuffle."""
-
-    def scan(batches):
-        bits = np.zeros(1 << DOC_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << DOC_BITS) - 1)] = True
-        packed = np.packbits(bits)
-        rows = list(blocks_of(packed))
-        yield pa.RecordBatch.from_pydict({
-            "tab": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()),
-            "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-    summed = sum_blocks(keys.select("doc_hash").mapInArrow(scan, BLOCK_SCHEMA), "uint8", 8, np.bitwise_or)
-    packed = gather_blocks(summed, 1, 1 << (DOC_BITS - 3), "uint8")[0]
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-
-    @F.pandas_udf("boolean")
-    def hit(doc_hash: pd.Series) -> pd.Series:
-        at = doc_hash.to_numpy(np.int64).view(np.uint64) & np.uint64((1 << DOC_BITS) - 1)
-        return pd.Series((shared.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1)
-
-    return docs.withColumn("hit", hit("doc_hash"))
-
-
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return _flagged(docs, keys).where("hit").drop("hit")
-
-
 def union_spans(spans, n: int) -> list:
     """Sorted disjoint (start, end), spans that touch joined."""
     out: list = []
@@ -450,11 +418,11 @@ def removal(docs: DataFrame, length: int = LENGTH, gram: int | None = None, carr
     as text (a character of which a part went, goes)."""
     docs = with_bytes(docs).withColumn("doc_hash", F.xxhash64("text_bytes"))
     spans = materialize(repeated_spans(docs.select("doc_id", "doc_hash", "text_bytes"), length, gram))
-    flagged = _flagged(docs.select("doc_id", "doc_hash", "text_bytes", *carry), spans)
+    split = flagged(docs.select("doc_id", "doc_hash", "text_bytes", *carry), spans, "doc_hash")
     kind = "array<struct<start:int,end:int>>"
-    hit = flagged.where("hit").alias("d").join(spans.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.doc_hash = p.doc_hash"), "left")
+    hit = split.where("hit").alias("d").join(spans.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.doc_hash = p.doc_hash"), "left")
     rows = hit.select("d.doc_id", "d.text_bytes", F.col("p.spans").cast(kind).alias("spans"), *[f"d.{c}" for c in carry]).unionByName(
-        flagged.where("not hit").select("doc_id", "text_bytes", F.lit(None).cast(kind).alias("spans"), *carry))
+        split.where("not hit").select("doc_id", "text_bytes", F.lit(None).cast(kind).alias("spans"), *carry))
 
     def scan(batches):
         for batch in batches:

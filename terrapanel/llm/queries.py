@@ -3,12 +3,15 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from terrapanel.llm import boosted_quality, context_mixing, harmonic_packing, ngram_jaccard, suffix_dedup
+from terrapanel.llm import (boosted_quality, context_mixing, decontamination, harmonic_packing, hyperdimensional_language,
+                            ngram_jaccard, suffix_dedup)
 
 QUERIES = {
     "op1_context_mixing": context_mixing.op1_context_mixing,
     "op2_harmonic_packing": harmonic_packing.op2_harmonic_packing,
     "op3_boosted_quality": boosted_quality.op3_boosted_quality,
+    "op4_hyperdimensional_language": hyperdimensional_language.op4_hyperdimensional_language,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }

@@ -24,9 +24,15 @@ def clean_text(c) -> Column:
     return F.when(v.isin("", "NAN", "NONE"), F.lit(None).cast("string")).otherwise(v)
 
 
-def parse_date(c, fmt: str = "yyyy/MM/dd") -> Column:
-    """Strict parse; unparseable text becomes null (never raises)."""
-    return F.try_to_timestamp(_c(c).cast("string"), F.lit(fmt)).cast("date")
+#: Year-first forms only: a day-first and a month-first date cannot be told apart.
+DATE_FORMATS = ("yyyy/MM/dd", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
+
+
+def parse_date(c, formats=DATE_FORMATS) -> Column:
+    """Strict parse by the first of ``formats`` that fits; other text becomes
+    null (never raises; ``files.rejected_dates`` counts it)."""
+    formats = (formats,) if isinstance(formats, str) else formats
+    return F.coalesce(*[F.try_to_timestamp(F.trim(_c(c).cast("string")), F.lit(f)).cast("date") for f in formats])
 
 
 def numeric_coerce(c, dtype: str = "double") -> Column:

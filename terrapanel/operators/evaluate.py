@@ -90,13 +90,15 @@ def accuracy(df: DataFrame, y: str, pred: str, group: Sequence[str] = ()) -> Dat
 def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
     """Dense (truth, prediction, count) including zero cells; classes =
     union of both columns.  The dense grid is generated from the (small)
-    class array, not joined."""
+    class array, not joined.  Rows without a prediction are counted in rows
+    with a null ``predicted``, so a truth class keeps its full row sum."""
     allc = materialize(confusion_counts(df, y, pred))     # classes² rows, evaluated once
     cc = allc.where(F.col("p").isNotNull())
     classes = (allc.select(F.col("y").alias("c")).union(cc.select(F.col("p").alias("c")))
                    .agg(F.array_sort(F.collect_set("c")).alias("cs")))
     grid = classes.select(F.explode("cs").alias("y"), "cs").select("y", F.explode("cs").alias("p"))
-    return (grid.join(cc, ["y", "p"], "left").fillna(0, ["n"])
+    filled = grid.join(cc, ["y", "p"], "left").fillna(0, ["n"])
+    return (filled.unionByName(allc.where(F.col("p").isNull()).select("y", "p", "n"))
                 .select(F.col("y").alias("truth"), F.col("p").alias("predicted"), F.col("n").alias("count")))
 
 

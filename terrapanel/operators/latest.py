@@ -1,10 +1,8 @@
 """The latest non-null value of each feature in a group's most recent year.
 
-One hash aggregation with partial (map-side) aggregation: ``max(Year)`` and,
-per feature, ``max_by(struct(Year, f), order)`` over the rows where ``f`` is
-present.  The candidate is kept only when it comes from the latest year, which
-equals filtering to that year first.  A hot group costs nothing extra because
-partial aggregation collapses it before the shuffle.
+First the latest year of each group (an aggregation of one integer, combined
+before its shuffle; one row per group, broadcast after a count of its rows),
+then only the rows of that year go through ``max_by``.
 """
 
 from __future__ import annotations
@@ -22,18 +20,19 @@ def latest_non_null(df: DataFrame, group: Sequence[str], features: Sequence[str]
                     tiebreak: str = "row_id", suffix: str = "") -> DataFrame:
     """One row per group: ``max_year`` and the last non-null value of each feature
     (row order = within-year columns nulls last, then ``tiebreak``)."""
-    order = F.struct(F.col(year).alias("y"),
-                     *[F.coalesce(F.col(c).cast("long"), F.lit(_BIG)).alias(f"o{i}")
+    from terrapanel.operators.lookup import small_side
+
+    years = small_side(df.where(F.col(year).isNotNull()).groupBy(*[F.col(c).alias(f"_of_{c}") for c in group])
+                       .agg(F.max(year).alias("_latest")))
+    same = F.col(year) == F.col("_latest")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    recent = df.join(years, same, "inner")
+    order = F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(_BIG)).alias(f"o{i}")
                        for i, c in enumerate(within_year)],
                      F.col(tiebreak).alias("t"))
     aggs = [F.max(year).alias("max_year")]
     for f in features:
-        ok = F.col(f).isNotNull() & F.col(year).isNotNull()
-        aggs.append(F.max_by(F.struct(F.col(year).alias("y"), F.col(f).alias("v")),
-                             F.when(ok, order)).alias(f"_lb_{f}"))
-    agg = df.where(F.col(year).isNotNull()).groupBy(*group).agg(*aggs)
-    out = [F.col(c) for c in group] + [F.col("max_year")]
-    for f in features:
-        best = F.col(f"_lb_{f}")
-        out.append(F.when(best["y"] == F.col("max_year"), best["v"]).alias(f + suffix))
-    return agg.select(*out)
+        aggs.append(F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f"_lb_{f}"))
+    agg = recent.groupBy(*group).agg(*aggs)
+    return agg.select(*[F.col(c) for c in group], "max_year", *[F.col(f"_lb_{f}").alias(f + suffix) for f in features])

@@ -1,18 +1,16 @@
 """Lookups, dimension joins, encodings and spines (J1–J9, J2/J3 encoders).
 
 Broadcast policy: a side is broadcast only after a row-count check against an
-explicit bound (``join_dimension``).  Tables derived by aggregating the fact
-data are joined without a hint: AQE measures them at run time and turns the
-join into a broadcast when they are under
-``spark.sql.adaptive.autoBroadcastJoinThreshold``, otherwise it keeps the
-sort-merge join and splits skewed partitions.
+explicit bound (``join_dimension``, and ``small_side`` for tables derived by
+aggregating the fact data).  Beyond the bound the join stays a sort-merge join
+whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +55,16 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
     return fact.join(side, on, how)
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A table derived from fact data, computed once and written; broadcast in
+    the join that follows when its counted rows are at most ``max_rows``, so
+    that the fact side of such a join keeps its partitioning."""
+    from terrapanel.session import materialize
+
+    out = materialize(df)
+    return F.broadcast(out) if out.count() <= max_rows else out
+
+
 # ---------------------------------------------------------------- dimensions
 
 def _sql_literal(v) -> str:
@@ -124,32 +132,28 @@ def season_lookup(df: DataFrame, calendar: DataFrame, state_col: str = "state",
 def frequency_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """Value -> share of non-null rows holding it; null stays null.
 
-    Map-side partial counts, a tiny aggregated table, joined back by key.
+    Map-side partial counts give a small table, which is broadcast after a
+    count of its rows: the fact rows do not move.
     """
     nonnull = df.where(F.col(col).isNotNull())
-    counts = nonnull.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    # total from the (small) count table: the same aggregation feeds both
+    counts = small_side(nonnull.groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.select(F.sum("_n")).scalar()
     freq = counts.select(F.col(col).alias("_fe_key"), (F.col("_n") / total).alias(out))
     return df.join(freq, F.col(col) == F.col("_fe_key"), "left").drop("_fe_key")
 
 
-def category_code(df: DataFrame, col: str, out: str, max_distinct: int = 100_000) -> DataFrame:
+def category_code(df: DataFrame, col: str, out: str) -> DataFrame:
     """Index of the value in the sorted distinct list; null -> -1.
 
-    The distinct values are ranked in one ordered window when their count is
-    proven to be at most ``max_distinct``; otherwise with the range-partitioned
-    global rank (no single-partition window).  Codes are joined back.
+    The distinct values are ranked with the range-partitioned global rank, at
+    any number of them; the table of codes is broadcast after a count of its
+    rows, so that the fact rows do not move.
     """
     from terrapanel.operators.windows import global_rank
 
     distinct = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_cc_key")).distinct()
-    if is_small(distinct, max_distinct):
-        # proven small: one ordered window over the distinct values
-        ranked = distinct.withColumn("_cc_rank", F.row_number().over(Window.orderBy("_cc_key")))
-    else:
-        ranked = global_rank(distinct, ["_cc_key"], out="_cc_rank")
-    codes = ranked.select("_cc_key", (F.col("_cc_rank") - 1).cast("int").alias(out))
+    ranked = global_rank(distinct, ["_cc_key"], out="_cc_rank")
+    codes = small_side(ranked.select("_cc_key", (F.col("_cc_rank") - 1).cast("int").alias(out)))
     return (df.join(codes, F.col(col) == F.col("_cc_key"), "left")
               .withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
               .drop("_cc_key"))

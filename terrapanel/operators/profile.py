@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.calendar import log1p_clipped
-from terrapanel.operators.lookup import month_spine_fill
+from terrapanel.operators.lookup import month_spine_fill, small_side
 from terrapanel.operators.quantiles import grouped_quantiles, quantiles
 
 
@@ -46,8 +46,8 @@ def histogram(df: DataFrame, value: str, bins: int = 60, log1p: bool = False) ->
     """Equal-width bins between min and max; the max lands in the last bin."""
     v = log1p_clipped(value) if log1p else F.col(value).cast("double")
     vals = df.select(v.alias("_x")).where(F.col("_x").isNotNull())
-    mn = vals.select(F.min("_x")).scalar()
-    mx = vals.select(F.max("_x")).scalar()
+    ends = vals.select(F.struct(F.min("_x").alias("mn"), F.max("_x").alias("mx"))).scalar()    # one pass
+    mn, mx = ends["mn"], ends["mx"]
     width = (mx - mn)
     b = F.when(width > 0, F.least(F.floor((F.col("_x") - mn) * F.lit(bins) / width).cast("int") + 1,
                                   F.lit(bins))).otherwise(F.lit(1))
@@ -88,7 +88,7 @@ def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> Da
     """Quartiles and whiskers (most extreme values inside 1.5·IQR)."""
     q = grouped_quantiles(df, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
                           approx=approx)
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = small_side(q.withColumn("iqr", F.col("q3") - F.col("q1")))     # one row per group
     fences = q.select(group, (F.col("q1") - 1.5 * F.col("iqr")).alias("_lof"),
                       (F.col("q3") + 1.5 * F.col("iqr")).alias("_hif"))
     j = df.where(F.col(value).isNotNull()).join(fences, group, "inner")

@@ -2,7 +2,8 @@
 
 The reference drew splits from the listing order and a random generator;
 here every row gets a reproducible order key (a hash, or any SQL-expressible
-key) and its 1-based position inside its class.  Positions come from
+key) and its 1-based position inside its class; rows whose class is null are a
+class like any other.  Positions come from
 ``group_rank`` — the range-partitioned global rank minus the class's first
 rank — so one huge class is still spread over many tasks (a
 ``row_number`` window per class would put it into one task).
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel import fixed_values as FV
+from terrapanel.operators.lookup import small_side
 from terrapanel.operators.windows import global_rank
 
 
@@ -25,14 +27,19 @@ def hash_key(id_col: str, seed: int = 42) -> Column:
 
 
 def group_rank(df: DataFrame, group: Sequence[str], order: Sequence, out: str = "pos") -> DataFrame:
-    """1-based position of each row inside its group by ``order`` (unique)."""
+    """1-based position of each row inside its group by ``order`` (unique); a
+    null group value is a group.  The table of groups is broadcast after a
+    count of its rows, so a large group is not moved into one partition."""
     group = list(group)
     ranked = global_rank(df, [*group, *order], out="_gr")
-    first = ranked.groupBy(*group).agg(F.min("_gr").alias("_g0"), F.count(F.lit(1)).alias("_gn"))
-    return (ranked.join(first, group, "inner")
+    first = small_side(ranked.groupBy(*[F.col(g).alias(f"_of_{g}") for g in group]).agg(
+        F.min("_gr").alias("_g0"), F.count(F.lit(1)).alias("group_size")))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return (ranked.join(first, same, "inner")
                   .withColumn(out, F.col("_gr") - F.col("_g0") + 1)
-                  .withColumnRenamed("_gn", "group_size")
-                  .drop("_gr", "_g0"))
+                  .drop("_gr", "_g0", *[f"_of_{g}" for g in group]))
 
 
 def split_by_ratios(df: DataFrame, label: str, order: Sequence, ratios: Sequence[float],
@@ -67,8 +74,11 @@ def split_70_10_20(df: DataFrame, label: str, order: Sequence) -> DataFrame:
 
 def sample_per_class(df: DataFrame, label: str, order: Sequence, k: int) -> DataFrame:
     """The first k rows of each class in the order (a hash gives a
-    repeatable random sample).  The cap is the feature itself."""
-    return group_rank(df, [label], order, out="_pos").where(F.col("_pos") <= k).drop("_pos", "group_size")
+    repeatable random sample); a null class is a class.  The cap is the feature
+    itself: a window limited to k rows keeps k rows per class in each task
+    before anything is shuffled."""
+    w = Window.partitionBy(label).orderBy(*order)
+    return df.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= k).drop("_pos")
 
 
 def exclude_class(df: DataFrame, label: str, value) -> DataFrame:
@@ -89,9 +99,11 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def split_counts(split_df: DataFrame, label: str, split_col: str = "split",
                  splits: Sequence[str] = ("train", "val", "test"), total_label: str = "ALL") -> DataFrame:
-    """Per class Total/Train/Val/Test plus a grand-total row (rollup)."""
-    piv = split_df.rollup(label).agg(*[F.count_if(F.col(split_col) == F.lit(s)).alias(s) for s in splits])
+    """Per class Total/Train/Val/Test plus a grand-total row (rollup); the
+    row of the null class keeps a null label."""
+    piv = split_df.rollup(label).agg(F.grouping(label).alias("_all"),
+                                     *[F.count_if(F.col(split_col) == F.lit(s)).alias(s) for s in splits])
     total = sum((F.col(s) for s in splits), F.lit(0))
-    return piv.select(F.coalesce(F.col(label).cast("string"), F.lit(total_label)).alias(label),
+    return piv.select(F.when(F.col("_all") == 1, F.lit(total_label)).otherwise(F.col(label).cast("string")).alias(label),
                       total.cast("long").alias("Total"),
                       *[F.col(s).cast("long").alias(s.capitalize()) for s in splits])

@@ -207,7 +207,6 @@ def q_eda_sample_rows(spark, sf_dir):
 from terrapanel.operators.lookup import varieties_dimension  # noqa: E402
 from terrapanel.plans import serve as S  # noqa: E402
 
-BINDING_YEARS = list(range(1995, 2002))
 TRAIN_YEAR, TEST_YEAR = 1999, 2000          # year split of the driver binding
 MODELS = ["Seasonal", "Persistence"]
 
@@ -258,8 +257,9 @@ def q_serve_profile(spark, sf_dir):
 
 @register("serve_heatmap")
 def q_serve_heatmap(spark, sf_dir):
-    h = S.heatmap(readings(spark, sf_dir), BINDING_YEARS)
-    return h.select("state", "district", "Month_num", *[r4(str(y)) for y in BINDING_YEARS])
+    r = readings(spark, sf_dir)
+    years = sorted(row.Year for row in r.where("Year is not null").select("Year").distinct().collect())   # one per column
+    return S.heatmap(r, years).select("state", "district", "Month_num", *[r4(str(y)) for y in years])
 
 
 @register("serve_year_plots")
@@ -574,3 +574,101 @@ def q_panel_lookback_split(spark, sf_dir):
     out = panel_lookback(r, "moisture", max_group_rows=0)
     return out.select("state", "district", "row_id",
                       *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6"]])
+
+
+# ---------------------------------------------------------------- sources, cleaning and orders, end to end
+
+from terrapanel.functions.calendar import numeric_coerce, parse_date  # noqa: E402
+from terrapanel.operators.clean import (add_column_if_missing, drop_null_target, filter_month,  # noqa: E402
+                                        select_features)
+from terrapanel.operators.windows import global_rank  # noqa: E402
+from terrapanel.plans.features import ingest_files  # noqa: E402
+from terrapanel.sources.files import load_table, write_table  # noqa: E402
+
+
+def scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+@register("images_split_null_class")
+def q_images_split_null_class(spark, sf_dir):
+    """M15 + A19 where many items have no class: the label is missing for most documents."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), F.col("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    items = docs.join(labels, F.col("doc_id") == F.col("of"), "left").select("doc_id", "label")
+    return SP.split_counts(SP.split_70_10_20(items, "label", split_order()), "label")
+
+
+@register("ingest_files_merged")
+def q_ingest_files_merged(spark, sf_dir):
+    """Q1 from files (S1, S2, S3, P1, P2, P4, U1, U2): the readings written as CSV in
+    two layouts with other column orders and header spellings, and a copy."""
+    r = readings(spark, sf_dir).where("reading_date is not null")
+    root = scratch(spark, "csv")
+    date = F.date_format("reading_date", "yyyy/MM/dd")
+    first = r.select(date.alias("Date"), F.col("state").alias("State Name"), F.col("district").alias("DistrictName"),
+                     F.col("moisture").cast("string").alias("Average Soilmoisture Level (at 15cm)"))
+    other = r.select(F.date_format("reading_date", "yyyy-MM-dd").alias("date"),
+                     F.col("moisture").cast("string").alias("average_soilmoisture_level_(at_15cm)"),
+                     F.col("district").alias("district_name"), F.lower("state").alias("state_name"))
+    for name, df in (("first", first), ("copy", first), ("other", other)):
+        df.write.option("header", True).csv(f"{root}/{name}")
+    merged = ingest_files(spark, root)
+    return merged.select("state", "district", F.col("reading_date").cast("string").alias("reading_date"),
+                         "Year", "Month", "Month_num", "Day", r4("moisture"))
+
+
+@register("parsed_dates")
+def q_parsed_dates(spark, sf_dir):
+    """Dates written in known and unknown forms, numbers in good and bad text."""
+    o = table(spark, sf_dir, "orders")
+    d, form = F.to_date("o_orderdate"), F.col("o_orderkey") % 5
+    text = (F.when(form == 0, F.date_format(d, "yyyy/MM/dd")).when(form == 1, F.date_format(d, "yyyy-MM-dd"))
+             .when(form == 2, F.date_format(d, "dd/MM/yyyy")).when(form == 3, F.lit("no date")))
+    number = F.when(form == 0, F.concat(F.col("o_totalprice").cast("string"), F.lit("x"))).otherwise(F.col("o_totalprice").cast("string"))
+    parsed = o.select(form.cast("long").alias("form"), parse_date(text).alias("d"), numeric_coerce(number).alias("n"))
+    return parsed.groupBy("form").agg(F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("n_dates"),
+                                      F.max("d").cast("string").alias("last_date"), F.count("n").alias("n_numbers"))
+
+
+@register("july_features")
+def q_july_features(spark, sf_dir):
+    """Target present, one month, listed features in order with an absent one as null."""
+    df = add_column_if_missing(drop_null_target(readings_with_gaps(spark, sf_dir), "moisture"), "volume", "double")
+    out = select_features(filter_month(df, 7), ["moisture", "volume", "lag_1"], keep=["state", "row_id"])
+    return out.select("state", "row_id", r4("moisture"), "volume", "lag_1")
+
+
+@register("panel_positions")
+def q_panel_positions(spark, sf_dir):
+    """Every row's place in the panel order."""
+    ordered = global_rank(readings(spark, sf_dir), ["state", "district", "Year", "Month_num", "Day", "row_id"], out="position")
+    return ordered.select("position", "state", "district", "row_id")
+
+
+@register("region_month_stats_exact")
+def q_region_month_stats_exact(spark, sf_dir):
+    """P7 with an exact match, whose name is also part of other names."""
+    sel = region_filter(readings(spark, sf_dir), "america", "nation_1")
+    return sel.groupBy("state", "district", "Month_num").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("moisture").alias("mean_moisture")).select(
+        "state", "district", "Month_num", "n", r4("mean_moisture"))
+
+
+@register("month_season_rows")
+def q_month_season_rows(spark, sf_dir):
+    """A feature row per district and month, with the season by month alone."""
+    priors = readings(spark, sf_dir).groupBy("state", "district").agg(F.avg("moisture").alias("rolling_3"))
+    rows = S.scoring_grid(priors)
+    return rows.select("state", "district", "Month_num", "Season_num", r4("month_sin"), r4("month_cos"), r4("rolling_3"))
+
+
+@register("stored_panel")
+def q_stored_panel(spark, sf_dir):
+    """The panel written by year, a second write that must not replace it, and read back."""
+    path = scratch(spark, "stored")
+    r = readings(spark, sf_dir)
+    write_table(r, path, partition_by=["Year"], sort_within=["state", "district", "Month_num", "Day", "row_id"])
+    write_table(r.where("Year < 0"), path, partition_by=["Year"], mode="ignore")
+    back = load_table(spark, path)
+    return back.groupBy("Year", "state").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("sum_row_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrapanel import fixed_values as FV
 from terrapanel.functions.calendar import (log1p_clipped, month_abbr_upper, month_cos, month_name,
                                            month_num, month_sin, season_num, season_upper)
-from terrapanel.operators.clean import apply_null_policy, dedupe, union_by_name
+from terrapanel.operators.clean import apply_null_policy, dedupe, drop_any_null, union_by_name
 from terrapanel.operators.lookup import category_code, frequency_encode, season_lookup
 from terrapanel.operators.windows import panel_lookback, tercile_class
 from terrapanel.session import materialize, reuse_stage
@@ -23,11 +23,27 @@ def clean_merge(parts: Sequence[DataFrame], null_policy: str = "any",
                 target: str = "moisture") -> DataFrame:
     """Q1: union the per-file/per-year frames by name, apply the null policy
     (L19: 'any' for the notebook path, 'target' for the retrain path) and
-    drop exact duplicate rows (copies of the same file collapse)."""
-    merged = union_by_name(list(parts))
+    drop exact duplicate rows.  ``source_file`` goes first, so copies of a file
+    collapse; 'any' looks at the columns that all parts have, so a measure that
+    one part lacks does not remove its rows."""
+    parts = [p.drop("source_file") for p in parts]
+    merged = union_by_name(parts)
+    if null_policy == "any":
+        common = [c for c in merged.columns if all(c in p.columns for p in parts)]
+        return dedupe(drop_any_null(merged, common))
     return dedupe(apply_null_policy(merged, null_policy, target))
 
 
+def ingest_files(spark, paths, null_policy: str = "any", year_from_path: bool = False) -> DataFrame:
+    """Q1 from files: scan by header, standardise, null policy, exact dedupe,
+    and a row id that is the same on every run."""
+    from terrapanel.sources.files import scan_readings, standardize, with_row_id
+
+    rows = standardize(scan_readings(spark, paths), year_from_path=year_from_path)
+    # the date's text is spelt differently from file to file: the parsed date stands for it
+    return with_row_id(clean_merge([rows.drop("date_text")], null_policy))
+
+
 def tag_seasons(df: DataFrame, calendar: DataFrame, state_col: str = "state",
                 month_col: str = "Month") -> DataFrame:
     """Q2: add ``Month`` (JAN..) when missing, then the calendar season."""

@@ -4,8 +4,8 @@ features (Q3) → train year / test year (P6; partition pruning when the
 feature table is partitioned by Year) → exact median imputation and
 population scaling learnt on the train year (M1/M2) → regressors (M4–M7) and
 the tercile classifier (M8) → metrics (E1/E2) → metric rows for comparison
-(E6).  Fitted models are kept per feature-table key so that several reports
-in one session do not refit.
+(E6).  Fitted models are kept per application, feature-table key and state of
+its files, so that several reports do not refit.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from terrapanel import fixed_values as FV
 from terrapanel.operators import evaluate as EV
+from terrapanel.operators.clean import drop_null_target
 from terrapanel.operators.models import (apply_preprocessing, decode_prediction, fit_preprocessing,
                                          fit_regressors, moisture_classifier, predict, regressors)
+from terrapanel.session import application_id, file_state
 
 _FITTED: dict = {}
 
@@ -35,7 +37,9 @@ def train_and_score(features: DataFrame, train_year: int, test_year: int,
     (models, prep row, scored test).  Fitted models are remembered per
     (key, model) for the session."""
     train, test = year_split(features, train_year, test_year)
-    base_key = (key, train_year, test_year, tuple(feature_cols), tuple(sorted(model_args.items())))
+    train = drop_null_target(train, target)             # before anything is fitted, as in the retrain path
+    base_key = (key, application_id(features.sparkSession), file_state(features) if key is not None else None,
+                train_year, test_year, tuple(feature_cols), tuple(sorted(model_args.items())))
     estimators = regressors(**model_args)
     names = list(only) if only else list(estimators)
     prep = _FITTED.get((base_key, "_prep")) if key is not None else None
@@ -75,6 +79,7 @@ def classifier_report(features: DataFrame, train_year: int, test_year: int,
                       feature_cols: Sequence[str] = FV.FEATURES, **rf_args) -> DataFrame:
     """M8 + E2: imputed (unscaled) features, alphabetical labels, report."""
     train, test = year_split(features, train_year, test_year)
+    train = drop_null_target(train, "moisture_class")
     prep = fit_preprocessing(train, feature_cols)
     x_train = apply_preprocessing(train, feature_cols, prep, scale=False)
     x_test = apply_preprocessing(test, feature_cols, prep, scale=False)

@@ -4,6 +4,8 @@ Each string runs on the driver's pre-registered views.  ``READINGS`` is the
 same binding as ``terrapanel.sources.tables.readings``.
 """
 
+from terrapanel import fixed_values as FV
+
 READINGS = """
 readings AS (
   SELECT r.r_name AS state, n.n_name AS district,
@@ -642,3 +644,43 @@ SELECT state, district, row_id,
   {R4(f'avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_3,
   {R4(f'avg(moisture) OVER ({PANEL_WINDOW} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)')} AS rolling_6
 FROM readings""")
+
+
+# ---------------------------------------------------------------- sources, cleaning and orders, end to end
+SQL["images_split_null_class"] = """
+WITH d AS (SELECT d.doc_id, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY (doc_id * 7919) % 10007, doc_id) AS pos,
+             count(*) OVER (PARTITION BY label) AS n FROM d),
+s AS (SELECT label, CASE WHEN pos <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+         WHEN pos <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM p),
+c AS (SELECT CAST(label AS VARCHAR) AS label, split FROM s UNION ALL SELECT 'ALL', split FROM s)
+SELECT label, CAST(count(*) AS BIGINT) AS Total, CAST(count(*) FILTER (split = 'train') AS BIGINT) AS Train,
+       CAST(count(*) FILTER (split = 'val') AS BIGINT) AS Val, CAST(count(*) FILTER (split = 'test') AS BIGINT) AS Test
+FROM c GROUP BY label"""
+SQL["ingest_files_merged"] = with_readings(f"""
+SELECT DISTINCT state, district, CAST(reading_date AS VARCHAR) AS reading_date, Year, {MONTHS_LIST}[Month_num] AS Month,
+       Month_num, Day, {R4('moisture')} AS moisture
+FROM (SELECT DISTINCT state, district, reading_date, Year, Month_num, Day, moisture FROM readings) r""").replace("SELECT DISTINCT state, district, CAST", "SELECT state, district, CAST")
+SQL["parsed_dates"] = """
+SELECT CAST(o_orderkey % 5 AS BIGINT) AS form, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(count(*) FILTER (o_orderkey % 5 < 2) AS BIGINT) AS n_dates,
+       CAST(max(CASE WHEN o_orderkey % 5 < 2 THEN CAST(o_orderdate AS DATE) END) AS VARCHAR) AS last_date,
+       CAST(count(*) FILTER (o_orderkey % 5 > 0) AS BIGINT) AS n_numbers
+FROM orders GROUP BY o_orderkey % 5"""
+SQL["july_features"] = with_readings(f"""
+SELECT state, row_id, {R4('moisture')} AS moisture, CAST(NULL AS DOUBLE) AS volume, CAST(NULL AS DOUBLE) AS lag_1
+FROM gaps WHERE moisture IS NOT NULL AND Month_num = 7""", GAPS)
+SQL["panel_positions"] = with_readings("""
+SELECT CAST(row_number() OVER (ORDER BY state, district, Year, Month_num, Day, row_id) AS BIGINT) AS position, state, district, row_id
+FROM readings""")
+SQL["region_month_stats_exact"] = with_readings(f"""
+SELECT state, district, Month_num, CAST(count(*) AS BIGINT) AS n, {R4('avg(moisture)')} AS mean_moisture
+FROM readings WHERE state = 'AMERICA' AND district = 'NATION_1' GROUP BY ALL""")
+SQL["month_season_rows"] = with_readings(f"""
+SELECT state, district, CAST(m AS INTEGER) AS Month_num, CAST({{season}} AS INTEGER) AS Season_num,
+       {R4('sin(2 * pi() * m / 12)')} AS month_sin, {R4('cos(2 * pi() * m / 12)')} AS month_cos, {R4('r')} AS rolling_3
+FROM (SELECT state, district, avg(moisture) AS r FROM readings GROUP BY ALL) x, unnest(range(1, 13)) AS u(m)""").replace(
+    "{season}", "CASE " + " ".join(f"WHEN m = {month} THEN {code}" for month, code in FV.MONTH_ONLY_SEASON.items())
+    + f" ELSE {FV.MONTH_ONLY_SEASON_DEFAULT} END")
+SQL["stored_panel"] = with_readings("""
+SELECT Year, state, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(row_id) AS BIGINT) AS sum_row_id FROM readings GROUP BY ALL""")

@@ -2,7 +2,8 @@
 
 On a cluster the session is supplied by the caller and ``spark.checkpoint.dir``
 points at shared storage; we only ever *read* that setting.  A scratch folder
-is created solely when nothing is configured (local runs and tests).
+is created solely when nothing is configured and the master is local (local
+runs and tests); a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -64,6 +65,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else "remote"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = _LOCAL_SCRATCH.get("dir") or tempfile.mkdtemp(prefix="terrapanel-ckpt-")
         _LOCAL_SCRATCH["dir"] = configured
     if sc is not None:
@@ -94,15 +98,44 @@ def materialize(df: DataFrame, partition_by: tuple | list | None = None) -> Data
 _STAGES: dict = {}
 
 
-def reuse_stage(name: str, source: DataFrame, params: tuple, build):
-    """Build a derived stage once per session and return the same result for
-    a semantically equal input (``semanticHash`` + ``sameSemantics``), the
-    way a pipeline persists a stage table once and later steps read it.
-    Inputs are Parquet scans of fixed files, so equal plans mean equal data."""
+def application_id(spark: SparkSession) -> str | None:
+    """Identity of the running application; None where the client cannot know it."""
     try:
-        key = (name, source.semanticHash(), params)
-    except Exception:            # no plan identity available: just build
+        return spark.sparkContext.applicationId
+    except Exception:            # Spark Connect
+        return None
+
+
+def file_state(df: DataFrame) -> tuple | None:
+    """(path, length, modification time) of every file in the folders that
+    ``df`` reads, listed now, each folder once; None for a plan without files."""
+    paths = df.inputFiles()
+    if not paths:
+        return None
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    state = []
+    for folder in sorted({p.rsplit("/", 1)[0] for p in paths}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for f in path.getFileSystem(conf).listStatus(path):
+            state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(state))
+
+
+def reuse_stage(name: str, source: DataFrame, params: tuple, build):
+    """Build a derived stage once per application and return the same result
+    for a semantically equal input over unchanged files, the way a pipeline
+    persists a stage table once and later steps read it.  The key holds the
+    application and the listing (length and modification time) of the input's
+    folders, so appended or rewritten files and a restarted session build
+    anew; a plan without files is never remembered."""
+    app = application_id(source.sparkSession)
+    files = file_state(source) if app is not None else None
+    if files is None:
         return build()
+    for old in [k for k in _STAGES if k[0] != app]:
+        del _STAGES[old]         # plans of an ended session cannot run any more
+    key = (app, name, source.semanticHash(), params, files)
     hit = _STAGES.get(key)
     if hit is not None and hit[0].sameSemantics(source):
         return hit[1]

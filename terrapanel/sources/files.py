@@ -1,10 +1,10 @@
 """File sources and sinks for reading panels.
 
-Reading files are CSVs in one of two layouts (raw headers, or normalised
-headers with Year/Month/Day appended).  Each layout gets a *declared* schema,
-so Spark never infers types and every file of a layout is read in one
-distributed scan (``recursiveFileLookup`` + ``pathGlobFilter``); malformed
-lines are dropped or kept aside by the CSV reader itself.  The canonical
+Reading files are CSVs whose columns are found by each file's own header line,
+whatever their order; all files are read in one distributed scan
+(``recursiveFileLookup`` + ``pathGlobFilter``), types are never inferred, and
+missing cells are nulls that the null policy sees.  The streaming ingest reads
+files of one declared layout.  The canonical
 schema after ``standardize`` is::
 
     state, district, date_text, reading_date, Year, Month, Day, Month_num,
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,7 @@ ALIASES = {
                 "volume soilmoisture percentage (at 15cm)"],
 }
 # substring fallbacks used when no alias matches
-SUBSTRINGS = {"date_text": "date", "moisture": "average_soilmoisture_level"}
+SUBSTRINGS = {"date_text": "date", "moisture": "moist"}
 
 
 def normalize_header(name: str) -> str:
@@ -79,62 +80,80 @@ def resolve_column(columns: Sequence[str], candidates: Iterable[str],
     return None
 
 
-def scan_readings(spark: SparkSession, paths: str | Sequence[str], layout: str = "raw",
-                  encoding: str = "UTF-8", mode: str = "DROPMALFORMED",
-                  glob: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """One scan over every reading file of a layout.
-
-    ``mode`` = DROPMALFORMED skips bad lines; PERMISSIVE keeps them with nulls.
-    Use ``encoding='ISO-8859-1'`` for the latin-1 fallback.
-    """
-    reader = (spark.read.schema(LAYOUTS[layout])
-              .option("header", True)
-              .option("mode", mode)
-              .option("encoding", encoding)
-              .option("pathGlobFilter", glob)
-              .option("recursiveFileLookup", recursive))
-    df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
-
-
-def scan_readings_any_encoding(spark: SparkSession, paths: str | Sequence[str], layout: str = "raw",
-                               fallback: str = "ISO-8859-1", glob: str = "*.csv",
-                               recursive: bool = True) -> DataFrame:
-    """UTF-8 first; files whose text does not decode (the replacement
-    character appears in a string column) are read again with ``fallback``.
-
-    One scan finds the offending files (an aggregation by source file, a
-    table with one row per bad file); only those files are re-read."""
-    first = scan_readings(spark, paths, layout=layout, glob=glob, recursive=recursive)
-    text_cols = [f.name for f in LAYOUTS[layout].fields]
-    bad_row = F.lit(False)
-    for c in text_cols:
-        bad_row = bad_row | F.coalesce(F.col(c).contains("\ufffd"), F.lit(False))
-    from urllib.parse import unquote
-
-    bad_files = [r.source_file for r in
-                 first.where(bad_row).select("source_file").distinct().collect()]
-    if not bad_files:
-        return first
-    good = first.where(~F.col("source_file").isin(bad_files))
-    again = scan_readings(spark, [unquote(f) for f in bad_files], layout=layout, encoding=fallback,
-                          glob=glob, recursive=False)
-    return good.unionByName(again)
-
-
-def scan_csv_by_name(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
-    """S3 entry for files of unknown layout: header names kept, all strings,
-    then resolved to the canonical names with ``standardize``."""
-    df = (spark.read.option("header", True).option("encoding", encoding)
-          .option("mode", "DROPMALFORMED").csv(paths))
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+MAX_COLUMNS = 32          # cells read of a line
+MAX_LAYOUTS = 1000        # different header lines of one scan
+
+
+def _cells(spark: SparkSession, paths, glob: str, recursive: bool) -> DataFrame:
+    """(cells, source_file): every line, headers included.  Bytes are read one
+    by one as ISO-8859-1; a cell whose bytes are valid UTF-8 is that text, so
+    each cell gets its encoding without a second read of its file."""
+    names = [f"c{i}" for i in range(MAX_COLUMNS)]
+    df = (spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False)
+          .option("mode", "PERMISSIVE").option("encoding", "ISO-8859-1")
+          .option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+          .csv(list(paths) if not isinstance(paths, str) else paths))
+
+    def text(c):
+        utf8 = F.encode(c, "ISO-8859-1").cast("string")
+        return F.when(F.is_valid_utf8(utf8), F.regexp_replace(utf8, "^\ufeff", "")).otherwise(c)
+
+    return df.select(F.array(*[text(F.col(n)) for n in names]).alias("cells"),
+                     F.col("_metadata.file_path").alias("source_file"))
+
+
+def scan_readings(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv",
+                  recursive: bool = True) -> DataFrame:
+    """Every reading file below ``paths``, its columns found by its own
+    header line (any order, any of the known names), as text columns with the
+    canonical names plus ``source_file``.
+
+    A file's header is the line that names both the state and the district
+    column.  One small table (a row per file) carries it; only the different
+    header lines come to the driver, where their columns are resolved.  A file
+    without a header is an error.  A measure that no file has is left out; one
+    that some files lack is null there."""
+    from terrapanel.operators.lookup import literal_table, small_side
+
+    lines = _cells(spark, paths, glob, recursive)
+    plain = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+
+    def names(canon):
+        wanted = F.array(*[F.lit(normalize_header(c)) for c in ALIASES[canon]])
+        return F.coalesce(F.arrays_overlap(F.filter(plain, lambda c: c.isNotNull()), wanted), F.lit(False))
+
+    lines = lines.withColumn("_head", names("state") & names("district"))
+    key = F.array_join("cells", "\x1f", "")
+    files = small_side(lines.groupBy("source_file").agg(F.min(F.when(F.col("_head"), key)).alias("_layout")))
+    without = files.where("_layout is null").count()
+    if without:
+        raise ValueError(f"{without} files have no header line that names a state and a district column")
+    layouts = [r[0] for r in files.select("_layout").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
+    rows, found = [], []
+    for layout in sorted(layouts):
+        header = [c for c in layout.split("\x1f")]
+        at = {canon: resolve_column([c for c in header if c], cands, SUBSTRINGS.get(canon)) for canon, cands in ALIASES.items()}
+        rows.append((layout, *[header.index(at[c]) + 1 if at[c] else None for c in ALIASES]))
+    for i, canon in enumerate(ALIASES):
+        if any(r[i + 1] for r in rows):
+            found.append(canon)
+    columns = ["_of", *[f"_at_{c}" for c in ALIASES]]
+    where = literal_table(spark, rows, columns, ["string"] + ["int"] * len(ALIASES))
+    placed = files.join(F.broadcast(where), F.col("_layout") == F.col("_of")).drop("_of", "_layout")   # at most MAX_LAYOUTS rows
+    data = lines.where(~F.col("_head")).join(
+        F.broadcast(placed) if files.count() <= 100_000 else placed, "source_file")
+    return data.select(*[F.when(F.col(f"_at_{c}").isNotNull(), F.try_element_at("cells", F.col(f"_at_{c}"))).alias(c) for c in found],
+                       "source_file")
 
 
 def standardize(df: DataFrame, year_from_path: bool = False, year: int | None = None,
                 required: Sequence[str] = ("state", "district", "date_text", "moisture")) -> DataFrame:
     """S3 + P1/P2/P3/P8: canonical schema, strict date parse, date parts
     re-derived from the date (source Year/Month/Day are dropped first, so no
-    two columns differ only by case), measures coerced to double."""
+    two columns differ only by case), measures coerced to double.  A measure
+    that the input lacks is left out, not added as nulls."""
     cols = df.columns
     picked = {}
     for canon, cands in ALIASES.items():
@@ -159,7 +178,7 @@ def standardize(df: DataFrame, year_from_path: bool = False, year: int | None =
         F.upper(F.trim(pick("district"))).alias("district"),
         pick("date_text"),
         d.alias("reading_date"),
-        *[pick(m, "double") for m in MEASURES],
+        *[pick(m, "double") for m in MEASURES if picked.get(m)],
         (F.col("source_file") if "source_file" in cols else F.lit(None).cast("string")).alias("source_file"),
     )
     if year is not None:
@@ -177,12 +196,17 @@ def standardize(df: DataFrame, year_from_path: bool = False, year: int | None =
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Explicit tie-break for rows of the same day (ledger L18).
+    """Explicit tie-break for rows of the same day (ledger L18): a hash of the
+    row's values (not of its file), the same on every run however files were
+    split.  Rows that differ get different ids but for clashes of 64-bit
+    hashes; Q1 has removed exact copies."""
+    return df.withColumn("row_id", F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c != "source_file"]))
 
-    ``monotonically_increasing_id`` follows file split order; it is fixed
-    once the merged table is written, which is where Q1 ends.
-    """
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+
+def rejected_dates(df: DataFrame) -> DataFrame:
+    """How many rows of a standardised frame have date text that no known format reads."""
+    bad = F.col("date_text").isNotNull() & F.col("reading_date").isNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_rejected"))
 
 
 # ---------------------------------------------------------------- sinks
@@ -194,8 +218,8 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = (
     write-if-absent; overwrite is dynamic per partition when configured so.
     ``sort_within`` orders rows inside each file (e.g. the panel order
     state, district, Year, Month_num, Day) without a global sort."""
-    if sort_within:
-        df = df.sortWithinPartitions(*sort_within)
+    if sort_within:              # the writer wants rows by partition value; it keeps an order that begins so
+        df = df.sortWithinPartitions(*(partition_by or ()), *sort_within)
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -204,17 +228,25 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = (
     w.save(path)
 
 
+EXPORT_ROWS = 1_000_000
+
+
 def export_csv(df: DataFrame, path: str, order_by: Sequence[str] | None = None) -> None:
-    """One-file CSV of a *small* result table (rankings, projections,
-    monthly means, pivots).  Callers pass aggregated tables only."""
+    """CSV export.  A table counted at most ``EXPORT_ROWS`` rows (rankings,
+    projections, monthly means, pivots) becomes one file; a larger one a file
+    per task, in order from file to file."""
     out = df.orderBy(*order_by) if order_by else df
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    if df.limit(EXPORT_ROWS + 1).count() <= EXPORT_ROWS:
+        out = out.coalesce(1)
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """None when the path is missing or the table is empty."""
     try:
         df = spark.read.format(fmt).load(path)
-    except Exception:  # missing path / unreadable
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return None if df.isEmpty() else df

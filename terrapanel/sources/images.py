@@ -31,22 +31,16 @@ def scan_image_folder(spark: SparkSession, root: str, glob: str = IMAGE_GLOB,
     return out.withColumn("image_id", F.xxhash64("path"))
 
 
-_MODEL_CACHE: dict = {}
-
-
 def score_images(images: DataFrame, load_model: Callable[[], object],
                  predict: Callable[[object, pd.DataFrame], Sequence[Sequence[float]]],
                  model_name: str, keep: Sequence[str] = ("image_id", "label"),
                  content_col: str = "content") -> DataFrame:
-    """(image_id, label, model, scores array<double>) per image."""
+    """(image_id, label, model, scores array<double>) per image; the model
+    is loaded once per task, so a retrained one is never confused with an old one."""
     keep = list(keep)
-    key = model_name          # stable across tasks: one load per Python worker
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _MODEL_CACHE.get(key)
-        if model is None:
-            model = load_model()
-            _MODEL_CACHE[key] = model
+        model = load_model()
         for pdf in batches:
             scores = predict(model, pdf)
             out = pdf[keep].copy()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,9 @@ def scan_metrics(spark: SparkSession, path: str, source_from: str = "partition",
     schema = "source_file string, model string, MAE double, RMSE double, R2 double"
     try:
         raw = spark.read.option("wholetext", True).text(path)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     fp = F.col("_metadata.file_path")
     if source_from == "partition":

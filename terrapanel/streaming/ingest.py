@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.session import checkpoint_dir
 from terrapanel.sources.files import LAYOUTS, standardize
 
 
@@ -32,7 +31,8 @@ def ingest_new_files(spark: SparkSession, source_dir: str, target_path: str, lay
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
     rows = standardize(raw)
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/ingest-{abs(hash((source_dir, target_path)))}"
+    # beside the target: the next process finds what this one has read
+    ckpt = checkpoint or f"{target_path.rstrip('/')}-ingest-checkpoint"
     writer = (rows.writeStream.format("parquet").option("path", target_path)
               .option("checkpointLocation", ckpt).partitionBy("Year").outputMode("append"))
     if available_now:

@@ -50,24 +50,24 @@ def _write_layouts(spark, root):
 
 def test_ingest_clean_features_roundtrip(spark, tmpdir_path):
     direct = _write_layouts(spark, tmpdir_path)
-    raw = standardize(scan_readings(spark, os.path.join(tmpdir_path, "raw"), layout="raw"), year_from_path=True)
-    norm = standardize(scan_readings(spark, os.path.join(tmpdir_path, "norm"), layout="enriched"))
-    merged = clean_merge([raw.drop("source_file"), norm.drop("source_file")], null_policy="any")
+    raw = standardize(scan_readings(spark, os.path.join(tmpdir_path, "raw")), year_from_path=True)
+    norm = standardize(scan_readings(spark, os.path.join(tmpdir_path, "norm")))
+    merged = clean_merge([raw, norm], null_policy="any")
     # copies and the second layout collapse to one row per reading
     assert merged.count() == direct.count()
     key = ["state", "district", "reading_date", "moisture"]
     assert sorted(tuple(r) for r in merged.select(*key).collect()) == \
         sorted(tuple(r) for r in direct.select(*key).collect())
-    # same features as from the direct binding (row ids differ; compare values)
-    feats = ml_ready(with_row_id(merged))
-    ref = ml_ready(direct)
+    # same features as from the direct binding, under the same tie-break inside a day
+    ided = with_row_id(merged)
+    feats = ml_ready(ided)
+    ids = ided.select(*key, F.col("row_id").alias("of_file"))
+    ref = ml_ready(direct.join(ids, key).withColumn("row_id", F.col("of_file")).drop("of_file"))
     cols = ["state", "district", "reading_date", "moisture", "lag_1", "rolling_3", "moisture_class"]
     a = sorted(tuple(r) for r in feats.select(*cols).collect())
     b = sorted(tuple(r) for r in ref.select(*cols).collect())
     assert len(a) == len(b)
-    same_days = sum(1 for x, y in zip(a, b) if x == y)
-    # ties inside a day may order differently (different row ids); everything else matches
-    assert same_days >= 0.95 * len(a)
+    assert a == b
 
 
 def test_streaming_ingest_is_incremental(spark, tmpdir_path):
@@ -79,19 +79,17 @@ def test_streaming_ingest_is_incremental(spark, tmpdir_path):
     first = spark.read.parquet(target).count()
     ingest_new_files(spark, src, target, layout="raw", checkpoint=ckpt)    # nothing new
     assert spark.read.parquet(target).count() == first
-    batch = standardize(scan_readings(spark, src, layout="raw")).count()
+    batch = standardize(scan_readings(spark, src)).count()
     assert first == batch
 
 
 def test_latin1_fallback_per_file(spark, tmpdir_path):
-    from terrapanel.sources.files import scan_readings_any_encoding
-
     os.makedirs(os.path.join(tmpdir_path, "y"))
     with open(os.path.join(tmpdir_path, "y", "a.csv"), "w", encoding="utf-8") as fh:
         fh.write(RAW_HEADER + "\n2020/01/31,GOA,SOUTH GOA,0,1.0,0,2.0\n")
     with open(os.path.join(tmpdir_path, "y", "b 2.csv"), "wb") as fh:
         fh.write((RAW_HEADER + "\n2020/01/31,GOA,SÃO TOMÉ,1,1.0,0,2.0\n").encode("latin-1"))
-    df = standardize(scan_readings_any_encoding(spark, tmpdir_path, layout="raw"))
+    df = standardize(scan_readings(spark, tmpdir_path))
     got = sorted(r.district for r in df.collect())
     assert got == ["SOUTH GOA", "SÃO TOMÉ"]
 
@@ -104,5 +102,9 @@ def test_sorted_partitioned_write(spark, tmpdir_path):
     write_table(r, path, partition_by=["Year"], sort_within=["state", "district", "Month_num", "Day", "row_id"])
     back = spark.read.parquet(path)
     assert back.count() == r.count()
+    at = back.select("*", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+    for x, y in zip(at, at[1:]):
+        if x.f == y.f:
+            assert (x.state, x.district, x.Month_num, x.Day, x.row_id) <= (y.state, y.district, y.Month_num, y.Day, y.row_id)
     assert sorted(x.Year for x in back.select("Year").distinct().collect()) == \
         sorted(x.Year for x in r.select("Year").distinct().collect())

@@ -226,7 +226,7 @@ def kth_keys(df: DataFrame, key: Column, ks: Sequence[Column],
     # one subquery (one sort) returns every requested key
     both = ranked.where(F.col("_r").isin(*ks)).agg(F.struct(*[
         F.max(F.when(F.col("_r") == k, F.col("_key"))).alias(f"t{i}") for i, k in enumerate(ks)]))
-    row = both.scalar()
+    row = materialize(both).scalar()          # found once; every later use reads one row
     return [row[f"t{i}"] for i in range(len(ks))]
 
 

@@ -108,5 +108,5 @@ def _ml_ready(df: DataFrame, target: str, exclude_current: bool,
                               labels=FV.TERCILE_LABELS)
     feats = frequency_encode(feats, "state", "state_freq")
     feats = category_code(feats, "district", "district_id")
-    # the finished feature table is the persisted stage later steps read
-    return materialize(feats.withColumn("target_log1p", log1p_clipped(target)))
+    # the encodings are broadcast joins and comparisons over the written stage: no second copy of the wide rows
+    return feats.withColumn("target_log1p", log1p_clipped(target))

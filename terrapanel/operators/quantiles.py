@@ -1,18 +1,21 @@
 """Exact linear-interpolated quantiles per group.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer, which fails for a hot group.  Here quantiles come from
-ranks instead:
-
-1. rank all present values by (group, value, tie id) with the range-partitioned
-   ``global_rank`` (hot groups and hot values are split across tasks);
-2. subtract each group's first rank (a per-group ``min``, partial-aggregated);
-3. keep only the rows sitting at the wanted positions ``floor(h)+1`` and
-   ``ceil(h)+1`` with ``h = (n-1)·p`` (an equi-join with a table of
-   #groups·#p·2 rows);
+aggregation buffer, which fails for a hot group.  Here, at every size:
+
+1. one aggregation (combined before its shuffle) counts each group and, with
+   ``percentile_approx``, brackets each wanted rank: the sketch is off by at
+   most n / ``ACCURACY`` ranks, the bracket is three times as wide either way;
+2. a second pass takes the exact ``percentile`` of groups of at most
+   ``ACCURACY`` values (a bounded buffer; no bracket is that narrow), counts
+   the larger groups' values below each bracket, and keeps those inside, some
+   n / 1000 of them;
+3. these are ranked by the range-partitioned ``global_rank``, and the values at
+   the ranks ``floor(h)+1`` and ``ceil(h)+1`` with ``h = (n-1)·p`` are taken;
 4. interpolate ``lo + (hi - lo)·(h - floor(h))`` — NumPy's default rule.
 
-``approx=True`` switches to ``percentile_approx`` (bounded memory sketch).
+The tables of brackets and counts have a row per group and are broadcast after
+a count of their rows.  ``approx=True`` stops at the sketch.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.operators.lookup import small_side
 from terrapanel.operators.windows import global_rank
 
 
@@ -30,76 +34,73 @@ def _pname(p: float) -> str:
     return f"p{s}"
 
 
+ACCURACY = 10_000         # of the sketch that brackets a rank
+
+
 def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, ps: Sequence[float],
                       names: Sequence[str] | None = None, approx: bool = False,
-                      accuracy: int = 10000, tiebreak: str | None = None,
-                      max_group_rows: int | None = None,
-                      extra_aggs: Sequence | None = None) -> DataFrame:
-    """One row per group with one column per probability (and ``n``).
-
-    Plan choice (exact either way): one partial aggregation measures the
-    largest group.  When every group has at most ``max_group_rows`` values
-    (default conf ``terrapanel.quantile.maxGroupRows`` = 1,000,000), Spark's
-    exact ``percentile`` aggregate is used — its per-group buffer is then
-    bounded.  Beyond that, the rank-based plan below.
-
-    ``extra_aggs`` (aggregate Columns over the same groups, e.g. mean and std)
-    ride along in the same aggregation when groups are bounded, and are
-    joined by group otherwise."""
+                      accuracy: int = ACCURACY, extra_aggs: Sequence | None = None) -> DataFrame:
+    """One row per group with one column per probability (and ``n``); rows with
+    a null value or a null group key are left out.
+
+    ``extra_aggs`` (aggregate Columns over the same groups, e.g. mean and std,
+    seeing the value as ``_v``) ride along in the first aggregation."""
     group = list(group)
     names = list(names or [_pname(p) for p in ps])
     keep = F.col(value).isNotNull()
     for g in group:
         keep = keep & F.col(g).isNotNull()      # null group keys are dropped (pandas groupby)
     extra_aggs = list(extra_aggs or [])
-    present = df.where(keep).select(*group, F.col(value).cast("double").alias("_v"),
-                                    *([F.col(tiebreak).alias("_t")] if tiebreak else []))
-    # extra aggregates see the value column as "_v" (the only value column kept)
+    present = df.where(keep).select(*group, F.col(value).cast("double").alias("_v"))
     if approx:
         q = F.percentile_approx("_v", list(ps), accuracy)
         agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
         return agg.select(*group, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    if max_group_rows is None:
-        max_group_rows = int(df.sparkSession.conf.get("terrapanel.quantile.maxGroupRows", "1000000"))
-    biggest = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if biggest is None or biggest <= max_group_rows:
-        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps]))
-        agg = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"), *extra_aggs)
-        extra_names = [c for c in agg.columns if c not in set(group) | {"n", "_q"}]
-        return agg.select(*group, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
-                          *extra_names)
-
-    if tiebreak is None:
-        present = present.withColumn("_t", F.monotonically_increasing_id())
-    ranked = global_rank(present, [*group, "_v", "_t"], out="_gr")
-    stats = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("_gr").alias("_first"))
-    wanted = []
+    wide = 3.0 / accuracy
+    ends = [x for p in ps for x in (max(0.0, p - wide), min(1.0, p + wide))]
+    first = present.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                        F.percentile_approx("_v", ends, accuracy).alias("_e"), *extra_aggs)
+    extra_names = [c for c in first.columns if c not in set(group) | {"n", "_e", "_min", "_max"}]
+    brackets = []
     for i, p in enumerate(ps):
         h = (F.col("n") - 1) * F.lit(float(p))
-        wanted.append(F.struct(F.lit(i).alias("qi"), F.floor(h).cast("long").alias("lo"),
-                               F.ceil(h).cast("long").alias("hi"), (h - F.floor(h)).alias("frac")))
-    targets = (stats.select(*group, "n", "_first", F.explode(F.array(*wanted)).alias("w"))
-                    .select(*group, "n", "_first", "w.*"))
-    positions = (targets.select(*group, "_first", "qi", F.explode(F.array_distinct(
-                     F.array("lo", "hi"))).alias("_k"))
-                        .withColumn("_gr", F.col("_first") + F.col("_k")))
-    hits = ranked.join(positions.select(*group, "_gr", "_k"), [*group, "_gr"], "inner") \
-                 .select(*group, "_k", "_v").distinct()
-    lo = hits.select(*group, F.col("_k").alias("lo"), F.col("_v").alias("v_lo"))
-    hi = hits.select(*group, F.col("_k").alias("hi"), F.col("_v").alias("v_hi"))
-    filled = (targets.join(lo, [*group, "lo"], "left").join(hi, [*group, "hi"], "left")
-                     .withColumn("q", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")))
-    wide = filled.groupBy(*group, "n").agg(
-        *[F.max(F.when(F.col("qi") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
-    if extra_aggs:
-        wide = wide.join(present.groupBy(*group).agg(*extra_aggs), group, "left")
-    return wide
+        brackets.append(F.struct(
+            (F.lit(True) if p - wide <= 0 else F.lit(False)).alias("from_least"),
+            F.when(F.lit(p - wide <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("lo"),
+            F.when(F.lit(p + wide >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
+            F.floor(h).cast("long").alias("k_lo"), F.ceil(h).cast("long").alias("k_hi"), (h - F.floor(h)).alias("frac")))
+    first = small_side(first.select(*group, "n", F.array(*brackets).alias("_b"), *extra_names))
+    joined = present.join(first.select(*[F.col(g).alias(f"_of_{g}") for g in group], "_b", F.col("n").alias("_n")),
+                          [F.col(g) == F.col(f"_of_{g}") for g in group])
+    few = F.col("_n") <= accuracy
+    below = small_side(joined.groupBy(*group).agg(
+        F.percentile(F.when(few, F.col("_v")), F.array(*[F.lit(float(p)) for p in ps])).alias("_exact"),
+        *[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(len(ps))]))
+    inside = joined.where(~few).select(*group, "_v", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(len(ps) - 1)),
+        lambda i: (F.col("_v") >= F.get("_b", i)["lo"]) & (F.col("_v") <= F.get("_b", i)["hi"]))).alias("_i"))
+    ranked = global_rank(inside, [*group, "_i", "_v"], out="_gr")
+    start = small_side(ranked.groupBy(*group, "_i").agg((F.min("_gr") - 1).alias("_start")))
+
+    # the wanted ranks, as ranks among what is inside
+    both = first.where(F.col("n") > accuracy).join(below, group).select(*group, F.posexplode("_b").alias("_i", "b"),
+                                           F.array(*[F.col(f"_below{i}") for i in range(len(ps))]).alias("_below"))
+    targets = both.join(start, [*group, "_i"]).select(
+        *group, "_i", (F.col("b.k_lo") + 1 - F.get("_below", F.col("_i")) + F.col("_start")).alias("_at_lo"),
+        (F.col("b.k_hi") + 1 - F.get("_below", F.col("_i")) + F.col("_start")).alias("_at_hi"), F.col("b.frac").alias("_frac"))
+    wanted = targets.select(*group, "_i", F.explode(F.array_distinct(F.array("_at_lo", "_at_hi"))).alias("_gr"))
+    hits = ranked.join(small_side(wanted), [*group, "_i", "_gr"]).select(*group, "_i", "_gr", "_v")
+    filled = (targets.join(hits.select(*group, "_i", F.col("_gr").alias("_at_lo"), F.col("_v").alias("_v_lo")), [*group, "_i", "_at_lo"])
+                     .join(hits.select(*group, "_i", F.col("_gr").alias("_at_hi"), F.col("_v").alias("_v_hi")), [*group, "_i", "_at_hi"]))
+    q = F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac")
+    wide_q = filled.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == i, q)).alias(n) for i, n in enumerate(names)])
+    return first.join(below.select(*group, "_exact"), group).join(wide_q, group, "left").select(
+        *group, "n", *[F.coalesce(F.get("_exact", F.lit(i)), F.col(n)).alias(n) for i, n in enumerate(names)], *extra_names)
 
 
 def quantiles(df: DataFrame, value: str, ps: Sequence[float], names: Sequence[str] | None = None,
-              approx: bool = False, max_group_rows: int | None = None) -> DataFrame:
-    """Global (ungrouped) form: one row."""
+              approx: bool = False) -> DataFrame:
+    """Global (ungrouped) form: one row, none without values."""
     keyed = df.withColumn("_all", F.lit(0))
-    return grouped_quantiles(keyed, ["_all"], value, ps, names, approx,
-                             max_group_rows=max_group_rows).drop("_all")
+    return grouped_quantiles(keyed, ["_all"], value, ps, names, approx).drop("_all")

@@ -207,22 +207,11 @@ def order_key(cols: Sequence[str]) -> Column:
                       for i, c in enumerate(cols)])
 
 
-def kth_keys(df: DataFrame, key: Column, ks: Sequence[Column],
-             max_rows: int | None = None) -> list[Column]:
+def kth_keys(df: DataFrame, key: Column, ks: Sequence[Column]) -> list[Column]:
     """The k-th smallest ``key`` for each k (scalar subqueries; null when k is
-    outside 1..n).  Only the narrow key column is ranked.  When the row count
-    is proven to be at most ``max_rows`` (conf ``terrapanel.rank.maxSortRows``,
-    default 2,000,000) one ordered window ranks it; beyond that the
-    range-partitioned, checkpointed ``global_rank``."""
-    narrow = df.select(key.alias("_key"))
-    if max_rows is None:
-        max_rows = int(df.sparkSession.conf.get("terrapanel.rank.maxSortRows", "2000000"))
-    from terrapanel.operators.lookup import is_small
-
-    if is_small(narrow, max_rows):
-        ranked = narrow.withColumn("_r", F.row_number().over(Window.orderBy("_key")))
-    else:
-        ranked = global_rank(narrow, ["_key"], out="_r")
+    outside 1..n).  Only the narrow key column is ranked, by the
+    range-partitioned, written ``global_rank``."""
+    ranked = global_rank(df.select(key.alias("_key")), ["_key"], out="_r")
     # one subquery (one sort) returns every requested key
     both = ranked.where(F.col("_r").isin(*ks)).agg(F.struct(*[
         F.max(F.when(F.col("_r") == k, F.col("_key"))).alias(f"t{i}") for i, k in enumerate(ks)]))
@@ -231,8 +220,7 @@ def kth_keys(df: DataFrame, key: Column, ks: Sequence[Column],
 
 
 def tercile_class(df: DataFrame, value: str, tiebreak: Sequence[str], out: str = "moisture_class",
-                  labels: Sequence[str] = ("Low", "Medium", "High"),
-                  max_sort_rows: int | None = None) -> DataFrame:
+                  labels: Sequence[str] = ("Low", "Medium", "High")) -> DataFrame:
     """Quantile cut of the 'first' rank of ``value`` into three labels.
 
     With n non-null values and rank r: Low iff 3(r-1) < n-1, i.e. r <= k1 =
@@ -248,7 +236,7 @@ def tercile_class(df: DataFrame, value: str, tiebreak: Sequence[str], out: str =
     n = present.select(F.count(F.lit(1))).scalar()
     k1 = F.ceil((n - 1) / F.lit(3.0))
     k2 = F.ceil((n - 1) * F.lit(2.0) / F.lit(3.0))
-    t1, t2 = kth_keys(present, key, [k1, k2], max_rows=max_sort_rows)
+    t1, t2 = kth_keys(present, key, [k1, k2])
     cls = (F.when(F.col(value).isNull(), F.lit(None).cast("string"))
             .when((k1 >= 1) & (key <= t1), F.lit(labels[0]))
             .when((k2 >= 1) & (key <= t2), F.lit(labels[1]))

@@ -107,29 +107,29 @@ def test_chunked_equals_plain_on_driver_tables(spark, chunk):
             assert (u is None and v is None) or u == pytest.approx(v)
 
 
-@pytest.mark.parametrize("bound", [None, 0])
-def test_quantile_paths_agree(spark, bound):
+@pytest.mark.parametrize("accuracy", [10_000, 60])
+def test_quantiles_of_small_and_bracketed_groups(spark, accuracy):
     from terrapanel.operators.quantiles import grouped_quantiles
 
     rng = np.random.default_rng(11)
-    rows = [(g, float(x)) for g in "abcd" for x in rng.integers(0, 6, size=25)]
+    rows = [(g, float(x)) for g, n in (("a", 25), ("b", 400), ("c", 1), ("d", 5000)) for x in rng.integers(0, 6 * n, size=n)]
+    rows += [("e", 3.0)] * 500 + [("e", 4.0)] * 501          # ties across a bracket
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: (r.p25, r.p50, r.p90) for r in
-           grouped_quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], ["p25", "p50", "p90"], max_group_rows=bound).collect()}
-    for g in "abcd":
+           grouped_quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], ["p25", "p50", "p90"], accuracy=accuracy).collect()}
+    for g in "abcde":
         vals = np.array([v for k, v in rows if k == g])
         assert got[g] == pytest.approx(tuple(np.percentile(vals, [25, 50, 90])))
 
 
-@pytest.mark.parametrize("bound", [None, 0])
-def test_tercile_paths_agree(spark, bound):
+def test_tercile_equals_pandas(spark):
     import pandas as pd
 
     vals = np.random.default_rng(2).integers(0, 4, size=64).astype(float)
     df = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(vals)], "row_id long, moisture double")
     exp = pd.qcut(pd.Series(vals).rank(method="first"), q=3, labels=["Low", "Medium", "High"]).astype(str).tolist()
     got = [r.moisture_class for r in
-           tercile_class(df, "moisture", ["row_id"], max_sort_rows=bound).orderBy("row_id").collect()]
+           tercile_class(df, "moisture", ["row_id"]).orderBy("row_id").collect()]
     assert got == exp
 
 

@@ -54,7 +54,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_model_fit():
-    qs, sql = E.queries(), E.oracle_sql()
+    from terrapanel.plans.catalog import QUERIES as qs
+    from terrapanel.plans.oracle_sql import SQL as sql
+
     missing = sorted(set(qs) - set(sql))
     assert all(m.startswith("model_") or m == "eda_sample_rows" for m in missing), missing
     assert set(sql) <= set(qs)

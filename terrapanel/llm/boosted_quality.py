@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import flagged, held_out, with_bytes
+from terrapanel.llm.common import slices, flagged, held_out, with_bytes
 from terrapanel.session import materialize
 
 SAMPLE_ROWS = 40_000
@@ -75,7 +75,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     carried = [c for c in docs.columns if c != "text_bytes"]
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(len(carried)).to_pylist()
             x = np.array([statistics(t) for t in texts], np.float32).reshape(-1)
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(FEATURES)
@@ -172,7 +172,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple = ()) -> DataFrame:
     trees = fit(stats.select("doc_id", "held_out", "x"), labels)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array(batch.column(0).flatten(), np.float32).reshape(-1, len(FEATURES))
             p = trees.probability(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(p),

@@ -18,7 +18,26 @@ from terrapanel.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Words whose hash a task remembers; the table is emptied when it is full.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+
+
+BATCH_ROWS = 1000
+
+
+def short_batches(spark) -> None:
+    """Let the session send at most ``BATCH_ROWS`` rows to Python at a time: texts
+    are long, and a batch is held by the JVM and by Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into short ones, so that Python objects exist for few rows
+    at a time; at the end Arrow's pool gives its unused memory back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
@@ -57,6 +76,17 @@ def window_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def runs_of(word_hashes: np.ndarray, lengths: list):
+    """(k, ``window_hashes(word_hashes, k)``) for each of ``lengths``, from one running sum."""
+    total = np.zeros(len(word_hashes), np.uint64)
+    for k in range(1, max(lengths, default=0) + 1):
+        if k > len(word_hashes):
+            return
+        total = total[:len(word_hashes) - k + 1] + word_hashes[k - 1:] * np.uint64(_ODD[k - 1])
+        if k in lengths:
+            yield k, mix(total)
+
+
 def shingle_set(text: bytes | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's ``k``-word shingles; a shorter text
     is one shingle, a text without words has none."""
@@ -70,6 +100,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes, k: int = 5) -> np.ndarra
 
 def with_bytes(df: DataFrame, column: str = "text") -> DataFrame:
     """``text_bytes``: the UTF-8 bytes (null: empty)."""
+    short_batches(df.sparkSession)
     return df.withColumn("text_bytes", F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary")))
 
 
@@ -124,7 +155,8 @@ def gather_blocks(summed: DataFrame, tables: int, size: int, dtype: str) -> np.n
     return out
 
 
-DOC_BITS = 24             # bitmap of hashed keys: 2 MB, at any size
+DOC_BITS = 24             # bitmap of hashed keys, two bits for each key: 2 MB, at any size
+_MASK = np.uint64((1 << DOC_BITS) - 1)
 
 
 def key_bitmap(keys: DataFrame, column: str):
@@ -133,7 +165,9 @@ def key_bitmap(keys: DataFrame, column: str):
     def scan(batches):
         bits = np.zeros(1 << DOC_BITS, bool)
         for batch in batches:
-            bits[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << DOC_BITS) - 1)] = True
+            key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            bits[key & _MASK] = True
+            bits[(key >> np.uint64(DOC_BITS)) & _MASK] = True
         found = list(blocks_of(np.packbits(bits)))
         yield pa.RecordBatch.from_pydict({
             "tab": pa.array([r[0] for r in found], pa.int32()), "block": pa.array([r[1] for r in found], pa.int32()),
@@ -144,8 +178,15 @@ def key_bitmap(keys: DataFrame, column: str):
 
 
 def may_occur(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & np.uint64((1 << DOC_BITS) - 1)
-    return (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    """Whether both bits of each key are set; the second is looked up for the few that have the first."""
+
+    def is_set(at):
+        return (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+    found = is_set(key & _MASK)
+    some = np.flatnonzero(found)
+    found[some] = is_set((key[some] >> np.uint64(DOC_BITS)) & _MASK)
+    return found
 
 
 def flagged(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import held_out
+from terrapanel.llm.common import held_out, short_batches, slices
 
 DIMENSIONS = 1024
 BATCH_CHARS = 2_000_000      # text whose trigrams a task holds at once
@@ -105,7 +105,7 @@ def prototypes(docs: DataFrame) -> tuple:
 
     def scan(batches):
         total: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for cut in _cuts(texts):
                 text, gram, count, points = trigram_counts(texts[cut])
@@ -118,7 +118,7 @@ def prototypes(docs: DataFrame) -> tuple:
 
     def add(batches):
         total: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[lang] = total.get(lang, 0) + np.frombuffer(raw, np.int64)
         yield from _rows(total)
@@ -140,6 +140,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang)."""
+    short_batches(docs.sparkSession)
     docs = docs.withColumn("held_out", held_out("doc_id", 3, 1))
     names, sums = prototypes(docs.where("not held_out and lang is not null and text is not null"))
     units = _unit(sums)
@@ -152,7 +153,7 @@ def predict(docs: DataFrame) -> DataFrame:
     profile = apart(units) if len(names) else units
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             best, score = [], []
             for cut in _cuts(texts):

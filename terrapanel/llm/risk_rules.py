@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import WordHashes, window_hashes, with_bytes
+from terrapanel.llm.common import slices, WordHashes, window_hashes, with_bytes
 from terrapanel.session import materialize
 
 LEAST_WORDS = 50
@@ -74,7 +74,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
     def scan(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([text_counts(t, hashes) for t in batch.column(2).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))],
                                              names=["doc_id", "stratum", *COUNTS])

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import flagged, mix, with_bytes
+from terrapanel.llm.common import slices, flagged, mix, with_bytes
 from terrapanel.session import materialize
 
 LENGTH = 400              # a repeated string of this many bytes is removed
@@ -139,7 +139,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def scan(batches):
         grams = Grams(length, gram)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             ends = np.cumsum([len(t) for t in texts])
             place, fp, ctx, before, after = grams.anchors(np.frombuffer(b"".join(texts), np.uint8), ends)
@@ -304,7 +304,7 @@ def _runs(taken: DataFrame, ranges: int, length: int, reach: int) -> DataFrame:
 
     def scan(batches):
         entries = []
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 text = row["text_bytes"]
                 for c in row["contexts"]:
@@ -347,7 +347,7 @@ def _hot_spans(taken: DataFrame, length: int, reach: int) -> DataFrame:
     """The same spans for grams with very many contexts: every window is a row, counted by Spark."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for row in batch.to_pylist():
                 text = row["text_bytes"]
@@ -425,7 +425,7 @@ def removal(docs: DataFrame, length: int = LENGTH, gram: int | None = None, carr
         split.where("not hit").select("doc_id", "text_bytes", F.lit(None).cast(kind).alias("spans"), *carry))
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             size, gone, count, digest, left = [], [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 cut = union_spans([(x["start"], x["end"]) for x in found or ()], len(text))

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.llm.common import short_batches, slices
+
 CAPACITY = 2048
 SMALLEST = 128            # the least power of two that documents are cut to
 END_ID = 1
-ID_CACHE = 500_000        # words whose ids a Python worker remembers
+ID_CACHE = 1_000_000        # words whose ids a Python worker remembers
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -47,7 +49,8 @@ class WordIds:
     apart by their place.  ``str.split`` also cuts at four control characters
     that the tokenizer keeps; texts with those are encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = ID_CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -70,7 +73,7 @@ class WordIds:
         split = [None if self.odd.search(t) else t.split() for t in texts]
         known = self.known
         new = list({w for words in split for w in words or () if w not in known})
-        if len(known) + len(new) > ID_CACHE:
+        if len(known) + len(new) > self.cache:
             known.clear()
             new = list({w for words in split for w in words or ()})
         self._learn(new)
@@ -81,9 +84,9 @@ class WordIds:
 
 
 @functools.cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache: int) -> WordIds:
     """One for each Python worker, whose tasks share it."""
-    return WordIds(path)
+    return WordIds(path, cache)
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list:
@@ -144,19 +147,24 @@ class Bins:
             yield from self._bin(pieces)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text)."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cached_words: int = ID_CACHE,
+         shared: bool = True) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text).  The ids of ``cached_words``
+    words (some 170 bytes each) are remembered: for all tasks of a Python
+    worker if ``shared``, which keeps the tokenizer in its memory, else by each
+    task for itself."""
 
     def scan(batches):
         from pyspark import TaskContext
 
-        encode, bins = word_ids(tokenizer_path), Bins(TaskContext.get().partitionId(), capacity)
+        encode = (word_ids if shared else WordIds)(tokenizer_path, cached_words)
+        bins = Bins(TaskContext.get().partitionId(), capacity)
 
         def rows(placed):
             cols = list(zip(*((p[0], p[1], p[2], zlib.crc32(p[3].astype("<u4").tobytes()), p[4], s, o) for p, s, o in placed), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             placed = []
             for at in range(0, len(ids), 500):
@@ -174,6 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             yield rows(placed)
 
     names = [c.split()[0] for c in SCHEMA.split(", ")]
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, SCHEMA)
 
 

@@ -25,6 +25,7 @@ columns are ignored (``keep_clean`` keeps all columns).
 
 from __future__ import annotations
 
+import itertools
 import string
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import (BLOCK_SCHEMA, WordHashes, blocks_of, flagged, gather_blocks, key_bitmap, may_occur,
+from terrapanel.llm.common import (slices, BLOCK_SCHEMA, WordHashes, blocks_of, flagged, gather_blocks, key_bitmap, may_occur, runs_of,
                                    sum_blocks, window_hashes, with_bytes)
 from terrapanel.session import materialize
 
@@ -58,14 +59,14 @@ def _word_sketch(docs: DataFrame) -> np.ndarray:
 
     def scan(batches):
         hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             some: list = []
             for text in batch.column(0).to_pylist():
                 some += plain_words(text)
                 if len(some) > 1_000_000:
-                    counts += np.bincount(hashes.of(some) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+                    np.add.at(counts, (hashes.of(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                     some = []
-            counts += np.bincount((hashes.of(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            np.add.at(counts, (hashes.of(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         rows = list(blocks_of(counts))
         for tab, block, raw in rows:
             yield pa.RecordBatch.from_pydict({"tab": pa.array([tab], pa.int32()), "block": pa.array([block], pa.int32()),
@@ -96,7 +97,7 @@ def _seeds(items: DataFrame, sketch) -> DataFrame:
     def scan(batches):
         hashes, counts = WordHashes(), sketch.value
         total = max(float(counts.sum()), 1.0)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = hashes.of(plain_words(text))
@@ -114,26 +115,27 @@ def _passages(docs: DataFrame, bitmap, lengths: list, reach: int) -> DataFrame:
 
     def scan(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
+            words = [plain_words(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(w) for w in words])
+            h = hashes.of(list(itertools.chain.from_iterable(words)))
+            at, seed = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for k, runs in runs_of(h, lengths):
+                hit = np.flatnonzero(may_occur(bitmap.value, runs))
+                hit = hit[hit + k <= ends[np.searchsorted(ends, hit, side="right")]]     # not across documents
+                at.append(hit)
+                seed.append(runs[hit])
+            at, seed = np.concatenate(at), np.concatenate(seed)
+            order = np.argsort(at, kind="stable")
+            at, seed = at[order], seed[order]
+            of = np.searchsorted(ends, at, side="right")
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = plain_words(text)
-                h = hashes.of(words)
-                at, seed = [], []
-                for k in lengths:
-                    runs = window_hashes(h, k)
-                    hit = np.flatnonzero(may_occur(bitmap.value, runs))
-                    at.append(hit)
-                    seed.append(runs[hit])
-                at, seed = np.concatenate(at), np.concatenate(seed)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, seed = at[order], seed[order]
-                for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                    lo, hi = max(0, int(at[some[0]]) - reach), int(at[some[-1]]) + reach
-                    rows.append({"doc_id": doc, "start": lo, "words": b" ".join(words[lo:hi]),
-                                 "seeds": np.unique(seed[some]).view(np.int64).tolist()})
+            for some in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > 2 * reach) | (np.diff(of) > 0)) + 1) if len(at) else ():
+                doc = int(of[some[0]])
+                begin = int(ends[doc]) - len(words[doc])
+                lo, hi = max(0, int(at[some[0]]) - begin - reach), int(at[some[-1]]) - begin + reach
+                rows.append({"doc_id": batch.column(0)[doc].as_py(), "start": lo, "words": b" ".join(words[doc][lo:hi]),
+                             "seeds": np.unique(seed[some]).view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64()))])
@@ -178,7 +180,7 @@ def align(passages: list, items: list) -> list:
 
 def _aligned(pairs: DataFrame) -> DataFrame:
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.to_pylist()
             order = sorted(range(len(rows)), key=lambda i: len(rows[i]["words"]))
             found = []

@@ -1,8 +1,8 @@
 """LM scoring by online logistic context mixing.
 
 A text (A-Z lowered) is coded byte by byte, then an end mark.  Each byte is a
-path of binary decisions through a prefix code learned from the training
-bytes, so a common byte costs few decisions.  For every decision several
+path of binary decisions through a prefix code, one for each byte before it,
+learned from the training bytes, so a common byte costs few decisions.  For every decision several
 predictors, each a table addressed by a hash of (context, place in the code),
 give the log odds of a one; the contexts are the last 1, 2, 3 and 5 bytes and
 the letters of the current word.  The odds are added with weights from the set
@@ -10,7 +10,8 @@ that a gate names (how much the two longest contexts have to say).  The weights
 refined as a text is read, by the error of the decisions before: scores hang
 on the trained tables and the text alone, not on partitions or order.
 
-What is learned comes from all training documents: byte counts (257 numbers),
+What is learned comes from all training documents: counts of byte pairs (257 x 257
+numbers),
 one pair of counters per table slot (a fixed number of slots, summed over
 tasks as blocks that stream by), and exact word counts.  The word counts of
 the base score stay distributed: a task numbers the words of a chunk of
@@ -32,15 +33,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import BLOCK, BLOCK_SCHEMA, WordHashes, gather_blocks, held_out, sum_blocks, with_bytes
+from terrapanel.llm.common import slices, BLOCK, BLOCK_SCHEMA, gather_blocks, held_out, sum_blocks, with_bytes
 from terrapanel.session import materialize
 
 ORDERS = (3, 5)                        # context bytes of the tables; one more holds the word so far
-SLOT_BITS = (20, 23, 23)               # slots of each table
+SLOT_BITS = (20, 22, 22)               # slots of each table
 END = 256                              # the end mark
+TASK_BYTES = 40 << 20                  # text that a task learns from, at least
 CHUNK_BYTES = 32 << 20                 # text whose words a task numbers at once
 SCALE = 12.0                           # log odds are kept in steps of 1/12
 GATES = 9
@@ -54,9 +57,37 @@ _LEVEL = np.array([0] + [1] * 20 + [2] * 235, np.uint8)     # of |log odds| in s
 
 
 def prefix_code(counts: np.ndarray):
-    """(length, first, place, bit): of symbol s the decisions are entries
-    ``first[s] : first[s] + length[s]`` of ``place`` (hash of the place in the
-    code) and ``bit``."""
+    """(length, first, place, bit) of a code for each symbol before: ``counts``
+    is 257 x 257 (symbol before, symbol).  Of symbol s after r the decisions
+    are entries ``first[257 r + s]`` and following of ``place`` (a hash of the
+    place in the code) and ``bit``.  Rows without a count share one code."""
+    length, first = np.zeros((END + 1) ** 2, np.int64), np.zeros((END + 1) ** 2, np.int64)
+    places, bits, codes = [], [], 0
+    every = counts.sum(0)
+    common = None
+    for before in range(END + 1):
+        if counts[before].any():
+            paths = _paths(counts[before] * 1000 + every // max(1, every.sum() // 1000))
+        elif common is None:
+            paths = _paths(every)
+        else:
+            paths = None
+        row = slice(before * (END + 1), (before + 1) * (END + 1))
+        if paths is None:
+            length[row], first[row] = common
+            continue
+        for s, path in enumerate(paths):
+            length[before * (END + 1) + s], first[before * (END + 1) + s] = len(path), len(places)
+            places += [codes * (END + 1) + x for x, _ in path]
+            bits += [x for _, x in path]
+        if not counts[before].any():
+            common = length[row].copy(), first[row].copy()
+        codes += 1
+    return length, first, np.array(places, np.uint32) * np.uint32(0x9E3779B1), np.array(bits, np.uint8)
+
+
+def _paths(counts: np.ndarray) -> list:
+    """Of each symbol the (inner node, bit) decisions of the code with the shortest mean length."""
     tie = itertools.count()
     heap = [(int(c) + 1, next(tie), s) for s, c in enumerate(counts)]
     heapq.heapify(heap)
@@ -65,32 +96,36 @@ def prefix_code(counts: np.ndarray):
         a, b = heapq.heappop(heap), heapq.heappop(heap)
         heapq.heappush(heap, (a[0] + b[0], next(tie), (inner, a[2], b[2])))
         inner += 1
-    paths: dict = {}
-    todo = [(heap[0][2], [])]
+    paths: list = [()] * len(counts)
+    todo = [(heap[0][2], ())]
     while todo:
         at, path = todo.pop()
         if isinstance(at, tuple):
-            todo += [(at[1], path + [(at[0], 0)]), (at[2], path + [(at[0], 1)])]
+            todo += [(at[1], (*path, (at[0], 0))), (at[2], (*path, (at[0], 1)))]
         else:
             paths[at] = path
-    length = np.array([len(paths[s]) for s in range(len(counts))], np.int64)
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    flat = [x for s in range(len(counts)) for x in paths[s]]
-    place = np.array([x for x, _ in flat], np.uint32) * np.uint32(0x9E3779B1)
-    return length, first, place, np.array([x for _, x in flat], np.uint8)
+    return paths
+
+
+def symbols(texts: list):
+    """(bytes, symbols, the symbol before each, sizes): texts laid end to end, each with its end mark."""
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
+    symbol = data.astype(np.uint16)
+    symbol[np.cumsum(sizes) - 1] = END
+    before = np.empty_like(symbol)
+    before[0], before[1:] = END, symbol[:-1]
+    return data, symbol, before, sizes
 
 
 class Contexts:
     """Texts laid end to end as symbols, and each symbol's context hashes."""
 
     def __init__(self, texts: list):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.size = sizes + 1
+        data, self.symbol, before, self.size = symbols(texts)
+        self.pair = before.astype(np.int32) * (END + 1) + self.symbol
         self.end = np.cumsum(self.size)
         begin = self.end - self.size
-        data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
-        self.symbol = data.astype(np.uint16)
-        self.symbol[self.end - 1] = END
         n = len(data)
         # bytes before: nothing is seen across the start of a text
         age = np.arange(n, dtype=np.int64) - np.repeat(begin, self.size)
@@ -122,7 +157,7 @@ class Contexts:
     def decisions(self, code, at):
         """Of the symbols ``at``: (decisions of each symbol, bit, slots of each table)."""
         length, first, place, bit = code
-        s = self.symbol[at]
+        s = self.pair[at]
         n = length[s]
         until = np.cumsum(n)
         where = np.arange(until[-1] if len(n) else 0) + np.repeat(first[s] - until + n, n)
@@ -148,20 +183,32 @@ def _unsqueeze(raw: bytes) -> np.ndarray:
 # ----------------------------------------------------------------- passes
 
 def byte_counts(docs: DataFrame) -> tuple:
-    """(257 symbol counts of the training texts, bytes of all texts)."""
+    """(257 x 257 counts of symbol before and symbol in the training texts, bytes of all texts)."""
 
     def scan(batches):
-        counts, size = np.zeros(END + 1, np.int64), 0
-        for batch in batches:
-            for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size += len(text)
-                if not out:
-                    counts[:END] += np.bincount(np.frombuffer(text.lower(), np.uint8), minlength=END)
-                    counts[END] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(END + 1), -1], pa.int32()), pa.array([*counts, size], pa.int64())], names=["s", "c"])
+        counts, size = np.zeros((END + 1) ** 2, np.int64), 0
+        for batch in slices(batches):
+            texts, outs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            size += sum(map(len, texts))
+            if train := [t.lower() for t, out in zip(texts, outs, strict=True) if not out]:
+                _, symbol, before, _ = symbols(train)
+                counts += np.bincount(before.astype(np.int64) * (END + 1) + symbol, minlength=len(counts))
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([*seen, -1], pa.int32()), pa.array([*counts[seen], size], pa.int64())], names=["s", "c"])
 
     got = dict(docs.select("text_bytes", "held_out").mapInArrow(scan, "s int, c long").groupBy("s").agg(F.sum("c")).collect())
-    return np.array([got.get(s, 0) for s in range(END + 1)], np.int64), got.get(-1, 0)
+    size = got.pop(-1, 0)
+    counts = np.zeros((END + 1) ** 2, np.int64)
+    counts[list(got)] = list(got.values())
+    return counts.reshape(END + 1, END + 1), size
+
+
+class Numbers(dict):
+    """word -> number, in order of first mention."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
 
 
 def _learn(docs: DataFrame, code) -> DataFrame:
@@ -177,14 +224,15 @@ def _learn(docs: DataFrame, code) -> DataFrame:
     def scan(batches):
         from pyspark import TaskContext
 
-        hashes = WordHashes()
+        numbers = Numbers()
         tables = [np.zeros(2 << b, np.uint32) for b in SLOT_BITS]       # counts of zero, of one
         chunk_no, held, bytes_held = TaskContext.get().partitionId() << 32, [], 0
 
         def chunk():
             ids, outs, keys, lens, words = zip(*held, strict=True)
             lens = np.array(lens, np.int64)
-            unique, number = np.unique(np.concatenate(words), return_inverse=True)
+            number = np.concatenate(words)
+            unique = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
             train = np.bincount(number, weights=np.repeat(~np.array(outs, bool), lens), minlength=len(unique)).astype(np.int64)
             for at in range(0, len(unique), 200_000):
                 cut = slice(at, at + 200_000)
@@ -197,7 +245,7 @@ def _learn(docs: DataFrame, code) -> DataFrame:
                 to = min(len(lens), at + 2000)
                 yield rows(1, chunk=pa.array([chunk_no]), doc_ids=pa.array([list(ids[at:to])], pa.list_(pa.int64())),
                            hashes=pa.array([list(keys[at:to])], pa.list_(pa.int64())), lens=pa.array([lens[at:to].tolist()], pa.list_(pa.int64())),
-                           tokens=pa.array([_squeeze(number[first[at]:first[to]].astype(np.uint32))], pa.binary()))
+                           tokens=pa.array([_squeeze(number[first[at]:first[to]])], pa.binary()))
 
         def count(texts):
             c = Contexts(texts)
@@ -208,12 +256,12 @@ def _learn(docs: DataFrame, code) -> DataFrame:
                     slot += bit
                     np.add.at(table, slot, np.uint32(1))
 
-        for batch in batches:
+        for batch in slices(batches):
             some, size = [], 0
             for doc_id, out, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = text.lower()
-                words = hashes.of(text.split())
-                held.append((doc_id, out, key, len(words), words))
+                words = text.split()
+                held.append((doc_id, out, key, len(words), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
                 bytes_held += len(text)
                 if not out:
                     some.append(text)
@@ -223,7 +271,7 @@ def _learn(docs: DataFrame, code) -> DataFrame:
                         some, size = [], 0
                 if bytes_held >= CHUNK_BYTES:
                     yield from chunk()
-                    held, bytes_held = [], 0
+                    held, bytes_held, numbers = [], 0, Numbers()
                     chunk_no += 1
             if some:
                 count(some)
@@ -246,7 +294,7 @@ def _tables(blocks: DataFrame) -> list:
 
     def shape(batches):
         total: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             for tab, block, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 counts = _unsqueeze(raw).astype(np.int64)
                 if (tab, block) in total:
@@ -305,7 +353,7 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
 
 def _scores(docs: DataFrame, code, shared) -> DataFrame:
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.lower() for t in batch.column(3).to_pylist()]
             size = pa.array([len(t) for t in texts], pa.int64())
             bits = np.empty(len(texts))
@@ -333,17 +381,21 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
     spark = docs.sparkSession
     docs = with_bytes(docs).select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"),
                                    F.xxhash64("text_bytes").alias("text_hash"), "text_bytes")
-    counts, _ = byte_counts(docs)
+    counts, size = byte_counts(docs)
     code = prefix_code(counts)
-    learned = materialize(_learn(docs, code))
-    tables = _tables(learned.where("tab is not null")) if counts[END] else [np.zeros(1 << b, np.int8) for b in SLOT_BITS]
+    # a task's tables are worth sending for that much text; its words are numbered chunk by chunk
+    learned = materialize(_learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code))
+    tables = _tables(learned.where("tab is not null")) if counts.any() else [np.zeros(1 << b, np.int8) for b in SLOT_BITS]
     shared = spark.sparkContext.broadcast(tables)        # the slots, whatever the input
 
-    words = learned.where("word is not null").select("word", "chunk", "number", "train")
-    per_word = words.groupBy("word").agg(F.sum("train").alias("c"))
-    found = words.join(per_word, "word").select(F.col("chunk").alias("of_chunk"), "number", "c")
-    n_words, n_distinct = per_word.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = int(counts[END])                              # the end is a token like a word
+    # a word has one row per chunk that holds it: its count is a sum over these, back on every one of them
+    counted = materialize(learned.where("word is not null").select(
+        F.col("chunk").alias("of_chunk"), "number", F.sum("train").over(Window.partitionBy("word")).alias("c"), "train",
+        F.row_number().over(Window.partitionBy("word").orderBy("chunk")).alias("nth")).selectExpr(
+        "of_chunk", "number", "c", "train", "nth = 1 as first"))
+    found = counted.select("of_chunk", "number", "c")
+    n_words, n_distinct = counted.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.expr("first and c > 0"))).first()
+    ends = int(counts[:, END].sum())                      # the end is a token like a word
     total, distinct = n_words + ends, n_distinct + (ends > 0)
     below = math.log10(total + 0.1 * (distinct + 1))
     of_end = math.log10(ends + 0.1) - below

@@ -50,10 +50,10 @@ def test_no_rows_and_no_training_rows(spark, no_docs):
 
 
 def test_code_and_decisions_give_a_distribution():
-    counts = np.zeros(257, np.int64)
-    counts[[97, 98, 256]] = 900, 90, 9
+    counts = np.zeros((257, 257), np.int64)
+    counts[256, [97, 98]], counts[97, [97, 98, 256]] = (900, 90), (9, 800, 70)
     code = context_mixing.prefix_code(counts)
-    assert math.isclose(sum(2.0 ** -int(n) for n in code[0]), 1.0)
+    assert np.allclose((2.0 ** -code[0].reshape(257, 257)).sum(1), 1.0)
     # the chances of all texts of no or one byte and of the longer rest add up to one: sum over first symbols
     tables = [np.random.default_rng(1).integers(-30, 30, 1 << b).astype(np.int8) for b in context_mixing.SLOT_BITS]
     total = 0.0

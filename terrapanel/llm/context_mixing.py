@@ -11,12 +11,14 @@ refined as a text is read, by the error of the decisions before: scores hang
 on the trained tables and the text alone, not on partitions or order.
 
 What is learned comes from all training documents: counts of byte pairs (257 x 257
-numbers),
-one pair of counters per table slot (a fixed number of slots, summed over
-tasks as blocks that stream by), and exact word counts.  The word counts of
-the base score stay distributed: a task numbers the words of a chunk of
-documents, (word, chunk) rows meet the corpus counts in a join, and come back
-to the chunk's token numbers.
+numbers), one pair of counters per table slot, and exact word counts.  A table
+has at least as many slots as the training texts have bytes (a power of two), so
+it grows with the corpus; no process holds one.  A task lists the slots that a
+chunk of documents meets, with the chunk's counts; these lists, cut into groups
+of slots, meet those of the other chunks by group, and the log odds of the sums
+come back to the chunk, which is scored with them.  The word counts of the base
+score go the same way: (word, chunk) rows meet the corpus counts in a join, and
+come back to the chunk's token numbers.
 
 Nulls and odd rows: a null or empty text is the end mark alone.  Rows are
 scored one by one, so repeated rows get equal scores; a null doc_id is hashed
@@ -33,18 +35,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import slices, BLOCK, BLOCK_SCHEMA, gather_blocks, held_out, sum_blocks, with_bytes
+from terrapanel.llm.common import _ODD, slices, held_out, with_bytes
 from terrapanel.session import materialize
 
 ORDERS = (3, 5)                        # context bytes of the tables; one more holds the word so far
-SLOT_BITS = (20, 22, 22)               # slots of each table
+SLOT_BITS = (20, 22, 22)               # slots of each table, at least
 END = 256                              # the end mark
 TASK_BYTES = 40 << 20                  # text that a task learns from, at least
-CHUNK_BYTES = 32 << 20                 # text whose words a task numbers at once
+CHUNK_BYTES = 32 << 20                 # text whose words and slots a task lists at once
+PART_BYTES = 1 << 20                   # text that is scored at once, about
+LIST_BYTES = 1 << 18                   # text whose contexts are listed at once
+GROUP_BYTES = 28                       # a group of slots for so many training bytes (bits), 64 at least
+PAIR = np.uint64((1 << 17) - 1)        # bits of a context hash that are free for a pair of symbols
+SHARED = -128                          # no log odds: the place of two slots
 SCALE = 12.0                           # log odds are kept in steps of 1/12
 GATES = 9
 RATE = 0.001
@@ -129,47 +137,129 @@ class Contexts:
         n = len(data)
         # bytes before: nothing is seen across the start of a text
         age = np.arange(n, dtype=np.int64) - np.repeat(begin, self.size)
-        letter = data.astype(np.uint32) + np.uint32(1)
-        packed, self.hashes = np.zeros(n, np.uint32), []
-        multiplier = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)
+        letter = data.astype(np.uint64) + np.uint64(1)
+        packed, self.hashes = np.zeros(n, np.uint64), []
+        multiplier = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
         for k in range(1, max(ORDERS) + 1):
-            before = np.zeros(n, np.uint32)
+            before = np.zeros(n, np.uint64)
             before[k:] = letter[:-k]
             if k <= n:
                 before[age < k] = 0
-            packed = (packed ^ before) * np.uint32(multiplier[k - 1])
-            packed ^= packed >> np.uint32(15)
+            packed = (packed ^ before) * np.uint64(multiplier[k - 1])
+            packed ^= packed >> np.uint64(29)
             if k in ORDERS:
-                self.hashes.append(packed.copy())
-        # the word so far: running sums modulo 2**32 of the word's letters times powers
+                self.hashes.append(packed & ~PAIR)
+        # the word so far: running sums modulo 2**64 of the word's letters times powers
         space = (data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13)))
         space[self.end - 1] = True
         start = np.where(space, np.arange(1, n + 1), 0)
         start = np.concatenate([[0], np.maximum.accumulate(start)[:-1]])
         place = np.minimum(np.arange(n) - start, 31)
-        powers = np.array([pow(0x01000193, i, 1 << 32) for i in range(32)], np.uint32)
+        powers = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(32)], np.uint64)
         # letters further than 31 from the word's start share the last power
-        weighed = np.concatenate([[0], np.cumsum(letter * powers[place], dtype=np.uint32)]).astype(np.uint32)
+        weighed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * powers[place], dtype=np.uint64)])
         word = weighed[:n] - weighed[start]
-        word = (word + place.astype(np.uint32)) * np.uint32(0x2C1B3C6D)
-        self.hashes.append(word ^ (word >> np.uint32(16)))
+        word = (word + place.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+        self.hashes.append((word ^ (word >> np.uint64(32))) & ~PAIR)
 
-    def decisions(self, code, at):
+    def decisions(self, code, at, sizes=SLOT_BITS):
         """Of the symbols ``at``: (decisions of each symbol, bit, slots of each table)."""
-        length, first, place, bit = code
-        s = self.pair[at]
-        n = length[s]
-        until = np.cumsum(n)
-        where = np.arange(until[-1] if len(n) else 0) + np.repeat(first[s] - until + n, n)
-        places = place[where]
-        slots = []
-        for h, bits in zip(self.hashes, SLOT_BITS, strict=True):
-            x = np.repeat(h[at], n)
-            x += places
-            x *= np.uint32(0xAC4C1B51)
-            x >>= np.uint32(32 - bits)
-            slots.append(x.astype(np.intp))
-        return n, bit[where], slots
+        n, where = _decisions(code, self.pair[at])
+        places = code[2][where]
+        return n, code[3][where], [_slots(np.repeat(h[at], n), places, bits) for h, bits in zip(self.hashes, sizes, strict=True)]
+
+
+def _decisions(code, pair: np.ndarray):
+    """(number of decisions of each pair of symbols, their entries in the code)."""
+    n = code[0][pair]
+    until = np.cumsum(n)
+    return n, np.arange(until[-1] if len(n) else 0) + np.repeat(code[1][pair] - until + n, n)
+
+
+def _slots(context: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
+    x = context + places
+    x *= np.uint64(0xD1342543DE82EF95)
+    x >>= np.uint64(64 - bits)
+    return x.astype(np.intp)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, kind: str = "stable"):
+    """Equal keys once, in order, with the sum of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind=kind)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def _merged(parts: list):
+    """``_summed`` of (keys, counts) pieces, which are given up."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    parts.clear()
+    return _summed(keys, counts)
+
+
+def _slot_counts(keys: np.ndarray, counts: np.ndarray, code, bits: int):
+    """(slots in order, counts of zero, of one) from (context hash and pair of symbols) keys and their counts."""
+    parts = []
+    for at in range(0, len(keys), 1 << 18):              # a context's pairs lie together
+        some = keys[at:at + (1 << 18)]
+        n, where = _decisions(code, (some & PAIR).astype(np.int64))
+        slot = _slots(np.repeat(some & ~PAIR, n), code[2][where], bits)
+        parts.append(_summed(slot * 2 + code[3][where], np.repeat(counts[at:at + (1 << 18)], n), "quicksort"))
+    if not parts:
+        return (np.empty(0, np.int64),) * 3
+    out = []
+    for i in range(16):                                  # a range of slots at a time
+        cuts = [np.searchsorted(k, [i << (bits - 3), (i + 1) << (bits - 3)]) for k, _ in parts]
+        both, n = _merged([(k[a:b], c[a:b]) for (k, c), (a, b) in zip(parts, cuts, strict=True)])
+        if len(both):
+            slot, one = both >> 1, both & 1
+            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            out.append((slot[first], np.add.reduceat(np.where(one, 0, n), first), np.add.reduceat(np.where(one, n, 0), first)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Slots:
+    """Log odds of the slots that a chunk meets.  Tables of hashed slots: a
+    place that two slots share is marked, both are in the next table."""
+
+    def __init__(self, slots: np.ndarray, odds: np.ndarray, bits: int):
+        self.bits, self.tables = bits, []
+        while len(slots):
+            size = max(4, (4 * len(slots)).bit_length())
+            multiplier = np.uint64(_ODD[len(self.tables) % len(_ODD)])
+            at = self._places(slots, multiplier, size)
+            last = np.empty(1 << size, np.int32)
+            last[at] = np.arange(len(at), dtype=np.int32)
+            table = np.zeros(1 << size, np.int8)
+            table[at] = odds
+            table[at[last[at] != np.arange(len(at))]] = SHARED
+            self.tables.append((multiplier, size, table))
+            shared = table[at] == SHARED
+            slots, odds = slots[shared], odds[shared]
+
+    @staticmethod
+    def _places(slots, multiplier, size):
+        x = slots.astype(np.uint64)
+        x *= multiplier
+        x >>= np.uint64(64 - size)
+        return x.astype(np.intp)
+
+    def __len__(self):
+        return 1 << self.bits
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        out, left = np.full(len(slots), SHARED, np.int8), None
+        for multiplier, size, table in self.tables:
+            if left is None:
+                out = table[self._places(slots, multiplier, size)]
+                left = np.flatnonzero(out == SHARED)
+            else:
+                out[left] = found = table[self._places(slots[left], multiplier, size)]
+                left = left[found == SHARED]
+        return out
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
@@ -211,12 +301,12 @@ class Numbers(dict):
         return value
 
 
-def _learn(docs: DataFrame, code) -> DataFrame:
-    """In one pass: the tables' counters (tab, block, counts), the words of each
-    chunk (word, chunk, number, train) and its token numbers (chunk, docs, ...)."""
-    names = ["tab", "block", "counts", "word", "chunk", "number", "train", "doc_ids", "hashes", "lens", "tokens"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
-             pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
+    """In one pass, of each chunk: its slots and counts (tab, group, chunk, slots, counts),
+    its words (word, chunk, number, train), its documents (chunk, doc_ids, ...)."""
+    names = ["tab", "group", "slots", "counts", "word", "chunk", "number", "train", "doc_ids", "outs", "hashes", "lens", "tokens", "sizes", "texts"]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
+             pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def rows(n, **given):
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
@@ -224,12 +314,21 @@ def _learn(docs: DataFrame, code) -> DataFrame:
     def scan(batches):
         from pyspark import TaskContext
 
-        numbers = Numbers()
-        tables = [np.zeros(2 << b, np.uint32) for b in SLOT_BITS]       # counts of zero, of one
+        numbers, seen = Numbers(), [[] for _ in sizes]
         chunk_no, held, bytes_held = TaskContext.get().partitionId() << 32, [], 0
 
         def chunk():
-            ids, outs, keys, lens, words = zip(*held, strict=True)
+            for tab, (parts, bits) in enumerate(zip(seen, sizes, strict=True)):
+                keys, n = _merged(parts)
+                slot, *counts = _slot_counts(keys, n, code, bits)
+                group = slot >> (bits - group_bits)
+                starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                slot &= (1 << (bits - group_bits)) - 1
+                cuts = [slice(a, b) for a, b in itertools.pairwise([*starts.tolist(), len(slot)])]
+                yield rows(len(cuts), tab=pa.array([tab] * len(cuts), pa.int32()), group=pa.array(group[starts]), chunk=pa.array([chunk_no] * len(cuts), pa.int64()),
+                           slots=pa.array([_squeeze(np.diff(slot[c], prepend=0).astype(np.uint32)) for c in cuts], pa.binary()),
+                           counts=pa.array([_squeeze(np.concatenate([x[c] for x in counts]).astype(np.uint32)) for c in cuts], pa.binary()))
+            ids, outs, keys, lens, words, texts = zip(*held, strict=True)
             lens = np.array(lens, np.int64)
             number = np.concatenate(words)
             unique = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
@@ -241,81 +340,88 @@ def _learn(docs: DataFrame, code) -> DataFrame:
                            number=pa.array(np.arange(at, at + n), pa.int32()), train=pa.array(train[cut]))
             # token numbers in byte planes, the documents of a chunk in a few rows
             first = np.concatenate([[0], np.cumsum(lens)])
-            for at in range(0, len(lens), 2000):
-                to = min(len(lens), at + 2000)
+            at = 0
+            while at < len(lens):
+                to, size = at, 0
+                while to < len(lens) and to < at + 2000 and (to == at or size + len(texts[to]) <= PART_BYTES):
+                    size += len(texts[to])
+                    to += 1
                 yield rows(1, chunk=pa.array([chunk_no]), doc_ids=pa.array([list(ids[at:to])], pa.list_(pa.int64())),
+                           outs=pa.array([list(outs[at:to])], pa.list_(pa.bool_())),
                            hashes=pa.array([list(keys[at:to])], pa.list_(pa.int64())), lens=pa.array([lens[at:to].tolist()], pa.list_(pa.int64())),
-                           tokens=pa.array([_squeeze(number[first[at]:first[to]])], pa.binary()))
+                           tokens=pa.array([_squeeze(number[first[at]:first[to]])], pa.binary()),
+                           sizes=pa.array([[len(t) for t in texts[at:to]]], pa.list_(pa.int64())),
+                           texts=pa.array([zlib.compress(b"".join(texts[at:to]), 1)], pa.binary()))
+                at = to
 
-        def count(texts):
+        def count(texts, train):
             c = Contexts(texts)
-            for at in range(0, len(c.symbol), 1 << 15):
-                _, bit, slots = c.decisions(code, slice(at, at + (1 << 15)))
-                for table, slot in zip(tables, slots, strict=True):
-                    slot *= 2
-                    slot += bit
-                    np.add.at(table, slot, np.uint32(1))
+            pair = c.pair.astype(np.uint64)
+            for parts, h in zip(seen, c.hashes, strict=True):
+                keys, n = np.unique(h | pair, return_counts=True)
+                parts.append((keys, n.astype(np.uint32) * np.uint32(train)))
+                if sum(len(k) for k, _ in parts[1:]) > max(1 << 18, len(parts[0][0])):
+                    parts.append(_merged(parts))
 
         for batch in slices(batches):
-            some, size = [], 0
+            some, size = ([], []), [0, 0]
             for doc_id, out, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = text.lower()
                 words = text.split()
-                held.append((doc_id, out, key, len(words), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
+                held.append((doc_id, out, key, len(words), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), text))
                 bytes_held += len(text)
-                if not out:
-                    some.append(text)
-                    size += len(text)
-                    if size > 4 << 20:
-                        count(some)
-                        some, size = [], 0
+                some[out].append(text)
+                size[out] += len(text)
+                if size[out] > LIST_BYTES:
+                    count(some[out], not out)
+                    some[out].clear()
+                    size[out] = 0
                 if bytes_held >= CHUNK_BYTES:
+                    for of in (0, 1):
+                        if some[of]:
+                            count(some[of], not of)
+                    some, size = ([], []), [0, 0]
                     yield from chunk()
                     held, bytes_held, numbers = [], 0, Numbers()
                     chunk_no += 1
-            if some:
-                count(some)
+            for of in (0, 1):
+                if some[of]:
+                    count(some[of], not of)
         if held:
             yield from chunk()
-        for t, table in enumerate(tables):
-            for at in range(0, len(table), 2 * BLOCK):
-                part = table[at:at + 2 * BLOCK]
-                if part.any():
-                    yield rows(1, tab=pa.array([t], pa.int32()), block=pa.array([at // (2 * BLOCK)], pa.int32()),
-                               counts=pa.array([_squeeze(part)], pa.binary()))
-
-    schema = ("tab int, block int, counts binary, word long, chunk long, number int, train long, "
-              "doc_ids array<long>, hashes array<long>, lens array<long>, tokens binary")
+
+    schema = ("tab int, group long, slots binary, counts binary, word long, chunk long, number int, train long, doc_ids array<long>, "
+              "outs array<boolean>, hashes array<long>, lens array<long>, tokens binary, sizes array<long>, texts binary")
     return docs.select("doc_id", "held_out", "text_hash", "text_bytes").mapInArrow(scan, schema)
 
 
-def _tables(blocks: DataFrame) -> list:
-    """Log odds of each slot, in steps; summed and shaped where the blocks meet."""
+_ODDS_SCHEMA = "of_chunk long, tab int, group long, slots binary, odds binary"
 
-    def shape(batches):
-        total: dict = {}
-        for batch in slices(batches):
-            for tab, block, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                counts = _unsqueeze(raw).astype(np.int64)
-                if (tab, block) in total:
-                    total[tab, block] += counts
-                else:
-                    total[tab, block] = counts
-        for (tab, block), counts in total.items():
-            odds = np.log((counts[1::2] + 0.4) / (counts[::2] + 0.4))
-            yield pa.RecordBatch.from_pydict({
-                "tab": pa.array([tab], pa.int32()), "block": pa.array([block], pa.int32()),
-                "counts": pa.array([np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8).tobytes()], pa.binary())})
-
-    shaped = blocks.select("tab", "block", "counts").repartition(32, "tab", "block").mapInArrow(shape, BLOCK_SCHEMA)
-    size = 1 << max(SLOT_BITS)
-    whole = gather_blocks(shaped, len(SLOT_BITS), size, "int8")     # one byte a slot, whatever the input
-    return [whole[t, :1 << b].copy() for t, b in enumerate(SLOT_BITS)]
+
+def slot_bits(trained: int) -> list:
+    """Slots of each table (as a power of two) after so many training bytes."""
+    return [max(bits, trained.bit_length()) for bits in SLOT_BITS]
+
+
+def _log_odds(table: pa.Table) -> pa.Table:
+    """Of one group of a table's slots, from the counts of all chunks: each chunk's slots and their log odds, in steps."""
+    slots = [np.cumsum(_unsqueeze(raw), dtype=np.int64) for raw in table["slots"].to_pylist()]
+    counts = np.concatenate([_unsqueeze(raw).reshape(2, -1) for raw in table["counts"].to_pylist()], axis=1).astype(np.int64)
+    every = np.concatenate(slots)
+    order = np.argsort(every, kind="stable")
+    starts = np.concatenate([[True], np.diff(every[order]) > 0])
+    zero, one = np.add.reduceat(counts[:, order], np.flatnonzero(starts), axis=1)
+    steps = np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) * SCALE), -127, 127).astype(np.int8)
+    back = np.empty(len(every), np.int8)
+    back[order] = steps[np.cumsum(starts) - 1]
+    odds = np.split(back, np.cumsum([len(x) for x in slots])[:-1])
+    return pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
+                     "odds": pa.array([zlib.compress(x.tobytes(), 1) for x in odds], pa.binary())})
 
 
 def text_scores(texts: list, code, tables: list) -> np.ndarray:
     """log2 probability of each (lowered) text and its end mark."""
-    bits = np.zeros(len(texts))
+    bits, sizes = np.zeros(len(texts)), [len(t).bit_length() - 1 for t in tables]
     order = np.argsort([-len(t) for t in texts], kind="stable")
     for at in range(0, len(order), 256):
         some = order[at:at + 256]
@@ -330,7 +436,7 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
             live = int(np.searchsorted(-c.size, -done, side="left"))     # sizes fall: texts longer than done
             n = np.minimum(c.size[:live] - done, step)
             where = np.arange(int(n.sum())) + np.repeat(begin[:live] + done - np.cumsum(n) + n, n)
-            decisions, bit, slots = c.decisions(code, where)
+            decisions, bit, slots = c.decisions(code, where, sizes)
             odds = [t[s] for t, s in zip(tables, slots, strict=True)]
             until = np.cumsum(np.add.reduceat(decisions, np.cumsum(n) - n))     # decisions end, by text
             gate = _LEVEL[np.abs(odds[-1])] * np.uint8(3) + _LEVEL[np.abs(odds[-2])]
@@ -351,25 +457,33 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
     return bits
 
 
-def _scores(docs: DataFrame, code, shared) -> DataFrame:
-    def scan(batches):
-        for batch in slices(batches):
-            texts = [t.lower() for t in batch.column(3).to_pylist()]
-            size = pa.array([len(t) for t in texts], pa.int64())
-            bits = np.empty(len(texts))
-            at = 0
-            while at < len(texts):                      # a few MB of text at a time
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= 4 << 20):
-                    held += len(texts[to])
-                    to += 1
-                bits[at:to] = text_scores(texts[at:to], code, shared.value)
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), size, pa.array(bits)],
-                                             names=["doc_id", "held_out", "text_hash", "n_bytes", "log2"])
+def _scores(learned: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
+    """Chunk by chunk, from its documents and the log odds of its slots."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        for tab, bits in enumerate(sizes):
+            mine = right.filter(pc.equal(right["tab"], tab))
+            slots = [np.cumsum(_unsqueeze(raw), dtype=np.int64) + (g << (bits - group_bits))
+                     for g, raw in zip(mine["group"].to_pylist(), mine["slots"].to_pylist(), strict=True)]
+            odds = [np.frombuffer(zlib.decompress(raw), np.int8) for raw in mine["odds"].to_pylist()]
+            tables.append(Slots(np.concatenate(slots), np.concatenate(odds), bits))
+        out = {"doc_id": [], "held_out": [], "text_hash": [], "n_bytes": [], "log2": []}
+        for row in left.to_pylist():                    # a few MB of text at a time
+            whole, until = zlib.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
+            out["log2"] += text_scores([whole[b - n:b] for b, n in zip(until, row["sizes"], strict=True)], code, tables).tolist()
+            out["doc_id"] += row["doc_ids"]
+            out["held_out"] += row["outs"]
+            out["text_hash"] += row["hashes"]
+            out["n_bytes"] += row["sizes"]
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text_hash", pa.int64()),
+                                               ("n_bytes", pa.int64()), ("log2", pa.float64())]))
 
-    return docs.select("doc_id", "held_out", "text_hash", "text_bytes").mapInArrow(
-        scan, "doc_id long, held_out boolean, text_hash long, n_bytes long, log2 double")
+    odds = learned.where("tab is not null").select("tab", "group", "chunk", "slots", "counts").groupBy("tab", "group").applyInArrow(
+        _log_odds, _ODDS_SCHEMA)
+    chunks = learned.where("texts is not null").select("chunk", "doc_ids", "outs", "hashes", "sizes", "texts")
+    return chunks.groupBy("chunk").cogroup(odds.groupBy("of_chunk")).applyInArrow(
+        score, "doc_id long, held_out boolean, text_hash long, n_bytes long, log2 double")
 
 
 # ---------------------------------------------------------------- operator
@@ -383,10 +497,10 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
                                    F.xxhash64("text_bytes").alias("text_hash"), "text_bytes")
     counts, size = byte_counts(docs)
     code = prefix_code(counts)
-    # a task's tables are worth sending for that much text; its words are numbered chunk by chunk
-    learned = materialize(_learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code))
-    tables = _tables(learned.where("tab is not null")) if counts.any() else [np.zeros(1 << b, np.int8) for b in SLOT_BITS]
-    shared = spark.sparkContext.broadcast(tables)        # the slots, whatever the input
+    trained = int(counts.sum())
+    sizes, group_bits = slot_bits(trained), max(6, (trained >> GROUP_BYTES).bit_length())
+    # a task works chunk by chunk; few tasks, so that chunks are full
+    learned = materialize(_learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code, sizes, group_bits))
 
     # a word has one row per chunk that holds it: its count is a sum over these, back on every one of them
     counted = materialize(learned.where("word is not null").select(
@@ -422,7 +536,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
     base = chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(
         base_scores, "doc_id long, text_hash long, n_tokens long, n_known long, base_score double")
     base = base.dropDuplicates(["doc_id", "text_hash"])  # repeated rows have equal scores
-    return _scores(docs, code, shared).alias("s").join(
+    return _scores(learned, code, sizes, group_bits).alias("s").join(
         base.alias("b"), F.expr("s.doc_id <=> b.doc_id and s.text_hash = b.text_hash"), "left").select(
         "s.doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score",
         (F.col("log2") * math.log10(2)).alias("score"), "n_bytes",

@@ -72,6 +72,34 @@ def test_code_and_decisions_give_a_distribution():
     assert abs(total - 1) < 1e-3
 
 
+def test_tables_grow_with_the_training_text(docs, monkeypatch):
+    assert all(b >= 40 for b in context_mixing.slot_bits(1 << 40))
+    monkeypatch.setattr(context_mixing, "SLOT_BITS", (8, 8, 8))
+    rows = docs.select("doc_id", "text").collect()
+    texts = [(r.text or "").encode().lower() for r in rows]
+    train = [t for r, t in zip(rows, texts, strict=True) if crc(r.doc_id) % 10]
+    _, symbol, before, _ = context_mixing.symbols(train)
+    counts = np.bincount(before.astype(int) * 257 + symbol, minlength=257 * 257).reshape(257, 257)
+    code, bits = context_mixing.prefix_code(counts), context_mixing.slot_bits(int(counts.sum()))
+    assert min(bits) > 14
+    c = context_mixing.Contexts(train)
+    _, bit, slots = c.decisions(code, np.arange(len(c.symbol)), bits)
+    tables = []
+    for b, s in zip(bits, slots, strict=True):
+        n = np.bincount(s * 2 + bit, minlength=2 << b)
+        tables.append(np.clip(np.rint(np.log((n[1::2] + 0.4) / (n[::2] + 0.4)) * context_mixing.SCALE), -127, 127).astype(np.int8))
+    want = Counter((r.doc_id, round(x * math.log10(2), 4)) for r, x in zip(rows, context_mixing.text_scores(texts, code, tables), strict=True))
+    assert want == Counter((r.doc_id, round(r.score, 4)) for r in context_mixing.score_texts(docs).collect())
+
+
+def test_slots_of_a_chunk_keep_their_odds():
+    rng = np.random.default_rng(2)
+    slots = np.unique(rng.integers(0, 1 << 45, 50_000))
+    odds = rng.integers(-127, 128, len(slots)).astype(np.int8)
+    some = rng.integers(0, len(slots), 100_000)
+    assert np.array_equal(context_mixing.Slots(slots, odds, 45)[slots[some]], odds[some])
+
+
 def test_mixing_beats_the_base_on_held_out_texts(spark):
     got = context_mixing.op1_context_mixing(spark, SF).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]

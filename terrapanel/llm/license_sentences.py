@@ -1,14 +1,20 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (at full stops, question and exclamation marks
-before white space, and at blank lines).  A sentence is normalised: lower case,
-anything but letters a-z and digits becomes one space.  Known sentences have
-identifiers; a sentence that is not known is looked up line by line, so that a
-notice below an unfinished line is found.  The text becomes a string of
+Marks of comments before a line (``*``, ``//``, ``#`` and the like) are taken
+away.  A text is cut into sentences (at full stops, question and exclamation
+marks before white space, at blank lines, and around an SPDX line).  A sentence
+is normalised: lower case, anything but letters a-z and digits becomes one
+space.  Known sentences have identifiers; in a sentence that is not known, known
+ones are found at word borders (the longest of those that begin first, none
+after "not"), so that a header below a copyright line is found; an SPDX line has
+to be known as a whole.  The text becomes a string of
 identifiers, unknown sentences are marks between them.  A licence rule is an
 ordered list of identifiers; it holds where they follow each other with at
 most ``GAP`` unknown sentences between two.
 
+``SQL`` knows the first table of sentences and whole lines only; both agree on
+texts without commented headers, sentences run together and the later sentences.
+
 No row meets another, so nothing is shuffled and no group can be hot.
 
 Nulls and odd rows: a null or empty text has no sentences and no licence
@@ -121,29 +127,94 @@ def rule_pattern(identifiers, known: dict) -> str:
     return ("_{0,%d}" % GAP).join(f"<{known[i]}>" for i in identifiers)
 
 
+# Sentences that the SQL twin does not know.
+_VERSIONS = [("gpl", "GPL", "", "2", "2.0"), ("gpl", "GPL", "", "3", "3.0"), ("lgpl", "LGPL", "lesser ", "2 1", "2.1"),
+             ("lgpl", "LGPL", "lesser ", "3", "3.0"), ("agpl", "AGPL", "affero ", "3", "3.0")]
+_TITLES = {"GPL-2.0": "gnu general public license version 2 june 1991", "GPL-3.0": "gnu general public license version 3 29 june 2007",
+           "LGPL-2.1": "gnu lesser general public license version 2 1 february 1999",
+           "LGPL-3.0": "gnu lesser general public license version 3 29 june 2007", "AGPL-3.0": "gnu affero general public license version 3 19 november 2007"}
+MORE_SENTENCES = {
+    "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+    "fitness for a particular purpose": "gpl-hope",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnu-verbatim",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+    "above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the "
+    "above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this "
+    "software": "isc-liability",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-form",
+    "if a copy of the mpl was not distributed with this file": "mpl-copy",
+    "means each individual or legal entity that creates contributes to the creation of or owns covered software": "mpl-contributor",
+    "this is free and unencumbered software released into the public domain": "unlicense-domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for "
+    "any purpose commercial or non commercial and by any means": "unlicense-use",
+}
+MORE_RULES = [
+    ("ISC", ["isc-grant", "isc-warranty", "isc-liability"]),
+    ("MPL-2.0", ["mpl-form", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-contributor"]),
+    ("Unlicense", ["unlicense-domain", "unlicense-use"]),
+]
+
+
+def all_sentences() -> dict:
+    """``known_sentences`` and the later ones: GNU headers with any subject, titles of GNU texts, later versions."""
+    out = known_sentences()
+    out.update(MORE_SENTENCES)
+    for key, name, kind, spoken, version in _VERSIONS:
+        license_name, terms = f"gnu {kind}general public license", "you can redistribute it and or modify it under the terms of the "
+        published = "as published by the free software foundation"
+        out[f"{terms}{license_name} {published} either version {spoken} of the license or at your option any later version"] = f"{key}-{spoken}-later"
+        for only in (f"version {spoken} {published}", f"{published} version {spoken} of the license", f"{published} version {spoken}"):
+            out[f"{terms}{license_name} {only}"] = f"{key}-{spoken}-only"
+        for ending in ("or later", "or any later version", "or at your option any later version"):
+            for beginning in BEGINNINGS:
+                out[f"{beginning} the {license_name} version {spoken} {ending}"] = f"notice-{name}-{version}-or-later"
+        out[f"spdx license identifier {name.lower()} {version.replace('.', ' ')} or later"] = f"notice-{name}-{version}-or-later"
+        out[_TITLES[f"{name}-{version}"]] = f"{key}-{spoken}-title"
+    return out
+
+
+def all_rules() -> list:
+    out = rules() + MORE_RULES
+    for key, name, _, spoken, version in _VERSIONS:
+        out += [(f"{name}-{version}-or-later", [f"{key}-{spoken}-later", "gpl-hope"]), (f"{name}-{version}-only", [f"{key}-{spoken}-only"]),
+                (f"{name}-{version}-only", [f"{key}-{spoken}-title", "gnu-verbatim"]),
+                (f"{name}-{version}-or-later", [f"notice-{name}-{version}-or-later"])]
+    return out
+
+
+# Every known sentence but SPDX lines has one of these; few others do.
+_ANCHORS = "ed under|licens|permi|redistrib|software|warrant|mpl|copyright"
+_LEADERS = r"(?md)^[ \t]*(?:<!--|\(\*|(?:dnl|rem)\b)?[ \t/*#;%!|>-]+"
+_SPDX = r"(?md)^(spdx-license-identifier:[^\n]*)"
 _STOP = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted, joined by commas), sentence_ids (in the order
     of the text, joined by commas), n_sentences of every row of ``docs`` (doc_id, text)."""
-    known = numbers()
-    table = F.create_map(*[F.lit(x) for text, key in known_sentences().items() for x in (text, f"<{known[key]}>")])
-
-    def identify(s):
-        return F.try_element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    sentences = all_sentences()
+    known = {key: i + 1 for i, key in enumerate(dict.fromkeys(sentences.values()))}
+    table = F.create_map(*[F.lit(x) for text, key in sentences.items() for x in (text, f"<{known[key]}>")])
+    inside = "|".join(sorted((text for text in sentences if not text.startswith("spdx ")), key=lambda text: (-len(text), text)))
 
     def marks(s):
-        whole = identify(s)
-        lines = F.transform(F.split(s, "\n"), lambda line: F.coalesce(identify(line), F.lit("_")))
-        found = F.filter(lines, lambda m: m != "_")
-        return F.coalesce(whole, F.when(F.size(found) > 0, F.array_join(found, "")).otherwise("_"))
-
-    sentences = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _STOP), lambda s: s.rlike("[a-z0-9]"))
+        found = F.when(s.rlike(_ANCHORS) & ~s.startswith("spdx license identifier "),
+                       F.regexp_extract_all(s, F.lit(rf"(?<![a-z0-9])(?<!\bnot )({inside})(?![a-z0-9])"), F.lit(1)))
+        return F.coalesce(F.try_element_at(table, s), F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: F.try_element_at(table, x)), "")),
+                          F.lit("_"))
+
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _LEADERS, ""), _SPDX, "\n\n$1\n\n")
+    cut = F.filter(F.split(text, _STOP), lambda s: s.rlike("[a-z0-9]"))
+    sentences = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     marked = docs.select("doc_id", F.transform(sentences, marks).alias("m")).select(
         "doc_id", F.array_join("m", "").alias("m"), F.size("m").cast("long").alias("n_sentences"))
     by_license: dict = {}
-    for license_id, identifiers in rules():
+    for license_id, identifiers in all_rules():
         by_license.setdefault(license_id, []).append(rule_pattern(identifiers, known))
     any_known = F.col("m").contains("<")
     hits = F.array_compact(F.array(*[F.when(F.col("m").rlike("|".join(f"({p})" for p in patterns)), name)

@@ -1,5 +1,6 @@
 """WARC archives, license scans, registered queries, the pipeline."""
 import io
+import re
 import uuid
 from collections import Counter
 
@@ -101,6 +102,78 @@ def test_licenses_by_sentence_rules(spark, docs):
     assert Counter(map(tuple, mine)) == Counter(want)
 
 
+APACHE = """Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """Copyright (C) 2020 X
+This file is part of Y.
+
+Y is free software%s you can redistribute it and/or modify
+it under the terms of the GNU %sGeneral Public License as published by
+the Free Software Foundation, either version %s of the License, or
+(at your option) any later version.
+
+Y is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+ISC = """Copyright (c) 2020 X
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+
+def commented(text, first, each, last):
+    return "\n".join([*([first] if first else []), *((each + x).rstrip() for x in text.split("\n")), *([last] if last else []), "int x = 1;"])
+
+
+def test_licenses_in_comments(spark):
+    headers = {"Apache-2.0": APACHE, "MIT": MIT.replace("A Name\n\n", "A Name\n"), "ISC": ISC, "MPL-2.0": MPL, "Unlicense": UNLICENSE,
+               "GPL-2.0-or-later": GNU % (";", "", "2"), "GPL-3.0-or-later": GNU % (":", "", "3"),
+               "LGPL-2.1-or-later": GNU % (";", "Lesser ", "2.1"), "LGPL-3.0-or-later": GNU % (":", "Lesser ", "3"),
+               "AGPL-3.0-or-later": GNU % (":", "Affero ", "3")}
+    styles = [("", "", ""), ("/*", " * ", " */"), ("", "# ", ""), ("", "// ", ""), ("<!--", "  ", "-->"), ("", ";; ", ""), ("", "-- ", "")]
+    rows = [(name, commented(text, *style)) for name, text in headers.items() for style in styles]
+    rows += [("GPL-3.0-or-later", "// SPDX-License-Identifier: GPL-3.0-or-later\n// Copyright X\nint x;"),
+             ("LGPL-2.1-or-later", "/* SPDX-License-Identifier: LGPL-2.1-or-later */"), ("", "# SPDX-License-Identifier: MIT-0"),
+             ("GPL-2.0-or-later", "Foo is nice and released under the GNU General Public License, version 2 or later"),
+             ("", "This is not licensed under the MIT License."), ("", "We were licensed under the MIT licenses.")]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_sentences.scan(df).collect()}
+    assert [(rows[i], got[i]) for i in range(len(rows)) if got[i] != rows[i][0]] == []
+
+
+def test_every_known_sentence_has_an_anchor():
+    assert all(re.search(license_sentences._ANCHORS, x) for x in license_sentences.all_sentences() if not x.startswith("spdx "))
+
+
 def test_license_scan_has_no_python(spark):
     plan = license_sentences.op5_license_sentences(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -2,16 +2,24 @@
 
 Every whole text gets the base counts, and from them a few ratios.  A rule
 rejects a text whose ratio exceeds a cutoff.  Cutoffs are chosen from fixed
-grids, for each stratum (language) and rule by itself: over the labelled rows
-that pass the base rules, the good ones (quality 1) above each cutoff are
-counted, and the cutoff is admitted only if the exact binomial upper bound of
-its false rejection rate is at most ``RISK / rules``, at an error level of
-``LEVEL / (strata * rules)`` (Bonferroni).  Cutoffs of one grid are tested from
-the gentlest on, until the first that fails, which needs no further correction.
-So with probability 1 - ``LEVEL``, all rules together falsely reject at most
-``RISK`` of the good texts of every stratum.  Of the admitted cutoffs, the one
-that rejects most of the bad texts (quality 0) is used, the gentlest of equals;
-a rule that admits none, or whose cutoffs reject no bad text, is not used there.
+grids, for each stratum (language) by itself, as one ordered sequence of rule
+sets: a quarter of the labelled rows that pass the base rules (by a hash of
+doc_id) orders them, from no rule on, each set being the one before with the
+next cutoff that rejects most more bad rows (quality 0) for the good ones
+(quality 1) it rejects.  The good rows of the other three quarters test the sets
+in that order, until the first that fails: a set is admitted only if the exact
+binomial upper bound of its false rejection rate is at most ``RISK``, at an
+error level of ``LEVEL / strata``.  Neither the sequence nor the rules of a set
+need a correction, as rows of the test had no say in the order.  So with
+probability 1 - ``LEVEL``, all rules together falsely reject at most ``RISK`` of
+the good texts of every stratum.  Of the admitted sets, the one that rejects
+most of the bad texts is used, the gentlest of equals.
+
+A stratum whose test has fewer than log(``LEVEL / strata``) / log(1 - ``RISK``)
+good rows (149 for one, 217 for four: some 290 with the ordering quarter) can
+admit nothing, however well the rules do; it takes no part, does not raise the
+need of the others, and only the base rules decide there.  ``n_rules`` is the
+number of rules in use in a row's stratum: 0 names the strata without one.
 
 Nulls and odd rows: a null or empty text has no words and fails the base.  A
 null lang is the stratum ``none``.  Labels that are null, or of documents not
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import slices, WordHashes, window_hashes, with_bytes
+from terrapanel.llm.common import held_out, slices, WordHashes, window_hashes, with_bytes
 from terrapanel.session import materialize
 
 LEAST_WORDS = 50
@@ -113,32 +121,71 @@ def choose(good: np.ndarray, bad: np.ndarray, n_good: int, risk: float, level: f
     return best if best is not None and bad[best] else None
 
 
+def ordered_sets(first: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list:
+    """Rule sets, each stricter than the one before: of each rule the index of its cutoff, or None.
+    ``first``: the gentlest cutoff that rows of a kind exceed, by rule; ``good`` and ``bad``: such rows."""
+    sizes = [len(grid) for grid in GRID.values()]
+    chosen, out, held = [None] * len(sizes), [], np.ones(len(first), bool)
+    while True:
+        best = None
+        for rule, size in enumerate(sizes):
+            # a cutoff stricter than the one in use
+            for cut in range(0 if chosen[rule] is None else chosen[rule] + 1, size):
+                more = held & (first[:, rule] <= cut)
+                gain = int(bad[more].sum())
+                if gain:
+                    # most bad rows for a good one; the gentlest of equals
+                    rank = (gain / (int(good[more].sum()) + 0.5), -cut, -rule)
+                    if best is None or rank > best[0]:
+                        best = (rank, rule, cut, more)
+        if best is None:
+            return out
+        _, rule, cut, more = best
+        chosen[rule] = cut
+        held &= ~more
+        out.append(tuple(chosen))
+
+
+def tested_strata(n_good: dict) -> dict:
+    """stratum -> good rows of its test, of the strata that can admit a set at all; the number of
+    rows alone decides, so that leaving out the others needs no correction."""
+    most = sorted(n_good.items(), key=lambda x: (-x[1], x[0]))
+    for m in range(len(most), 0, -1):
+        if binomial_at_most(0, most[m - 1][1], RISK) <= LEVEL / m:
+            return dict(most[:m])
+    return {}
+
+
 def thresholds(counted: DataFrame, labels: DataFrame) -> list:
-    """(stratum, rule, cutoff, n_good, falsely rejected) of the rules in use;
-    counts per stratum, rule and grid cell come to the driver."""
+    """(stratum, rule, cutoff, n_good, falsely rejected by the stratum's set) of the rules in use; counts
+    per stratum and combination of grid cells come to the driver (their number is bounded by the grids)."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counted.where("not base_failed").join(labels, "doc_id")
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), sum((F.col(rule) > cut).cast("int") for cut in grid).alias("passed"))
-                      for rule, grid in GRID.items()])
-    table = (held.select("stratum", (F.col("quality") > 0).cast("int").alias("good"), F.explode(cells).alias("c"))
-             .groupBy("stratum", "c.rule", "c.passed", "good").agg(F.count(F.lit(1)).alias("n")).collect())
-    strata = sorted({r["stratum"] for r in table})
+    joined = counted.where("not base_failed").join(labels, "doc_id")
+    cells = [sum((F.col(rule) <= cut).cast("int") for cut in grid).alias(f"cut_{rule}") for rule, grid in GRID.items()]
+    table = (joined.select("stratum", (F.col("quality") > 0).cast("int").alias("good"), held_out("doc_id", 4, 0).cast("int").alias("orders"), *cells)
+             .groupBy("stratum", "good", "orders", *[f"cut_{rule}" for rule in GRID]).agg(F.count(F.lit(1)).alias("n")).collect())
+    by_stratum: dict = {}
+    for row in sorted(map(tuple, table)):
+        by_stratum.setdefault(row[0], []).append(row[1:])
+    by_stratum = {stratum: np.array(rows, np.int64) for stratum, rows in by_stratum.items()}
+    tests = tested_strata({stratum: int(x[(x[:, 0] == 1) & (x[:, 1] == 0), -1].sum()) for stratum, x in by_stratum.items()})
     out = []
-    for stratum in strata:
-        for rule, grid in GRID.items():
-            hist = np.zeros((2, len(grid) + 1), np.int64)
-            for r in table:
-                if r["stratum"] == stratum and r["rule"] == rule:
-                    hist[r["good"], r["passed"]] += r["n"]
-            over = hist[:, ::-1].cumsum(1)[:, ::-1][:, 1:]         # rows above each cutoff: they pass that many or more
-            best = choose(over[1], over[0], int(hist[1].sum()), RISK / len(GRID), LEVEL / (len(strata) * len(GRID)))
-            if best is not None:
-                out.append((stratum, rule, grid[best], int(hist[1].sum()), int(over[1][best])))
+    for stratum in sorted(tests):
+        x = by_stratum[stratum]
+        good, orders, first, n = x[:, 0] == 1, x[:, 1] == 1, x[:, 2:-1], x[:, -1]
+        sets = ordered_sets(first[orders], (n * good)[orders], (n * ~good)[orders])
+        rejected = [np.any([first[:, r] <= cut for r, cut in enumerate(cuts) if cut is not None], axis=0) for cuts in sets]
+        false = np.array([int(n[r & good & ~orders].sum()) for r in rejected], np.int64)
+        best = choose(false, np.array([int(n[r & ~good].sum()) for r in rejected], np.int64), tests[stratum], RISK, LEVEL / len(tests))
+        if best is not None:
+            out += [(stratum, rule, GRID[rule][cut], tests[stratum], int(false[best]))
+                    for rule, cut in zip(GRID, sets[best], strict=True) if cut is not None]
     return out
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, stratum and ``rules`` (those that reject, joined by commas)."""
+    """doc_id, the counts, base_failed, kept, stratum, ``rules`` (those that reject, joined by
+    commas) and n_rules (those in use in the stratum)."""
     spark = docs.sparkSession
     counted = with_counts(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -152,7 +199,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     joined = counted.join(table, "stratum", "left")
     hits = F.array_join(F.array_compact(F.array(*[F.when(F.col(rule) > F.try_element_at("cutoffs", F.lit(rule)), rule) for rule in GRID])), ",")
     return joined.withColumn("rules", F.coalesce(hits, F.lit(""))).select(
-        "doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.col("rules") == "")).alias("kept"), "stratum", "rules")
+        "doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.col("rules") == "")).alias("kept"), "stratum", "rules",
+        F.coalesce(F.size("cutoffs"), F.lit(0)).alias("n_rules"))
 
 
 def op7_risk_rules(spark, sf_dir: str) -> DataFrame:

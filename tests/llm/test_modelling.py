@@ -281,3 +281,30 @@ def test_rules_use_a_planted_signal(spark):
     labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(6000)], "doc_id long, quality int, toxic int")
     got = risk_rules.apply_rules(docs, labels).collect()
     assert all(r.kept == (r.doc_id % 5 > 0) for r in got)
+
+
+def test_small_strata_get_rules_and_others_are_reported(spark):
+    rows, labels = [], []
+    for lang, n in (("a", 420), ("b", 420), ("c", 420), ("d", 420), ("e", 60)):
+        for i in range(n):
+            rows.append((len(rows), " ".join("word%d" % (j * 7 + i) for j in range(60)) + (" |" * 60 if i % 5 == 0 else ""), lang))
+            labels.append((len(labels), int(i % 5 > 0)))
+    got = risk_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"),
+                                 spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    bad = {i for i, quality in labels if not quality}
+    assert all(r.kept == (r.doc_id not in bad) and r.n_rules > 0 for r in got if r.stratum != "e")
+    assert all(r.kept and r.n_rules == 0 for r in got if r.stratum == "e")
+
+
+def test_rule_sets_grow_and_hold_their_risk():
+    rng = np.random.default_rng(1)
+    sizes = [len(grid) for grid in risk_rules.GRID.values()]
+    first = np.stack([rng.integers(0, n + 1, 500) for n in sizes], axis=1)
+    good = rng.integers(0, 2, 500)
+    last = np.zeros(500, bool)
+    for cuts in risk_rules.ordered_sets(first, good, 1 - good):
+        now = np.any([first[:, r] <= c for r, c in enumerate(cuts) if c is not None], axis=0)
+        assert (now >= last).all() and now.sum() > last.sum()
+        last = now
+    assert risk_rules.tested_strata({"a": 217, "b": 217, "c": 217, "d": 217, "e": 50}) == dict.fromkeys("abcd", 217)
+    assert risk_rules.tested_strata({"a": 148}) == {} and risk_rules.tested_strata({}) == {}

@@ -4,10 +4,11 @@ A text (A-Z lowered) is coded byte by byte, then an end mark.  Each byte is a
 path of binary decisions through a prefix code, one for each byte before it,
 learned from the training bytes, so a common byte costs few decisions.  For every decision several
 predictors, each a table addressed by a hash of (context, place in the code),
-give the log odds of a one; the contexts are the last 1, 2, 3 and 5 bytes and
-the letters of the current word.  The odds are added with weights from the set
-that a gate names (how much the two longest contexts have to say).  The weights start equal for all texts and are
-refined as a text is read, by the error of the decisions before: scores hang
+give the log odds of a one; the contexts are the last 3 and the last 5 bytes
+and the letters of the current word.  The odds are added with weights from the set
+that a gate names (how much the two longest contexts have to say).  The weights start equal for all texts, from fixed
+values that are not learned, and are refined as a text is read, once per 256
+bytes (1,024 after 2 KB), by the error of the decisions before: scores hang
 on the trained tables and the text alone, not on partitions or order.
 
 What is learned comes from all training documents: counts of byte pairs (257 x 257

@@ -11,7 +11,7 @@ from terrapanel.sources.files import scan_readings, standardize, with_row_id
 from terrapanel.sources.tables import readings
 from terrapanel.streaming.ingest import ingest_new_files
 
-from conftest import SF_SMALL
+from sample_paths import SF_SMALL
 
 RAW_HEADER = ("Date,State Name,DistrictName,Average Soilmoisture Level (at 15cm),"
               "Average SoilMoisture Volume (at 15cm),Aggregate Soilmoisture Percentage (at 15cm),"

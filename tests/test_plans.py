@@ -6,7 +6,7 @@ from terrapanel.operators.lookup import season_calendar, season_lookup
 from terrapanel.operators.windows import panel_lookback
 from terrapanel.sources.tables import readings, table
 
-from conftest import SF_SMALL
+from sample_paths import SF_SMALL
 
 
 def _plan(df):

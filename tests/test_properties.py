@@ -94,7 +94,7 @@ def test_ensemble_between_min_and_max(spark):
 @pytest.mark.parametrize("chunk", [None, ("Year",), ("Year", "Month_num")])
 def test_chunked_equals_plain_on_driver_tables(spark, chunk):
     from terrapanel.sources.tables import readings
-    from conftest import SF_SMALL
+    from sample_paths import SF_SMALL
 
     r = readings(spark, SF_SMALL)
     cols = ["lag_1", "lag_7", "rolling_3", "rolling_6"]
@@ -136,7 +136,7 @@ def test_tercile_equals_pandas(spark):
 def test_choose_chunk_picks_coarsest_fitting_prefix(spark):
     from terrapanel.operators.windows import choose_chunk
     from terrapanel.sources.tables import readings
-    from conftest import SF_SMALL
+    from sample_paths import SF_SMALL
 
     r = readings(spark, SF_SMALL)
     keys, order = ["state", "district"], ["Year", "Month_num", "Day", "row_id"]

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from terrapanel.sources.images import scan_image_folder, score_images
 from terrapanel.sources.metrics import scan_metrics
 
-from conftest import SF_SMALL
+from sample_paths import SF_SMALL
 
 
 def test_image_folder_and_scoring(spark, tmpdir_path):

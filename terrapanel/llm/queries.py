@@ -4,7 +4,7 @@ DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
 from terrapanel.llm import (boosted_quality, context_mixing, decontamination, harmonic_packing, hyperdimensional_language,
-                            license_sentences, ngram_jaccard, risk_rules, suffix_dedup, warc_revisits)
+                            license_sentences, ngram_jaccard, risk_rules, square_catching, suffix_dedup, warc_revisits)
 
 QUERIES = {
     "op1_context_mixing": context_mixing.op1_context_mixing,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op13_square_catching": square_catching.op13_square_catching,
 }
 
 SQL = {
     "op5_license_sentences": license_sentences.SQL,
     "op6_warc_revisits": warc_revisits.SQL,
     "op9_ngram_jaccard": ngram_jaccard.SQL,
+    "op13_square_catching": square_catching.SQL,
 }

@@ -3,7 +3,7 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from terrapanel.llm import (bond_negatives, boosted_quality, context_mixing, decontamination, harmonic_packing, hyperdimensional_language,
+from terrapanel.llm import (automaton_dedup, bond_negatives, boosted_quality, context_mixing, decontamination, harmonic_packing, hyperdimensional_language,
                             license_sentences, ngram_jaccard, risk_rules, square_catching, suffix_dedup, warc_revisits)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_ngram_jaccard": ngram_jaccard.op9_ngram_jaccard,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_automaton_dedup": automaton_dedup.op11_automaton_dedup,
     "op12_bond_negatives": bond_negatives.op12_bond_negatives,
     "op13_square_catching": square_catching.op13_square_catching,
 }
@@ -25,6 +26,7 @@ SQL = {
     "op5_license_sentences": license_sentences.SQL,
     "op6_warc_revisits": warc_revisits.SQL,
     "op9_ngram_jaccard": ngram_jaccard.SQL,
+    "op11_automaton_dedup": automaton_dedup.SQL,
     "op12_bond_negatives": bond_negatives.SQL,
     "op13_square_catching": square_catching.SQL,
 }

@@ -463,7 +463,9 @@ def q_images_sample_per_class(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- Q5 models
-from terrapanel.operators.models import fit_preprocessing  # noqa: E402
+from terrapanel.operators.boosting import DepthwiseBooster, LeafwiseBooster  # noqa: E402
+from terrapanel.operators.forests import GrownForest  # noqa: E402
+from terrapanel.operators.models import assemble, fit_preprocessing  # noqa: E402
 from terrapanel.plans import modeling as MD  # noqa: E402
 
 
@@ -501,6 +503,57 @@ for _qname, _model in [("model_linear", "Linear"), ("model_random_forest", "Rand
     register(_qname)(_model_query(_model))
 
 
+#: Features of few values for the boosted trees that SQL can follow; the third has missing values.
+STEP_FEATURES = ["Month_num", "Season_num", "day_step", "district_id"]
+
+
+def step_rows(spark, sf_dir):
+    """Training rows of ``STEP_FEATURES`` and the target as ``label``."""
+    rows = feature_table(spark, sf_dir).where(F.col("Year") == TRAIN_YEAR).where("moisture is not null")
+    rows = rows.withColumn("day_step", F.when(F.col("Month_num") != 3, F.col("Day") % 7))
+    return assemble(rows.select(*STEP_FEATURES, F.col("moisture").alias("label")), STEP_FEATURES)
+
+
+def _leaf_rows(model, rows):
+    """What a fitted booster predicts: rows and mean label by predicted value."""
+    return model.transform(rows).groupBy(r4("prediction").alias("prediction")).agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.avg("label") + 1e-9, 4)).alias("mean_label"))
+
+
+@register("model_depthwise_stump")
+def q_model_depthwise_stump(spark, sf_dir):
+    """M6 at one round and one level: the split by second-order gain, the side of
+    the missing values and the Newton leaves."""
+    rows = step_rows(spark, sf_dir)
+    model = DepthwiseBooster(rounds=1, maxDepth=1, stepSize=0.3).fit(rows)
+    (_, feature, threshold, missing_left), = model.splits()
+    return _leaf_rows(model, rows).select(
+        F.lit(STEP_FEATURES[feature]).alias("feature"), F.round(F.lit(threshold) + 1e-9, 4).alias("threshold"),
+        F.lit(missing_left).alias("missing_left"), "prediction", "n", "mean_label")
+
+
+@register("model_leafwise_tree")
+def q_model_leafwise_tree(spark, sf_dir):
+    """M7 at one round and three leaves: the second split is that of the leaf which gains more."""
+    rows = step_rows(spark, sf_dir)
+    model = LeafwiseBooster(rounds=1, maxDepth=0, maxLeaves=3, stepSize=0.3).fit(rows)
+    second = [s for s in model.splits() if s[0] == 1][0]
+    return _leaf_rows(model, rows).select(
+        F.lit(STEP_FEATURES[second[1]]).alias("second_feature"), F.round(F.lit(second[2]) + 1e-9, 4).alias("second_threshold"),
+        F.lit(second[3]).alias("missing_left"), "prediction", "n", "mean_label")
+
+
+@register("model_pure_tree")
+def q_model_pure_tree(spark, sf_dir):
+    """M5 with one tree over all rows: grown to its end, so every feature vector has its
+    own mean.  Nodes of over 500 rows are split by histograms, the rest in their tasks."""
+    rows = step_rows(spark, sf_dir)
+    model = GrownForest(trees=1, bootstrap=False, finishRows=500).fit(rows)
+    return model.transform(rows).groupBy(*STEP_FEATURES).agg(
+        F.round(F.min("prediction") + 1e-9, 4).alias("prediction"), F.round(F.max("prediction") + 1e-9, 4).alias("same_prediction"),
+        F.count(F.lit(1)).alias("n"))
+
+
 @register("model_classifier_report")
 def q_model_classifier_report(spark, sf_dir):
     """M8 + E2 (rows-only check: fitted model)."""

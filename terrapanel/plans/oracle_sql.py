@@ -611,6 +611,67 @@ SQL["model_prep_stats"] = with_readings(_prep_stats(), _calendar_cte(), TAGGED,
                                         "tr AS (SELECT * FROM feat WHERE Year = 1999)")
 
 
+# ---------------------------------------------------------------- boosted trees over few values
+_STEPS = ["Month_num", "Season_num", "day_step", "district_id"]
+_STEP_ROWS = """step AS (
+  SELECT Month_num, Season_num, CASE WHEN Month_num <> 3 THEN Day % 7 END AS day_step, district_id, moisture AS y,
+         avg(moisture) OVER () - moisture AS g
+  FROM feat WHERE Year = 1999 AND moisture IS NOT NULL)"""
+_STEP_CUTS = "step_values AS (" + " UNION ".join(
+    f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS v FROM step WHERE {c} IS NOT NULL" for i, c in enumerate(_STEPS)) + """),
+step_cuts AS (SELECT * FROM (SELECT f, v + (lead(v) OVER (PARTITION BY f ORDER BY v) - v) / 2 AS cut FROM step_values) c WHERE cut IS NOT NULL)"""
+
+
+def _best_split(rows: str, out: str, l2: float, least: int) -> str:
+    """CTEs that end in ``out``: the split (f, cut, missing_left, gain) of most second-order gain of ``rows``."""
+    long = " UNION ALL ".join(f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS v, g FROM {rows}" for i, c in enumerate(_STEPS))
+    return f"""{out}_long AS ({long}),
+{out}_all AS (SELECT f, sum(g) AS tg, count(*) AS th, coalesce(sum(g) FILTER (v IS NULL), 0) AS mg, count(*) FILTER (v IS NULL) AS mh
+  FROM {out}_long GROUP BY f),
+{out}_left AS (SELECT c.f, c.cut, coalesce(sum(l.g), 0) AS lg, count(l.g) AS lh
+  FROM step_cuts c LEFT JOIN {out}_long l ON l.f = c.f AND l.v <= c.cut GROUP BY c.f, c.cut),
+{out}_both AS (SELECT l.f, l.cut, a.tg, a.th, s.side AS missing_left,
+    l.lg + CASE WHEN s.side THEN a.mg ELSE 0 END AS lg, l.lh + CASE WHEN s.side THEN a.mh ELSE 0 END AS lh
+  FROM {out}_left l JOIN {out}_all a ON a.f = l.f JOIN (VALUES (false), (true)) s(side) ON NOT s.side OR a.mh > 0),
+{out} AS (SELECT f, cut, missing_left,
+    0.5 * (lg * lg / (lh + {l2}) + (tg - lg) * (tg - lg) / (th - lh + {l2}) - tg * tg / (th + {l2})) AS gain
+  FROM {out}_both WHERE lh >= {least} AND th - lh >= {least}
+  ORDER BY round(gain, 7) DESC, f, cut, missing_left LIMIT 1)"""
+
+
+def _side(split: str) -> str:
+    value = "CASE s.f " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(_STEPS)) + " END"
+    return f"CASE WHEN {value} IS NULL THEN s.missing_left ELSE {value} <= s.cut END"
+
+
+def _leaf_summary(l2: float) -> str:
+    return (f"{R4(f'(SELECT avg(y) FROM step) - 0.3 * sum(g) / (count(*) + {l2})')} AS prediction, "
+            f"CAST(count(*) AS BIGINT) AS n, {R4('avg(y)')} AS mean_label")
+
+
+SQL["model_depthwise_stump"] = with_readings(f"""
+SELECT {_STEPS!r}[f + 1] AS feature, {R4('cut')} AS threshold, missing_left, prediction, n, mean_label
+FROM (SELECT s.f, s.cut, s.missing_left, {_side('s')} AS goes_left, {_leaf_summary(1.0)}
+      FROM step, best s GROUP BY ALL) x""", _calendar_cte(), TAGGED, FEATURES_CTE, _STEP_ROWS, _STEP_CUTS, _best_split("step", "best", 1.0, 1))
+
+SQL["model_leafwise_tree"] = with_readings(f"""
+SELECT {_STEPS!r}[f + 1] AS second_feature, {R4('cut')} AS second_threshold, missing_left, prediction, n, mean_label
+FROM (SELECT s.f, s.cut, s.missing_left,
+        CASE WHEN step_side.goes_left <> s.parent_left THEN 'other' WHEN {_side('s')} THEN 'left' ELSE 'right' END AS leaf,
+        {_leaf_summary(0.0)}
+      FROM step_side, second s GROUP BY ALL) x""", _calendar_cte(), TAGGED, FEATURES_CTE, _STEP_ROWS, _STEP_CUTS,
+    _best_split("step", "best", 0.0, 20),
+    f"step_side AS (SELECT step.*, {_side('s')} AS goes_left FROM step, best s)",
+    "step_l AS (SELECT * FROM step_side WHERE goes_left), step_r AS (SELECT * FROM step_side WHERE NOT goes_left)",
+    _best_split("step_l", "best_l", 0.0, 20), _best_split("step_r", "best_r", 0.0, 20),
+    """second AS (SELECT * FROM (SELECT true AS parent_left, * FROM best_l UNION ALL SELECT false, * FROM best_r) b
+  ORDER BY round(gain, 7) DESC, parent_left DESC LIMIT 1)""")
+
+SQL["model_pure_tree"] = with_readings(f"""
+SELECT Month_num, Season_num, day_step, district_id, {R4('avg(y)')} AS prediction, {R4('avg(y)')} AS same_prediction,
+       CAST(count(*) AS BIGINT) AS n
+FROM step GROUP BY Month_num, Season_num, day_step, district_id""", _calendar_cte(), TAGGED, FEATURES_CTE, _STEP_ROWS)
+
 SQL["unknown_season_sample"] = with_readings("""
 SELECT state, district, row_id, Month, Season FROM tagged WHERE Season = 'Unknown'
 ORDER BY state NULLS LAST, district NULLS LAST, Year NULLS LAST, Month_num NULLS LAST, Day NULLS LAST,

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import (BLOCK_SCHEMA, WordHashes, blocks_of, flagged, gather_blocks, mix, slices, sum_blocks,
+from terrapanel.llm.common import (BLOCK_SCHEMA, blocks_of, flagged, gather_blocks, mix, slices, sum_blocks,
                                    window_hashes, with_bytes)
 from terrapanel.session import materialize
 
@@ -66,24 +66,55 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_LETTERS = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+SEGMENT = 1 << 20         # bytes hashed at once; a longer word is hashed whole
+
+
+def word_hashes(texts: list) -> tuple:
+    """(64-bit hashes of the words of all texts, end to end; where each text ends among them)."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    size = np.cumsum([len(t) + 1 for t in texts])
+    found, starts, at = [], [], 0
+    while at < len(data):
+        to = min(len(data), at + SEGMENT)
+        while to < len(data) and not (spaces := np.flatnonzero(_SPACE[data[at:to]])).size:
+            to = min(len(data), to + SEGMENT)
+        if to < len(data):
+            to = at + int(spaces[-1]) + 1                        # a segment ends after a space
+        part = data[at:to]
+        edge = np.flatnonzero(np.diff(_SPACE[part], prepend=True, append=True))
+        first, end = edge[::2], edge[1::2]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LETTERS[part] * _powers(_INVERSE, len(part)), out=total[1:])
+        found.append(mix((total[end] - total[first]) * _powers(_BASE, len(part) + 1)[first] + (end - first).astype(np.uint64)))
+        starts.append(first + at)
+        at = to
+    if not found:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(found), np.searchsorted(np.concatenate(starts), size)
+
+
 class Words:
     """The word hashes of texts laid end to end, and their passages."""
 
-    def __init__(self, texts: list, hashes: WordHashes):
-        split = [t.split() for t in texts]
-        self.ends = np.cumsum([len(w) for w in split])
-        self.hashes = np.concatenate([hashes.of(w) for w in split]) if split else np.empty(0, np.uint64)
-        n = len(self.hashes)
-        self.up = _powers(_BASE, n + 1)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * _powers(_INVERSE, n), out=self.total[1:])
+    def __init__(self, texts: list):
+        self.hashes, self.ends = word_hashes(texts)
+        self.sums: tuple | None = None
 
     def strings(self, first: np.ndarray, size) -> np.ndarray:
         """Hashes of the strings of ``size`` words that start at ``first``."""
-        return mix((self.total[first + size] - self.total[first]) * self.up[first])
-
-    def passages(self, window: int, gram: int):
-        """(text, start in the text, windows, gram hash, passage hash) of every passage."""
+        if self.sums is None:
+            n = len(self.hashes)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.hashes * _powers(_INVERSE, n), out=total[1:])
+            self.sums = total, _powers(_BASE, n + 1)
+        total, up = self.sums
+        return mix((total[first + size] - total[first]) * up[first])
+
+    def passages(self, window: int, gram: int, keep=None, named: bool = True):
+        """(text, start in the text, windows, gram hash, passage hash) of every passage whose
+        gram ``keep`` does not exclude; without ``named`` the last is left out."""
         none = np.empty(0, np.int64)
         n = len(self.hashes) - window + 1
         if n <= 0:
@@ -107,8 +138,11 @@ class Words:
         cuts = np.flatnonzero(new)
         first, count = inside[cuts], np.diff(np.append(cuts, len(inside)))
         anchor = at[cuts]
+        if keep is not None:
+            stay = keep(grams[anchor])
+            first, count, anchor = first[stay], count[stay], anchor[stay]
         name = mix(self.strings(first, count + window - 1) + (anchor - first).astype(np.uint64) * np.uint64(1_000_003)
-                   + count.astype(np.uint64))
+                   + count.astype(np.uint64)) if named else none
         text = text[first]
         begin = np.concatenate([[0], self.ends[:-1]])[text]
         return text, first - begin, count, grams[anchor], name
@@ -120,16 +154,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _scan(docs: DataFrame, schema: str, window: int, gram: int, columns, keep=None) -> DataFrame:
     """``columns(batch rows, passages)`` of every passage of ``docs`` (doc_key, doc_hash,
-    text_bytes) that the bitmap ``keep`` does not exclude."""
+    text_bytes) that the bitmap ``keep`` does not exclude; without one passages have no names."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def scan(batches):
-        hashes = WordHashes()
         for batch in slices(batches, 250):
-            found = Words(batch.column(2).to_pylist(), hashes).passages(window, gram)
-            if keep is not None and len(found[0]):
-                stay = keep(found[3])
-                found = tuple(x[stay] for x in found)
+            found = Words(batch.column(2).to_pylist()).passages(window, gram, keep, keep is not None)
             for at in range(0, len(found[0]), 100_000):
                 cut = tuple(x[at:at + 100_000] for x in found)
                 yield pa.RecordBatch.from_arrays(columns(batch, *cut), names=names)
@@ -270,9 +300,8 @@ def _words_of(docs: DataFrame, chosen: DataFrame, window: int, each: bool) -> Da
     schema = "g long, c long, w int, key long, least long, words binary"
 
     def scan(batches):
-        hashes = WordHashes()
         for batch in slices(batches, 250):
-            texts = Words(batch.column(0).to_pylist(), hashes)
+            texts = Words(batch.column(0).to_pylist())
             begin = np.concatenate([[0], texts.ends[:-1]]) if len(texts.ends) else texts.ends
             lists = batch.column(1)
             rows = lists.flatten()

@@ -48,10 +48,24 @@ def test_automaton_finds_the_least_id_of_every_window():
             assert automaton.windows(s, size) == want
 
 
+def test_word_hashes_are_those_of_split_words(monkeypatch, texts):
+    rng = random.Random(6)
+    raw = [(t or "").encode() for t in texts] + [b"\x1c a\x1db \x85\xa0 \x00", b"\x0b\x0c", b"x" * 500]
+    raw += ["".join(rng.choice("ab \t\n\r\x0b\x0cé") for _ in range(rng.randint(0, 40))).encode() for _ in range(50)]
+    split = [t.split() for t in raw]
+    for segment in (1 << 20, 64):
+        monkeypatch.setattr(dedup, "SEGMENT", segment)
+        found, ends = dedup.word_hashes(raw)
+        assert ends.tolist() == np.cumsum([len(w) for w in split]).tolist()
+        of = dict(zip([x for w in split for x in w], found.tolist(), strict=True))
+        assert [of[x] for w in split for x in w] == found.tolist() and len(set(of.values())) == len(of)
+    assert dedup.word_hashes([])[0].size == 0 and dedup.word_hashes([b"", b" "])[1].tolist() == [0, 0]
+
+
 def test_passages_hold_every_window_once():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdef") for _ in range(n)).encode() for n in (0, 5, 12, 13, 14, 60, 300, 0, 40)]
-    words = dedup.Words(texts, dedup.WordHashes())
+    words = dedup.Words(texts)
     text, start, count, _, _ = words.passages(13, 5)
     held = Counter((t, s + i) for t, s, n in zip(text.tolist(), start.tolist(), count.tolist(), strict=True) for i in range(n))
     assert held == Counter((t, s) for t, x in enumerate(texts) for s in range(len(x.split()) - 12))
@@ -64,7 +78,7 @@ def test_equal_windows_have_equal_grams():
     texts = [" ".join([f"a{i}" for i in rng.integers(0, 50, k)] + shared + [f"b{i}" for i in rng.integers(0, 50, k)]).encode() for k in (0, 7, 30)]
     grams: dict = {}
     for x in texts:
-        words = dedup.Words([x], dedup.WordHashes())
+        words = dedup.Words([x])
         _, start, count, gram, _ = words.passages(13, 5)
         split = x.split()
         for s, n, g in zip(start.tolist(), count.tolist(), gram.tolist(), strict=True):

@@ -4,12 +4,12 @@
 (``state, district`` ordered by ``Year, Month_num, Day, row_id``).  A plain
 ``Window.partitionBy(state, district)`` sends a whole district to one task; if
 one district held a third of the data, one task would sort a third of it.  Here
-the panel is cut into **chunks** (the coarsest prefix of the ordering —
-year, month or day of one district — whose largest chunk fits the bound).  Each chunk is one window partition, and the
-few rows a chunk needs from before its start (at most ``K`` = the longest
-look-back) come from a small *halo* table, built by an equi-join on the row's
-position inside its district.  The fact data is shuffled once; chunk counts,
-offsets and halo rows are tables of size O(#chunks·K).
+window partitions are (panel, piece).  A sample of bounded size, taken by hash,
+tells which panels are larger than a piece and where in their own order they are
+to be cut, down to single rows of one day; all others are one piece.  The last
+rows of each piece (at most ``K`` = the longest look-back) are carried to the
+pieces after it as a *halo*, which goes through the same window and is then left
+out.  The data are shuffled and sorted once, at any size and skew.
 
 ``global_rank`` — a dense ``1..n`` ordinal over a total order without a
 single-partition window: range partitioning (sampled boundaries, so hot values
@@ -35,147 +35,113 @@ def _asc_nl(c: str) -> Column:
     return F.col(c).asc_nulls_last()
 
 
+SAMPLES = 64              # sampled rows of a piece
+
+
 def panel_lookback(df: DataFrame, value: str, keys: Sequence[str] = ("state", "district"),
                    order: Sequence[str] = ("Year", "Month_num", "Day", "row_id"),
-                   chunk: Sequence[str] | None = None,
                    lags: Sequence[int] = (1, 7), means: Sequence[int] = (3, 6),
                    exclude_current: bool = False,
                    lag_names: Sequence[str] | None = None,
                    mean_names: Sequence[str] | None = None,
-                   max_group_rows: int | None = None,
-                   dedupe: bool = False) -> DataFrame:
+                   dedupe: bool = False, pieces: int | None = None, samples: int = SAMPLES) -> DataFrame:
     """``lag_k`` and ``rolling_w`` (min 1 non-null value) per panel.
 
     * lags count rows, not days (gaps are not filled);
     * ``rolling_w`` includes the current row unless ``exclude_current``;
-    * rows whose key is null get null features (pandas drops null groups);
-    * ``chunk`` must be a prefix of ``order``; order is ascending, nulls last.
+    * rows whose key is null get null features (pandas drops null groups), and
+      are spread by hash;
+    * order is ascending, nulls last; rows of equal order are one piece.
 
-    Plan choice (exact either way): one partial aggregation measures the
-    largest panel.  When every panel has at most ``max_group_rows`` rows
-    (default: conf ``terrapanel.window.maxGroupRows`` = 2,000,000) a plain
-    ``partitionBy(keys)`` window is used — one shuffle, one sort.  Beyond that
-    bound the chunked plan with halo rows splits hot panels across tasks.
+    A panel of more than two pieces' share of the rows (``pieces``: the shuffle
+    partitions, unless given) is cut; see the module text.
 
     ``dedupe=True`` drops exact duplicate rows first, clustered on the same
     keys as the window, so dedupe and window share one shuffle.
     """
     keys, order = list(keys), list(order)
-    if chunk is not None and order[:len(chunk)] != list(chunk):
-        raise ValueError("chunk columns must be a prefix of the order columns")
     lag_names = list(lag_names or [f"lag_{k}" for k in lags])
     mean_names = list(mean_names or [f"rolling_{w}" for w in means])
     lo = 1 if exclude_current else 0
     frames = {w: (lo, w - 1 + lo) for w in means}           # rows back: [lo, hi]
     K = max([*lags, *[hi for _, hi in frames.values()], 1])
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     key_ok = F.lit(True)
     for k in keys:
         key_ok = key_ok & F.col(k).isNotNull()
-    # every row flows through one window; features of null-key rows are
-    # masked at the end (no separate branch, so the input is read once)
     data = df.withColumn("_key_ok", key_ok)
-
-    if max_group_rows is None:
-        max_group_rows = int(df.sparkSession.conf.get("terrapanel.window.maxGroupRows", "2000000"))
-    biggest = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if biggest is None or biggest <= max_group_rows:
-        if dedupe:
-            data = data.repartition(*keys).dropDuplicates()
-        w = Window.partitionBy(*keys).orderBy(*[_asc_nl(c) for c in order])
-        v = F.col(value).cast("double")
-        ok = F.col("_key_ok")
-        feats = [F.when(ok, F.lag(v, k).over(w)).alias(n) for k, n in zip(lags, lag_names)]
-        feats += [F.when(ok, F.avg(v).over(w.rowsBetween(-b, -a))).alias(n)
-                  for (wdw, (a, b)), n in zip(frames.items(), mean_names)]
-        return data.select(*df.columns, *feats)
-
-    if chunk is None:
-        chunk = choose_chunk(data, keys, order, max_group_rows)
-    chunk = list(chunk)
-
-    # non-null surrogate keys keep every later join a plain equi-join; the
-    # null flag keeps null-key rows apart from real keys equal to the sentinel
-    kks = [f"_kk{i}" for i in range(len(keys))]
-    for k, name in zip(keys, kks):
-        data = data.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit("")))
-    cks = [f"_ck{i}" for i in range(len(chunk))]
-    for c, name in zip(chunk, cks):
-        data = data.withColumn(name, F.coalesce(F.col(c).cast("long"), F.lit(_BIG).cast("long")))
-    orig_keys = keys
-    keys = ["_key_ok", *kks]
-    part = keys + cks
+    spread = F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int")
+    cuts = _panel_cuts(data.where("_key_ok").select(*keys, *order), keys, order, pieces, samples)
+    if cuts is None:
+        data = data.withColumn("_piece", F.when(F.col("_key_ok"), F.lit(0)).otherwise(spread))
+    else:
+        own = order_key(order)
+        data = data.join(F.broadcast(cuts), keys, "left")      # at most ``pieces`` cuts in all
+        at = F.size(F.filter("_coarse", lambda c: c <= own))
+        start = (at - 1) * F.col("_every")
+        near = F.slice("_cuts", start + 1, F.col("_every"))
+        piece = F.when(at > 0, start + F.size(F.filter(near, lambda c: c <= own))).otherwise(F.lit(0))
+        data = data.withColumn("_piece", F.when(~F.col("_key_ok"), spread).when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece).cast("int"))
+        halo = _halo(data.where(F.col("_cuts").isNotNull()).drop("_cuts", "_coarse", "_every"), value, keys, order, K, dedupe)
+        data = data.drop("_cuts", "_coarse", "_every").withColumn("_halo", F.lit(0)).unionByName(halo, allowMissingColumns=True)
+    part = [*keys, "_piece"]
     if dedupe:
         data = data.repartition(*part).dropDuplicates()
-
-    # 1) chunk sizes and offsets (tiny tables; partial aggregation map-side)
-    sizes = data.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
-    w_chunks = Window.partitionBy(*keys).orderBy(*cks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_start", F.coalesce(F.sum("_cnt").over(w_chunks), F.lit(0)))
-
-    # 2) one shuffle of the fact data: in-chunk window partials
     w = Window.partitionBy(*part).orderBy(*[_asc_nl(c) for c in order])
     v = F.col(value).cast("double")
-    main = data.withColumn("_rn", F.row_number().over(w))
-    for k in lags:
-        main = main.withColumn(f"_lag{k}", F.lag(v, k).over(w))
-    for wdw, (a, b) in frames.items():
-        fw = w.rowsBetween(-b, -a)
-        main = (main.withColumn(f"_s{wdw}", F.sum(v).over(fw))
-                    .withColumn(f"_c{wdw}", F.count(v).over(fw)))
-    main = main.join(offsets.select(*part, "_start", "_cnt"), part, "inner")
-    main = main.withColumn("_gp", F.col("_start") + F.col("_rn"))
-
-    # 3) halo: the K rows before each chunk, found by position in the district
-    tails = (main.where(F.col("_rn") > F.col("_cnt") - K)
-                 .select(*keys, F.col("_gp").alias("_tgp"), v.alias("_tv")))
-    wanted = (offsets.select(*part, "_start", F.explode(F.sequence(F.lit(1), F.lit(K))).alias("_j"))
-                     .withColumn("_pos", F.col("_start") + 1 - F.col("_j"))
-                     .where(F.col("_pos") >= 1))
-    halo_rows = wanted.join(tails, [*[wanted[k] == tails[k] for k in keys],
-                                    wanted["_pos"] == tails["_tgp"]], "inner") \
-                      .select(*[wanted[c] for c in part], "_j", "_tv")
-    halo = halo_rows.groupBy(*part).agg(
-        F.array(*[F.max(F.when(F.col("_j") == j, F.col("_tv"))) for j in range(1, K + 1)]).alias("_halo"))
-
-    res = main.join(halo, part, "left")
-    rn = F.col("_rn")
-    harr = F.coalesce(F.col("_halo"), F.array_repeat(F.lit(None).cast("double"), K))
-    out_cols = []
-    for k, name in zip(lags, lag_names):
-        res = res.withColumn(name, F.when(rn > k, F.col(f"_lag{k}"))
-                             .otherwise(F.try_element_at(harr, (F.lit(k) - rn + 1).cast("int"))))
-        out_cols.append(name)
-    for (wdw, (a, b)), name in zip(frames.items(), mean_names):
-        n_h = F.greatest(F.lit(b) - rn + 1, F.lit(0)).cast("int")
-        hs = F.slice(harr, 1, n_h)
-        h_sum = F.aggregate(hs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-        h_cnt = F.size(F.filter(hs, lambda x: x.isNotNull()))
-        tot_c = F.col(f"_c{wdw}") + h_cnt
-        tot_s = F.coalesce(F.col(f"_s{wdw}"), F.lit(0.0)) + h_sum
-        res = res.withColumn(name, F.when(tot_c > 0, tot_s / tot_c))
-        out_cols.append(name)
-
-    keep = [c for c in df.columns]
     ok = F.col("_key_ok")
-    return res.select(*keep, *[F.when(ok, F.col(c)).alias(c) for c in out_cols])
-
-
-def choose_chunk(data: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 max_rows: int) -> list[str]:
-    """The coarsest prefix of the order (Year → Year, Month → Year, Month,
-    Day …) whose largest chunk holds at most ``max_rows`` rows; the finest
-    prefix when none does.  Coarse chunks keep the halo (K rows per chunk)
-    negligible; finer ones split a hot month.  One partial aggregation at the
-    finest level, rolled up on the (small) count table."""
-    finest = list(order[:-1]) or list(order[:1])
-    counts = data.groupBy(*keys, *finest).agg(F.count(F.lit(1)).alias("_n"))
-    for i in range(1, len(finest) + 1):
-        prefix = finest[:i]
-        biggest = counts.groupBy(*keys, *prefix).agg(F.sum("_n").alias("_c")).agg(F.max("_c")).first()[0]
-        if biggest is None or biggest <= max_rows:
-            return prefix
-    return finest
+    feats = [F.when(ok, F.lag(v, k).over(w)).alias(n) for k, n in zip(lags, lag_names)]
+    feats += [F.when(ok, F.avg(v).over(w.rowsBetween(-b, -a))).alias(n)
+              for (wdw, (a, b)), n in zip(frames.items(), mean_names)]
+    if cuts is None:
+        return data.select(*df.columns, *feats)
+    return data.select(*df.columns, *feats, "_halo").where("_halo = 0").drop("_halo")
+
+
+def _panel_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int, samples: int) -> DataFrame | None:
+    """Per panel to cut: the sorted order keys at which its pieces begin (``_cuts``), every
+    ``_every``-th of them (``_coarse``), from ``samples * pieces`` rows taken by hash.
+    None if no panel holds two pieces' share of the sample."""
+    taken = sample_rows(rows, samples * pieces).collect()                  # a bound of rows, whatever the table
+    by_panel: dict = {}
+    for r in taken:
+        by_panel.setdefault(tuple(r[k] for k in keys), []).append(tuple(r[c] for c in order))
+    found = []
+    for panel, at in by_panel.items():
+        if len(at) < 2 * samples:
+            continue
+        at = sorted(set(at), key=lambda row: tuple((x is None, x) for x in row))
+        found += [(*panel, *row) for row in at[samples:len(at) - samples + 1:samples]]
+    if not found:
+        return None
+    table = rows.sparkSession.createDataFrame(found, rows.schema)
+    cuts = table.groupBy(*keys).agg(F.sort_array(F.collect_list(order_key(order))).alias("_cuts"))     # at most ``pieces``
+    cuts = cuts.withColumn("_every", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+    return cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.col("_every")), lambda i: F.get("_cuts", i)))
+
+
+def _halo(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], K: int, dedupe: bool) -> DataFrame:
+    """The last ``K`` rows of a panel before each of its pieces (but the first), as rows of that
+    piece: keys, order, value, ``_piece`` and ``_halo`` from 1."""
+    if dedupe:
+        rows = rows.dropDuplicates()
+    columns = list(dict.fromkeys([*keys, *order, value]))
+    last = Window.partitionBy(*keys, "_piece").orderBy(*[F.col(c).desc_nulls_first() for c in order])
+    tails = rows.select(*columns, "_piece").withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= K).drop("_n")
+    # K rows of each piece: the rows before a piece are among those before its own first here
+    tails = materialize(tails.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_piece", *[_asc_nl(c) for c in order]))))
+    first = tails.groupBy(*keys, "_piece").agg(F.min("_at").alias("_first")).where("_piece > 0")
+    wanted = first.select(*keys, "_piece", F.explode(F.sequence(F.lit(1), F.lit(K))).alias("_halo"), "_first")
+    wanted = wanted.withColumn("_at", F.col("_first") - F.col("_halo")).drop("_first")
+    return materialize(wanted.join(tails.drop("_piece"), [*keys, "_at"]).drop("_at").withColumn("_key_ok", F.lit(True)))
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows (all, if fewer) chosen by the hash of their values and a seed: the
+    least hashes, kept by each task and merged, so the choice does not depend on
+    partitions and a sample of a part is part of the sample."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
 
 
 def global_rank(df: DataFrame, order: Sequence, out: str = "rank",

@@ -620,15 +620,23 @@ def q_numeric_correlation(spark, sf_dir):
 
 @register("panel_lookback_split")
 def q_panel_lookback_split(spark, sf_dir):
-    """W1–W4 through the hot-panel plan (forced: every panel treated as over
-    the size bound, so chunks + halo rows are used); must equal the plain
-    window's result."""
+    """W1–W4 with every panel cut into pieces of a few rows, whose halos come
+    from the pieces before; must equal the plain window's result."""
     r = readings(spark, sf_dir)
-    out = panel_lookback(r, "moisture", max_group_rows=0)
+    out = panel_lookback(r, "moisture", pieces=2000, samples=4)
     return out.select("state", "district", "row_id",
                       *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6"]])
 
 
+@register("panel_lookback_hot_day")
+def q_panel_lookback_hot_day(spark, sf_dir):
+    """W1–W4 where all rows are one panel and one day: cut by row id."""
+    one = F.concat(F.lit("P"), F.col("Year") - F.col("Year"))          # a column, not a literal: the cuts are joined by key
+    r = readings(spark, sf_dir).withColumns({"state": one, "district": one, "Year": F.lit(1999), "Month_num": F.lit(7), "Day": F.lit(1)})
+    out = panel_lookback(r, "moisture")
+    return out.select("row_id", *[r4(c) for c in ["lag_1", "lag_7", "rolling_3", "rolling_6"]])
+
+
 # ---------------------------------------------------------------- sources, cleaning and orders, end to end
 
 from terrapanel.functions.calendar import numeric_coerce, parse_date  # noqa: E402

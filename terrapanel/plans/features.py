@@ -77,16 +77,16 @@ def month_season_features(df: DataFrame) -> DataFrame:
 
 
 def ml_ready(df: DataFrame, target: str = "moisture", exclude_current: bool = False,
-             max_group_rows: int | None = None, with_class: bool = True) -> DataFrame:
+             with_class: bool = True) -> DataFrame:
     """Q3 feature table; built once per session for a given input (see
     ``session.reuse_stage``)."""
-    params = (target, exclude_current, max_group_rows, with_class)
+    params = (target, exclude_current, with_class)
     return reuse_stage("ml_ready", df, params,
-                       lambda: _ml_ready(df, target, exclude_current, max_group_rows, with_class))
+                       lambda: _ml_ready(df, target, exclude_current, with_class))
 
 
 def _ml_ready(df: DataFrame, target: str, exclude_current: bool,
-              max_group_rows: int | None, with_class: bool) -> DataFrame:
+              with_class: bool) -> DataFrame:
     """Q3: the feature table.
 
     dedupe → month/season features → per-district lags and trailing means
@@ -97,7 +97,7 @@ def _ml_ready(df: DataFrame, target: str, exclude_current: bool,
     base = month_season_features(df)
     feats = panel_lookback(base, target, keys=PANEL_KEYS, order=PANEL_ORDER,
                            lags=(1, 7), means=(3, 6), exclude_current=exclude_current,
-                           max_group_rows=max_group_rows, dedupe=True)
+                           dedupe=True)
     # Stage boundary (the reference's persisted feature table): the encodings
     # below run several small global jobs over these rows; reading them from
     # a reliable checkpoint keeps each job from recomputing scan, joins and

@@ -698,6 +698,12 @@ SQL["numeric_correlation"] = with_readings("\nUNION ALL\n".join(
     for a in _NUM for b in _NUM))
 
 
+SQL["panel_lookback_hot_day"] = with_readings(f"""
+SELECT row_id, {R4('lag(moisture, 1) OVER w')} AS lag_1, {R4('lag(moisture, 7) OVER w')} AS lag_7,
+       {R4('avg(moisture) OVER (ORDER BY row_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_3,
+       {R4('avg(moisture) OVER (ORDER BY row_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)')} AS rolling_6
+FROM readings WINDOW w AS (ORDER BY row_id)""")
+
 SQL["panel_lookback_split"] = with_readings(f"""
 SELECT state, district, row_id,
   {R4(f'lag(moisture, 1) OVER ({PANEL_WINDOW})')} AS lag_1,

@@ -27,10 +27,10 @@ def _panel(spark, values, state="S", district="D"):
                                        "row_id long, moisture double")
 
 
-@pytest.mark.parametrize("max_group_rows", [None, 0])
-def test_rolling_mean_skips_null(spark, max_group_rows):
+@pytest.mark.parametrize("how", [{}, {"pieces": 1000, "samples": 1}])
+def test_rolling_mean_skips_null(spark, how):
     df = _panel(spark, [1.0, None, 3.0])
-    out = panel_lookback(df, "moisture", lags=(1,), means=(3,), max_group_rows=max_group_rows)
+    out = panel_lookback(df, "moisture", lags=(1,), means=(3,), **how)
     got = [r.rolling_3 for r in out.orderBy("row_id").collect()]
     assert got == [1.0, 1.0, 2.0]
     lags = [r.lag_1 for r in out.orderBy("row_id").collect()]
@@ -223,14 +223,14 @@ def test_summary_text(spark):
                  "No severe water stress predicted • X: Y.")
 
 
-@pytest.mark.parametrize("max_group_rows", [None, 0])
-def test_null_key_rows_get_null_features(spark, max_group_rows):
+@pytest.mark.parametrize("how", [{}, {"pieces": 1000, "samples": 1}])
+def test_null_key_rows_get_null_features(spark, how):
     rows = [("S", "D", 2020, 1, 1, 1, 1.0), ("S", "D", 2020, 1, 2, 2, 3.0),
             (None, "D", 2020, 1, 3, 3, 5.0), ("S", None, 2020, 1, 4, 4, 7.0), ("", "D", 2020, 1, 5, 5, 9.0)]
     df = spark.createDataFrame(rows, "state string, district string, Year int, Month_num int, Day int, "
                                      "row_id long, moisture double")
     out = {r.row_id: (r.lag_1, r.rolling_3) for r in
-           panel_lookback(df, "moisture", lags=(1,), means=(3,), max_group_rows=max_group_rows).collect()}
+           panel_lookback(df, "moisture", lags=(1,), means=(3,), **how).collect()}
     assert out[1] == (None, 1.0) and out[2] == (1.0, 2.0)
     assert out[3] == (None, None) and out[4] == (None, None)
     assert out[5] == (None, 9.0)        # the empty-string state is a real key, not a null

@@ -36,10 +36,13 @@ def test_panel_window_and_dedupe_share_one_exchange(spark):
     assert "SinglePartition" not in plan
 
 
-def test_chunked_window_has_no_single_partition(spark):
+def test_cut_panels_shuffle_the_rows_once(spark):
     r = readings(spark, SF_SMALL)
-    out = panel_lookback(r, "moisture", max_group_rows=0)
-    assert "SinglePartition" not in _plan(out)
+    for dedupe in (False, True):
+        plan = _plan(panel_lookback(r, "moisture", pieces=2000, samples=4, dedupe=dedupe))
+        assert "SinglePartition" not in plan
+        assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(state" in line and "_piece" in line]) == 1, plan
+        assert "BroadcastHashJoin" in plan
 
 
 def test_small_derived_tables_do_not_move_the_fact_rows(spark):

@@ -19,15 +19,15 @@ panel_rows = st.lists(
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=panel_rows)
-def test_chunked_equals_plain(spark, rows):
+@given(rows=panel_rows, samples=st.integers(1, 4))
+def test_cut_panels_equal_plain(spark, rows, samples):
     data = [(s, d, y, m, day, i, v) for i, (s, d, y, m, day, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "state string, district string, Year int, Month_num int, Day int, "
                                      "row_id long, moisture double")
     cols = ["lag_1", "lag_7", "rolling_3", "rolling_6"]
     plain = {r.row_id: tuple(r[c] for c in cols) for r in panel_lookback(df, "moisture").collect()}
     chunk = {r.row_id: tuple(r[c] for c in cols)
-             for r in panel_lookback(df, "moisture", max_group_rows=0).collect()}
+             for r in panel_lookback(df, "moisture", pieces=100, samples=samples).collect()}
     assert plain.keys() == chunk.keys()
     for k in plain:
         for a, b in zip(plain[k], chunk[k]):
@@ -91,22 +91,61 @@ def test_ensemble_between_min_and_max(spark):
     assert out[1].Ensemble is None and out[2].Ensemble is None
 
 
-@pytest.mark.parametrize("chunk", [None, ("Year",), ("Year", "Month_num")])
-def test_chunked_equals_plain_on_driver_tables(spark, chunk):
+@pytest.mark.parametrize("samples", [1, 3, 20])
+@pytest.mark.parametrize("exclude", [False, True])
+def test_cut_panels_equal_plain_on_driver_tables(spark, samples, exclude):
     from terrapanel.sources.tables import readings
     from sample_paths import SF_SMALL
 
     r = readings(spark, SF_SMALL)
+    r = r.unionByName(r.where("row_id % 3 = 0"))               # exact duplicates
     cols = ["lag_1", "lag_7", "rolling_3", "rolling_6"]
-    a = {x.row_id: tuple(x[c] for c in cols) for x in panel_lookback(r, "moisture", dedupe=True).collect()}
-    b = {x.row_id: tuple(x[c] for c in cols)
-         for x in panel_lookback(r, "moisture", dedupe=True, max_group_rows=0, chunk=chunk).collect()}
+    a, b = ({x.row_id: tuple(x[c] for c in cols) for x in panel_lookback(r, "moisture", dedupe=True, exclude_current=exclude, **how).collect()}
+            for how in ({}, {"pieces": 5000, "samples": samples}))
     assert a.keys() == b.keys() and len(a) > 1000
     for k in a:
         for u, v in zip(a[k], b[k]):
             assert (u is None and v is None) or u == pytest.approx(v)
 
 
+def test_one_panel_of_one_day_is_cut_by_row(spark):
+    """The largest window partition holds a few pieces' share of the rows, and null keys are spread."""
+    import pandas as pd
+    from pyspark.sql import Window
+    from terrapanel.operators.windows import _panel_cuts
+
+    n = 4000
+    rng = np.random.default_rng(1)
+    v = [None if x < 0.1 else float(x) for x in rng.random(n)]
+    rows = [("S" if i % 4 else None, "D", 2020, 1, 1, i, v[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "state string, district string, Year int, Month_num int, Day int, row_id long, moisture double")
+    out = panel_lookback(df, "moisture", pieces=16)
+    got = {r.row_id: r for r in out.collect()}
+    own = pd.Series([v[i] if v[i] is not None else np.nan for i in range(n) if i % 4])
+    ids = [i for i in range(n) if i % 4]
+    for name, want in (("lag_1", own.shift(1)), ("lag_7", own.shift(7)), ("rolling_3", own.rolling(3, min_periods=1).mean()),
+                       ("rolling_6", own.rolling(6, min_periods=1).mean())):
+        for i, x in zip(ids, want):
+            assert (got[i][name] is None and np.isnan(x)) or got[i][name] == pytest.approx(x)
+    assert all(got[i][c] is None for i in range(0, n, 4) for c in ("lag_1", "rolling_3"))
+    order = ["Year", "Month_num", "Day", "row_id"]
+    cuts = _panel_cuts(df.where("state is not null").select("state", "district", *order), ["state", "district"], order, 16, 64).first()
+    starts = [0] + [c.k3.v for c in cuts["_cuts"]] + [n]
+    assert len(starts) > 12 and max(b - a for a, b in zip(starts, starts[1:])) < 3 * n / 16
+
+
+def test_hash_samples_merge(spark):
+    from terrapanel.operators.windows import sample_rows
+
+    df = spark.range(0, 1000).selectExpr("id", "id % 7 as k", "if(id % 5 = 0, null, 'x') as t")
+    a = sorted(sample_rows(df, 50).collect(), key=str)
+    assert a == sorted(sample_rows(df.repartition(13), 50).collect(), key=str) and len(a) == 50
+    parts = sample_rows(df.where("k < 3"), 50).unionByName(sample_rows(df.where("k >= 3"), 50))
+    assert sorted(sample_rows(parts, 50).collect(), key=str) == a
+    assert sample_rows(df, 50, seed=7).subtract(spark.createDataFrame(a, df.schema)).count() > 30
+    assert sample_rows(df, 2000).count() == 1000 and sample_rows(df.limit(0), 5).count() == 0
+
+
 @pytest.mark.parametrize("accuracy", [10_000, 60])
 def test_quantiles_of_small_and_bracketed_groups(spark, accuracy):
     from terrapanel.operators.quantiles import grouped_quantiles
@@ -131,19 +170,3 @@ def test_tercile_equals_pandas(spark):
     got = [r.moisture_class for r in
            tercile_class(df, "moisture", ["row_id"]).orderBy("row_id").collect()]
     assert got == exp
-
-
-def test_choose_chunk_picks_coarsest_fitting_prefix(spark):
-    from terrapanel.operators.windows import choose_chunk
-    from terrapanel.sources.tables import readings
-    from sample_paths import SF_SMALL
-
-    r = readings(spark, SF_SMALL)
-    keys, order = ["state", "district"], ["Year", "Month_num", "Day", "row_id"]
-    biggest_year = r.groupBy(*keys, "Year").count().agg(F.max("count")).first()[0]
-    biggest_month = r.groupBy(*keys, "Year", "Month_num").count().agg(F.max("count")).first()[0]
-    assert choose_chunk(r, keys, order, biggest_year) == ["Year"]
-    assert choose_chunk(r, keys, order, biggest_year - 1) == ["Year", "Month_num"]
-    if biggest_month > 1:
-        assert choose_chunk(r, keys, order, biggest_month - 1) == ["Year", "Month_num", "Day"]
-    assert choose_chunk(r, keys, order, 0) == ["Year", "Month_num", "Day"]

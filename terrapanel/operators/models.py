@@ -3,7 +3,7 @@
 * M1/M2 — exact median imputation and population-std scaling learnt on the
   train year.  ``ml.feature.Imputer`` uses approximate quantiles and
   ``StandardScaler`` the sample std, so the statistics are built from
-  aggregates (exact medians from the skew-safe rank quantiles), one row.
+  aggregates (exact medians selected by counts), one row.
   A feature that is entirely null in the train year is imputed with 0.0 and
   reported in ``all_null`` (ledger L3).
 * M4–M8 — LinearRegression (normal equations), a forest of ``forests``
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.boosting import DepthwiseBooster, LeafwiseBooster
 from terrapanel.operators.forests import GrownForest
-from terrapanel.operators.quantiles import grouped_quantiles
+from terrapanel.operators.quantiles import column_quantiles
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -50,27 +50,17 @@ def fit_preprocessing(train: DataFrame, features: Sequence[str]) -> DataFrame:
 def _fit_preprocessing(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """M1+M2 statistics as one row: ``med_<f>``, ``mean_<f>``, ``std_<f>``.
 
-    Medians are exact (rank based over the long form feature/value table, one
-    global rank for all features).  Mean and population std are of the
-    *imputed* column, as a scaler fitted after the imputer sees it."""
+    Medians are exact, selected by counts over the wide table for all features
+    at once.  Mean and population std are of the *imputed* column, as a scaler
+    fitted after the imputer sees it."""
     feats = list(features)
-    long = train.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in feats]))
-        .alias("kv")).select("kv.*")
-    med = grouped_quantiles(long, ["feature"], "v", [0.5], ["median"])
-    med_row = med.groupBy().pivot("feature", feats).agg(F.first("median"))
-    med_struct = med_row.select(F.struct(*[F.col(f) for f in feats])).scalar()   # one subquery
-    meds = {f: F.coalesce(med_struct[f], F.lit(0.0)) for f in feats}
+    found = column_quantiles(train, feats, [0.5])
+    meds = {f: F.lit(found[f][1][0] if found[f][0] else 0.0).cast("double") for f in feats}
     imputed = train.select(*[F.coalesce(F.col(f).cast("double"), meds[f]).alias(f) for f in feats])
-    aggs = []
-    for f in feats:
-        aggs += [F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"std_{f}")]
-    stats = imputed.agg(*aggs)
-    return stats.select(*[meds[f].alias(f"med_{f}") for f in feats],
-                        *[F.col(f"mean_{f}") for f in feats], *[F.col(f"std_{f}") for f in feats],
-                        F.array(*[F.when(med_struct[f].isNull(), F.lit(f))
-                                  for f in feats]).alias("_nulls")) \
-                .withColumn("all_null", F.filter("_nulls", lambda x: x.isNotNull())).drop("_nulls")
+    stats = imputed.agg(*[F.avg(f).alias(f"mean_{f}") for f in feats], *[F.stddev_pop(f).alias(f"std_{f}") for f in feats])
+    none = [f for f in feats if not found[f][0]]
+    return stats.select(*[meds[f].alias(f"med_{f}") for f in feats], *[F.col(f"mean_{f}") for f in feats], *[F.col(f"std_{f}") for f in feats],
+                        F.lit(none).cast("array<string>").alias("all_null") if none else F.array().cast("array<string>").alias("all_null"))
 
 
 def apply_preprocessing(df: DataFrame, features: Sequence[str], prep,

@@ -2,7 +2,7 @@
 
 Every profile is one or two aggregation passes with partial (map-side)
 aggregation; nothing collects rows.  Exact quantiles go through
-``grouped_quantiles`` (rank based, skew safe).
+``grouped_quantiles`` (selection by counts, skew safe).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.calendar import log1p_clipped
 from terrapanel.operators.lookup import month_spine_fill, small_side
-from terrapanel.operators.quantiles import grouped_quantiles, quantiles
+from terrapanel.operators.quantiles import grouped_quantiles, narrow_values, quantiles
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "mean_value") -> DataFrame:
@@ -32,14 +32,13 @@ def adjusted_skewness(c) -> F.Column:
 
 def describe(df: DataFrame, value: str, approx: bool = False) -> DataFrame:
     """A7 (+A8): count, mean, sample std, min, 25/50/75 %, max, adjusted skew."""
-    moments = df.agg(F.count(value).cast("long").alias("count"), F.avg(value).alias("mean"),
-                     F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-                     F.max(value).alias("max"), adjusted_skewness(value).alias("skew"))
-    q = quantiles(df, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], approx=approx).drop("n")
-    row = q.select(F.struct("p25", "p50", "p75")).scalar()          # one scalar subquery
-    p25, p50, p75 = row["p25"], row["p50"], row["p75"]
-    return moments.select("count", "mean", "std", "min", p25.alias("p25"), p50.alias("p50"),
-                          p75.alias("p75"), "max", "skew")
+    values = narrow_values(df, [], value)              # read by the moments and by every count
+    moments = values.agg(F.count("_v").cast("long").alias("count"), F.avg("_v").alias("mean"),
+                         F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"),
+                         F.max("_v").alias("max"), adjusted_skewness("_v").alias("skew"))
+    q = quantiles(values, "_v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], approx=approx, narrow=values).first()
+    return moments.select("count", "mean", "std", "min", *[F.lit(q[c] if q else None).cast("double").alias(c) for c in ("p25", "p50", "p75")],
+                          "max", "skew")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 60, log1p: bool = False) -> DataFrame:
@@ -86,15 +85,16 @@ def monthly_resample(df: DataFrame, keys: Sequence[str], date_col: str, value: s
 
 def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> DataFrame:
     """Quartiles and whiskers (most extreme values inside 1.5·IQR)."""
+    values = narrow_values(df, [group], value)
     q = grouped_quantiles(df, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                          approx=approx)
+                          approx=approx, narrow=values)
     q = small_side(q.withColumn("iqr", F.col("q3") - F.col("q1")))     # one row per group
     fences = q.select(group, (F.col("q1") - 1.5 * F.col("iqr")).alias("_lof"),
                       (F.col("q3") + 1.5 * F.col("iqr")).alias("_hif"))
-    j = df.where(F.col(value).isNotNull()).join(fences, group, "inner")
+    j = values.join(fences, group, "inner")
     wh = j.groupBy(group).agg(
-        F.min(F.when(F.col(value) >= F.col("_lof"), F.col(value))).alias("whisker_lo"),
-        F.max(F.when(F.col(value) <= F.col("_hif"), F.col(value))).alias("whisker_hi"))
+        F.min(F.when(F.col("_v") >= F.col("_lof"), F.col("_v"))).alias("whisker_lo"),
+        F.max(F.when(F.col("_v") <= F.col("_hif"), F.col("_v"))).alias("whisker_hi"))
     return q.join(wh, group, "inner")
 
 

@@ -146,19 +146,27 @@ def test_hash_samples_merge(spark):
     assert sample_rows(df, 2000).count() == 1000 and sample_rows(df.limit(0), 5).count() == 0
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 60])
-def test_quantiles_of_small_and_bracketed_groups(spark, accuracy):
-    from terrapanel.operators.quantiles import grouped_quantiles
+@pytest.mark.parametrize("accuracy, limit", [(10_000, 50_000), (10_000, 300), (60, 10), (60, 300), (20, 3)])
+def test_quantiles_of_small_and_narrowed_groups(spark, accuracy, limit):
+    from terrapanel.operators.quantiles import column_quantiles, grouped_quantiles
 
     rng = np.random.default_rng(11)
     rows = [(g, float(x)) for g, n in (("a", 25), ("b", 400), ("c", 1), ("d", 5000)) for x in rng.integers(0, 6 * n, size=n)]
     rows += [("e", 3.0)] * 500 + [("e", 4.0)] * 501          # ties across a bracket
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.p25, r.p50, r.p90) for r in
-           grouped_quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], ["p25", "p50", "p90"], accuracy=accuracy).collect()}
-    for g in "abcde":
+    rows += [("f", 7.0)] * 900 + [("f", float(x)) for x in rng.normal(size=300)] + [("g", float(x)) for x in np.exp(rng.normal(size=2000) * 8)]
+    df = spark.createDataFrame(rows + [("a", None), (None, 5.0)], "g string, v double").repartition(5)
+    ps, names = [0.0, 0.25, 0.5, 0.9, 1.0], ["p0", "p25", "p50", "p90", "p100"]
+    got = {r.g: tuple(r[c] for c in names) for r in
+           grouped_quantiles(df, ["g"], "v", ps, names, accuracy=accuracy, limit=limit, extra_aggs=[F.avg("_v").alias("m")]).collect()}
+    for g in "abcdefg":
         vals = np.array([v for k, v in rows if k == g])
-        assert got[g] == pytest.approx(tuple(np.percentile(vals, [25, 50, 90])))
+        assert got[g] == pytest.approx(tuple(np.percentile(vals, [0, 25, 50, 90, 100])))
+    wide = df.select("v", (-F.col("v")).alias("w"), F.when(F.col("g") == "c", F.col("v")).alias("few"), F.lit(None).cast("double").alias("none"))
+    cols = column_quantiles(wide, wide.columns, ps, accuracy, limit)
+    v = np.array([x for _, x in rows] + [5.0])
+    assert cols["v"] == (len(v), pytest.approx(np.percentile(v, [0, 25, 50, 90, 100]).tolist()))
+    assert cols["w"][1] == pytest.approx(np.percentile(-v, [0, 25, 50, 90, 100]).tolist())
+    assert cols["few"][0] == 1 and cols["none"] == (0, [None] * 5)
 
 
 def test_tercile_equals_pandas(spark):

@@ -6,7 +6,7 @@
   aggregates (exact medians selected by counts), one row.
   A feature that is entirely null in the train year is imputed with 0.0 and
   reported in ``all_null`` (ledger L3).
-* M4–M8 — LinearRegression (normal equations), a forest of ``forests``
+* M4–M8 — least squares of ``linear`` (normal equations), a forest of ``forests``
   (200 trees grown to purity, seed 42), two boosted models of ``boosting``
   (200 rounds, depth 6, step 0.1, on all rows and features: level by level, and
   best leaf first up to 31 leaves) and a forest on the tercile class with
@@ -20,12 +20,12 @@ from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.boosting import DepthwiseBooster, LeafwiseBooster
 from terrapanel.operators.forests import GrownForest
+from terrapanel.operators.linear import NormalLinear
 from terrapanel.operators.quantiles import column_quantiles
 
 
@@ -90,7 +90,7 @@ def apply_preprocessing(df: DataFrame, features: Sequence[str], prep,
 def regressors(seed: int = 42, trees: int = 200, rounds: int = 200, depth_b: int = 6) -> dict:
     """M4–M7 with the reference configurations; no rows or features are left out of any round."""
     return {
-        "Linear": LinearRegression(solver="normal", labelCol="label", featuresCol="features"),
+        "Linear": NormalLinear(),
         "RandomForest": GrownForest(trees=trees, seed=seed),
         "GBT_A": DepthwiseBooster(rounds=rounds, maxDepth=6, stepSize=0.1),
         "GBT_B": LeafwiseBooster(rounds=rounds, maxDepth=depth_b, stepSize=0.1),

@@ -465,6 +465,7 @@ def q_images_sample_per_class(spark, sf_dir):
 # ---------------------------------------------------------------- Q5 models
 from terrapanel.operators.boosting import DepthwiseBooster, LeafwiseBooster  # noqa: E402
 from terrapanel.operators.forests import GrownForest  # noqa: E402
+from terrapanel.operators.linear import NormalLinear  # noqa: E402
 from terrapanel.operators.models import assemble, fit_preprocessing  # noqa: E402
 from terrapanel.plans import modeling as MD  # noqa: E402
 
@@ -543,6 +544,20 @@ def q_model_leafwise_tree(spark, sf_dir):
         F.lit(second[3]).alias("missing_left"), "prediction", "n", "mean_label")
 
 
+@register("model_linear_normal")
+def q_model_linear_normal(spark, sf_dir):
+    """M4: coefficients by normal equations; the third feature repeats the first and is left out."""
+    rows = feature_table(spark, sf_dir).where(F.col("Year") == TRAIN_YEAR).where("moisture is not null")
+    rows = rows.withColumn("again", F.col("Month_num") * 2 + 1)
+    names = ["Month_num", "Day", "again"]
+    model = NormalLinear().fit(assemble(rows.select(*names, F.col("moisture").alias("label")), names))
+    terms = [*zip(names, model.getOrDefault("coefficients")), ("intercept", model.getOrDefault("intercept"))]
+    scored = model.transform(assemble(rows.select(*names, F.col("moisture").alias("label")), names))
+    error = scored.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse"))
+    return error.select(F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.round(F.lit(v) + 1e-9, 4).alias("value")) for n, v in terms],
+                                          F.struct(F.lit("rmse").alias("term"), r4("rmse").alias("value")))).alias("t")).select("t.*")
+
+
 @register("model_pure_tree")
 def q_model_pure_tree(spark, sf_dir):
     """M5 with one tree over all rows: grown to its end, so every feature vector has its

@@ -667,6 +667,18 @@ FROM (SELECT s.f, s.cut, s.missing_left,
     """second AS (SELECT * FROM (SELECT true AS parent_left, * FROM best_l UNION ALL SELECT false, * FROM best_r) b
   ORDER BY round(gain, 7) DESC, parent_left DESC LIMIT 1)""")
 
+SQL["model_linear_normal"] = with_readings(f"""
+SELECT term, {R4('value')} AS value FROM (
+  SELECT 'Month_num' AS term, b1 AS value FROM solved UNION ALL SELECT 'Day', b2 FROM solved UNION ALL SELECT 'again', 0.0
+  UNION ALL SELECT 'intercept', b0 FROM solved
+  UNION ALL SELECT 'rmse', sqrt(avg((y - b0 - b1 * m - b2 * d) * (y - b0 - b1 * m - b2 * d))) FROM own, solved) t""",
+    _calendar_cte(), TAGGED, FEATURES_CTE,
+    "own AS (SELECT CAST(Month_num AS DOUBLE) AS m, CAST(Day AS DOUBLE) AS d, moisture AS y FROM feat WHERE Year = 1999 AND moisture IS NOT NULL)",
+    """sums AS (SELECT var_pop(m) AS mm, var_pop(d) AS dd, covar_pop(m, d) AS md, covar_pop(m, y) AS my, covar_pop(d, y) AS dy,
+  avg(m) AS am, avg(d) AS ad, avg(y) AS ay FROM own)""",
+    """slopes AS (SELECT (my * dd - dy * md) / (mm * dd - md * md) AS b1, (dy * mm - my * md) / (mm * dd - md * md) AS b2, am, ad, ay FROM sums)""",
+    "solved AS (SELECT b1, b2, ay - b1 * am - b2 * ad AS b0 FROM slopes)")
+
 SQL["model_pure_tree"] = with_readings(f"""
 SELECT Month_num, Season_num, day_step, district_id, {R4('avg(y)')} AS prediction, {R4('avg(y)')} AS same_prediction,
        CAST(count(*) AS BIGINT) AS n

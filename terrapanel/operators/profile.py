@@ -118,8 +118,11 @@ def pivot_month_year(df: DataFrame, keys: Sequence[str], value: str, years: Sequ
 
 def sample_complete_rows(df: DataFrame, cols: Sequence[str], n: int = 2000, seed: int = 42,
                          id_col: str | None = None) -> DataFrame:
-    """T5: n pseudo-random complete rows; hash order makes it repeatable.
-    Plans as a top-k (each task keeps n rows), never a full sort."""
+    """T5: n pseudo-random complete rows, those with the least hash of the seed
+    and the id (or all columns).  Each task keeps its n least and they are
+    merged, so the sample is the same however the rows lie, that of two tables is the
+    sample of their samples, and SQL can draw it."""
     base = df.select(*cols, *([id_col] if id_col and id_col not in cols else [])).dropna(subset=list(cols))
-    key = F.xxhash64(*[F.col(c) for c in ([id_col] if id_col else cols)], F.lit(seed))
-    return base.withColumn("_h", key).orderBy("_h").limit(n).drop("_h")
+    own = [id_col] if id_col else list(cols)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in own]))
+    return base.withColumn("_h", key).orderBy("_h", *own).limit(n).drop("_h")

@@ -198,9 +198,9 @@ def q_eda_season_box(spark, sf_dir):
 
 @register("eda_sample_rows")
 def q_eda_sample_rows(spark, sf_dir):
-    """T5 (rows-only check): 2000 hash-chosen complete rows."""
+    """T5: 2000 hash-chosen complete rows."""
     return sample_complete_rows(readings(spark, sf_dir), ["Year", "Month_num", "Day", "moisture"],
-                                n=2000, seed=42, id_col="row_id")
+                                n=2000, seed=42, id_col="row_id").withColumn("moisture", r4("moisture"))
 
 
 # ---------------------------------------------------------------- Q6–Q10 serving
@@ -372,13 +372,19 @@ def q_eval_labels_report(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- Q12 score vectors
-HEADS = {"head_a": 1, "head_b": 11, "head_c": 21}   # 10 class scores from each slice
+#: Three heads of ten class scores; each sums all 64 elements, dealt to the classes in its own way.
+HEADS = {"head_a": lambda i: i % 10, "head_b": lambda i: i // 7, "head_c": lambda i: (7 * i + 3) % 10}
+
+
+def class_scores(deal):
+    """Ten sums over the whole embedding; element i counts for class ``deal(i)``."""
+    return F.array(*[sum((F.col("embedding")[i].cast("double") for i in range(64) if deal(i) == c), F.lit(0.0)) for c in range(10)])
 
 
 def scored_heads(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     out = e.select("vec_id", "label", *[
-        softmax(F.slice("embedding", start, 10)).alias(h) for h, start in HEADS.items()])
+        softmax(class_scores(deal)).alias(h) for h, deal in HEADS.items()])
     for h in HEADS:
         out = out.withColumn(f"{h}_best", argmax_class(h))
     return out
@@ -748,3 +754,157 @@ def q_stored_panel(spark, sf_dir):
     write_table(r.where("Year < 0"), path, partition_by=["Year"], mode="ignore")
     back = load_table(spark, path)
     return back.groupBy("Year", "state").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("sum_row_id"))
+
+
+# ---------------------------------------------------------------- rejects, failing models, images, saved models, orders
+from terrapanel.plans.eda import save_group_summaries  # noqa: E402
+from terrapanel.operators.models import load_models, save_model  # noqa: E402
+from terrapanel.sources.files import export_csv, rejected_dates, scan_readings, scan_rejects, standardize  # noqa: E402
+from terrapanel.sources.images import scan_image_folder, score_images  # noqa: E402
+
+
+def ragged_files(spark, sf_dir) -> str:
+    """The readings as CSV lines of 60 columns, the measure in the 44th; by row id some
+    have a cell too many, a quote that never closes, or end before the measure."""
+    r = readings(spark, sf_dir).where("reading_date is not null")
+    root = scratch(spark, "ragged")
+    names = [f"c{i}" for i in range(60)]
+    names[2], names[3], names[43], names[59] = "state name", "district name", "Average Soilmoisture Level (at 15cm)", "Date"
+    cells = {2: F.col("state"), 3: F.concat(F.lit('"'), "district", F.lit(', \"\"D\"\""')), 43: F.col("moisture").cast("string"),
+             59: F.date_format("reading_date", "yyyy-MM-dd")}
+    kind = F.col("row_id") % 10
+    line = F.concat_ws(",", *[cells.get(i, F.lit(str(i))) for i in range(60)])
+    line = (F.when(kind == 1, F.concat(line, F.lit(",one more"))).when(kind == 2, F.concat(F.lit('"'), line))
+             .when(kind == 3, F.concat_ws(",", *[cells.get(i, F.lit("")) for i in range(5)])).otherwise(line))
+    body = r.select(line.alias("value"))
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [",".join(names)]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    body.mapInArrow(with_header, "value string").write.text(root, compression="none")
+    return root
+
+
+@register("ingest_rejects")
+def q_ingest_rejects(spark, sf_dir):
+    """Lines kept and rejected, by reason; no column is too far right and short lines keep what they have."""
+    root = ragged_files(spark, sf_dir)
+    rows = standardize(scan_readings(spark, root, glob="*.txt"))
+    kept = rows.agg(F.count(F.lit(1)).alias("kept"), F.count("moisture").alias("with measure"),
+                    F.count_if(F.col("district").contains(', "D"')).alias("quoted"))
+    long = kept.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in kept.columns])).alias("x")).select("x.*")
+    return long.unionByName(scan_rejects(spark, root, glob="*.txt").groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def failing_predictors(spark, sf_dir):
+    """Two sound models, one that asks for a column which is not there, one that is not finite for some rows."""
+    _, priors, predictors = serving_inputs(spark, sf_dir)
+    odd = F.when(F.col("Month_num") % 4 == 0, F.lit(float("nan"))).when(F.col("Month_num") % 4 == 1, F.lit(float("inf"))).otherwise(F.col("rolling_3"))
+    return S.scoring_grid(priors), [*predictors, S.column_predictor("Broken", F.col("no_such_feature") * 2), S.column_predictor("Odd", odd)]
+
+
+@register("serve_failing_models")
+def q_serve_failing_models(spark, sf_dir):
+    """Null where a model has no finite prediction; the ensemble goes on with the others."""
+    grid, predictors = failing_predictors(spark, sf_dir)
+    return S.predict_all(grid, predictors).select("state", "district", "Month_num", *[r4(c) for c in [*MODELS, "Broken", "Odd", "Ensemble"]])
+
+
+@register("serve_failure_counts")
+def q_serve_failure_counts(spark, sf_dir):
+    return S.prediction_failures(*failing_predictors(spark, sf_dir))
+
+
+@register("images_scored")
+def q_images_scored(spark, sf_dir):
+    """Every embedding as a small raw image below its class folder (every tenth
+    is cut off), listed, decoded, scored by a closed-form model and summed up by class."""
+    e = table(spark, sf_dir, "embeddings")
+    pixels = F.concat_ws(",", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("string")))
+    image = F.concat_ws(";", F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 10 == 3, F.substring(pixels, 1, 9)).otherwise(pixels))
+    root = scratch(spark, "images")
+    e.select(image.alias("value"), F.col("label").alias("folder")).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(root)
+    images = scan_image_folder(spark, root, glob="*.txt", with_content=True)
+
+    def decode(raw: bytes):
+        values = [int(x) for x in raw.decode().strip().split(";")[1].split(",")]
+        if len(values) != 64:
+            raise ValueError("cut off")
+        return values
+
+    def predict(model, pdf):
+        return [[float(sum(p[i] for i in range(64) if i % model == c)) for c in range(model)] for p in pdf["content"]]
+
+    scored = score_images(images, lambda: 4, predict, "quarters", decode=decode, batch_bytes=2000)
+    return scored.groupBy(F.regexp_replace("label", "folder=", "").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("scores").alias("n_scored"),
+        *[F.sum(F.col("scores")[c]).cast("long").alias(f"score_{c}") for c in range(4)])
+
+
+@register("model_saved_scores")
+def q_model_saved_scores(spark, sf_dir):
+    """Models saved, loaded by folder and scored; sums by district."""
+    rows = step_rows(spark, sf_dir)
+    root = scratch(spark, "models")
+    save_model(GrownForest(trees=1, bootstrap=False).fit(rows), f"{root}/tree")
+    save_model(DepthwiseBooster(rounds=1, maxDepth=0, maxLeaves=1).fit(rows), f"{root}/mean")
+    scored = rows
+    for name, model in load_models(spark, root).items():
+        scored = model.setPredictionCol(name).transform(scored)
+    return scored.groupBy("district_id").agg(F.round(F.sum("tree") + 1e-9, 3).alias("tree"), F.round(F.avg("mean") + 1e-9, 4).alias("mean"))
+
+
+@register("exported_ranking")
+def q_exported_ranking(spark, sf_dir):
+    """Month means as a sorted CSV export, read again; the place of each line in its file."""
+    r = readings(spark, sf_dir)
+    means = mean_by(r, ["state", "Month_num"], "moisture").select("state", "Month_num", r4("mean_value"))
+    root = scratch(spark, "export")
+    export_csv(means, f"{root}/means", order_by=["state", "Month_num"])
+    lines = spark.read.option("header", True).csv(f"{root}/means")
+    placed = lines.withColumn("place", F.monotonically_increasing_id() + 1)          # one file: the order of its lines
+    return placed.select("state", F.col("Month_num").cast("int").alias("Month_num"), F.col("mean_value").cast("double").alias("mean_value"), "place")
+
+
+@register("saved_summaries")
+def q_saved_summaries(spark, sf_dir):
+    """The state and month summaries as written, read again."""
+    root = scratch(spark, "summaries")
+    save_group_summaries(readings(spark, sf_dir), root)
+    read = spark.read.option("header", True)
+    parts = [read.csv(f"{root}/{name}_mean_summary").select(F.lit(name).alias("summary"), F.col(key).alias("key"),
+                                                            F.col("mean_value").cast("double").alias("mean_value"))
+             for name, key in (("state", "state"), ("month", "Month_num"))]
+    return parts[0].unionByName(parts[1]).withColumn("mean_value", r4("mean_value"))
+
+
+@register("profile_positions")
+def q_profile_positions(spark, sf_dir):
+    """The month profile in its order, as a rank from the sorted rows."""
+    prof = S.month_profile(readings(spark, sf_dir))
+    return global_rank(prof, ["state", "district", "Month_num"], out="place").select("state", "district", "Month", r4("mean_moisture"), "place")
+
+
+@register("path_years")
+def q_path_years(spark, sf_dir):
+    """The year from the file's folder, where the date has another or none."""
+    r = readings(spark, sf_dir).where("reading_date is not null")
+    root = scratch(spark, "years")
+    date = F.when(F.col("row_id") % 3 == 0, F.lit("no date")).otherwise(F.date_format("reading_date", "yyyy/MM/dd"))
+    r.select(date.alias("date"), F.col("state"), F.col("district"), F.col("moisture").cast("string").alias("moisture level"),
+             (F.col("Year") + 2).alias("folder")).write.partitionBy("folder").option("header", True).csv(f"{root}/raw")
+    read = scan_readings(spark, f"{root}/raw").withColumn("source_file", F.regexp_replace("source_file", "folder=", ""))
+    out = standardize(read, year_from_path=True)
+    return out.groupBy("Year").agg(F.count(F.lit(1)).alias("n"), F.count("reading_date").alias("n_dates"), r4(F.sum("moisture"), "moisture"))
+
+
+@register("serve_manual_thresholds")
+def q_serve_manual_thresholds(spark, sf_dir):
+    """F12 in manual mode: the farmer summary under the fixed thresholds."""
+    r, scored = scored_grid(spark, sf_dir)
+    fs = S.farmer_summary(scored.withColumn("primary", S.primary_value(MODELS)), r, varieties_dimension(spark), "primary", automatic=False)
+    return fs.select("state", "district", "Month_num", r4("primary"), r4("low_thresh"), r4("high_thresh"), "category")

@@ -520,8 +520,12 @@ SQL["eval_labels_report"] = "WITH " + _report("(SELECT quality AS y, toxic AS p
 
 
 # ---------------------------------------------------------------- score vectors
-def _head(h: str, start: int) -> str:
-    return f"""u_{h} AS (SELECT vec_id, label, CAST(unnest(embedding[{start}:{start + 9}]) AS DOUBLE) AS x,
+def _head(h: str) -> str:
+    from terrapanel.plans.catalog import HEADS
+
+    sums = ", ".join(" + ".join(["CAST(0 AS DOUBLE)", *[f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(64) if HEADS[h](i) == c]])
+                     for c in range(10))
+    return f"""u_{h} AS (SELECT vec_id, label, unnest([{sums}]) AS x,
                  unnest(range(0, 10)) AS idx FROM embeddings),
 p_{h} AS (SELECT vec_id, label, idx, exp(x - max(x) OVER (PARTITION BY vec_id)) AS ex FROM u_{h}),
 q_{h} AS (SELECT vec_id, label, idx, ex / sum(ex) OVER (PARTITION BY vec_id) AS prob FROM p_{h}),
@@ -534,14 +538,14 @@ b_{h} AS (SELECT vec_id, label, CAST(max(CASE WHEN rk = 1 THEN idx END) AS VARCH
           FROM r_{h} GROUP BY vec_id, label)"""
 
 
-SQL["scores_topk"] = "WITH " + _head("head_a", 1) + f"""
+SQL["scores_topk"] = "WITH " + _head("head_a") + f"""
 SELECT vec_id, CAST(label AS VARCHAR) AS truth, pred AS pred_label, {R4('best * 100')} AS confidence_pct,
   CASE WHEN best * 100 < 50.0 THEN 'below threshold' ELSE 'meets threshold' END AS confidence_flag,
   top3, hit3 AS top3_hit
 FROM b_head_a"""
 
 SQL["scores_model_summary"] = "WITH " + ",\n".join(
-    _head(h, s) for h, s in [("head_a", 1), ("head_b", 11), ("head_c", 21)]) + f""",
+    _head(h) for h in ["head_a", "head_b", "head_c"]) + f""",
 allv AS (SELECT a.vec_id, CAST(a.label AS VARCHAR) AS truth, a.pred AS va, b.pred AS vb, c.pred AS vc
          FROM b_head_a a JOIN b_head_b b ON a.vec_id = b.vec_id JOIN b_head_c c ON a.vec_id = c.vec_id),
 vv AS (SELECT vec_id, truth, v FROM (SELECT vec_id, truth, unnest([va, vb, vc]) AS v FROM allv) x),
@@ -763,3 +767,68 @@ FROM (SELECT state, district, avg(moisture) AS r FROM readings GROUP BY ALL) x,
     + f" ELSE {FV.MONTH_ONLY_SEASON_DEFAULT} END")
 SQL["stored_panel"] = with_readings("""
 SELECT Year, state, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(row_id) AS BIGINT) AS sum_row_id FROM readings GROUP BY ALL""")
+
+
+SQL["eda_sample_rows"] = with_readings(f"""
+SELECT Year, Month_num, Day, {R4('moisture')} AS moisture, row_id FROM readings
+WHERE Year IS NOT NULL AND Month_num IS NOT NULL AND Day IS NOT NULL AND moisture IS NOT NULL
+ORDER BY md5('42|' || row_id), row_id LIMIT 2000""")
+
+SQL["ingest_rejects"] = with_readings("""
+SELECT kind, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'kept' AS kind, count(*) FILTER (row_id % 10 NOT IN (1, 2)) AS n FROM readings
+  UNION ALL SELECT 'with measure', count(moisture) FILTER (row_id % 10 NOT IN (1, 2, 3)) FROM readings
+  UNION ALL SELECT 'quoted', count(*) FILTER (row_id % 10 NOT IN (1, 2)) FROM readings
+  UNION ALL SELECT 'cells', count(*) FILTER (row_id % 10 = 1) FROM readings
+  UNION ALL SELECT 'quote', count(*) FILTER (row_id % 10 = 2) FROM readings) t""")
+
+FAILING = """failing AS (
+  SELECT state, district, Month_num, Seasonal, Persistence, CASE WHEN Month_num % 4 IN (2, 3) THEN Persistence END AS Odd FROM scored)"""
+SQL["serve_failing_models"] = with_readings(f"""
+SELECT state, district, Month_num, {R4('Seasonal')} AS Seasonal, {R4('Persistence')} AS Persistence,
+  CAST(NULL AS DOUBLE) AS Broken, {R4('Odd')} AS Odd,
+  {R4('CASE WHEN k > 1 THEN (coalesce(Seasonal, 0) + Persistence + coalesce(Odd, 0)) / k END')} AS Ensemble
+FROM (SELECT *, 1 + CAST(Seasonal IS NOT NULL AS INTEGER) + CAST(Odd IS NOT NULL AS INTEGER) AS k FROM failing) f""",
+    FEAT2, PRI, SEASONAL, SCORED, FAILING)
+SQL["serve_failure_counts"] = with_readings("""
+SELECT model, reason, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'Broken' AS model, 'UNRESOLVED_COLUMN.WITH_SUGGESTION' AS reason, count(*) AS n FROM failing
+  UNION ALL SELECT 'Odd', 'not finite', count(*) FILTER (Odd IS NULL) FROM failing
+  UNION ALL SELECT 'Seasonal', 'no value', count(*) FILTER (Seasonal IS NULL) FROM failing) t WHERE n > 0""",
+    FEAT2, PRI, SEASONAL, SCORED, FAILING)
+
+SQL["images_scored"] = """
+SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, count(*) FILTER (vec_id % 10 <> 3) AS n_scored,
+""" + ",\n".join(
+    "  CAST(sum(CASE WHEN vec_id % 10 <> 3 THEN " + " + ".join(f"floor(CAST(embedding[{i + 1}] AS DOUBLE) * 100)" for i in range(c, 64, 4))
+    + f" END) AS BIGINT) AS score_{c}" for c in range(4)) + """
+FROM embeddings GROUP BY label"""
+
+SQL["model_saved_scores"] = with_readings(f"""
+SELECT district_id, round(sum(y) + 1e-9, 3) AS tree, {R4('(SELECT avg(y) FROM step)')} AS mean FROM step GROUP BY district_id""",
+    _calendar_cte(), TAGGED, FEATURES_CTE, _STEP_ROWS)
+
+SQL["exported_ranking"] = with_readings(f"""
+SELECT state, Month_num, {R4('avg(moisture)')} AS mean_value, row_number() OVER (ORDER BY state, Month_num) AS place
+FROM readings WHERE state IS NOT NULL AND Month_num IS NOT NULL GROUP BY state, Month_num""")
+
+SQL["profile_positions"] = with_readings(f"""
+SELECT state, district, {MONTH_TITLES}[Month_num] AS Month, {R4('avg(moisture)')} AS mean_moisture,
+       row_number() OVER (ORDER BY state, district, Month_num) AS place
+FROM readings WHERE state IS NOT NULL AND district IS NOT NULL AND Month_num IS NOT NULL GROUP BY state, district, Month_num""")
+
+SQL["path_years"] = with_readings(f"""
+SELECT CAST(Year + 2 AS INTEGER) AS Year, count(*) AS n, count(*) FILTER (row_id % 3 <> 0) AS n_dates, {R4('sum(moisture)')} AS moisture
+FROM readings WHERE reading_date IS NOT NULL GROUP BY Year""")
+
+SQL["serve_manual_thresholds"] = with_readings(f"""
+SELECT s.state, s.district, s.Month_num, {R4('s.pred_moisture')} AS primary, 5.0::DOUBLE AS low_thresh, 10.0::DOUBLE AS high_thresh,
+  CASE WHEN s.pred_moisture < coalesce(q.p25, 5.0) THEN 'LOW' WHEN s.pred_moisture > coalesce(q.p75, 10.0) THEN 'HIGH' ELSE 'MEDIUM' END AS category
+FROM scored s LEFT JOIN (
+  SELECT state, district, Month_num, quantile_cont(moisture, 0.25) AS p25, quantile_cont(moisture, 0.75) AS p75
+  FROM readings GROUP BY state, district, Month_num) q ON q.state = s.state AND q.district = s.district AND q.Month_num = s.Month_num""",
+    FEAT2, PRI, SEASONAL, SCORED)
+
+SQL["saved_summaries"] = with_readings(f"""
+SELECT 'state' AS summary, state AS key, {R4('avg(moisture)')} AS mean_value FROM readings WHERE state IS NOT NULL GROUP BY state
+UNION ALL SELECT 'month', CAST(Month_num AS VARCHAR), {R4('avg(moisture)')} FROM readings WHERE Month_num IS NOT NULL GROUP BY Month_num""")

@@ -18,8 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrapanel import fixed_values as FV
 from terrapanel.functions import advice as A
@@ -80,11 +82,32 @@ def ml_predictor(name: str, model, features: Sequence[str], prep: DataFrame | No
     return Predictor(name, run)
 
 
+def check_predictor(df: DataFrame, p: Predictor) -> str | None:
+    """M9: why a predictor cannot score ``df``, or None.  It is applied to the plan and
+    analysed against the schema, nothing runs; its column must be there and a number."""
+    try:
+        out = p.apply(df)
+        kind = out.schema[p.name].dataType if p.name in out.columns else None
+    except Exception as e:                      # whatever a caller's model raises is its reason
+        condition = e.getCondition() if isinstance(e, PySparkException) else None
+        return condition or type(e).__name__
+    if kind is None:
+        return "no prediction column"
+    return None if isinstance(kind, T.NumericType) else "prediction is not a number"
+
+
 def predict_all(df: DataFrame, predictors: Sequence[Predictor], ensemble: str | None = "Ensemble") -> DataFrame:
     """M9 + M10: one column per model; the ensemble is the mean of the valid
-    predictions when more than one is valid."""
+    predictions when more than one is valid.  A model that cannot score the
+    table is a column of nulls, and a row without a finite prediction is null;
+    ``prediction_failures`` counts both."""
     for p in predictors:
-        df = p.apply(df)
+        if check_predictor(df, p) is None:
+            scored = p.apply(df)
+            value = F.col(p.name).cast("double")
+            df = scored.withColumn(p.name, F.when(F.abs(value) < float("inf"), value))    # NaN is greater
+        else:
+            df = df.withColumn(p.name, F.lit(None).cast("double"))
     if ensemble:
         vals = F.filter(F.array(*[F.col(p.name).cast("double") for p in predictors]),
                         lambda x: x.isNotNull())
@@ -93,6 +116,29 @@ def predict_all(df: DataFrame, predictors: Sequence[Predictor], ensemble: str |
     return df
 
 
+def prediction_failures(df: DataFrame, predictors: Sequence[Predictor]) -> DataFrame:
+    """M9: (model, reason, n) — the rows that a model gives no prediction for: all, where it
+    cannot score the table; else those without a value or with one that is not finite."""
+    counts = [F.count(F.lit(1)).alias("_all")]
+    reasons, scored = {}, df
+    for i, p in enumerate(predictors):
+        reasons[i] = check_predictor(df, p)
+        if reasons[i] is None:
+            scored = p.apply(scored)
+            value = F.col(p.name).cast("double")
+            counts += [F.count_if(value.isNull()).alias(f"_none{i}"),
+                       F.count_if(~(F.abs(value) < float("inf"))).alias(f"_odd{i}")]
+    found = scored.agg(*counts)
+    parts = []
+    for i, p in enumerate(predictors):
+        if reasons[i] is not None:
+            parts.append(F.struct(F.lit(p.name).alias("model"), F.lit(reasons[i]).alias("reason"), F.col("_all").alias("n")))
+        else:
+            parts += [F.struct(F.lit(p.name).alias("model"), F.lit("no value").alias("reason"), F.col(f"_none{i}").alias("n")),
+                      F.struct(F.lit(p.name).alias("model"), F.lit("not finite").alias("reason"), F.col(f"_odd{i}").alias("n"))]
+    return found.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("n > 0")
+
+
 def primary_value(names: Sequence[str]) -> Column:
     """Mean of the valid predictions among ``names`` (one when only one is valid)."""
     vals = F.filter(F.array(*[F.col(n).cast("double") for n in names]), lambda x: x.isNotNull())

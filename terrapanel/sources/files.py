@@ -3,9 +3,8 @@
 Reading files are CSVs whose columns are found by each file's own header line,
 whatever their order; all files are read in one distributed scan
 (``recursiveFileLookup`` + ``pathGlobFilter``), types are never inferred, and
-missing cells are nulls that the null policy sees.  The streaming ingest reads
-files of one declared layout.  The canonical
-schema after ``standardize`` is::
+missing cells are nulls that the null policy sees.  Lines that do not fit their
+header go to a table of rejects.  The canonical schema after ``standardize`` is::
 
     state, district, date_text, reading_date, Year, Month, Day, Month_num,
     moisture (average level), volume, agg_pct, vol_pct, source_file, row_id
@@ -18,31 +17,11 @@ from typing import Iterable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrapanel.functions.calendar import clean_text, month_abbr_upper, numeric_coerce, parse_date
 
 MEASURES = ["moisture", "volume", "agg_pct", "vol_pct"]
 
-# Both layouts share the first seven columns, in this order.
-_BASE = [
-    ("date_text", T.StringType()),
-    ("state", T.StringType()),
-    ("district", T.StringType()),
-    ("moisture", T.StringType()),
-    ("volume", T.StringType()),
-    ("agg_pct", T.StringType()),
-    ("vol_pct", T.StringType()),
-]
-LAYOUTS = {
-    "raw": T.StructType([T.StructField(n, t) for n, t in _BASE]),
-    "enriched": T.StructType([T.StructField(n, t) for n, t in _BASE] + [
-        T.StructField("src_year", T.StringType()),
-        T.StructField("src_month", T.StringType()),
-        T.StructField("src_day", T.StringType()),
-    ]),
-}
-
 # Header aliases for name-based resolution (S3): first match wins.
 ALIASES = {
     "state": ["state_name", "state name", "state"],
@@ -80,72 +59,102 @@ def resolve_column(columns: Sequence[str], candidates: Iterable[str],
     return None
 
 
-MAX_COLUMNS = 32          # cells read of a line
-MAX_LAYOUTS = 1000        # different header lines of one scan
+def text_lines(reader, paths) -> DataFrame:
+    """(line, source_file) of the files that a reader (batch or stream) finds: every
+    line that is not blank, its bytes one by one as ISO-8859-1."""
+    lines = reader.text(paths).select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"),
+                                      F.col("_metadata.file_path").alias("source_file"))
+    return lines.where(F.trim("line") != "")
 
 
-def _cells(spark: SparkSession, paths, glob: str, recursive: bool) -> DataFrame:
-    """(cells, source_file): every line, headers included.  Bytes are read one
-    by one as ISO-8859-1; a cell whose bytes are valid UTF-8 is that text, so
-    each cell gets its encoding without a second read of its file."""
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    df = (spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False)
-          .option("mode", "PERMISSIVE").option("encoding", "ISO-8859-1")
-          .option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-          .csv(list(paths) if not isinstance(paths, str) else paths))
-
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, as many as there are: quotes hold commas, a doubled quote is one.
+    A cell whose bytes are valid UTF-8 is that text, so each has its encoding without a
+    second read of its file; an empty one is null."""
     def text(c):
-        utf8 = F.encode(c, "ISO-8859-1").cast("string")
-        return F.when(F.is_valid_utf8(utf8), F.regexp_replace(utf8, "^\ufeff", "")).otherwise(c)
+        quoted = c.startswith('"') & (F.length(c) > 1)
+        plain = F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.when(c != "", c))
+        utf8 = F.encode(plain, "ISO-8859-1").cast("string")
+        return F.when(F.is_valid_utf8(utf8), F.regexp_replace(utf8, "^\ufeff", "")).otherwise(plain)
 
-    return df.select(F.array(*[text(F.col(n)) for n in names]).alias("cells"),
-                     F.col("_metadata.file_path").alias("source_file"))
+    return F.transform(_raw_cells(line), text)
 
 
-def scan_readings(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv",
-                  recursive: bool = True) -> DataFrame:
-    """Every reading file below ``paths``, its columns found by its own
-    header line (any order, any of the known names), as text columns with the
-    canonical names plus ``source_file``.
+def _raw_cells(line: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"(?=,|$)|[^,]*+)'), F.lit(1))
+
+
+def _open_quote(line: Column) -> Column:
+    """Whether a cell begins with a quote that does not end it."""
+    return F.exists(_raw_cells(line), lambda c: c.startswith('"') & ~c.rlike(r'^"[^"]*+(?:""[^"]*+)*+"$'))
 
-    A file's header is the line that names both the state and the district
-    column.  One small table (a row per file) carries it; only the different
-    header lines come to the driver, where their columns are resolved.  A file
-    without a header is an error.  A measure that no file has is left out; one
-    that some files lack is null there."""
-    from terrapanel.operators.lookup import literal_table, small_side
 
-    lines = _cells(spark, paths, glob, recursive)
+def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV lines (line, source_file).
+
+    A file's header is the line that names both the state and the district
+    column; its columns are found by it (any order, any of the known names, any
+    number).  ``rows`` has the canonical names that some file has (null where a
+    file or a line lacks them) plus ``source_file``.  ``rejects`` has
+    (source_file, reason, line): ``cells`` for more cells than the header has,
+    ``quote`` for a quote that is never closed, ``header`` for every line of a
+    file without a header.  A line is in one of both, or a header.
+
+    One table with a row per file carries the columns' places; nothing of the
+    files comes to the driver but which columns exist."""
+    from terrapanel.operators.lookup import small_side
+
+    cut = lines.withColumn("cells", _cells(F.col("line")))
     plain = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
 
     def names(canon):
         wanted = F.array(*[F.lit(normalize_header(c)) for c in ALIASES[canon]])
         return F.coalesce(F.arrays_overlap(F.filter(plain, lambda c: c.isNotNull()), wanted), F.lit(False))
 
-    lines = lines.withColumn("_head", names("state") & names("district"))
-    key = F.array_join("cells", "\x1f", "")
-    files = small_side(lines.groupBy("source_file").agg(F.min(F.when(F.col("_head"), key)).alias("_layout")))
-    without = files.where("_layout is null").count()
+    def place(canon):
+        """1-based place of a column in the header: by alias, else by substring; null if absent."""
+        found = [F.array_position("_head", normalize_header(c)) for c in ALIASES[canon]]
+        if canon in SUBSTRINGS:
+            found.append(F.array_position(F.transform("_head", lambda c: F.coalesce(F.contains(c, F.lit(SUBSTRINGS[canon])), F.lit(False))), True))
+        return F.coalesce(*[F.when(x > 0, x) for x in found]).cast("int")
+
+    cut = cut.withColumn("_is_head", names("state") & names("district"))
+    files = cut.groupBy("source_file").agg(F.min(F.when(F.col("_is_head"), plain)).alias("_head"))
+    placed = files.select("source_file", F.size("_head").alias("_width"), F.col("_head").isNull().alias("_no_head"),
+                          *[place(c).alias(f"_at_{c}") for c in ALIASES])
+    placed = small_side(placed)
+    there = placed.agg(*[F.count(f"_at_{c}").alias(c) for c in ALIASES]).first()
+    found = [c for c in ALIASES if there[c]]
+    data = cut.where(~F.col("_is_head")).join(placed, "source_file")
+    reason = (F.when(F.col("_no_head"), "header").when(_open_quote(F.col("line")), "quote")
+               .when(F.size("cells") > F.col("_width"), "cells"))
+    data = data.withColumn("reason", reason)
+    rows = data.where("reason is null").select(
+        *[F.when(F.col(f"_at_{c}").isNotNull(), F.try_element_at("cells", F.col(f"_at_{c}"))).alias(c) for c in found], "source_file")
+    rejects = data.where("reason is not null").select("source_file", "reason", "line")
+    return rows, rejects
+
+
+def _files(spark: SparkSession, paths, glob: str, recursive: bool) -> DataFrame:
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+    return text_lines(reader, list(paths) if not isinstance(paths, str) else paths)
+
+
+def scan_readings(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv",
+                  recursive: bool = True) -> DataFrame:
+    """The rows of ``read_lines`` for every reading file below ``paths``, as text.
+    A file without a header is an error; rejected lines are left to ``scan_rejects``."""
+    rows, rejects = read_lines(_files(spark, paths, glob, recursive))
+    without = rejects.where("reason = 'header'").select("source_file").distinct().count()
     if without:
         raise ValueError(f"{without} files have no header line that names a state and a district column")
-    layouts = [r[0] for r in files.select("_layout").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
-    rows, found = [], []
-    for layout in sorted(layouts):
-        header = [c for c in layout.split("\x1f")]
-        at = {canon: resolve_column([c for c in header if c], cands, SUBSTRINGS.get(canon)) for canon, cands in ALIASES.items()}
-        rows.append((layout, *[header.index(at[c]) + 1 if at[c] else None for c in ALIASES]))
-    for i, canon in enumerate(ALIASES):
-        if any(r[i + 1] for r in rows):
-            found.append(canon)
-    columns = ["_of", *[f"_at_{c}" for c in ALIASES]]
-    where = literal_table(spark, rows, columns, ["string"] + ["int"] * len(ALIASES))
-    placed = files.join(F.broadcast(where), F.col("_layout") == F.col("_of")).drop("_of", "_layout")   # at most MAX_LAYOUTS rows
-    data = lines.where(~F.col("_head")).join(
-        F.broadcast(placed) if files.count() <= 100_000 else placed, "source_file")
-    return data.select(*[F.when(F.col(f"_at_{c}").isNotNull(), F.try_element_at("cells", F.col(f"_at_{c}"))).alias(c) for c in found],
-                       "source_file")
+    return rows
+
+
+def scan_rejects(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv",
+                 recursive: bool = True) -> DataFrame:
+    """(source_file, reason, line) of the lines that ``scan_readings`` skips."""
+    return read_lines(_files(spark, paths, glob, recursive))[1]
 
 
 def standardize(df: DataFrame, year_from_path: bool = False, year: int | None = None,

@@ -31,22 +31,47 @@ def scan_image_folder(spark: SparkSession, root: str, glob: str = IMAGE_GLOB,
     return out.withColumn("image_id", F.xxhash64("path"))
 
 
+BATCH_BYTES = 32 << 20     # of the images that a model gets at once
+
+
 def score_images(images: DataFrame, load_model: Callable[[], object],
                  predict: Callable[[object, pd.DataFrame], Sequence[Sequence[float]]],
                  model_name: str, keep: Sequence[str] = ("image_id", "label"),
-                 content_col: str = "content") -> DataFrame:
+                 content_col: str = "content", decode: Callable[[bytes], object] | None = None,
+                 batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(image_id, label, model, scores array<double>) per image; the model
-    is loaded once per task, so a retrained one is never confused with an old one."""
+    is loaded once per task, so a retrained one is never confused with an old one.
+
+    ``predict`` gets frames of at most ``batch_bytes`` of content (or one image);
+    with ``decode`` their content column holds what it returns.  An image that is
+    null or that ``decode`` cannot read has null scores and does not reach the model."""
     keep = list(keep)
 
+    def readable(raw):
+        if raw is None or decode is None:
+            return raw
+        try:
+            return decode(bytes(raw))
+        except Exception:                       # a broken image is a result, not a failure of the job
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for pdf in batches:
-            scores = predict(model, pdf)
-            out = pdf[keep].copy()
-            out["model"] = model_name
-            out["scores"] = [list(map(float, s)) for s in scores]
-            yield out
+            sizes = pdf[content_col].map(lambda c: 0 if c is None else len(c)).cumsum()
+            for _, part in pdf.groupby((sizes - 1).clip(lower=0) // batch_bytes, sort=False):
+                content = [readable(c) for c in part[content_col]]
+                good = [i for i, c in enumerate(content) if c is not None]
+                scores: list = [None] * len(part)
+                if good:
+                    given = part.iloc[good].copy()
+                    given[content_col] = pd.Series([content[i] for i in good], index=given.index, dtype=object)
+                    for i, s in zip(good, predict(model, given), strict=True):
+                        scores[i] = [float(x) for x in s]
+                out = part[keep].copy()
+                out["model"] = model_name
+                out["scores"] = pd.Series(scores, index=out.index, dtype=object)
+                yield out
 
     schema_fields = [f"{c} {images.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join(schema_fields + ["model string", "scores array<double>"])

@@ -75,9 +75,9 @@ def test_streaming_ingest_is_incremental(spark, tmpdir_path):
     target = os.path.join(tmpdir_path, "table")
     ckpt = os.path.join(tmpdir_path, "ckpt")
     src = os.path.join(tmpdir_path, "src", "raw")
-    ingest_new_files(spark, src, target, layout="raw", checkpoint=ckpt)
+    ingest_new_files(spark, src, target, checkpoint=ckpt)
     first = spark.read.parquet(target).count()
-    ingest_new_files(spark, src, target, layout="raw", checkpoint=ckpt)    # nothing new
+    ingest_new_files(spark, src, target, checkpoint=ckpt)    # nothing new
     assert spark.read.parquet(target).count() == first
     batch = standardize(scan_readings(spark, src)).count()
     assert first == batch

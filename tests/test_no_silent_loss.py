@@ -39,6 +39,32 @@ def test_ingest_finds_its_checkpoint_again(spark, tmpdir_path):
     assert spark.read.parquet(target).count() == 2
 
 
+BAD = ("date,state,district,moisture,volume\n2020/01/31,GOA,SOUTH GOA,0.5,1\n2020/01/31,GOA,\"SOUTH, GOA\",0.6,\"1\"\n"
+       "2020/01/31,GOA,A,0.5,1,7\n2020/01/31,GOA,\"B,0.5,1\n2020/01/31,GOA,C,0.7\n\n \n2020/01/31,GOA,\"D \"\"x\"\"\",0.8,\n2020/01/31,GOA,E,0.5,1,\n")
+
+
+def test_lines_that_do_not_fit_are_rejected_and_counted(spark, tmpdir_path):
+    from terrapanel.sources.files import scan_rejects
+    from terrapanel.streaming.ingest import reject_counts
+
+    src, target = f"{tmpdir_path}/src", f"{tmpdir_path}/target"
+    write(f"{src}/a.csv", BAD)
+    wide = [f"c{i}" for i in range(60)]
+    wide[5], wide[43], wide[50], wide[59] = "district_name", "average soilmoisture level (at 15cm)", "State Name", "DATE"
+    write(f"{src}/b.csv", ",".join(wide) + "\n" + ",".join("2020-03-01" if i == 59 else "GOA" if i == 50 else "W" if i == 5 else str(i) for i in range(60)) + "\n")
+    rows = {(r.district, r.moisture) for r in standardize(scan_readings(spark, src)).collect()}
+    assert rows == {("SOUTH GOA", 0.5), ("SOUTH, GOA", 0.6), ("C", 0.7), ('D "X"', 0.8), ("W", 43.0)}
+    rejects = scan_rejects(spark, src)
+    assert sorted((r.reason, r.line.split(",")[2]) for r in rejects.collect()) == [("cells", "A"), ("cells", "E"), ("quote", '"B')]
+    ingest_new_files(spark, src, target)
+    write(f"{src}/c.csv", "no header\n1,2\n")
+    ingest_new_files(spark, src, target)
+    table = spark.read.parquet(target)
+    assert {(r.district, r.moisture) for r in table.collect()} == rows and "volume" in table.columns
+    counts = {(r.source_file.rsplit("/", 1)[1], r.reason): r.n for r in reject_counts(spark, target).collect()}
+    assert counts == {("a.csv", "cells"): 2, ("a.csv", "quote"): 1, ("c.csv", "header"): 2}
+
+
 def test_null_class_keeps_its_rows(spark):
     df = spark.createDataFrame([(i, "a" if i % 4 else None) for i in range(40)], "id int, label string")
     split = SP.split_70_10_20(df, "label", ["id"])

@@ -36,6 +36,38 @@ def test_image_folder_and_scoring(spark, tmpdir_path):
     assert len(scored) == 5 and all(len(r.scores) == 2 and r.model == "toy" for r in scored)
 
 
+def test_broken_images_have_null_scores_and_batches_are_bounded(spark):
+    rows = [(i, None if i == 3 else bytes([i]) * (40 if i == 5 else 10)) for i in range(12)]
+    df = spark.createDataFrame(rows, "image_id long, content binary").coalesce(1)
+
+    def decode(raw):
+        if raw[0] == 7:
+            raise ValueError("broken")
+        return raw[0]
+
+    def predict(model, pdf):
+        return [[float(c), float(len(pdf))] for c in pdf["content"]]
+
+    got = {r.image_id: r.scores for r in score_images(df, lambda: None, predict, "m", keep=("image_id",), decode=decode, batch_bytes=30).collect()}
+    assert got[3] is None and got[7] is None and len(got) == 12
+    assert all(got[i][0] == i and got[i][1] <= 4 for i in got if i not in (3, 7))
+    assert score_images(df.limit(0), lambda: None, predict, "m", keep=("image_id",)).count() == 0
+
+
+def test_models_that_cannot_score_are_null_and_counted(spark):
+    from terrapanel.plans.serve import column_predictor, predict_all, prediction_failures
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1.0, "x"), (2.0, "y"), (None, "z")], "a double, t string")
+    models = [column_predictor("Good", F.col("a") + 1), column_predictor("Gone", F.col("b")), column_predictor("Text", F.col("t")),
+              column_predictor("Odd", F.when(F.col("a") == 2, F.lit(float("inf"))).otherwise(F.col("a")))]
+    out = predict_all(df, models).orderBy("t").select("Good", "Gone", "Text", "Odd", "Ensemble").collect()
+    assert [tuple(r) for r in out] == [(2.0, None, None, 1.0, 1.5), (3.0, None, None, None, None), (None,) * 5]
+    assert {(r.model, r.reason): r.n for r in prediction_failures(df, models).collect()} == {
+        ("Good", "no value"): 1, ("Gone", "UNRESOLVED_COLUMN.WITH_SUGGESTION"): 3, ("Text", "prediction is not a number"): 3,
+        ("Odd", "no value"): 1, ("Odd", "not finite"): 1}
+
+
 def test_flat_and_nested_metric_files(spark, tmpdir_path):
     with open(os.path.join(tmpdir_path, "regression_results.json"), "w") as fh:
         json.dump({"Linear": {"RMSE": 0.31, "MAE": 0.2, "R2": 0.94}}, fh)

@@ -40,6 +40,8 @@ def train_and_score(features: DataFrame, train_year: int, test_year: int,
     train = drop_null_target(train, target)             # before anything is fitted, as in the retrain path
     base_key = (key, application_id(features.sparkSession), file_state(features) if key is not None else None,
                 train_year, test_year, tuple(feature_cols), tuple(sorted(model_args.items())))
+    for old in [k for k in _FITTED if k[0][1] != base_key[1]]:
+        del _FITTED[old]         # models of an ended session cannot score any more
     estimators = regressors(**model_args)
     names = list(only) if only else list(estimators)
     prep = _FITTED.get((base_key, "_prep")) if key is not None else None

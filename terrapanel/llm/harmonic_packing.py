@@ -23,8 +23,9 @@ null ids and extra columns are packed or carried like any other.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import os
-import re
 import zlib
 
 import numpy as np
@@ -42,6 +43,9 @@ ID_CACHE = 1_000_000        # words whose ids a Python worker remembers
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+_KEPT = "\x1c\x1d\x1e\x1f"      # white space to ``str.split``, not to the tokenizer
+
+
 class WordIds:
     """Token ids of texts.  The tokenizer never joins what white space parts, so
     the ids of a text are those of its words, which repeat: they are remembered.
@@ -57,7 +61,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict = {}
-        self.odd = re.compile("[\x1c-\x1f]")
 
     def _learn(self, words: list) -> None:
         groups = [words[at:at + 500] for at in range(0, len(words), 500)]
@@ -70,17 +73,26 @@ class WordIds:
             self.known.update(zip(group, (raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)], strict=True)), strict=True))
 
     def __call__(self, texts: list) -> list:
-        split = [None if self.odd.search(t) else t.split() for t in texts]
+        split = [None if any(c in t for c in _KEPT) else t.split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words or () if w not in known})
+        ids = [words if words is None else [*map(known.get, words)] for words in split]
+        # words are looked up once; those of texts with a new one again
+        some = [i for i, x in enumerate(ids) if x is not None and None in x]
+        new = set()
+        for i in some:
+            new.update(itertools.compress(split[i], map(operator.is_, ids[i], itertools.repeat(None))))
         if len(known) + len(new) > self.cache:
             known.clear()
-            new = list({w for words in split for w in words or ()})
-        self._learn(new)
+        self._learn(list(new))
+        for i in some:
+            if None in (again := [*map(known.get, split[i])]):                 # the table was emptied
+                self._learn(list({w for w, x in zip(split[i], again, strict=True) if x is None}))
+                again = [*map(known.get, split[i])]
+            ids[i] = again
         end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4") if words is not None else
+        return [np.frombuffer(b"".join([*x, end]), "<u4") if x is not None else
                 np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], "<u4")
-                for t, words in zip(texts, split, strict=True)]
+                for t, x in zip(texts, ids, strict=True)]
 
 
 @functools.cache

@@ -10,17 +10,21 @@
    item.  Hits meet the seeds in a join on the run's hash, which gives
    (passage, item) pairs; a passage and an item are paired once.
 3. Each pair is aligned locally, word by word (match 2, mismatch and gap -1).
-   A pair counts as a leak when its score reaches ``LEAST`` of the item's own.
+   A pair counts as a leak when its score reaches ``LEAST`` of the item's own,
+   or that of ``RUN`` matched words, which is part of a long item.
 
 Words are lower-cased and freed from ASCII punctuation, so that an edited copy
 differs by words only.
 
 Nulls and odd rows: null or empty texts and items have no words and match
-nothing; items of fewer than ``LEAST_WORDS`` words are not searched for.
-Repeated rows of one doc_id give one row per item, the best; a null doc_id is
-reported as null.  An item without an id is not searched for; of several texts
-with one item_id the least is.  Equal items with two ids are two items.  Extra
-columns are ignored (``keep_clean`` keeps all columns).
+nothing.  Items are searched for by their text, whatever their ids: an item
+without an id is reported as null, every text of a repeated item_id is searched
+for (the best counts), and equal texts with two ids are two items.  An item of
+fewer than ``LEAST_WORDS`` words is found whole or not at all, and only if by
+chance the corpus would hold it at most ``BY_CHANCE`` times: "yes" in a text
+is no leak.  Repeated rows of one doc_id give one row per item, the best; a null
+doc_id is reported as null.  Extra columns are ignored (``keep_clean`` keeps all
+columns).
 """
 
 from __future__ import annotations
@@ -40,10 +44,11 @@ from terrapanel.session import materialize
 SKETCH_BITS = 22
 SHORTEST, LONGEST = 2, 8           # words of a seed
 BY_CHANCE = 1.0                    # occurrences of a seed expected in the whole corpus
-LEAST_WORDS = 4                    # of an item
+LEAST_WORDS = 4                    # of an item that may be found in part
 LEAST = 0.5                        # of the item's own score
+RUN = 50                           # matched words that are a leak of an item of any length
 MATCH, MISMATCH, GAP = 2, -1, -1
-LANES = 64                         # pairs aligned at once
+LANES, CELLS = 64, 1 << 20         # pairs aligned at once; words of their passages, if there is more than one
 
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -78,9 +83,10 @@ def _word_sketch(docs: DataFrame) -> np.ndarray:
 def item_seeds(hashes: np.ndarray, chance: np.ndarray, total: float) -> list:
     """(words, hash) of one item's seeds; ``chance``: log probability of each word."""
     m, out = len(hashes), []
-    if m < LEAST_WORDS:
-        return out
     sums = np.concatenate([[0.0], np.cumsum(chance)])
+    if m < LEAST_WORDS:
+        rare = m and sums[m] + np.log(total) <= np.log(BY_CHANCE)
+        return [(m, int(window_hashes(hashes, m).view(np.int64)[0]))] if rare else out
     n = np.full(m, min(LONGEST, m))
     for k in range(min(LONGEST, m), SHORTEST - 1, -1):
         at = np.arange(m - k + 1)
@@ -105,9 +111,9 @@ def _seeds(items: DataFrame, sketch) -> DataFrame:
                 rows += [(item, k, s) for k, s in item_seeds(h, chance, total)]
             a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64())],
-                                             names=["item_id", "n", "seed"])
+                                             names=["item", "n", "seed"])
 
-    return items.select("item_id", "text_bytes").mapInArrow(scan, "item_id long, n int, seed long")
+    return items.select("item", "text_bytes").mapInArrow(scan, "item long, n int, seed long")
 
 
 def _passages(docs: DataFrame, bitmap, lengths: list, reach: int) -> DataFrame:
@@ -178,27 +184,43 @@ def align(passages: list, items: list) -> list:
     return [(int(b >> 32), int(b & 0xFFFFFFFF), int(e)) for b, e in zip(best, end, strict=True)]
 
 
+def least_score(words: int) -> float:
+    """Of a leak of an item of so many words."""
+    return MATCH * (words if words < LEAST_WORDS else min(LEAST * words, RUN))
+
+
+def in_step(sizes: list):
+    """Indices of pairs to align at once: at most ``LANES``, of like sizes, and no more than
+    ``CELLS`` words when all are as long as the longest."""
+    order, at = sorted(range(len(sizes)), key=sizes.__getitem__), 0
+    while at < len(order):
+        to = min(len(order), at + LANES)
+        while to > at + 1 and (to - at) * sizes[order[to - 1]] > CELLS:
+            to = at + max(1, (to - at) // 2)
+        yield order[at:to]
+        at = to
+
+
 def _aligned(pairs: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in slices(batches):
             rows = batch.to_pylist()
-            order = sorted(range(len(rows)), key=lambda i: len(rows[i]["words"]))
             found = []
-            for at in range(0, len(order), LANES):
-                some = [rows[i] for i in order[at:at + LANES]]
+            for group in in_step([r["words"].count(b" ") + 1 for r in rows]):
+                some = [rows[i] for i in group]
                 number: dict = {}
                 split = [(r["words"].split(), plain_words(r["item_text"])) for r in some]
                 passages = [np.array([number.setdefault(w, len(number)) for w in p], np.int64) for p, _ in split]
                 items = [np.array([number.setdefault(w, len(number)) for w in m], np.int64) for _, m in split]
                 for r, (score, first, last), m in zip(some, align(passages, items), items, strict=True):
-                    if score >= LEAST * MATCH * len(m):
-                        found.append({"doc_id": r["doc_id"], "item_id": r["item_id"], "score": score,
+                    if score >= least_score(len(m)):
+                        found.append({"doc_id": r["doc_id"], "item": r["item"], "score": score,
                                       "similarity": score / (MATCH * len(m)), "first_word": r["start"] + first, "end_word": r["start"] + last})
             yield pa.RecordBatch.from_pylist(found, schema=out)
 
-    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("similarity", pa.float64()),
+    out = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("score", pa.int64()), ("similarity", pa.float64()),
                      ("first_word", pa.int64()), ("end_word", pa.int64())])
-    return pairs.mapInArrow(scan, "doc_id long, item_id long, score long, similarity double, first_word long, end_word long")
+    return pairs.mapInArrow(scan, "doc_id long, item long, score long, similarity double, first_word long, end_word long")
 
 
 # --------------------------------------------------------------- operator
@@ -208,8 +230,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     alignment of each document and item that reaches the cutoff."""
     spark = docs.sparkSession
     raw = with_bytes(docs.select("doc_id", "text")).select("doc_id", "text_bytes")
-    items = with_bytes(benchmark.select("item_id", "text")).where("item_id is not null").groupBy("item_id").agg(
-        F.min("text_bytes").alias("text_bytes"))
+    named = with_bytes(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).withColumn("item", F.xxhash64("text_bytes"))
+    items = named.groupBy("item").agg(F.min("text_bytes").alias("text_bytes"))          # one of each text, whatever its ids
     sketch = spark.sparkContext.broadcast(_word_sketch(raw))          # 2**SKETCH_BITS counters, whatever the input
     seeds = materialize(_seeds(items, sketch))
     lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())         # 2 to 8
@@ -220,10 +242,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passages = materialize(_passages(raw, key_bitmap(seeds, "seed"), lengths, reach)
                            .withColumn("key", F.xxhash64("doc_id", "start", "words")))
     hits = passages.select("key", F.explode("seeds").alias("seed"))
-    pairs = hits.join(seeds.select("seed", "item_id"), "seed").select("key", "item_id").distinct()
+    pairs = hits.join(seeds.select("seed", "item"), "seed").select("key", "item").distinct()
     texts = items.withColumnRenamed("text_bytes", "item_text")
     whole = passages.dropDuplicates(["key"]).select("key", "doc_id", "start", "words")
-    found = _aligned(pairs.join(whole, "key").join(texts, "item_id").select("doc_id", "start", "words", "item_id", "item_text"))
+    found = _aligned(pairs.join(whole, "key").join(texts, "item").select("doc_id", "start", "words", "item", "item_text"))
+    found = found.join(named.select("item", "item_id").distinct(), "item")
     top = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "similarity", F.negative("first_word").alias("o"), "end_word")).alias("t"))
     return top.select("doc_id", "item_id", "t.score", "t.similarity", F.negative("t.o").alias("first_word"), "t.end_word")
 

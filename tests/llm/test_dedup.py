@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from tests_paths import SF
+
 from terrapanel.llm import common, decontamination, ngram_jaccard, suffix_dedup
 
 # ------------------------------------------------------------ components
@@ -282,8 +284,82 @@ def test_decontamination_of_nothing(no_docs, spark):
 
 
 def test_exact_leaks_in_the_tables(spark):
-    from tests_paths import SF
-
     got = {(r.doc_id, r.item_id) for r in decontamination.op8_decontamination(spark, SF).collect()}
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     assert {(d.doc_id, b.item_id) for d in docs for b in items if b.text in d.text} <= got
+
+
+def test_no_item_is_left_out(spark):
+    """Items without an id, of a repeated id, of few words and half of a long one; common short items are no leak."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(7)) for _ in range(4000)]
+
+    def prose(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    long, nameless, first, second, short, tail = prose(450), prose(20), prose(20), prose(25), ["Zanzibar,", "quokka!", "Ultima"], prose(300)
+    texts = {1: prose(50) + long[100:300] + prose(40), 2: prose(30) + nameless + prose(9), 3: prose(5) + first + prose(70), 4: prose(60) + second,
+             5: prose(10) + ["zanzibar", "quokka", "ultima"] + prose(10), 6: prose(200), 7: prose(10) + long[10:40] + prose(100), 8: ["yes"] * 50 + prose(40),
+             9: prose(10) + ["zanzibar", "quokka"] + prose(30), 10: prose(5) + tail[:60]}
+    items = [(7, long), (None, nameless), (9, first), (9, second), (11, short), (12, ["Yes"]), (13, nameless), (14, tail), (15, []), (None, None)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, t and " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(1, 7), (2, None), (2, 13), (3, 9), (4, 9), (5, 11), (10, 14)}
+    assert {r.doc_id for r in decontamination.keep_clean(docs, bench).collect()} == {6, 7, 8, 9}
+
+
+def test_pairs_in_step_are_bounded():
+    for sizes in ([5, 1, 900_000, 3], [10 ** 7], list(range(1, 300)), [40_000] * 100, []):
+        groups = list(decontamination.in_step(sizes))
+        assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
+        assert all(len(g) <= 64 and (len(g) == 1 or len(g) * max(sizes[i] for i in g) <= decontamination.CELLS) for g in groups)
+
+
+def window_removal(texts, length=400):
+    """(bytes, removed, spans, digest of the rest) of each text, from the hashes of all its windows."""
+    data = [t.encode() for t in texts]
+    base = np.uint64(0x9E3779B97F4A7C15 | 1)
+    letters = np.random.default_rng(1).integers(1, 1 << 62, 256).astype(np.uint64)
+    every = []
+    for t in data:
+        h = np.zeros(max(0, len(t) - length + 1), np.uint64)
+        raw = letters[np.frombuffer(t, np.uint8)]
+        for i in range(length if len(h) else 0):
+            h = h * base + raw[i:i + len(h)]
+        every.append(h)
+    _, at, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    again = np.split(n[at] > 1, np.cumsum([len(h) for h in every])[:-1])
+    out = []
+    for t, hits in zip(data, again, strict=True):
+        change = np.zeros(len(t) + 1, np.int64)
+        starts = np.flatnonzero(hits)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + length, -1)
+        gone = np.cumsum(change[:-1]) > 0
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        out.append((len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_of_the_given_table_equals_all_windows(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = Counter((r.doc_id, *x) for r, x in zip(rows, window_removal([r.text or "" for r in rows]), strict=True))
+    assert Counter(tuple(r) for r in suffix_dedup.op10_suffix_dedup(spark, SF).collect()) == want
+
+
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(4, 9))) for _ in range(3000)]
+    passages = [" ".join(rng.choice(words) for _ in range(rng.randint(75, 120))) for _ in range(12)]
+    texts = []
+    for i in range(90):
+        own = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 200))) for _ in range(2)]
+        texts.append(own[0] + " # " + (passages[i % 12] + " # " if i % 3 == 0 else "") + own[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in suffix_dedup.removal(df).collect()}
+    for i in range(90):
+        if i % 3:
+            assert got[i].n_removed == 0
+        else:
+            assert got[i].n_removed >= len(passages[i % 12])

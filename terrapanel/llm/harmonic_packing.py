@@ -63,14 +63,18 @@ class WordIds:
         self.known: dict = {}
 
     def _learn(self, words: list) -> None:
-        groups = [words[at:at + 500] for at in range(0, len(words), 500)]
+        groups = [words[at:at + 64] for at in range(0, len(words), 64)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            size = np.fromiter(map(len, group), np.int64, len(group))
-            begin = np.cumsum(size + 1) - size - 1
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            cut = (4 * np.searchsorted(at, begin)).tolist()
-            raw = np.array(e.ids, "<u4").tobytes()
-            self.known.update(zip(group, (raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)], strict=True)), strict=True))
+            begin, at = [], 0
+            for word in group:
+                begin.append(at)
+                at += len(word) + 1
+            cut = [*map(e.char_to_token, begin)]
+            if None in cut:                                    # a word whose first character gives no token
+                cut = np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), begin).tolist()
+            ids = e.ids
+            raw = np.array(ids, "<u4").tobytes()
+            self.known.update(zip(group, (raw[4 * a:4 * b] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)), strict=True))
 
     def __call__(self, texts: list) -> list:
         split = [None if any(c in t for c in _KEPT) else t.split() for t in texts]

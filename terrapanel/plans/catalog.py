@@ -383,8 +383,8 @@ def class_scores(deal):
 
 def scored_heads(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    out = e.select("vec_id", "label", *[
-        softmax(class_scores(deal)).alias(h) for h, deal in HEADS.items()])
+    out = e.select("vec_id", "label", *[class_scores(deal).alias(h) for h, deal in HEADS.items()])     # summed once a row
+    out = out.select("vec_id", "label", *[softmax(F.col(h)).alias(h) for h in HEADS])
     for h in HEADS:
         out = out.withColumn(f"{h}_best", argmax_class(h))
     return out

@@ -14,12 +14,11 @@ on the trained tables and the text alone, not on partitions or order.
 What is learned comes from all training documents: counts of byte pairs (257 x 257
 numbers), one pair of counters per table slot, and exact word counts.  A table
 has at least as many slots as the training texts have bytes (a power of two), so
-it grows with the corpus; no process holds one.  A task lists the slots that a
-chunk of documents meets, with the chunk's counts; these lists, cut into groups
-of slots, meet those of the other chunks by group, and the log odds of the sums
-come back to the chunk, which is scored with them.  The word counts of the base
-score go the same way: (word, chunk) rows meet the corpus counts in a join, and
-come back to the chunk's token numbers.
+it grows with the corpus; no process holds one.  A task lists the slots and the
+words (64-bit hashes) that a chunk of documents meets, with the chunk's counts;
+these lists, cut into groups of slots, meet those of the other chunks by group,
+and the log odds of the sums, or the word counts, come back to the chunk, which
+is scored with them.
 
 Nulls and odd rows: a null or empty text is the end mark alone.  Rows are
 scored one by one, so repeated rows get equal scores; a null doc_id is hashed
@@ -32,26 +31,29 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.llm.automaton_dedup import word_hashes
 from terrapanel.llm.common import _ODD, slices, held_out, with_bytes
 from terrapanel.session import materialize
 
 ORDERS = (3, 5)                        # context bytes of the tables; one more holds the word so far
 SLOT_BITS = (20, 22, 22)               # slots of each table, at least
 END = 256                              # the end mark
-TASK_BYTES = 40 << 20                  # text that a task learns from, at least
-CHUNK_BYTES = 32 << 20                 # text whose words and slots a task lists at once
-PART_BYTES = 1 << 20                   # text that is scored at once, about
+WORDS = len(SLOT_BITS)                 # number of the list of words, beside those of the tables
+TASK_BYTES = 20 << 20                  # text that a task learns from, at least
+CHUNK_BYTES = 16 << 20                 # text whose words and slots a task lists at once
+PART_BYTES = 2 << 20                   # text that is scored at once, about
 LIST_BYTES = 1 << 18                   # text whose contexts are listed at once
-GROUP_BYTES = 28                       # a group of slots for so many training bytes (bits), 64 at least
+GROUP_BYTES = 25                       # a group of slots for so many training bytes (bits), 64 groups at least
+CACHE_BITS = 21                        # paths through the code that a task remembers, of each table
+PATH_ODDS = 1 << 24                    # and their log odds
 PAIR = np.uint64((1 << 17) - 1)        # bits of a context hash that are free for a pair of symbols
 SHARED = -128                          # no log odds: the place of two slots
 SCALE = 12.0                           # log odds are kept in steps of 1/12
@@ -63,6 +65,8 @@ STEP, LONG_STEP = 256, 1024            # bytes between two refinements, and afte
 _START = np.array([[.6, .4, .4], [.6, .43, .4], [.65, .35, .4], [.5, .4, 0], [.3, .55, .13], [.5, .6, 0],
                    [.65, .4, .18], [.47, .39, .28], [.4, .53, .26]], np.float32)
 _LEVEL = np.array([0] + [1] * 20 + [2] * 235, np.uint8)     # of |log odds| in steps
+_LEVEL_OF = _LEVEL[np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int16))]     # of the byte that holds them
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def prefix_code(counts: np.ndarray):
@@ -136,32 +140,41 @@ class Contexts:
         self.end = np.cumsum(self.size)
         begin = self.end - self.size
         n = len(data)
-        # bytes before: nothing is seen across the start of a text
-        age = np.arange(n, dtype=np.int64) - np.repeat(begin, self.size)
+        # the last 1, 2, 3, 5 bytes as numbers of nine bits a byte
         letter = data.astype(np.uint64) + np.uint64(1)
-        packed, self.hashes = np.zeros(n, np.uint64), []
-        multiplier = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-        for k in range(1, max(ORDERS) + 1):
-            before = np.zeros(n, np.uint64)
-            before[k:] = letter[:-k]
-            if k <= n:
-                before[age < k] = 0
-            packed = (packed ^ before) * np.uint64(multiplier[k - 1])
+        one = np.zeros(n, np.uint64)
+        one[1:] = letter[:-1]
+        two = one.copy()
+        two[1:] |= one[:-1] << np.uint64(9)
+        three = two.copy()
+        three[2:] |= one[:-2] << np.uint64(18)
+        five = three.copy()
+        five[3:] |= two[:-3] << np.uint64(27)
+        self.hashes = []
+        for packed, length, multiplier in zip((three, five), ORDERS, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
+            for age in range(length):                    # nothing is seen across the start of a text
+                packed[begin[self.size > age] + age] &= np.uint64((1 << 9 * age) - 1)
+            packed *= np.uint64(multiplier)
             packed ^= packed >> np.uint64(29)
-            if k in ORDERS:
-                self.hashes.append(packed & ~PAIR)
+            packed &= ~PAIR
+            self.hashes.append(packed)
         # the word so far: running sums modulo 2**64 of the word's letters times powers
-        space = (data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13)))
+        space = _SPACE[data]
         space[self.end - 1] = True
-        start = np.where(space, np.arange(1, n + 1), 0)
-        start = np.concatenate([[0], np.maximum.accumulate(start)[:-1]])
-        place = np.minimum(np.arange(n) - start, 31)
+        until = np.flatnonzero(space) + 1                # words with the space after them
+        size = np.diff(until, prepend=0)
+        place = np.arange(n, dtype=np.int32) - np.repeat((until - size).astype(np.int32), size)
         powers = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(32)], np.uint64)
         # letters further than 31 from the word's start share the last power
-        weighed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * powers[place], dtype=np.uint64)])
-        word = weighed[:n] - weighed[start]
-        word = (word + place.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-        self.hashes.append((word ^ (word >> np.uint64(32))) & ~PAIR)
+        np.minimum(place, 31, out=place)
+        weighed = np.zeros(n + 1, np.uint64)
+        np.cumsum(letter * powers[place], out=weighed[1:])
+        word = weighed[:n] - np.repeat(weighed[until - size], size)
+        word += place.astype(np.uint64)
+        word *= np.uint64(0x9FB21C651E98DF25)
+        word ^= word >> np.uint64(32)
+        word &= ~PAIR
+        self.hashes.append(word)
 
     def decisions(self, code, at, sizes=SLOT_BITS):
         """Of the symbols ``at``: (decisions of each symbol, bit, slots of each table)."""
@@ -263,12 +276,57 @@ class Slots:
         return out
 
 
-def _squeeze(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _unsqueeze(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+class Paths:
+    """Log odds of the decisions that lead to a symbol, by (context hash and pair
+    of symbols) key; positive where they speak for the decision that was taken.
+    A key has one place in the cache; where another key holds it, the path is
+    looked up in the table of slots again.  All paths go when they fill up."""
+
+    def __init__(self, slots, code):
+        self.slots, self.code, self.bits = slots, code, len(slots).bit_length() - 1
+        self.keys, self.first = np.full(1 << CACHE_BITS, PAIR), np.zeros(1 << CACHE_BITS, np.int32)     # no key ends in PAIR
+        self.odds, self.used = np.empty(PATH_ODDS, np.int8), 0
+
+    def starts(self, keys: np.ndarray) -> np.ndarray:
+        """Where in ``odds`` each key's path starts, until the next call."""
+        at = ((keys * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - CACHE_BITS)).astype(np.intp)
+        left = np.flatnonzero(self.keys[at] != keys)
+        if not len(left):
+            return self.first[at]
+        first = self.first[at]
+        key, at = keys[left], at[left]
+        while len(key):
+            # of the keys with one place the last gets it; equal keys share its path, others look again
+            number = np.arange(len(key), dtype=np.int32)
+            self.first[at] = number
+            of = self.first[at]
+            mine = np.flatnonzero(of == number)
+            new = key[mine]
+            n, where = _decisions(self.code, (new & PAIR).astype(np.int64))
+            if self.used + len(where) > len(self.odds):
+                self.keys[:] = PAIR
+                if self.used:
+                    self.used = 0
+                    return self.starts(keys)
+                self.odds = np.empty(2 * len(where), np.int8)
+                return self.starts(keys)
+            odds = self.slots[_slots(np.repeat(new & ~PAIR, n), self.code[2][where], self.bits)]
+            self.odds[self.used:self.used + len(odds)] = np.where(self.code[3][where] == 1, odds, -odds)
+            self.keys[at[mine]], self.first[at[mine]] = new, np.cumsum(n) - n + self.used
+            self.used += len(odds)
+            same = self.keys[at] == key
+            first[left[same]] = self.first[at[same]]
+            left, key, at = left[~same], key[~same], at[~same]
+        return first
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T), 1)
+
+
+def _unsqueeze(raw: bytes, kind=np.uint32) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 # ----------------------------------------------------------------- passes
@@ -294,106 +352,94 @@ def byte_counts(docs: DataFrame) -> tuple:
     return counts.reshape(END + 1, END + 1), size
 
 
-class Numbers(dict):
-    """word -> number, in order of first mention."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
-
-
 def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
-    """In one pass, of each chunk: its slots and counts (tab, group, chunk, slots, counts),
-    its words (word, chunk, number, train), its documents (chunk, doc_ids, ...)."""
-    names = ["tab", "group", "slots", "counts", "word", "chunk", "number", "train", "doc_ids", "outs", "hashes", "lens", "tokens", "sizes", "texts"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
-             pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    """In one pass, of each chunk: its slots and counts, its words and their training
+    counts (tab, group, chunk, slots, counts), its documents (chunk, doc_ids, ...)."""
+    kinds = {"tab": pa.int32(), "group": pa.int64(), "chunk": pa.int64(), "slots": pa.binary(), "counts": pa.binary(),
+             "doc_ids": pa.list_(pa.int64()), "outs": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "texts": pa.binary()}
 
     def rows(n, **given):
-        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def scan(batches):
         from pyspark import TaskContext
 
-        numbers, seen = Numbers(), [[] for _ in sizes]
-        chunk_no, held, bytes_held = TaskContext.get().partitionId() << 32, [], 0
+        seen, words, held = [[] for _ in sizes], [], []
+        chunk_no, bytes_held = TaskContext.get().partitionId() << 32, 0
+
+        def grouped(tab, of, bits, kind, counts):
+            """One row a group of ``of``, whose top bits of ``bits`` are the group."""
+            group = (of >> of.dtype.type(bits - group_bits)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            low = of & of.dtype.type((1 << (bits - group_bits)) - 1)
+            cuts = [slice(a, b) for a, b in itertools.pairwise([*starts.tolist(), len(of)])]
+            return rows(len(cuts), tab=[tab] * len(cuts), group=group[starts], chunk=[chunk_no] * len(cuts),
+                        slots=[_squeeze(np.diff(low[c], prepend=low.dtype.type(0)).astype(kind)) for c in cuts],
+                        counts=[_squeeze(np.concatenate([x[c] for x in counts]).astype(np.uint32)) for c in cuts])
 
         def chunk():
             for tab, (parts, bits) in enumerate(zip(seen, sizes, strict=True)):
                 keys, n = _merged(parts)
                 slot, *counts = _slot_counts(keys, n, code, bits)
-                group = slot >> (bits - group_bits)
-                starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                slot &= (1 << (bits - group_bits)) - 1
-                cuts = [slice(a, b) for a, b in itertools.pairwise([*starts.tolist(), len(slot)])]
-                yield rows(len(cuts), tab=pa.array([tab] * len(cuts), pa.int32()), group=pa.array(group[starts]), chunk=pa.array([chunk_no] * len(cuts), pa.int64()),
-                           slots=pa.array([_squeeze(np.diff(slot[c], prepend=0).astype(np.uint32)) for c in cuts], pa.binary()),
-                           counts=pa.array([_squeeze(np.concatenate([x[c] for x in counts]).astype(np.uint32)) for c in cuts], pa.binary()))
-            ids, outs, keys, lens, words, texts = zip(*held, strict=True)
-            lens = np.array(lens, np.int64)
-            number = np.concatenate(words)
-            unique = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            train = np.bincount(number, weights=np.repeat(~np.array(outs, bool), lens), minlength=len(unique)).astype(np.int64)
-            for at in range(0, len(unique), 200_000):
-                cut = slice(at, at + 200_000)
-                n = len(unique[cut])
-                yield rows(n, word=pa.array(unique[cut].view(np.int64)), chunk=pa.array(np.full(n, chunk_no)),
-                           number=pa.array(np.arange(at, at + n), pa.int32()), train=pa.array(train[cut]))
-            # token numbers in byte planes, the documents of a chunk in a few rows
-            first = np.concatenate([[0], np.cumsum(lens)])
-            at = 0
-            while at < len(lens):
-                to, size = at, 0
-                while to < len(lens) and to < at + 2000 and (to == at or size + len(texts[to]) <= PART_BYTES):
-                    size += len(texts[to])
-                    to += 1
-                yield rows(1, chunk=pa.array([chunk_no]), doc_ids=pa.array([list(ids[at:to])], pa.list_(pa.int64())),
-                           outs=pa.array([list(outs[at:to])], pa.list_(pa.bool_())),
-                           hashes=pa.array([list(keys[at:to])], pa.list_(pa.int64())), lens=pa.array([lens[at:to].tolist()], pa.list_(pa.int64())),
-                           tokens=pa.array([_squeeze(number[first[at]:first[to]])], pa.binary()),
-                           sizes=pa.array([[len(t) for t in texts[at:to]]], pa.list_(pa.int64())),
-                           texts=pa.array([zlib.compress(b"".join(texts[at:to]), 1)], pa.binary()))
-                at = to
+                yield grouped(tab, slot, bits, np.uint32, counts)
+            if words:
+                word, n = _merged(words)
+                if len(word):
+                    yield grouped(WORDS, word, 64, np.uint64, [n])
+            for cut in _parts([len(t) for _, _, t in held], 2000):
+                ids, outs, texts = zip(*held[cut], strict=True)
+                yield rows(1, chunk=[chunk_no], doc_ids=[ids], outs=[outs], sizes=[[len(t) for t in texts]],
+                           texts=[zstandard.compress(b"".join(texts), 1)])
+            held.clear()
 
         def count(texts, train):
             c = Contexts(texts)
             pair = c.pair.astype(np.uint64)
-            for parts, h in zip(seen, c.hashes, strict=True):
-                keys, n = np.unique(h | pair, return_counts=True)
+            listed = [(parts, h | pair) for parts, h in zip(seen, c.hashes, strict=True)]
+            for parts, every in [*listed, (words, word_hashes(texts)[0])]:
+                keys, n = np.unique(every, return_counts=True)
                 parts.append((keys, n.astype(np.uint32) * np.uint32(train)))
                 if sum(len(k) for k, _ in parts[1:]) > max(1 << 18, len(parts[0][0])):
                     parts.append(_merged(parts))
 
+        some, size = ([], []), [0, 0]
         for batch in slices(batches):
-            some, size = ([], []), [0, 0]
-            for doc_id, out, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc_id, out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = text.lower()
-                words = text.split()
-                held.append((doc_id, out, key, len(words), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), text))
+                held.append((doc_id, out, text))
                 bytes_held += len(text)
                 some[out].append(text)
                 size[out] += len(text)
-                if size[out] > LIST_BYTES:
-                    count(some[out], not out)
-                    some[out].clear()
-                    size[out] = 0
-                if bytes_held >= CHUNK_BYTES:
-                    for of in (0, 1):
-                        if some[of]:
-                            count(some[of], not of)
-                    some, size = ([], []), [0, 0]
+                full = bytes_held >= CHUNK_BYTES
+                for of in (0, 1):
+                    if some[of] and (full or size[of] > LIST_BYTES):
+                        count(some[of], not of)
+                        some[of].clear()
+                        size[of] = 0
+                if full:
                     yield from chunk()
-                    held, bytes_held, numbers = [], 0, Numbers()
-                    chunk_no += 1
-            for of in (0, 1):
-                if some[of]:
-                    count(some[of], not of)
+                    chunk_no, bytes_held = chunk_no + 1, 0
+        for of in (0, 1):
+            if some[of]:
+                count(some[of], not of)
         if held:
             yield from chunk()
 
-    schema = ("tab int, group long, slots binary, counts binary, word long, chunk long, number int, train long, doc_ids array<long>, "
-              "outs array<boolean>, hashes array<long>, lens array<long>, tokens binary, sizes array<long>, texts binary")
-    return docs.select("doc_id", "held_out", "text_hash", "text_bytes").mapInArrow(scan, schema)
+    schema = ("tab int, group long, chunk long, slots binary, counts binary, doc_ids array<long>, outs array<boolean>, "
+              "sizes array<long>, texts binary")
+    return docs.select("doc_id", "held_out", "text_bytes").mapInArrow(scan, schema)
+
+
+def _parts(sizes: list, most: int):
+    """Slices of at most ``most`` texts and, but for a longer text alone, ``PART_BYTES``."""
+    at = 0
+    while at < len(sizes):
+        to, size = at, 0
+        while to < len(sizes) and to < at + most and (to == at or size + sizes[to] <= PART_BYTES):
+            size += sizes[to]
+            to += 1
+        yield slice(at, to)
+        at = to
 
 
 _ODDS_SCHEMA = "of_chunk long, tab int, group long, slots binary, odds binary"
@@ -404,30 +450,51 @@ def slot_bits(trained: int) -> list:
     return [max(bits, trained.bit_length()) for bits in SLOT_BITS]
 
 
-def _log_odds(table: pa.Table) -> pa.Table:
-    """Of one group of a table's slots, from the counts of all chunks: each chunk's slots and their log odds, in steps."""
-    slots = [np.cumsum(_unsqueeze(raw), dtype=np.int64) for raw in table["slots"].to_pylist()]
-    counts = np.concatenate([_unsqueeze(raw).reshape(2, -1) for raw in table["counts"].to_pylist()], axis=1).astype(np.int64)
+def _sums(table: pa.Table):
+    """Of one group of slots or words, from the lists of all chunks: (sizes of the lists, index
+    of each entry among the different slots, sums of their counts)."""
+    kind, rows = (np.uint64, 1) if table["tab"][0].as_py() == WORDS else (np.uint32, 2)
+    slots = [np.cumsum(_unsqueeze(raw, kind), dtype=np.uint64) for raw in table["slots"].to_pylist()]
+    counts = np.concatenate([_unsqueeze(raw).reshape(rows, -1) for raw in table["counts"].to_pylist()], axis=1)
     every = np.concatenate(slots)
     order = np.argsort(every, kind="stable")
-    starts = np.concatenate([[True], np.diff(every[order]) > 0])
-    zero, one = np.add.reduceat(counts[:, order], np.flatnonzero(starts), axis=1)
-    steps = np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) * SCALE), -127, 127).astype(np.int8)
-    back = np.empty(len(every), np.int8)
-    back[order] = steps[np.cumsum(starts) - 1]
-    odds = np.split(back, np.cumsum([len(x) for x in slots])[:-1])
+    starts = np.diff(every[order], prepend=np.uint64(0)) > 0
+    starts[0] = True
+    index = np.empty(len(every), np.int64)
+    index[order] = np.cumsum(starts) - 1
+    return [len(x) for x in slots], index, np.add.reduceat(counts[:, order], np.flatnonzero(starts), axis=1, dtype=np.int64)
+
+
+def _log_odds(table: pa.Table) -> pa.Table:
+    """Of one group: each chunk's slots and their log odds, in steps, or its words and their counts."""
+    sizes, index, sums = _sums(table)
+    if len(sums) == 2:
+        values = np.clip(np.rint(np.log((sums[1] + 0.4) / (sums[0] + 0.4)) * SCALE), -127, 127).astype(np.int8)
+    else:
+        values = sums[0]
+    lists = np.split(values[index], np.cumsum(sizes)[:-1])
     return pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
-                     "odds": pa.array([zlib.compress(x.tobytes(), 1) for x in odds], pa.binary())})
+                     "odds": pa.array([_squeeze(x) for x in lists], pa.binary())})
+
+
+def _word_totals(table: pa.Table) -> pa.Table:
+    """Of one group of words: their mentions in training texts, and how many have one."""
+    _, _, sums = _sums(table)
+    return pa.table({"n": pa.array([int(sums.sum())]), "v": pa.array([int((sums > 0).sum())])})
 
 
 def text_scores(texts: list, code, tables: list) -> np.ndarray:
     """log2 probability of each (lowered) text and its end mark."""
-    bits, sizes = np.zeros(len(texts)), [len(t).bit_length() - 1 for t in tables]
+    bits = np.zeros(len(texts))
+    paths = [t if isinstance(t, Paths) else Paths(t, code) for t in tables]
     order = np.argsort([-len(t) for t in texts], kind="stable")
-    for at in range(0, len(order), 256):
-        some = order[at:at + 256]
+    for cut in _parts([len(texts[i]) for i in order], 1024):
+        some = order[cut]
         c = Contexts([texts[i] for i in some])
         begin = c.end - c.size
+        pair = c.pair.astype(np.uint64)
+        firsts = [p.starts(h | pair) for p, h in zip(paths, c.hashes, strict=True)]
+        lengths = code[0].astype(np.int32)[c.pair]
         # of each table; entry: text * GATES + gate
         weights = [np.tile(w, len(some)) for w in _START.T]
         lost = np.zeros(len(some))
@@ -435,56 +502,74 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
         while done < most:
             step = STEP if done < 8 * STEP else LONG_STEP
             live = int(np.searchsorted(-c.size, -done, side="left"))     # sizes fall: texts longer than done
-            n = np.minimum(c.size[:live] - done, step)
-            where = np.arange(int(n.sum())) + np.repeat(begin[:live] + done - np.cumsum(n) + n, n)
-            decisions, bit, slots = c.decisions(code, where, sizes)
-            odds = [t[s] for t, s in zip(tables, slots, strict=True)]
-            until = np.cumsum(np.add.reduceat(decisions, np.cumsum(n) - n))     # decisions end, by text
-            gate = _LEVEL[np.abs(odds[-1])] * np.uint8(3) + _LEVEL[np.abs(odds[-2])]
-            gate = gate + np.repeat(np.arange(live) * GATES, np.diff(until, prepend=0))
-            total = weights[0][gate] * odds[0]
-            for w, x in zip(weights[1:], odds[1:], strict=True):
-                total += w[gate] * x
-            sign = bit.astype(np.float32) * 2 - 1
-            total *= sign * np.float32(1 / SCALE)
-            np.clip(total, -12, 12, out=total)
-            right = 1 / (1 + np.exp(-total))
-            lost[:live] += np.add.reduceat(np.log(right), until - np.diff(until, prepend=0), dtype=np.float64)
-            error = (1 - right) * (sign * np.float32(RATE / SCALE))
-            for w, x in zip(weights, odds, strict=True):
-                w[:live * GATES] += np.bincount(gate, weights=error * x, minlength=live * GATES).astype(np.float32)
+            for group in range(0, live, 128):                           # texts are independent: few enough for the caches
+                to = min(live, group + 128)
+                n = np.minimum(c.size[group:to] - done, step)
+                where = np.arange(int(n.sum())) + np.repeat(begin[group:to] + done - np.cumsum(n) + n, n)
+                decisions = lengths[where]
+                until = np.cumsum(decisions)
+                symbol = np.repeat(np.arange(len(where)), decisions)
+                entry = np.arange(until[-1])
+                before = until - decisions
+                odds = [p.odds.take((first[where] - before).take(symbol) + entry) for p, first in zip(paths, firsts, strict=True)]
+                ends = until[np.cumsum(n) - 1]                           # decisions end, by text
+                gate = np.repeat(np.arange(0, (to - group) * GATES, GATES), np.diff(ends, prepend=0))
+                gate += _LEVEL_OF.take(odds[-1].view(np.uint8)) * np.uint8(3) + _LEVEL_OF.take(odds[-2].view(np.uint8))
+                mine = [w[group * GATES:to * GATES] for w in weights]
+                odds = [x.astype(np.float32) for x in odds]
+                total = mine[0].take(gate) * odds[0]
+                for w, x in zip(mine[1:], odds[1:], strict=True):
+                    total += w.take(gate) * x
+                total *= np.float32(-1 / SCALE)
+                np.clip(total, -12, 12, out=total)
+                wrong = np.exp(total, out=total)                         # odds of the other decision
+                lost[group:to] -= np.add.reduceat(np.log1p(wrong), ends - np.diff(ends, prepend=0), dtype=np.float64)
+                error = wrong / (1 + wrong) * np.float32(RATE / SCALE)
+                for w, x in zip(mine, odds, strict=True):
+                    w += np.bincount(gate, weights=error * x, minlength=len(w)).astype(np.float32)
             done += step
         bits[some] = lost / math.log(2)
     return bits
 
 
-def _scores(learned: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
-    """Chunk by chunk, from its documents and the log odds of its slots."""
+def _scores(learned: DataFrame, code, sizes: list, group_bits: int, below: float, of_end: float, end_known: int) -> DataFrame:
+    """Chunk by chunk, from its documents, the log odds of its slots and the counts of its words."""
+
+    def listed(right: pa.Table, tab: int, bits: int, kind, of):
+        mine = right.filter(pc.equal(right["tab"], tab)).sort_by("group")
+        shift = of(bits - group_bits)
+        slots = [np.cumsum(_unsqueeze(raw, kind), dtype=of) + (of(g) << shift)
+                 for g, raw in zip(mine["group"].to_pylist(), mine["slots"].to_pylist(), strict=True)]
+        odds = [_unsqueeze(raw, np.int64 if tab == WORDS else np.int8) for raw in mine["odds"].to_pylist()]
+        return np.concatenate([np.empty(0, of), *slots]), np.concatenate([np.empty(0, np.int64 if tab == WORDS else np.int8), *odds])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = []
-        for tab, bits in enumerate(sizes):
-            mine = right.filter(pc.equal(right["tab"], tab))
-            slots = [np.cumsum(_unsqueeze(raw), dtype=np.int64) + (g << (bits - group_bits))
-                     for g, raw in zip(mine["group"].to_pylist(), mine["slots"].to_pylist(), strict=True)]
-            odds = [np.frombuffer(zlib.decompress(raw), np.int8) for raw in mine["odds"].to_pylist()]
-            tables.append(Slots(np.concatenate(slots), np.concatenate(odds), bits))
-        out = {"doc_id": [], "held_out": [], "text_hash": [], "n_bytes": [], "log2": []}
+        tables = [Paths(Slots(*listed(right, tab, bits, np.uint32, np.int64), bits), code) for tab, bits in enumerate(sizes)]
+        words, counts = listed(right, WORDS, 64, np.uint64, np.uint64)
+        value = np.log10(counts + 0.1) - below
+        out = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "log2")}
         for row in left.to_pylist():                    # a few MB of text at a time
-            whole, until = zlib.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
-            out["log2"] += text_scores([whole[b - n:b] for b, n in zip(until, row["sizes"], strict=True)], code, tables).tolist()
+            whole, until = zstandard.decompress(row["texts"]) if row["texts"] else b"", np.cumsum(row["sizes"]).tolist()
+            texts = [whole[b - n:b] for b, n in zip(until, row["sizes"], strict=True)]
+            out["log2"] += text_scores(texts, code, tables).tolist()
+            hashes, ends = word_hashes(texts)
+            at = np.searchsorted(words, hashes)
+            ends = np.concatenate([[0], ends])
+            known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
+            out["n_tokens"] += (np.diff(ends) + 1).tolist()
+            out["n_known"] += (np.diff(known[ends]) + end_known).tolist()
+            out["base_score"] += [float(value[at[a:b]].sum()) + of_end for a, b in itertools.pairwise(ends.tolist())]
             out["doc_id"] += row["doc_ids"]
             out["held_out"] += row["outs"]
-            out["text_hash"] += row["hashes"]
             out["n_bytes"] += row["sizes"]
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text_hash", pa.int64()),
-                                               ("n_bytes", pa.int64()), ("log2", pa.float64())]))
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                                               ("base_score", pa.float64()), ("n_bytes", pa.int64()), ("log2", pa.float64())]))
 
     odds = learned.where("tab is not null").select("tab", "group", "chunk", "slots", "counts").groupBy("tab", "group").applyInArrow(
         _log_odds, _ODDS_SCHEMA)
-    chunks = learned.where("texts is not null").select("chunk", "doc_ids", "outs", "hashes", "sizes", "texts")
+    chunks = learned.where("texts is not null").select("chunk", "doc_ids", "outs", "sizes", "texts")
     return chunks.groupBy("chunk").cogroup(odds.groupBy("of_chunk")).applyInArrow(
-        score, "doc_id long, held_out boolean, text_hash long, n_bytes long, log2 double")
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, n_bytes long, log2 double")
 
 
 # ---------------------------------------------------------------- operator
@@ -493,9 +578,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes, bits_per_byte for every row of ``docs`` (doc_id, text); learned
     from the rows that are not held out.  Scores are log10 probabilities."""
-    spark = docs.sparkSession
-    docs = with_bytes(docs).select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"),
-                                   F.xxhash64("text_bytes").alias("text_hash"), "text_bytes")
+    docs = with_bytes(docs).select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "text_bytes")
     counts, size = byte_counts(docs)
     code = prefix_code(counts)
     trained = int(counts.sum())
@@ -503,43 +586,13 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
     # a task works chunk by chunk; few tasks, so that chunks are full
     learned = materialize(_learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code, sizes, group_bits))
 
-    # a word has one row per chunk that holds it: its count is a sum over these, back on every one of them
-    counted = materialize(learned.where("word is not null").select(
-        F.col("chunk").alias("of_chunk"), "number", F.sum("train").over(Window.partitionBy("word")).alias("c"), "train",
-        F.row_number().over(Window.partitionBy("word").orderBy("chunk")).alias("nth")).selectExpr(
-        "of_chunk", "number", "c", "train", "nth = 1 as first"))
-    found = counted.select("of_chunk", "number", "c")
-    n_words, n_distinct = counted.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.expr("first and c > 0"))).first()
+    totals = learned.where(F.col("tab") == WORDS).select("tab", "group", "slots", "counts").groupBy("group").applyInArrow(_word_totals, "n long, v long")
+    n_words, n_distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = int(counts[:, END].sum())                      # the end is a token like a word
     total, distinct = n_words + ends, n_distinct + (ends > 0)
     below = math.log10(total + 0.1 * (distinct + 1))
-    of_end = math.log10(ends + 0.1) - below
-
-    def base_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = np.zeros(right.num_rows, np.int64)
-        c[right["number"].to_numpy()] = right["c"].to_numpy()
-        value, known = np.log10(c + 0.1) - below, c > 0
-        out = {"doc_id": [], "text_hash": [], "n_tokens": [], "n_known": [], "base_score": []}
-        for row in left.select(["doc_ids", "hashes", "lens", "tokens"]).to_pylist():
-            token = _unsqueeze(row["tokens"]).astype(np.int64)
-            until = np.cumsum(np.array(row["lens"], np.int64))
-            for b, n in zip(until.tolist(), row["lens"], strict=True):
-                mine = token[b - n:b]
-                out["n_known"].append(int(known[mine].sum()) + (ends > 0))
-                out["base_score"].append(float(value[mine].sum()) + of_end)
-            out["doc_id"] += row["doc_ids"]
-            out["text_hash"] += row["hashes"]
-            out["n_tokens"] += [n + 1 for n in row["lens"]]
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()),
-                                               ("n_known", pa.int64()), ("base_score", pa.float64())]))
-
-    chunks = learned.where("tokens is not null").select("chunk", "doc_ids", "hashes", "lens", "tokens")
-    base = chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(
-        base_scores, "doc_id long, text_hash long, n_tokens long, n_known long, base_score double")
-    base = base.dropDuplicates(["doc_id", "text_hash"])  # repeated rows have equal scores
-    return _scores(learned, code, sizes, group_bits).alias("s").join(
-        base.alias("b"), F.expr("s.doc_id <=> b.doc_id and s.text_hash = b.text_hash"), "left").select(
-        "s.doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score",
+    return _scores(learned, code, sizes, group_bits, below, math.log10(ends + 0.1) - below, int(ends > 0)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score",
         (F.col("log2") * math.log10(2)).alias("score"), "n_bytes",
         (-F.col("log2") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 

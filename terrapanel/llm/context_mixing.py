@@ -47,13 +47,14 @@ ORDERS = (3, 5)                        # context bytes of the tables; one more h
 SLOT_BITS = (20, 22, 22)               # slots of each table, at least
 END = 256                              # the end mark
 WORDS = len(SLOT_BITS)                 # number of the list of words, beside those of the tables
-TASK_BYTES = 20 << 20                  # text that a task learns from, at least
-CHUNK_BYTES = 16 << 20                 # text whose words and slots a task lists at once
-PART_BYTES = 2 << 20                   # text that is scored at once, about
+TASK_BYTES = 56 << 20                  # text that a task learns from, at least
+CHUNK_BYTES = 48 << 20                 # text whose words and slots a task lists at once
+PART_BYTES = 1 << 19                   # text that is scored at once, about
 LIST_BYTES = 1 << 18                   # text whose contexts are listed at once
-GROUP_BYTES = 25                       # a group of slots for so many training bytes (bits), 64 groups at least
+GROUP_BYTES = 26                       # a group of slots for so many training bytes (bits), 64 groups at least
 CACHE_BITS = 21                        # paths through the code that a task remembers, of each table
 PATH_ODDS = 1 << 24                    # and their log odds
+NO_CHUNK = -1                          # chunk of the rows that hold totals
 PAIR = np.uint64((1 << 17) - 1)        # bits of a context hash that are free for a pair of symbols
 SHARED = -128                          # no log odds: the place of two slots
 SCALE = 12.0                           # log odds are kept in steps of 1/12
@@ -294,7 +295,7 @@ class Paths:
         if not len(left):
             return self.first[at]
         first = self.first[at]
-        key, at = keys[left], at[left]
+        key, at, began = keys[left], at[left], self.used
         while len(key):
             # of the keys with one place the last gets it; equal keys share its path, others look again
             number = np.arange(len(key), dtype=np.int32)
@@ -304,11 +305,9 @@ class Paths:
             new = key[mine]
             n, where = _decisions(self.code, (new & PAIR).astype(np.int64))
             if self.used + len(where) > len(self.odds):
-                self.keys[:] = PAIR
-                if self.used:
-                    self.used = 0
-                    return self.starts(keys)
-                self.odds = np.empty(2 * len(where), np.int8)
+                if not began:                            # these keys alone need more room
+                    self.odds = np.empty(2 * len(self.odds), np.int8)
+                self.keys[:], self.used = PAIR, 0
                 return self.starts(keys)
             odds = self.slots[_slots(np.repeat(new & ~PAIR, n), self.code[2][where], self.bits)]
             self.odds[self.used:self.used + len(odds)] = np.where(self.code[3][where] == 1, odds, -odds)
@@ -389,7 +388,7 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
             for cut in _parts([len(t) for _, _, t in held], 2000):
                 ids, outs, texts = zip(*held[cut], strict=True)
                 yield rows(1, chunk=[chunk_no], doc_ids=[ids], outs=[outs], sizes=[[len(t) for t in texts]],
-                           texts=[zstandard.compress(b"".join(texts), 1)])
+                           texts=[zstandard.compress(b"".join(texts), 3)])
             held.clear()
 
         def count(texts, train):
@@ -473,14 +472,13 @@ def _log_odds(table: pa.Table) -> pa.Table:
     else:
         values = sums[0]
     lists = np.split(values[index], np.cumsum(sizes)[:-1])
-    return pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
-                     "odds": pa.array([_squeeze(x) for x in lists], pa.binary())})
-
-
-def _word_totals(table: pa.Table) -> pa.Table:
-    """Of one group of words: their mentions in training texts, and how many have one."""
-    _, _, sums = _sums(table)
-    return pa.table({"n": pa.array([int(sums.sum())]), "v": pa.array([int((sums > 0).sum())])})
+    out = pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
+                    "odds": pa.array([_squeeze(x) for x in lists], pa.binary())})
+    if len(sums) == 2:
+        return out
+    # no chunk: mentions of the group's words in training texts, and how many words have one
+    totals = [NO_CHUNK, WORDS, table["group"][0].as_py(), None, _squeeze(np.array([sums.sum(), (sums > 0).sum()], np.int64))]
+    return pa.concat_tables([out, pa.table([pa.array([x], f.type) for x, f in zip(totals, out.schema, strict=True)], schema=out.schema)])
 
 
 def text_scores(texts: list, code, tables: list) -> np.ndarray:
@@ -532,8 +530,10 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
     return bits
 
 
-def _scores(learned: DataFrame, code, sizes: list, group_bits: int, below: float, of_end: float, end_known: int) -> DataFrame:
-    """Chunk by chunk, from its documents, the log odds of its slots and the counts of its words."""
+def _scores(learned: DataFrame, code, sizes: list, group_bits: int, ends: int) -> DataFrame:
+    """Chunk by chunk, from its documents, the log odds of its slots and the counts of its words; log10_counts
+    is the base score before the share of N and V.  One more row (``total``): N without the ends as n_tokens, and
+    V as n_known."""
 
     def listed(right: pa.Table, tab: int, bits: int, kind, of):
         mine = right.filter(pc.equal(right["tab"], tab)).sort_by("group")
@@ -544,32 +544,38 @@ def _scores(learned: DataFrame, code, sizes: list, group_bits: int, below: float
         return np.concatenate([np.empty(0, of), *slots]), np.concatenate([np.empty(0, np.int64 if tab == WORDS else np.int8), *odds])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            n, v = np.sum([_unsqueeze(raw, np.int64) for raw in right["odds"].to_pylist()], axis=0).tolist()
+            return pa.table([pa.array([x], f.type) for x, f in zip([None, None, n, v, None, None, None, True], schema, strict=True)], schema=schema)
         tables = [Paths(Slots(*listed(right, tab, bits, np.uint32, np.int64), bits), code) for tab, bits in enumerate(sizes)]
         words, counts = listed(right, WORDS, 64, np.uint64, np.uint64)
-        value = np.log10(counts + 0.1) - below
-        out = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "log2")}
+        value, of_end = np.log10(counts + 0.1), math.log10(ends + 0.1)
+        out = {name: [] for name in schema.names}
         for row in left.to_pylist():                    # a few MB of text at a time
             whole, until = zstandard.decompress(row["texts"]) if row["texts"] else b"", np.cumsum(row["sizes"]).tolist()
             texts = [whole[b - n:b] for b, n in zip(until, row["sizes"], strict=True)]
             out["log2"] += text_scores(texts, code, tables).tolist()
-            hashes, ends = word_hashes(texts)
+            hashes, stops = word_hashes(texts)
             at = np.searchsorted(words, hashes)
-            ends = np.concatenate([[0], ends])
+            stops = np.concatenate([[0], stops])
             known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
-            out["n_tokens"] += (np.diff(ends) + 1).tolist()
-            out["n_known"] += (np.diff(known[ends]) + end_known).tolist()
-            out["base_score"] += [float(value[at[a:b]].sum()) + of_end for a, b in itertools.pairwise(ends.tolist())]
+            out["n_tokens"] += (np.diff(stops) + 1).tolist()
+            out["n_known"] += (np.diff(known[stops]) + (ends > 0)).tolist()
+            out["log10_counts"] += [float(value[at[a:b]].sum()) + of_end for a, b in itertools.pairwise(stops.tolist())]
             out["doc_id"] += row["doc_ids"]
             out["held_out"] += row["outs"]
             out["n_bytes"] += row["sizes"]
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                                               ("base_score", pa.float64()), ("n_bytes", pa.int64()), ("log2", pa.float64())]))
+            out["total"] += [False] * len(texts)
+        return pa.table(out, schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("log10_counts", pa.float64()), ("n_bytes", pa.int64()), ("log2", pa.float64()), ("total", pa.bool_())])
 
     odds = learned.where("tab is not null").select("tab", "group", "chunk", "slots", "counts").groupBy("tab", "group").applyInArrow(
         _log_odds, _ODDS_SCHEMA)
     chunks = learned.where("texts is not null").select("chunk", "doc_ids", "outs", "sizes", "texts")
     return chunks.groupBy("chunk").cogroup(odds.groupBy("of_chunk")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, n_bytes long, log2 double")
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, log10_counts double, n_bytes long, log2 double, total boolean")
 
 
 # ---------------------------------------------------------------- operator
@@ -586,14 +592,14 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
     # a task works chunk by chunk; few tasks, so that chunks are full
     learned = materialize(_learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code, sizes, group_bits))
 
-    totals = learned.where(F.col("tab") == WORDS).select("tab", "group", "slots", "counts").groupBy("group").applyInArrow(_word_totals, "n long, v long")
-    n_words, n_distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = int(counts[:, END].sum())                      # the end is a token like a word
+    scored = materialize(_scores(learned, code, sizes, group_bits, ends))
+    n_words, n_distinct = scored.where("total").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
     total, distinct = n_words + ends, n_distinct + (ends > 0)
     below = math.log10(total + 0.1 * (distinct + 1))
-    return _scores(learned, code, sizes, group_bits, below, math.log10(ends + 0.1) - below, int(ends > 0)).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score",
-        (F.col("log2") * math.log10(2)).alias("score"), "n_bytes",
+    return scored.where("not total").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("log10_counts") - below * F.col("n_tokens")).alias("base_score"), (F.col("log2") * math.log10(2)).alias("score"), "n_bytes",
         (-F.col("log2") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 

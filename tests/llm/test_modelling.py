@@ -100,6 +100,25 @@ def test_slots_of_a_chunk_keep_their_odds():
     assert np.array_equal(context_mixing.Slots(slots, odds, 45)[slots[some]], odds[some])
 
 
+def test_paths_are_the_slots_odds_whatever_the_cache_holds(monkeypatch):
+    counts = np.random.default_rng(3).integers(0, 50, (257, 257))
+    code = context_mixing.prefix_code(counts)
+    table = np.random.default_rng(4).integers(-127, 128, 1 << 16).astype(np.int8)
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(40) | rng.integers(0, 257 * 257, 3000).astype(np.uint64)
+    for cache, room in ((16, 1 << 20), (4, 1 << 20), (6, 100), (12, 20_000)):
+        monkeypatch.setattr(context_mixing, "CACHE_BITS", cache)
+        monkeypatch.setattr(context_mixing, "PATH_ODDS", room)
+        paths = context_mixing.Paths(table, code)
+        for some in (keys[:700], keys[:700], keys[500:], keys):
+            first = paths.starts(some)
+            for key, at in zip(some.tolist(), first.tolist(), strict=True):
+                n, where = context_mixing._decisions(code, np.array([key & 0x1FFFF]))
+                slots = context_mixing._slots(np.repeat(np.uint64(key & ~0x1FFFF), n), code[2][where], 16)
+                want = table[slots].astype(int) * np.where(code[3][where] == 1, 1, -1)
+                assert paths.odds[at:at + n[0]].tolist() == want.tolist()
+
+
 def test_mixing_beats_the_base_on_held_out_texts(spark):
     got = context_mixing.op1_context_mixing(spark, SF).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]

@@ -50,6 +50,7 @@ WORDS = len(SLOT_BITS)                 # number of the list of words, beside tho
 TASK_BYTES = 56 << 20                  # text that a task learns from, at least
 CHUNK_BYTES = 48 << 20                 # text whose words and slots a task lists at once
 PART_BYTES = 1 << 19                   # text that is scored at once, about
+STEP_BYTES = 1 << 14                   # and mixed at once
 LIST_BYTES = 1 << 18                   # text whose contexts are listed at once
 GROUP_BYTES = 26                       # a group of slots for so many training bytes (bits), 64 groups at least
 CACHE_BITS = 21                        # paths through the code that a task remembers, of each table
@@ -216,7 +217,8 @@ def _merged(parts: list):
 
 
 def _slot_counts(keys: np.ndarray, counts: np.ndarray, code, bits: int):
-    """(slots in order, counts of zero, of one) from (context hash and pair of symbols) keys and their counts."""
+    """(slots in order, counts of zero, of one) from (context hash and pair of symbols) keys and
+    their counts, a sixteenth of the table at a time."""
     parts = []
     for at in range(0, len(keys), 1 << 18):              # a context's pairs lie together
         some = keys[at:at + (1 << 18)]
@@ -224,16 +226,14 @@ def _slot_counts(keys: np.ndarray, counts: np.ndarray, code, bits: int):
         slot = _slots(np.repeat(some & ~PAIR, n), code[2][where], bits)
         parts.append(_summed(slot * 2 + code[3][where], np.repeat(counts[at:at + (1 << 18)], n), "quicksort"))
     if not parts:
-        return (np.empty(0, np.int64),) * 3
-    out = []
-    for i in range(16):                                  # a range of slots at a time
+        return
+    for i in range(16):
         cuts = [np.searchsorted(k, [i << (bits - 3), (i + 1) << (bits - 3)]) for k, _ in parts]
         both, n = _merged([(k[a:b], c[a:b]) for (k, c), (a, b) in zip(parts, cuts, strict=True)])
         if len(both):
             slot, one = both >> 1, both & 1
             first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            out.append((slot[first], np.add.reduceat(np.where(one, 0, n), first), np.add.reduceat(np.where(one, n, 0), first)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            yield slot[first], np.add.reduceat(np.where(one, 0, n), first), np.add.reduceat(np.where(one, n, 0), first)
 
 
 class Slots:
@@ -243,7 +243,7 @@ class Slots:
     def __init__(self, slots: np.ndarray, odds: np.ndarray, bits: int):
         self.bits, self.tables = bits, []
         while len(slots):
-            size = max(4, (4 * len(slots)).bit_length())
+            size = max(4, (2 * len(slots)).bit_length())
             multiplier = np.uint64(_ODD[len(self.tables) % len(_ODD)])
             at = self._places(slots, multiplier, size)
             last = np.empty(1 << size, np.int32)
@@ -364,7 +364,7 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
         from pyspark import TaskContext
 
         seen, words, held = [[] for _ in sizes], [], []
-        chunk_no, bytes_held = TaskContext.get().partitionId() << 32, 0
+        chunk_no, bytes_held, part_held = TaskContext.get().partitionId() << 32, 0, 0
 
         def grouped(tab, of, bits, kind, counts):
             """One row a group of ``of``, whose top bits of ``bits`` are the group."""
@@ -378,18 +378,17 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
 
         def chunk():
             for tab, (parts, bits) in enumerate(zip(seen, sizes, strict=True)):
-                keys, n = _merged(parts)
-                slot, *counts = _slot_counts(keys, n, code, bits)
-                yield grouped(tab, slot, bits, np.uint32, counts)
+                for slot, *counts in _slot_counts(*_merged(parts), code, bits):
+                    yield grouped(tab, slot, bits, np.uint32, counts)
             if words:
                 word, n = _merged(words)
                 if len(word):
                     yield grouped(WORDS, word, 64, np.uint64, [n])
-            for cut in _parts([len(t) for _, _, t in held], 2000):
-                ids, outs, texts = zip(*held[cut], strict=True)
-                yield rows(1, chunk=[chunk_no], doc_ids=[ids], outs=[outs], sizes=[[len(t) for t in texts]],
-                           texts=[zstandard.compress(b"".join(texts), 3)])
+
+        def documents():
+            ids, outs, texts = zip(*held, strict=True)
             held.clear()
+            return rows(1, chunk=[chunk_no], doc_ids=[ids], outs=[outs], sizes=[[len(t) for t in texts]], texts=[zstandard.compress(b"".join(texts), 3)])
 
         def count(texts, train):
             c = Contexts(texts)
@@ -398,7 +397,7 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
             for parts, every in [*listed, (words, word_hashes(texts)[0])]:
                 keys, n = np.unique(every, return_counts=True)
                 parts.append((keys, n.astype(np.uint32) * np.uint32(train)))
-                if sum(len(k) for k, _ in parts[1:]) > max(1 << 18, len(parts[0][0])):
+                if sum(len(k) for k, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
                     parts.append(_merged(parts))
 
         some, size = ([], []), [0, 0]
@@ -406,7 +405,7 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
             for doc_id, out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = text.lower()
                 held.append((doc_id, out, text))
-                bytes_held += len(text)
+                bytes_held, part_held = bytes_held + len(text), part_held + len(text)
                 some[out].append(text)
                 size[out] += len(text)
                 full = bytes_held >= CHUNK_BYTES
@@ -415,6 +414,9 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
                         count(some[of], not of)
                         some[of].clear()
                         size[of] = 0
+                if full or part_held >= PART_BYTES or len(held) >= 2000:
+                    yield documents()
+                    part_held = 0
                 if full:
                     yield from chunk()
                     chunk_no, bytes_held = chunk_no + 1, 0
@@ -422,6 +424,8 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
             if some[of]:
                 count(some[of], not of)
         if held:
+            yield documents()
+        if any(seen):
             yield from chunk()
 
     schema = ("tab int, group long, chunk long, slots binary, counts binary, doc_ids array<long>, outs array<boolean>, "
@@ -500,8 +504,8 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
         while done < most:
             step = STEP if done < 8 * STEP else LONG_STEP
             live = int(np.searchsorted(-c.size, -done, side="left"))     # sizes fall: texts longer than done
-            for group in range(0, live, 128):                           # texts are independent: few enough for the caches
-                to = min(live, group + 128)
+            for group in range(0, live, STEP_BYTES // step):            # texts are independent: few enough for the caches
+                to = min(live, group + STEP_BYTES // step)
                 n = np.minimum(c.size[group:to] - done, step)
                 where = np.arange(int(n.sum())) + np.repeat(begin[group:to] + done - np.cumsum(n) + n, n)
                 decisions = lengths[where]

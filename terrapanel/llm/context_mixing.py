@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.automaton_dedup import word_hashes
-from terrapanel.llm.common import _ODD, slices, held_out, with_bytes
+from terrapanel.llm.common import held_out, slices, with_bytes
 from terrapanel.session import materialize
 
 ORDERS = (3, 5)                        # context bytes of the tables; one more holds the word so far
@@ -57,7 +57,6 @@ CACHE_BITS = 21                        # paths through the code that a task reme
 PATH_ODDS = 1 << 24                    # and their log odds
 NO_CHUNK = -1                          # chunk of the rows that hold totals
 PAIR = np.uint64((1 << 17) - 1)        # bits of a context hash that are free for a pair of symbols
-SHARED = -128                          # no log odds: the place of two slots
 SCALE = 12.0                           # log odds are kept in steps of 1/12
 GATES = 9
 RATE = 0.001
@@ -237,44 +236,44 @@ def _slot_counts(keys: np.ndarray, counts: np.ndarray, code, bits: int):
 
 
 class Slots:
-    """Log odds of the slots that a chunk meets.  Tables of hashed slots: a
-    place that two slots share is marked, both are in the next table."""
+    """Log odds of the slots that a chunk meets, in their order: the top bits of
+    a slot tell where to look, the low bits are compared.  Only slots that are
+    there may be asked for."""
 
     def __init__(self, slots: np.ndarray, odds: np.ndarray, bits: int):
-        self.bits, self.tables = bits, []
-        while len(slots):
-            size = max(4, (2 * len(slots)).bit_length())
-            multiplier = np.uint64(_ODD[len(self.tables) % len(_ODD)])
-            at = self._places(slots, multiplier, size)
-            last = np.empty(1 << size, np.int32)
-            last[at] = np.arange(len(at), dtype=np.int32)
-            table = np.zeros(1 << size, np.int8)
-            table[at] = odds
-            table[at[last[at] != np.arange(len(at))]] = SHARED
-            self.tables.append((multiplier, size, table))
-            shared = table[at] == SHARED
-            slots, odds = slots[shared], odds[shared]
-
-    @staticmethod
-    def _places(slots, multiplier, size):
-        x = slots.astype(np.uint64)
-        x *= multiplier
-        x >>= np.uint64(64 - size)
-        return x.astype(np.intp)
+        self._fill([(slots, odds)], len(slots), bits)
+
+    @classmethod
+    def of_pieces(cls, pieces, n: int, bits: int):
+        """From (slots, odds) pieces in order, ``n`` slots together."""
+        made = cls.__new__(cls)
+        made._fill(pieces, n, bits)
+        return made
+
+    def _fill(self, pieces, n, bits):
+        self.bits, self.shift = bits, max(0, bits - max(4, n.bit_length()))
+        self.low, self.odds = np.empty(n, np.uint32), np.empty(n, np.int8)
+        self.first = np.zeros(1 << (bits - self.shift), np.int32)
+        at, last = 0, -1
+        for slots, odds in pieces:
+            to = at + len(slots)
+            self.low[at:to], self.odds[at:to] = slots & ((1 << self.shift) - 1), odds
+            top = slots >> self.shift
+            new = np.flatnonzero(np.diff(top, prepend=last))
+            self.first[top[new]] = new + at
+            at, last = to, top[-1] if len(top) else last
 
     def __len__(self):
         return 1 << self.bits
 
     def __getitem__(self, slots: np.ndarray) -> np.ndarray:
-        out, left = np.full(len(slots), SHARED, np.int8), None
-        for multiplier, size, table in self.tables:
-            if left is None:
-                out = table[self._places(slots, multiplier, size)]
-                left = np.flatnonzero(out == SHARED)
-            else:
-                out[left] = found = table[self._places(slots[left], multiplier, size)]
-                left = left[found == SHARED]
-        return out
+        at = self.first[slots >> self.shift]
+        low = (slots & ((1 << self.shift) - 1)).astype(np.uint32)
+        left = np.flatnonzero(self.low[at] != low)
+        while len(left):
+            at[left] += 1
+            left = left[self.low[at[left]] != low[left]]
+        return self.odds[at]
 
 
 class Paths:
@@ -539,23 +538,31 @@ def _scores(learned: DataFrame, code, sizes: list, group_bits: int, ends: int) -
     is the base score before the share of N and V.  One more row (``total``): N without the ends as n_tokens, and
     V as n_known."""
 
-    def listed(right: pa.Table, tab: int, bits: int, kind, of):
+    def listed(right: pa.Table, tab: int, bits: int, kind, of, value):
+        """A table's (slots or words, values), group by group, in order."""
         mine = right.filter(pc.equal(right["tab"], tab)).sort_by("group")
-        shift = of(bits - group_bits)
-        slots = [np.cumsum(_unsqueeze(raw, kind), dtype=of) + (of(g) << shift)
-                 for g, raw in zip(mine["group"].to_pylist(), mine["slots"].to_pylist(), strict=True)]
-        odds = [_unsqueeze(raw, np.int64 if tab == WORDS else np.int8) for raw in mine["odds"].to_pylist()]
-        return np.concatenate([np.empty(0, of), *slots]), np.concatenate([np.empty(0, np.int64 if tab == WORDS else np.int8), *odds])
+
+        def pieces():
+            for i in range(mine.num_rows):
+                base = of(mine["group"][i].as_py()) << of(bits - group_bits)
+                yield np.cumsum(_unsqueeze(mine["slots"][i].as_py(), kind), dtype=of) + base, _unsqueeze(mine["odds"][i].as_py(), value)
+
+        return pieces()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             n, v = np.sum([_unsqueeze(raw, np.int64) for raw in right["odds"].to_pylist()], axis=0).tolist()
             return pa.table([pa.array([x], f.type) for x, f in zip([None, None, n, v, None, None, None, True], schema, strict=True)], schema=schema)
-        tables = [Paths(Slots(*listed(right, tab, bits, np.uint32, np.int64), bits), code) for tab, bits in enumerate(sizes)]
-        words, counts = listed(right, WORDS, 64, np.uint64, np.uint64)
+        tables = []
+        for tab, bits in enumerate(sizes):
+            n = sum(len(odds) for _, odds in listed(right, tab, bits, np.uint32, np.int64, np.int8))
+            tables.append(Paths(Slots.of_pieces(listed(right, tab, bits, np.uint32, np.int64, np.int8), n, bits), code))
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        words, counts = map(np.concatenate, zip(none, *listed(right, WORDS, 64, np.uint64, np.uint64, np.int64), strict=True))
         value, of_end = np.log10(counts + 0.1), math.log10(ends + 0.1)
         out = {name: [] for name in schema.names}
-        for row in left.to_pylist():                    # a few MB of text at a time
+        for i in range(left.num_rows):                  # half a MB of text at a time
+            row = left.slice(i, 1).to_pylist()[0]
             whole, until = zstandard.decompress(row["texts"]) if row["texts"] else b"", np.cumsum(row["sizes"]).tolist()
             texts = [whole[b - n:b] for b, n in zip(until, row["sizes"], strict=True)]
             out["log2"] += text_scores(texts, code, tables).tolist()

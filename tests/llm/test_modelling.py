@@ -98,6 +98,12 @@ def test_slots_of_a_chunk_keep_their_odds():
     odds = rng.integers(-127, 128, len(slots)).astype(np.int8)
     some = rng.integers(0, len(slots), 100_000)
     assert np.array_equal(context_mixing.Slots(slots, odds, 45)[slots[some]], odds[some])
+    for n, bits in ((0, 20), (1, 33), (10, 26), (300, 9), (50_000, 30)):
+        slots = np.unique(rng.integers(0, 1 << bits, n))
+        odds = rng.integers(-127, 128, len(slots)).astype(np.int8)
+        cuts = np.searchsorted(slots, np.arange(65) << (bits - 6))
+        pieces = [(slots[a:b], odds[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        assert np.array_equal(context_mixing.Slots.of_pieces(pieces, len(slots), bits)[slots[::-1]], odds[::-1])
 
 
 def test_paths_are_the_slots_odds_whatever_the_cache_holds(monkeypatch):

@@ -48,13 +48,13 @@ SLOT_BITS = (20, 22, 22)               # slots of each table, at least
 END = 256                              # the end mark
 WORDS = len(SLOT_BITS)                 # number of the list of words, beside those of the tables
 TASK_BYTES = 56 << 20                  # text that a task learns from, at least
-CHUNK_BYTES = 48 << 20                 # text whose words and slots a task lists at once
+CHUNK_BYTES = 30 << 20                 # text whose words and slots a task lists at once
 PART_BYTES = 1 << 19                   # text that is scored at once, about
 STEP_BYTES = 1 << 14                   # and mixed at once
 LIST_BYTES = 1 << 18                   # text whose contexts are listed at once
 GROUP_BYTES = 26                       # a group of slots for so many training bytes (bits), 64 groups at least
-CACHE_BITS = 21                        # paths through the code that a task remembers, of each table
-PATH_ODDS = 1 << 24                    # and their log odds
+CACHE_BITS = 20                        # paths through the code that a task remembers, of each table
+PATH_ODDS = 1 << 22                    # and their log odds
 NO_CHUNK = -1                          # chunk of the rows that hold totals
 PAIR = np.uint64((1 << 17) - 1)        # bits of a context hash that are free for a pair of symbols
 SCALE = 12.0                           # log odds are kept in steps of 1/12

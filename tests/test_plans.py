@@ -97,3 +97,19 @@ def test_no_registered_query_plans_a_cross_join(spark):
         plan = _plan(fn(spark, SF_SMALL))
         bad += [(name, k) for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan]
     assert bad == []
+
+
+def test_rows_meet_few_bounds_of_their_panel_and_carry_none(spark):
+    """Pieces come from two joins by key and bounds, not from arrays of all cuts that each row searches."""
+    from terrapanel.operators.windows import _panel_cuts, _with_piece
+
+    order = ["Year", "Month_num", "Day", "row_id"]
+    r = spark.range(0, 3000).selectExpr("'S' as state", "string(id % 2) as district", "2020 as Year", "1 as Month_num", "1 as Day", "id as row_id")
+    cuts = _panel_cuts(r.where("district = '0'"), ["state", "district"], order, 64, 8)
+    out = _with_piece(r, cuts, ["state", "district"], order)
+    plan = _plan(out)
+    assert "lambdafunction" not in plan and plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan, plan
+    starts = [c.k3.v for c in cuts.first()["_cuts"]]
+    assert len(starts) > 40
+    for x in out.collect():
+        assert x["_piece"] == (sum(s <= x.row_id for s in starts) if x.district == "0" else None)

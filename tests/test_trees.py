@@ -200,3 +200,22 @@ def test_classes_by_majority_and_saved_forests(spark, tmpdir_path):
     before = model.stages[1].transform(model.stages[0].transform(df.where("moisture_class is not null")))
     again = loaded["forest"].transform(before).select("a", "prediction").collect()
     assert sorted(map(tuple, again)) == sorted((r.a, r.prediction) for r in out)
+
+
+@pytest.mark.parametrize("booster", [DepthwiseBooster, LeafwiseBooster])
+def test_one_task_and_blocks_of_many_grow_equal_trees(spark, monkeypatch, booster):
+    """A small table needs no job for each pass; blocks dealt to tasks, collected or added up on the way, give the same model."""
+    from terrapanel.operators import boosting
+
+    x, y = table(600, seed=5)
+    df = frame(spark, x, y)
+    fit = lambda: booster(rounds=12, maxDepth=3).fit(df).getOrDefault("model")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one task", "")
+    want = fit()
+    assert len(tracker.getJobIdsForGroup("one task")) < 30                  # 36 passes
+    spark.sparkContext.setJobGroup("blocks", "")
+    monkeypatch.setattr(boosting, "HELD_ROWS", 200)
+    assert fit() == want
+    monkeypatch.setattr(boosting, "COLLECTED_BLOCKS", 1)
+    assert fit() == want

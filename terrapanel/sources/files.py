@@ -86,7 +86,7 @@ def _raw_cells(line: Column) -> Column:
 
 def _open_quote(line: Column) -> Column:
     """Whether a cell begins with a quote that does not end it."""
-    return F.exists(_raw_cells(line), lambda c: c.startswith('"') & ~c.rlike(r'^"[^"]*+(?:""[^"]*+)*+"$'))
+    return F.contains(line, F.lit('"')) & F.exists(_raw_cells(line), lambda c: c.startswith('"') & ~c.rlike(r'^"[^"]*+(?:""[^"]*+)*+"$'))
 
 
 def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,14 +102,22 @@ def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     One table with a row per file carries the columns' places; nothing of the
     files comes to the driver but which columns exist."""
+    tagged, placed = _headers(lines)
+    return _rows_and_rejects(tagged, placed)
+
+
+def _headers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines with ``_is_head``, and a row per file: where its header has each column."""
     from terrapanel.operators.lookup import small_side
 
-    cut = lines.withColumn("cells", _cells(F.col("line")))
-    plain = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+    # every known name of the two columns holds its canonical one: only such lines are cut to look for a header
+    low = F.lower("line")
+    plain = F.transform(_cells(F.col("line")), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+    tagged = lines.withColumn("_names", F.when(F.contains(low, F.lit("state")) & F.contains(low, F.lit("district")), plain))
 
     def names(canon):
         wanted = F.array(*[F.lit(normalize_header(c)) for c in ALIASES[canon]])
-        return F.coalesce(F.arrays_overlap(F.filter(plain, lambda c: c.isNotNull()), wanted), F.lit(False))
+        return F.coalesce(F.arrays_overlap(F.filter("_names", lambda c: c.isNotNull()), wanted), F.lit(False))
 
     def place(canon):
         """1-based place of a column in the header: by alias, else by substring; null if absent."""
@@ -118,14 +126,17 @@ def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
             found.append(F.array_position(F.transform("_head", lambda c: F.coalesce(F.contains(c, F.lit(SUBSTRINGS[canon])), F.lit(False))), True))
         return F.coalesce(*[F.when(x > 0, x) for x in found]).cast("int")
 
-    cut = cut.withColumn("_is_head", names("state") & names("district"))
-    files = cut.groupBy("source_file").agg(F.min(F.when(F.col("_is_head"), plain)).alias("_head"))
+    tagged = tagged.withColumn("_is_head", names("state") & names("district"))
+    files = tagged.groupBy("source_file").agg(F.min(F.when(F.col("_is_head"), F.col("_names"))).alias("_head"))
     placed = files.select("source_file", F.size("_head").alias("_width"), F.col("_head").isNull().alias("_no_head"),
                           *[place(c).alias(f"_at_{c}") for c in ALIASES])
-    placed = small_side(placed)
+    return tagged.drop("_names"), small_side(placed)
+
+
+def _rows_and_rejects(tagged: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     there = placed.agg(*[F.count(f"_at_{c}").alias(c) for c in ALIASES]).first()
     found = [c for c in ALIASES if there[c]]
-    data = cut.where(~F.col("_is_head")).join(placed, "source_file")
+    data = tagged.where(~F.col("_is_head")).withColumn("cells", _cells(F.col("line"))).join(placed, "source_file")
     reason = (F.when(F.col("_no_head"), "header").when(_open_quote(F.col("line")), "quote")
                .when(F.size("cells") > F.col("_width"), "cells"))
     data = data.withColumn("reason", reason)
@@ -144,8 +155,9 @@ def scan_readings(spark: SparkSession, paths: str | Sequence[str], glob: str = "
                   recursive: bool = True) -> DataFrame:
     """The rows of ``read_lines`` for every reading file below ``paths``, as text.
     A file without a header is an error; rejected lines are left to ``scan_rejects``."""
-    rows, rejects = read_lines(_files(spark, paths, glob, recursive))
-    without = rejects.where("reason = 'header'").select("source_file").distinct().count()
+    tagged, placed = _headers(_files(spark, paths, glob, recursive))
+    rows, _ = _rows_and_rejects(tagged, placed)
+    without = placed.where("_no_head").count()
     if without:
         raise ValueError(f"{without} files have no header line that names a state and a district column")
     return rows

@@ -148,3 +148,14 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_headers_are_looked_for_in_lines_that_may_be_one(spark):
+    """A header is found whatever its case, quotes and byte order mark; a data line with both words is none."""
+    from terrapanel.sources.files import _headers
+
+    lines = [("ï»¿STATE NAME,\"DistrictName\",Date", "a"), ("state of X,district of Y,2020-01-01", "a"), ("x,y,z", "a"),
+             ("state,town", "b"), ("p,q", "b")]
+    tagged, placed = _headers(spark.createDataFrame(lines, "line string, source_file string"))
+    assert sorted(r.line for r in tagged.where("_is_head").collect()) == [lines[0][0]]
+    assert {(r.source_file, r._no_head, r._at_state, r._at_district) for r in placed.collect()} == {("a", False, 1, 2), ("b", True, None, None)}

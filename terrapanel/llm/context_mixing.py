@@ -18,7 +18,8 @@ it grows with the corpus; no process holds one.  A task lists the slots and the
 words (64-bit hashes) that a chunk of documents meets, with the chunk's counts;
 these lists, cut into groups of slots, meet those of the other chunks by group,
 and the log odds of the sums, or the word counts, come back to the chunk, which
-is scored with them.
+is scored with them.  The chunk's texts travel beside its lists, in groups of
+their own, so that what is learned is read once and never written as a table.
 
 Nulls and odd rows: a null or empty text is the end mark alone.  Rows are
 scored one by one, so repeated rows get equal scores; a null doc_id is hashed
@@ -47,6 +48,7 @@ ORDERS = (3, 5)                        # context bytes of the tables; one more h
 SLOT_BITS = (20, 22, 22)               # slots of each table, at least
 END = 256                              # the end mark
 WORDS = len(SLOT_BITS)                 # number of the list of words, beside those of the tables
+TEXTS = WORDS + 1                      # and of the texts
 TASK_BYTES = 56 << 20                  # text that a task learns from, at least
 CHUNK_BYTES = 30 << 20                 # text whose words and slots a task lists at once
 PART_BYTES = 1 << 19                   # text that is scored at once, about
@@ -350,11 +352,15 @@ def byte_counts(docs: DataFrame) -> tuple:
     return counts.reshape(END + 1, END + 1), size
 
 
+_DOCUMENTS = {"doc_ids": pa.list_(pa.int64()), "outs": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "texts": pa.binary()}
+_DOCUMENTS_SCHEMA = "doc_ids array<long>, outs array<boolean>, sizes array<long>, texts binary"
+
+
 def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
     """In one pass, of each chunk: its slots and counts, its words and their training
-    counts (tab, group, chunk, slots, counts), its documents (chunk, doc_ids, ...)."""
-    kinds = {"tab": pa.int32(), "group": pa.int64(), "chunk": pa.int64(), "slots": pa.binary(), "counts": pa.binary(),
-             "doc_ids": pa.list_(pa.int64()), "outs": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "texts": pa.binary()}
+    counts (tab, group, chunk, slots, counts), its documents (tab: ``TEXTS``, a group
+    for each piece, chunk, doc_ids, ...)."""
+    kinds = {"tab": pa.int32(), "group": pa.int64(), "chunk": pa.int64(), "slots": pa.binary(), "counts": pa.binary(), **_DOCUMENTS}
 
     def rows(n, **given):
         return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
@@ -364,6 +370,7 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
 
         seen, words, held = [[] for _ in sizes], [], []
         chunk_no, bytes_held, part_held = TaskContext.get().partitionId() << 32, 0, 0
+        pieces = itertools.count(chunk_no)
 
         def grouped(tab, of, bits, kind, counts):
             """One row a group of ``of``, whose top bits of ``bits`` are the group."""
@@ -387,7 +394,7 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
         def documents():
             ids, outs, texts = zip(*held, strict=True)
             held.clear()
-            return rows(1, chunk=[chunk_no], doc_ids=[ids], outs=[outs], sizes=[[len(t) for t in texts]], texts=[zstandard.compress(b"".join(texts), 3)])
+            return rows(1, tab=[TEXTS], group=[next(pieces)], chunk=[chunk_no], doc_ids=[ids], outs=[outs], sizes=[[len(t) for t in texts]], texts=[zstandard.compress(b"".join(texts), 3)])
 
         def count(texts, train):
             c = Contexts(texts)
@@ -427,9 +434,8 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
         if any(seen):
             yield from chunk()
 
-    schema = ("tab int, group long, chunk long, slots binary, counts binary, doc_ids array<long>, outs array<boolean>, "
-              "sizes array<long>, texts binary")
-    return docs.select("doc_id", "held_out", "text_bytes").mapInArrow(scan, schema)
+    return docs.select("doc_id", "held_out", "text_bytes").mapInArrow(
+        scan, f"tab int, group long, chunk long, slots binary, counts binary, {_DOCUMENTS_SCHEMA}")
 
 
 def _parts(sizes: list, most: int):
@@ -444,7 +450,7 @@ def _parts(sizes: list, most: int):
         at = to
 
 
-_ODDS_SCHEMA = "of_chunk long, tab int, group long, slots binary, odds binary"
+_ODDS_SCHEMA = f"of_chunk long, tab int, group long, slots binary, odds binary, {_DOCUMENTS_SCHEMA}"
 
 
 def slot_bits(trained: int) -> list:
@@ -468,7 +474,11 @@ def _sums(table: pa.Table):
 
 
 def _log_odds(table: pa.Table) -> pa.Table:
-    """Of one group: each chunk's slots and their log odds, in steps, or its words and their counts."""
+    """Of one group: each chunk's slots and their log odds, in steps, or its words and their counts;
+    texts go on as they are."""
+    if table["tab"][0].as_py() == TEXTS:
+        return pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
+                         "odds": table["counts"], **{c: table[c] for c in _DOCUMENTS}})
     sizes, index, sums = _sums(table)
     if len(sums) == 2:
         values = np.clip(np.rint(np.log((sums[1] + 0.4) / (sums[0] + 0.4)) * SCALE), -127, 127).astype(np.int8)
@@ -476,11 +486,12 @@ def _log_odds(table: pa.Table) -> pa.Table:
         values = sums[0]
     lists = np.split(values[index], np.cumsum(sizes)[:-1])
     out = pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
-                    "odds": pa.array([_squeeze(x) for x in lists], pa.binary())})
+                    "odds": pa.array([_squeeze(x) for x in lists], pa.binary()),
+                    **{c: pa.nulls(len(lists), t) for c, t in _DOCUMENTS.items()}})
     if len(sums) == 2:
         return out
     # no chunk: mentions of the group's words in training texts, and how many words have one
-    totals = [NO_CHUNK, WORDS, table["group"][0].as_py(), None, _squeeze(np.array([sums.sum(), (sums > 0).sum()], np.int64))]
+    totals = [NO_CHUNK, WORDS, table["group"][0].as_py(), None, _squeeze(np.array([sums.sum(), (sums > 0).sum()], np.int64)), *[None] * len(_DOCUMENTS)]
     return pa.concat_tables([out, pa.table([pa.array([x], f.type) for x, f in zip(totals, out.schema, strict=True)], schema=out.schema)])
 
 
@@ -549,8 +560,11 @@ def _scores(learned: DataFrame, code, sizes: list, group_bits: int, ends: int) -
 
         return pieces()
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+    def score(rows: pa.Table) -> pa.Table:
+        is_text = pc.equal(rows["tab"], TEXTS)
+        left = rows.select(list(_DOCUMENTS)).filter(is_text)
+        right = rows.drop_columns(list(_DOCUMENTS)).filter(pc.invert(is_text))
+        if rows["of_chunk"][0].as_py() == NO_CHUNK:
             n, v = np.sum([_unsqueeze(raw, np.int64) for raw in right["odds"].to_pylist()], axis=0).tolist()
             return pa.table([pa.array([x], f.type) for x, f in zip([None, None, n, v, None, None, None, True], schema, strict=True)], schema=schema)
         tables = []
@@ -582,10 +596,8 @@ def _scores(learned: DataFrame, code, sizes: list, group_bits: int, ends: int) -
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("log10_counts", pa.float64()), ("n_bytes", pa.int64()), ("log2", pa.float64()), ("total", pa.bool_())])
 
-    odds = learned.where("tab is not null").select("tab", "group", "chunk", "slots", "counts").groupBy("tab", "group").applyInArrow(
-        _log_odds, _ODDS_SCHEMA)
-    chunks = learned.where("texts is not null").select("chunk", "doc_ids", "outs", "sizes", "texts")
-    return chunks.groupBy("chunk").cogroup(odds.groupBy("of_chunk")).applyInArrow(
+    odds = learned.groupBy("tab", "group").applyInArrow(_log_odds, _ODDS_SCHEMA)
+    return odds.groupBy("of_chunk").applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, log10_counts double, n_bytes long, log2 double, total boolean")
 
 
@@ -601,7 +613,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, remainder: int = 0) -> DataF
     trained = int(counts.sum())
     sizes, group_bits = slot_bits(trained), max(6, (trained >> GROUP_BYTES).bit_length())
     # a task works chunk by chunk; few tasks, so that chunks are full
-    learned = materialize(_learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code, sizes, group_bits))
+    learned = _learn(docs.coalesce(max(1, math.ceil(size / TASK_BYTES))), code, sizes, group_bits)
 
     ends = int(counts[:, END].sum())                      # the end is a token like a word
     scored = materialize(_scores(learned, code, sizes, group_bits, ends))

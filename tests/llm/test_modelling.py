@@ -92,6 +92,17 @@ def test_tables_grow_with_the_training_text(docs, monkeypatch):
     assert want == Counter((r.doc_id, round(r.score, 4)) for r in context_mixing.score_texts(docs).collect())
 
 
+def test_texts_and_lists_are_not_written_as_a_table(docs, monkeypatch):
+    written = []
+    whole = context_mixing.materialize
+    monkeypatch.setattr(context_mixing, "materialize", lambda df: written.append(set(df.columns)) or whole(df))
+    monkeypatch.setattr(context_mixing, "PART_BYTES", 1 << 12)     # several pieces of texts a chunk
+    monkeypatch.setattr(context_mixing, "CHUNK_BYTES", 1 << 14)
+    got = context_mixing.score_texts(docs).select("doc_id", "n_bytes").collect()
+    assert Counter(map(tuple, got)) == Counter((r.doc_id, len((r.text or "").encode())) for r in docs.select("doc_id", "text").collect())
+    assert written and not any(c & {"texts", "slots", "counts"} for c in written)
+
+
 def test_slots_of_a_chunk_keep_their_odds():
     rng = np.random.default_rng(2)
     slots = np.unique(rng.integers(0, 1 << 45, 50_000))

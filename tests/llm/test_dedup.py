@@ -27,6 +27,20 @@ def plain_components(edges):
     return {x: root(x) for x in parent}
 
 
+def test_counters_of_a_task_travel_packed(spark):
+    counts = np.random.default_rng(3).poisson(0.2, (3, 1 << 18)).astype(np.uint32)
+    sent = [[(tab, block, bytearray(raw)) for tab, block, raw in common.blocks_of(x)] for x in counts]
+    assert sum(len(raw) for part in sent for _, _, raw in part) < counts.nbytes / 4
+    rows = spark.createDataFrame([r for part in sent for r in part], common.BLOCK_SCHEMA)
+    assert (common.gather_blocks(common.sum_blocks(rows, "uint32"), 1, 1 << 18, "uint32")[0] == counts.sum(0)).all()
+
+
+def test_texts_are_read_few_rows_at_a_time(spark, docs):
+    common.with_bytes(docs)
+    for conf in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        assert int(spark.conf.get(conf)) <= common.BATCH_ROWS
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(5, 5), (7, 8), (8, 7)]

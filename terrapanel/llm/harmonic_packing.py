@@ -44,6 +44,7 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 _KEPT = "\x1c\x1d\x1e\x1f"      # white space to ``str.split``, not to the tokenizer
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class WordIds:
@@ -60,6 +61,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # where the tokenizer lowers A-Z itself, words of ASCII texts that differ by case alone are one word
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(_LETTERS) == _LETTERS.lower()
         self.known: dict = {}
 
     def _learn(self, words: list) -> None:
@@ -77,22 +80,19 @@ class WordIds:
             self.known.update(zip(group, (raw[4 * a:4 * b] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)), strict=True))
 
     def __call__(self, texts: list) -> list:
-        split = [None if any(c in t for c in _KEPT) else t.split() for t in texts]
+        split = [None if any(c in t for c in _KEPT) else (t.lower() if self.lowers and t.isascii() else t).split() for t in texts]
         known = self.known
         ids = [words if words is None else [*map(known.get, words)] for words in split]
-        # words are looked up once; those of texts with a new one again
-        some = [i for i, x in enumerate(ids) if x is not None and None in x]
-        new = set()
-        for i in some:
-            new.update(itertools.compress(split[i], map(operator.is_, ids[i], itertools.repeat(None))))
+        # words are looked up once; those that were not known (their places are kept) again
+        some = [(x, words, [*itertools.compress(itertools.count(), map(operator.is_, x, itertools.repeat(None)))])
+                for x, words in zip(ids, split, strict=True) if x is not None and None in x]
+        new = {words[i] for _, words, places in some for i in places}
         if len(known) + len(new) > self.cache:
             known.clear()
         self._learn(list(new))
-        for i in some:
-            if None in (again := [*map(known.get, split[i])]):                 # the table was emptied
-                self._learn(list({w for w, x in zip(split[i], again, strict=True) if x is None}))
-                again = [*map(known.get, split[i])]
-            ids[i] = again
+        for x, words, places in some:
+            for i in places:
+                x[i] = known[words[i]]
         end = np.array([END_ID], "<u4").tobytes()
         return [np.frombuffer(b"".join([*x, end]), "<u4") if x is not None else
                 np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], "<u4")

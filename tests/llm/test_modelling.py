@@ -171,6 +171,29 @@ def check_pieces(rows, pieces):
     return waste / max(1, waste + sum(p.length for p in pieces))
 
 
+def test_words_that_are_known_are_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+    encode = harmonic_packing.WordIds(harmonic_packing.tokenizer_path(), 50)
+    texts = ["Some words are known some are NEW", "known words and Ünknown ones, Known KNOWN", "a\x1cb known", "", "İstanbul ΣΑΣ ǅ known"]
+    for _ in range(2):
+        encode.known = Counting(encode.known)
+        got = encode(texts)
+        assert encode.known.asked == sum(len(t.split()) for t in texts if "\x1c" not in t)
+        assert [x.tolist() for x in got] == [[*encode.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert "NEW" not in encode.known and "new" in encode.known
+    encode.cache = 3                                      # emptied before each call that meets new words
+    texts = [f"one {w} two ThreE" for w in ("x1", "y2", "z3")] + ["one two"]
+    for i in range(3):
+        got = encode(texts[i:] + texts[:i])
+        assert [x.tolist() for x in got] == [[*encode.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts[i:] + texts[:i]]
+
+
 def test_pieces_rebuild_every_document(docs):
     rows, pieces = docs.select("doc_id", "text").collect(), harmonic_packing.pack(docs, harmonic_packing.tokenizer_path()).collect()
     assert check_pieces(rows, pieces) < 0.02

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.automaton_dedup import word_hashes
-from terrapanel.llm.common import held_out, slices, with_bytes
+from terrapanel.llm.common import held_out, slices, squeeze, unsqueeze, with_bytes
 from terrapanel.session import materialize
 
 ORDERS = (3, 5)                        # context bytes of the tables; one more holds the word so far
@@ -320,15 +320,6 @@ class Paths:
         return first
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T), 1)
-
-
-def _unsqueeze(raw: bytes, kind=np.uint32) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
 # ----------------------------------------------------------------- passes
 
 def byte_counts(docs: DataFrame) -> tuple:
@@ -379,8 +370,8 @@ def _learn(docs: DataFrame, code, sizes: list, group_bits: int) -> DataFrame:
             low = of & of.dtype.type((1 << (bits - group_bits)) - 1)
             cuts = [slice(a, b) for a, b in itertools.pairwise([*starts.tolist(), len(of)])]
             return rows(len(cuts), tab=[tab] * len(cuts), group=group[starts], chunk=[chunk_no] * len(cuts),
-                        slots=[_squeeze(np.diff(low[c], prepend=low.dtype.type(0)).astype(kind)) for c in cuts],
-                        counts=[_squeeze(np.concatenate([x[c] for x in counts]).astype(np.uint32)) for c in cuts])
+                        slots=[squeeze(np.diff(low[c], prepend=low.dtype.type(0)).astype(kind)) for c in cuts],
+                        counts=[squeeze(np.concatenate([x[c] for x in counts]).astype(np.uint32)) for c in cuts])
 
         def chunk():
             for tab, (parts, bits) in enumerate(zip(seen, sizes, strict=True)):
@@ -462,8 +453,8 @@ def _sums(table: pa.Table):
     """Of one group of slots or words, from the lists of all chunks: (sizes of the lists, index
     of each entry among the different slots, sums of their counts)."""
     kind, rows = (np.uint64, 1) if table["tab"][0].as_py() == WORDS else (np.uint32, 2)
-    slots = [np.cumsum(_unsqueeze(raw, kind), dtype=np.uint64) for raw in table["slots"].to_pylist()]
-    counts = np.concatenate([_unsqueeze(raw).reshape(rows, -1) for raw in table["counts"].to_pylist()], axis=1)
+    slots = [np.cumsum(unsqueeze(raw, kind), dtype=np.uint64) for raw in table["slots"].to_pylist()]
+    counts = np.concatenate([unsqueeze(raw).reshape(rows, -1) for raw in table["counts"].to_pylist()], axis=1)
     every = np.concatenate(slots)
     order = np.argsort(every, kind="stable")
     starts = np.diff(every[order], prepend=np.uint64(0)) > 0
@@ -486,12 +477,12 @@ def _log_odds(table: pa.Table) -> pa.Table:
         values = sums[0]
     lists = np.split(values[index], np.cumsum(sizes)[:-1])
     out = pa.table({"of_chunk": table["chunk"], "tab": table["tab"], "group": table["group"], "slots": table["slots"],
-                    "odds": pa.array([_squeeze(x) for x in lists], pa.binary()),
+                    "odds": pa.array([squeeze(x) for x in lists], pa.binary()),
                     **{c: pa.nulls(len(lists), t) for c, t in _DOCUMENTS.items()}})
     if len(sums) == 2:
         return out
     # no chunk: mentions of the group's words in training texts, and how many words have one
-    totals = [NO_CHUNK, WORDS, table["group"][0].as_py(), None, _squeeze(np.array([sums.sum(), (sums > 0).sum()], np.int64)), *[None] * len(_DOCUMENTS)]
+    totals = [NO_CHUNK, WORDS, table["group"][0].as_py(), None, squeeze(np.array([sums.sum(), (sums > 0).sum()], np.int64)), *[None] * len(_DOCUMENTS)]
     return pa.concat_tables([out, pa.table([pa.array([x], f.type) for x, f in zip(totals, out.schema, strict=True)], schema=out.schema)])
 
 
@@ -556,7 +547,7 @@ def _scores(learned: DataFrame, code, sizes: list, group_bits: int, ends: int) -
         def pieces():
             for i in range(mine.num_rows):
                 base = of(mine["group"][i].as_py()) << of(bits - group_bits)
-                yield np.cumsum(_unsqueeze(mine["slots"][i].as_py(), kind), dtype=of) + base, _unsqueeze(mine["odds"][i].as_py(), value)
+                yield np.cumsum(unsqueeze(mine["slots"][i].as_py(), kind), dtype=of) + base, unsqueeze(mine["odds"][i].as_py(), value)
 
         return pieces()
 
@@ -565,7 +556,7 @@ def _scores(learned: DataFrame, code, sizes: list, group_bits: int, ends: int) -
         left = rows.select(list(_DOCUMENTS)).filter(is_text)
         right = rows.drop_columns(list(_DOCUMENTS)).filter(pc.invert(is_text))
         if rows["of_chunk"][0].as_py() == NO_CHUNK:
-            n, v = np.sum([_unsqueeze(raw, np.int64) for raw in right["odds"].to_pylist()], axis=0).tolist()
+            n, v = np.sum([unsqueeze(raw, np.int64) for raw in right["odds"].to_pylist()], axis=0).tolist()
             return pa.table([pa.array([x], f.type) for x, f in zip([None, None, n, v, None, None, None, True], schema, strict=True)], schema=schema)
         tables = []
         for tab, bits in enumerate(sizes):

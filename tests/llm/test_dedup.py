@@ -103,6 +103,27 @@ def test_jaccard_with_small_blocks_and_hot_shingles(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_jaccard(rows)
 
 
+def test_jaccard_prefixes_travel_packed(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(" ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(120)).encode(),) for _ in range(600)]
+    monkeypatch.setattr(ngram_jaccard, "PACK_ROWS", 10_000)
+    docs = spark.createDataFrame(rows + rows[:40], "text_bytes binary").coalesce(1)
+    counts = spark.sparkContext.broadcast(np.zeros(1 << ngram_jaccard.SKETCH_BITS, np.uint32))
+    packed = ngram_jaccard._prefixes(docs, 5, 75, counts, 4)
+    got = packed.collect()
+    entries = 600 * (116 - 87 + 1 + 19)
+    assert sum(len(common.unsqueeze(r.owners)) for r in got) == entries and {r.rng for r in got} == {0, 1, 2, 3}
+    assert sum(len(r.shingles) + len(r.owners) + len(r.sigs) for r in got) < 11 * entries      # 24 bytes as rows
+    assert ngram_jaccard._with_neighbours(packed).count() == 0
+    again = packed.unionByName(ngram_jaccard._prefixes(spark.createDataFrame(
+        [(a.replace(b"v", b"u", 40),) for a, in rows[:5]], "text_bytes binary"), 5, 75, counts, 4))
+    held = ngram_jaccard._with_neighbours(again).collect()
+    sigs = defaultdict(set)
+    for r in held:
+        sigs[r.shingle].add(r.sig)
+    assert sigs and all(len(x) == 2 for x in sigs.values()) and len(held) == sum(map(len, sigs.values()))
+
+
 def test_jaccard_no_rows_or_no_words(spark, no_docs):
     assert ngram_jaccard.jaccard_components(no_docs).collect() == []
     got = ngram_jaccard.jaccard_components(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")).collect()

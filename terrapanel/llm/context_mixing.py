@@ -53,7 +53,7 @@ TASK_BYTES = 56 << 20                  # text that a task learns from, at least
 CHUNK_BYTES = 30 << 20                 # text whose words and slots a task lists at once
 PART_BYTES = 1 << 19                   # text that is scored at once, about
 STEP_BYTES = 1 << 14                   # and mixed at once
-LIST_BYTES = 1 << 18                   # text whose contexts are listed at once
+LIST_BYTES = 1 << 19                   # text whose contexts are listed at once
 GROUP_BYTES = 26                       # a group of slots for so many training bytes (bits), 64 groups at least
 CACHE_BITS = 20                        # paths through the code that a task remembers, of each table
 PATH_ODDS = 1 << 22                    # and their log odds
@@ -269,9 +269,9 @@ class Slots:
         return 1 << self.bits
 
     def __getitem__(self, slots: np.ndarray) -> np.ndarray:
-        at = self.first[slots >> self.shift]
+        at = self.first.take(slots >> self.shift, mode="clip")
         low = (slots & ((1 << self.shift) - 1)).astype(np.uint32)
-        left = np.flatnonzero(self.low[at] != low)
+        left = np.flatnonzero(self.low.take(at, mode="clip") != low)
         while len(left):
             at[left] += 1
             left = left[self.low[at[left]] != low[left]]
@@ -291,11 +291,13 @@ class Paths:
 
     def starts(self, keys: np.ndarray) -> np.ndarray:
         """Where in ``odds`` each key's path starts, until the next call."""
-        at = ((keys * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - CACHE_BITS)).astype(np.intp)
-        left = np.flatnonzero(self.keys[at] != keys)
+        at = keys * np.uint64(0xD1342543DE82EF95)
+        at >>= np.uint64(64 - CACHE_BITS)
+        at = at.view(np.intp)
+        left = np.flatnonzero(self.keys.take(at, mode="clip") != keys)
+        first = self.first.take(at, mode="clip")
         if not len(left):
-            return self.first[at]
-        first = self.first[at]
+            return first
         key, at, began = keys[left], at[left], self.used
         while len(key):
             # of the keys with one place the last gets it; equal keys share its path, others look again
@@ -486,6 +488,15 @@ def _log_odds(table: pa.Table) -> pa.Table:
     return pa.concat_tables([out, pa.table([pa.array([x], f.type) for x, f in zip(totals, out.schema, strict=True)], schema=out.schema)])
 
 
+def _logs(odds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of log(1 + odds) over stretches of these sizes (none empty): one logarithm for a
+    product of at most 32 factors, each at most 1 + exp(12)."""
+    n = (sizes + 31) // 32
+    until = np.cumsum(n)
+    starts = np.arange(until[-1]) * 32 + np.repeat(np.cumsum(sizes) - sizes - (until - n) * 32, n)
+    return np.add.reduceat(np.log(np.multiply.reduceat(np.add(odds, 1, dtype=np.float64), starts)), until - n)
+
+
 def text_scores(texts: list, code, tables: list) -> np.ndarray:
     """log2 probability of each (lowered) text and its end mark."""
     bits = np.zeros(len(texts))
@@ -511,22 +522,25 @@ def text_scores(texts: list, code, tables: list) -> np.ndarray:
                 where = np.arange(int(n.sum())) + np.repeat(begin[group:to] + done - np.cumsum(n) + n, n)
                 decisions = lengths[where]
                 until = np.cumsum(decisions)
-                symbol = np.repeat(np.arange(len(where)), decisions)
+                symbol = np.zeros(until[-1], np.int64)                   # every symbol has a decision
+                symbol[until[:-1]] = 1
+                np.cumsum(symbol, out=symbol)
                 entry = np.arange(until[-1])
                 before = until - decisions
-                odds = [p.odds.take((first[where] - before).take(symbol) + entry) for p, first in zip(paths, firsts, strict=True)]
+                odds = [p.odds[(first[where] - before).take(symbol) + entry] for p, first in zip(paths, firsts, strict=True)]
                 ends = until[np.cumsum(n) - 1]                           # decisions end, by text
-                gate = np.repeat(np.arange(0, (to - group) * GATES, GATES), np.diff(ends, prepend=0))
+                taken = np.diff(ends, prepend=0)
+                gate = np.repeat(np.arange(0, (to - group) * GATES, GATES), taken)
                 gate += _LEVEL_OF.take(odds[-1].view(np.uint8)) * np.uint8(3) + _LEVEL_OF.take(odds[-2].view(np.uint8))
                 mine = [w[group * GATES:to * GATES] for w in weights]
                 odds = [x.astype(np.float32) for x in odds]
-                total = mine[0].take(gate) * odds[0]
+                total = mine[0].take(gate, mode="clip") * odds[0]       # the fastest mode; no gate is out of range
                 for w, x in zip(mine[1:], odds[1:], strict=True):
-                    total += w.take(gate) * x
+                    total += w.take(gate, mode="clip") * x
                 total *= np.float32(-1 / SCALE)
                 np.clip(total, -12, 12, out=total)
                 wrong = np.exp(total, out=total)                         # odds of the other decision
-                lost[group:to] -= np.add.reduceat(np.log1p(wrong), ends - np.diff(ends, prepend=0), dtype=np.float64)
+                lost[group:to] -= _logs(wrong, taken)
                 error = wrong / (1 + wrong) * np.float32(RATE / SCALE)
                 for w, x in zip(mine, odds, strict=True):
                     w += np.bincount(gate, weights=error * x, minlength=len(w)).astype(np.float32)

@@ -136,6 +136,15 @@ def test_paths_are_the_slots_odds_whatever_the_cache_holds(monkeypatch):
                 assert paths.odds[at:at + n[0]].tolist() == want.tolist()
 
 
+def test_sums_of_logarithms():
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 31, 32, 33, 1, 700, 64, 2])
+    for odds in (np.exp(rng.uniform(-12, 12, sizes.sum())), np.full(sizes.sum(), np.exp(12)), np.full(sizes.sum(), np.exp(-12))):
+        odds = odds.astype(np.float32)
+        want = [np.log1p(x.astype(float)).sum() for x in np.split(odds, np.cumsum(sizes)[:-1])]
+        assert np.allclose(context_mixing._logs(odds, sizes), want, rtol=1e-10, atol=0)
+
+
 def test_mixing_beats_the_base_on_held_out_texts(spark):
     got = context_mixing.op1_context_mixing(spark, SF).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]

@@ -124,6 +124,27 @@ def test_jaccard_prefixes_travel_packed(spark, monkeypatch):
     assert sigs and all(len(x) == 2 for x in sigs.values()) and len(held) == sum(map(len, sigs.values()))
 
 
+def test_jaccard_rows_shared_with_many_others_are_no_candidates(spark):
+    """Every shingle of a patchwork occurs in some other text, but no other text holds more than a few of them;
+    copies that link stay, also where a shingle has more classes than are listed."""
+    rng = random.Random(5)
+    others = [[f"v{rng.randrange(10 ** 6)}" for _ in range(120)] for _ in range(60)]
+    patchwork = [w for t in others for w in t[40:48]]
+    near = [[f"u{i}" for i in range(100)] + [f"x{k}y{i}" for i in range(3)] for k in range(20)]
+    texts = [" ".join(t) for t in [*others, patchwork, *near]]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text_bytes binary").repartition(3)
+    counts = spark.sparkContext.broadcast(np.zeros(1 << ngram_jaccard.SKETCH_BITS, np.uint32))
+    held = ngram_jaccard._with_neighbours(ngram_jaccard._prefixes(docs, 5, 75, counts, 4))
+    hashes = common.WordHashes()
+    sig = [ngram_jaccard.set_digest(common.shingle_set(t.encode(), hashes)) for t in texts]
+    assert sig[60] in {r.sig for r in held.collect()}
+    left = ngram_jaccard._shared_enough(held, 4).collect()
+    assert {r.sig for r in left} == set(sig[61:])
+    rows = list(enumerate(texts))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_jaccard(rows)
+
+
 def test_jaccard_no_rows_or_no_words(spark, no_docs):
     assert ngram_jaccard.jaccard_components(no_docs).collect() == []
     got = ngram_jaccard.jaccard_components(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")).collect()

@@ -157,6 +157,54 @@ def test_a_vector_that_fills_a_third_of_the_table(spark):
     assert np.allclose(scored(GrownForest(trees=1, bootstrap=False, finishRows=50).fit(df), df, x), means(x, y), atol=1e-6)
 
 
+def test_nodes_of_one_vector_take_no_job_each(spark):
+    """300 vectors of 20 rows in nodes of over 10 rows: what cannot be split is looked at together."""
+    x = np.repeat(np.column_stack([np.arange(300.0) % 20, np.arange(300.0) // 20, np.zeros(300)]), 20, axis=0)
+    y = np.arange(len(x)) % 7 + x[:, 0] * 3 + x[:, 1]
+    df = frame(spark, x, y)
+    tracker = spark.sparkContext.statusTracker()
+    for bootstrap in (True, False):
+        spark.sparkContext.setJobGroup(f"one vector {bootstrap}", "")
+        model = GrownForest(trees=1, bootstrap=bootstrap, finishRows=10, seed=5).fit(df)
+        assert len(tracker.getJobIdsForGroup(f"one vector {bootstrap}")) < 100
+        assert len(model._flat_tops()[0].feature) > (100 if bootstrap else 30)
+    assert np.allclose(scored(model, df, x), means(x, y), atol=1e-6)
+
+
+def one_node_at_a_time(x, w, y):
+    """Means by vector of a tree grown node by node, every cut of every feature tried."""
+    out, todo = np.empty(len(x)), [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        best = None
+        for f in range(x.shape[1]) if len(set((y[rows] / w[rows]).tolist())) > 1 else ():
+            for v in np.unique(x[rows, f])[:-1]:
+                left = x[rows, f] <= v
+                gain = sum(y[rows][s].sum() ** 2 / w[rows][s].sum() for s in (left, ~left))
+                if best is None or gain > best[0] * (1 + 1e-12):
+                    best = gain, left
+        if best is None:
+            out[rows] = y[rows].sum() / w[rows].sum()
+        else:
+            todo += [rows[best[1]], rows[~best[1]]]
+    return out
+
+
+def test_the_nodes_of_a_level_are_split_together(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, w = rng.integers(0, 9, (300, 3)).astype(float), rng.integers(1, 4, 300)
+    x[rng.random((300, 3)) < 0.1] = np.inf
+    y = rng.integers(0, 50, 300) * w
+    t = exact_tree(x, w, y[:, None] << 20, 3, np.random.default_rng(0), 2.0 ** 20)
+    assert np.allclose(t.value[t.leaves(x)][:, 0], one_node_at_a_time(x, w, y))
+    x, calls, plain = rng.normal(size=(20_000, 6)), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    for targets, looked_at in ((rng.integers(0, 1 << 40, (20_000, 1)), 6), (np.eye(3, dtype=np.int64)[rng.integers(0, 3, 20_000)], 2)):
+        t = exact_tree(x, np.ones(20_000, np.int64), targets, looked_at, np.random.default_rng(1))
+        assert np.allclose(t.value[t.leaves(x)], targets)
+    assert len(calls) < 500                                          # one for each of over 30,000 nodes before
+
+
 def test_dealt_and_broadcast_scores_are_the_same(spark, monkeypatch):
     x, y = table(300, 9)
     df = frame(spark, x, y)

@@ -244,6 +244,32 @@ def test_removal_of_short_strings_on_both_paths(spark, monkeypatch):
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected(rows, 40)
 
 
+def test_hot_windows_are_rows_in_short_batches_of_shared_blocks_only(spark, monkeypatch):
+    """A line that 40 texts of other words hold: most windows around it reach far into words of one text."""
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(45))
+    texts = ["".join(rng.choice("stuvwxyz ") for _ in range(30)) + line + "".join(rng.choice("stuvwxyz ") for _ in range(30)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 50)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCK", 4)
+    written, plain = [], suffix_dedup.materialize
+
+    def kept(df):
+        written.append(plain(df))
+        return written[-1]
+
+    monkeypatch.setattr(suffix_dedup, "materialize", kept)
+    got = suffix_dedup.removal(df, 40, 20).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected(rows, 40)
+    windows, = (t for t in written if t.columns == ["doc_id", "doc_hash", "n", "start", "w"])
+    anchors, = (t for t in written if {"ctx", "before"} <= set(t.columns))
+    hot = anchors.groupBy("fp").count().where("count > 1")
+    every = sum(r.before + r.after - 40 + 1 for r in anchors.join(hot, "fp").collect())
+    assert 0 < windows.count() < every / 2
+
+
 def test_anchors_do_not_hang_on_segments(monkeypatch, texts):
     raw = [(t or "").encode() for t in texts]
     ends = np.cumsum([len(t) for t in raw])

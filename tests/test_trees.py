@@ -199,10 +199,24 @@ def test_the_nodes_of_a_level_are_split_together(monkeypatch):
     assert np.allclose(t.value[t.leaves(x)][:, 0], one_node_at_a_time(x, w, y))
     x, calls, plain = rng.normal(size=(20_000, 6)), [], np.argsort
     monkeypatch.setattr(np, "argsort", lambda *a, **b: calls.append(1) or plain(*a, **b))
-    for targets, looked_at in ((rng.integers(0, 1 << 40, (20_000, 1)), 6), (np.eye(3, dtype=np.int64)[rng.integers(0, 3, 20_000)], 2)):
-        t = exact_tree(x, np.ones(20_000, np.int64), targets, looked_at, np.random.default_rng(1))
-        assert np.allclose(t.value[t.leaves(x)], targets)
-    assert len(calls) < 500                                          # one for each of over 30,000 nodes before
+    y = rng.integers(0, 1 << 40, (20_000, 1))
+    t = exact_tree(x, np.ones(20_000, np.int64), y, 6, np.random.default_rng(1))
+    assert np.allclose(t.value[t.leaves(x)], y)
+    assert len(calls) < 100                                          # one for each of some 20,000 nodes before
+
+
+def test_class_trees_are_the_same_with_and_without_arrays(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 30, (2000, 5)).astype(float), np.eye(3, dtype=np.int64)[rng.integers(0, 3, 2000)]
+    x, first = np.unique(x, axis=0, return_index=True)
+    w = rng.integers(1, 4, len(x))
+    trees = []
+    for few in (0, 12):
+        monkeypatch.setattr(forests, "FEW_ROWS", few)
+        trees.append(exact_tree(x, w, y[first] * w[:, None], 2, np.random.default_rng(1)))
+        assert np.allclose(trees[-1].value[trees[-1].leaves(x)], y[first])
+    assert all(np.array_equal(getattr(trees[0], c), getattr(trees[1], c)) for c in ("feature", "threshold", "left", "right", "value"))
+    assert set(trees[0].feature.tolist()) == {-1, 0, 1, 2, 3, 4}
 
 
 def test_dealt_and_broadcast_scores_are_the_same(spark, monkeypatch):
